@@ -1,15 +1,664 @@
-"""All registered queries of the reference's operators, with their SQL."""
+"""All registered queries over the driver's tables, each with the SQL that it must agree with where SQL can say it.
+
+Roles: documents are reviews and the search corpus (source is the user),
+benchmark holds queries, embeddings are document and query vectors (queries are
+the first 50), part holds products, orders and lineitem link users to products,
+events.props is JSON detail text, pages are HTML, conversations are ordered text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import errors as er
+from quillon.functions import text as tx
+from quillon.functions import vectors as vx
+from quillon.operators import clusters, evaluation, matching, profiles, retrieval, syntax, tables
+from quillon.streaming import appends
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        _QUERIES[function.__name__] = function
+        if sql is not None:
+            _SQL[function.__name__] = sql
+        return function
+
+    return register
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- text, attributes and predicates -------------------------------------------------------------------------------
+
+_SENTENCES = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+
+
+@query(rf"""
+SELECT source, CAST(sum(n) AS BIGINT) AS n_long FROM (
+  SELECT source, len(list_filter({_SENTENCES}, lambda s: len({_WORDS.format("s")}) BETWEEN 5 AND 35)) AS n FROM documents)
+GROUP BY source HAVING sum(n) >= 10""")
+def long_sentence_users(spark, sf_dir):
+    n = tx.count_long_sentences(F.col("text"), 5, 35)
+    return t(spark, sf_dir, "documents").groupBy("source").agg(F.sum(n).alias("n_long")).where("n_long >= 10")
+
+
+@query("""
+SELECT d.source, count(*) AS n_docs, count(l.doc_id) AS n_labelled, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS n_good
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source""")
+def user_docs_join(spark, sf_dir):
+    joined = t(spark, sf_dir, "documents").select("doc_id", "source").join(t(spark, sf_dir, "labels").withColumn("known", F.lit(1)), "doc_id", "left")
+    return joined.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("known").alias("n_labelled"), F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("n_good"))
+
+
+@query("""
+SELECT user_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value, max(event_id) AS event_id
+FROM events GROUP BY user_id""")
+def last_wins_dedup(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.col("event_id").alias("ordinal"))
+    return tables.last_wins(rows, ["user_id"], "ordinal").select("user_id", "event_type", F.round("value", 6).alias("value"), "event_id")
+
+
+@query(r"""
+SELECT p_partkey, nullif(regexp_replace(replace(regexp_extract(p_name || ' $' || p_retailprice::VARCHAR, '\$([\d,]+\.?\d*)', 1), ',', ''), '\.+$', ''), '') AS price
+FROM part""")
+def price_regex(spark, sf_dir):
+    text = F.concat(F.col("p_name"), F.lit(" $"), F.col("p_retailprice").cast("string"))
+    return t(spark, sf_dir, "part").select("p_partkey", tx.price_in_text(text).alias("price"))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, string_split(p_type, ' ') AS cats FROM part)
+SELECT p_partkey, CASE WHEN length(cats[-1]) BETWEEN 3 AND 50 THEN cats[-1] WHEN length(cats[-2]) BETWEEN 3 AND 50 THEN cats[-2] END AS product_type FROM c""")
+def product_type(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", tx.product_type(F.split("p_type", " ")).alias("product_type"))
+
+
+_USES = ["travel", "outdoor", "kitchen", "the", "with"]
+
+
+@query("""
+SELECT doc_id, CASE WHEN contains(lower(text), 'outdoor') THEN 'outdoor' WHEN contains(lower(text), 'kitchen') THEN 'kitchen'
+  WHEN contains(lower(text), 'travel') THEN 'travel' WHEN contains(lower(text), 'with') THEN 'with' WHEN contains(lower(text), 'the') THEN 'the' END AS use_case
+FROM documents""")
+def use_case(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", tx.first_keyword(F.col("text"), sorted(_USES, key=lambda k: (-len(k), k))).alias("use_case"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda x: x <> '') AS ws FROM part),
+n AS (SELECT p_partkey, ws, list_max(list_transform(ws, lambda x: length(x))) AS m FROM w)
+SELECT p_partkey, list_filter(ws, lambda x: length(x) = m)[1] AS appearance FROM n""")
+def appearance_longest(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", tx.longest(tx.words(F.lower("p_name"))).alias("appearance"))
+
+
+@query("""
+SELECT p_partkey, (p_name <> '')::INT + (p_brand <> '')::INT + (p_type <> '')::INT + (p_size > 25)::INT + (p_retailprice > 1000)::INT AS n_slots
+FROM part WHERE (p_name <> '')::INT + (p_brand <> '')::INT + (p_type <> '')::INT + (p_size > 25)::INT + (p_retailprice > 1000)::INT >= 4""")
+def slot_count_filter(spark, sf_dir):
+    filled = [F.col("p_name") != "", F.col("p_brand") != "", F.col("p_type") != "", F.col("p_size") > 25, F.col("p_retailprice") > 1000]
+    return t(spark, sf_dir, "part").select("p_partkey", sum((c.cast("int") for c in filled), F.lit(0)).alias("n_slots")).where("n_slots >= 4")
+
+
+@query("""
+SELECT count(*) AS n, count(*) FILTER (lower(trim(p_brand)) IN ('unknown', 'generic', '')) AS no_brand,
+  count(*) FILTER (p_retailprice < 1000) AS cheap, count(*) FILTER (p_size < 10) AS small FROM part""")
+def reject_reasons(spark, sf_dir):
+    return t(spark, sf_dir, "part").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.lower(F.trim("p_brand")).isin("unknown", "generic", "")).alias("no_brand"),
+        F.count_if(F.col("p_retailprice") < 1000).alias("cheap"),
+        F.count_if(F.col("p_size") < 10).alias("small"),
+    )
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS asin, (p_partkey // 10) * 10 AS parent_asin FROM part), r AS (SELECT DISTINCT l_partkey AS asin, o_custkey AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+u AS (SELECT asin, user_id FROM r UNION SELECT parent_asin, user_id FROM p JOIN r USING (asin) WHERE asin <> parent_asin)
+SELECT asin, count(*) AS n_users FROM u WHERE asin IN (SELECT asin FROM p) GROUP BY asin""")
+def reviewed_products(spark, sf_dir):
+    products = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("asin"), (F.floor(F.col("p_partkey") / 10) * 10).cast("long").alias("parent_asin"))
+    return tables.reviewed_products(products, _edges(spark, sf_dir)).groupBy("asin").agg(F.count("*").alias("n_users"))
+
+
+def _edges(spark, sf_dir):
+    """(user_id, asin): distinct customer-part pairs."""
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("asin"))
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("user_id", "asin").distinct()
+
+
+def _pairs(spark, sf_dir):
+    """(user_id, place, original, corrected): neighbouring benchmark words of equal first letter, as stand-ins for corrections."""
+    words = t(spark, sf_dir, "benchmark").select(F.col("item_id"), F.posexplode(tx.query_tokens(F.col("text"))).alias("place", "original"))
+    nxt = words.select("item_id", (F.col("place") - 1).alias("place"), F.col("original").alias("corrected"))
+    return words.join(nxt, ["item_id", "place"]).select((F.col("item_id") % 7).alias("user_id"), "item_id", "place", "original", "corrected")
+
+
+_PAIRS = """toks AS (SELECT item_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9]+(?:''[a-zA-Z0-9]+)*')) AS w, generate_subscripts(regexp_extract_all(text, '[a-zA-Z0-9]+(?:''[a-zA-Z0-9]+)*'), 1) - 1 AS place FROM benchmark),
+pairs AS (SELECT a.item_id % 7 AS user_id, a.item_id, a.place, a.w AS original, b.w AS corrected FROM toks a JOIN toks b ON a.item_id = b.item_id AND b.place = a.place + 1)"""
+
+
+@query(f"""
+WITH {_PAIRS}, lo AS (SELECT *, lower(original) AS o, lower(corrected) AS c FROM pairs),
+x AS (SELECT *, CASE WHEN length(o) > length(c) THEN c ELSE o END AS s, CASE WHEN length(o) > length(c) THEN o ELSE c END AS l FROM lo)
+SELECT item_id, place::INT AS place, CASE WHEN o = c THEN 'identity' WHEN starts_with(o, c) AND length(o) > length(c) THEN 'punct_only'
+  WHEN (o, c) IN (('was','were'),('were','was'),('is','are'),('are','is'),('do','did'),('did','do'),('does','did'),('did','does')) THEN 'verb_variation'
+  WHEN (o, c) IN (('i','me'),('me','i'),('he','him'),('him','he'),('she','her'),('her','she'),('we','us'),('us','we'),('they','them'),('them','they')) THEN 'pronoun_variation'
+  WHEN length(s) >= 3 AND list_contains(['s','es','ed','ing','er','est','ly','d','en','n'], CASE WHEN starts_with(l, s) THEN substr(l, length(s) + 1) END) THEN 'affix_variation'
+  ELSE '' END AS error_class FROM x""")
+def simple_error_class(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("item_id", "place", er.pair_class(F.col("original"), F.col("corrected")).alias("error_class"))
+
+
+@query(f"""
+WITH {_PAIRS}
+SELECT item_id, place::INT AS place, original <> corrected AND (ends_with(original, corrected) OR ends_with(corrected, original)) AS suffix_change,
+  original <> corrected AND lower(original) = lower(corrected) AS case_change, levenshtein(original, corrected)::INT AS distance,
+  round(CASE WHEN contains(original, corrected) THEN 0.3::DOUBLE * length(corrected) / length(original) WHEN contains(corrected, original) THEN 0.5::DOUBLE * length(original) / length(corrected)
+    ELSE levenshtein(original, corrected)::DOUBLE / greatest(length(original), length(corrected)) END, 6) AS substring_distance,
+  round(len(list_intersect(list_distinct(string_split(lower(original), '')), list_distinct(string_split(lower(corrected), ''))))::DOUBLE
+    / len(list_distinct(list_concat(string_split(lower(original), ''), string_split(lower(corrected), '')))), 6) AS similarity
+FROM pairs""")
+def pair_predicates(spark, sf_dir):
+    a, b = F.col("original"), F.col("corrected")
+    return _pairs(spark, sf_dir).select(
+        "item_id", "place", er.is_suffix_change(a, b).alias("suffix_change"), er.is_case_change(a, b).alias("case_change"), F.levenshtein(a, b).alias("distance"),
+        F.round(er.substring_distance(a, b), 6).alias("substring_distance"), F.round(er.char_similarity(a, b), 6).alias("similarity"),
+    )
+
+
+@query(r"""
+WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part), u AS (SELECT DISTINCT token FROM w WHERE token <> ''),
+p AS (SELECT token, CASE WHEN length(token) > 4 AND ends_with(token, 'ies') THEN substr(token, 1, length(token) - 3) || 'y'
+  WHEN length(token) > 3 AND ends_with(token, 'es') AND NOT regexp_matches(token, '(aes|ees|oes)$') THEN substr(token, 1, length(token) - 2)
+  WHEN length(token) > 3 AND ends_with(token, 's') AND NOT ends_with(token, 'ss') THEN substr(token, 1, length(token) - 1) ELSE token END AS s FROM u)
+SELECT token, coalesce(list_filter(list_transform(['ingly','edly','ing','ed','en','ly','ness','ment','er','est','al','ic','ish'],
+  lambda x: CASE WHEN ends_with(s, x) AND length(s) - length(x) >= 3 THEN substr(s, 1, length(s) - length(x)) END), lambda y: y IS NOT NULL)[1], s) AS stem FROM p""")
+def stemmed_tokens(spark, sf_dir):
+    tokens = t(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("token")).where("token != ''").distinct()
+    return tokens.select("token", tx.stem(F.col("token")).alias("stem"))
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.' || k) AS v, k FROM events, (SELECT unnest(json_keys(props)) AS k FROM (SELECT props FROM events ORDER BY event_id LIMIT 1)) AS keys""")
+def json_details_extract(spark, sf_dir):
+    events = t(spark, sf_dir, "events")
+    first = events.orderBy("event_id").select(F.json_object_keys("props").alias("k")).first()
+    pairs = F.array(*(F.struct(F.try_variant_get(F.try_parse_json("props"), f'$["{k}"]', "string").alias("v"), F.lit(k).alias("k")) for k in (first["k"] if first else [])))
+    return events.select("event_id", F.inline(pairs))
+
+
+@query(None)
+def html_text(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
+
+
+@query(r"""
+SELECT p_partkey, trim(regexp_replace(replace(replace(p_name || chr(10) || 'brand: ' || p_brand || chr(10) || 'type: ' || p_type, chr(10), '. '), '- ', ''), '\s{2,}', ' ', 'g')) AS document FROM part""")
+def product_document(spark, sf_dir):
+    text = F.concat_ws("\n", "p_name", F.concat(F.lit("brand: "), "p_brand"), F.concat(F.lit("type: "), "p_type"))
+    return t(spark, sf_dir, "part").select("p_partkey", tx.compacted(text).alias("document"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, text, min(turn) AS turn FROM conversations GROUP BY conv_id, text),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS place FROM c)
+SELECT conv_id, text, turn, place::INT AS place, CASE WHEN place <= 2 THEN 'train' ELSE 'holdout' END AS part FROM r WHERE place <= 4""")
+def first_n_distinct(spark, sf_dir):
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "text", "turn")
+    kept = tables.first_n(rows, "conv_id", ["turn", "text"], 4, distinct="text")
+    return kept.withColumn("part", F.when(F.col("place") <= 2, "train").otherwise("holdout"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents),
+g AS (SELECT doc_id, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos - 1 AS gap FROM w WHERE w = 'the')
+SELECT doc_id, count(gap) AS n_gaps, round(avg(gap), 6) AS mean_gap, max(gap)::INT AS max_gap FROM g GROUP BY doc_id HAVING count(gap) > 0""")
+def token_gaps(spark, sf_dir):
+    tokens = t(spark, sf_dir, "documents").select("doc_id", tx.search_tokens(F.col("text")).alias("w"))
+    hits = F.filter(F.transform("w", lambda w, i: F.when(w == "the", i)), lambda p: p.isNotNull())
+    gaps = tokens.select("doc_id", syntax.gaps(hits).alias("g")).where(F.size("g") > 0)
+    mean = F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / F.size("g")
+    return gaps.select("doc_id", F.size("g").cast("long").alias("n_gaps"), F.round(mean, 6).alias("mean_gap"), F.array_max("g").alias("max_gap"))
+
+
+@query("""
+SELECT count(*) FILTER (length(text) > 0) AS n, count(DISTINCT md5(text)) AS n_texts, md5(string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id::VARCHAR)) AS corpus_hash FROM documents""")
+def corpus_hash(spark, sf_dir):
+    ids = F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "|")
+    return t(spark, sf_dir, "documents").agg(F.count_if(F.length("text") > 0).alias("n"), F.countDistinct(F.md5("text")).alias("n_texts"), F.md5(ids).alias("corpus_hash"))
+
+
+# --- aggregations --------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT bin::INT AS bin, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent
+FROM (SELECT least(floor(l_discount * 100 + 0.5), 8) AS bin FROM lineitem) GROUP BY bin""")
+def histogram_bins(spark, sf_dir):
+    lines = t(spark, sf_dir, "lineitem").select(F.least(F.floor(F.col("l_discount") * 100 + 0.5), F.lit(8)).cast("int").alias("bin"))
+    counts = lines.groupBy("bin").agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_totalprice AS y, items AS x FROM orders JOIN (SELECT l_orderkey, count(*)::DOUBLE AS items FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)
+SELECT o_custkey, round(regr_slope(y, x), 2) AS slope, round(regr_intercept(y, x), 2) AS intercept, round(regr_r2(y, x), 6) AS r2, count(*) AS n
+FROM o GROUP BY o_custkey HAVING count(*) >= 3 AND var_pop(x) > 0""")
+def user_ols(spark, sf_dir):
+    items = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("x"))
+    rows = t(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("o_totalprice").alias("y"), "x")
+    fits = rows.groupBy("o_custkey").agg(
+        F.round(F.regr_slope("y", "x"), 2).alias("slope"), F.round(F.regr_intercept("y", "x"), 2).alias("intercept"), F.round(F.regr_r2("y", "x"), 6).alias("r2"),
+        F.count("*").alias("n"), F.var_pop("x").alias("v"),
+    )
+    return fits.where("n >= 3 and v > 0").drop("v")
+
+
+@query("""
+SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, min(l_quantity) AS min,
+  quantile_cont(l_quantity, 0.25) AS q25, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q75, max(l_quantity) AS max
+FROM lineitem GROUP BY l_returnflag""")
+def summary_stats(spark, sf_dir):
+    out = tables.summary(t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query("""
+SELECT c_mktsegment, o_orderpriority, count(*) AS n, count(DISTINCT c_custkey) AS n_users, grouping(c_mktsegment)::INT AS all_segments, grouping(o_orderpriority)::INT AS all_priorities
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, o_orderpriority)""")
+def level_rollup(spark, sf_dir):
+    joined = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.rollup("c_mktsegment", "o_orderpriority").agg(
+        F.count("*").alias("n"), F.countDistinct("c_custkey").alias("n_users"),
+        F.grouping("c_mktsegment").cast("int").alias("all_segments"), F.grouping("o_orderpriority").cast("int").alias("all_priorities"),
+    )
+
+
+_IDF = """dfs AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) WHERE length(w) > 1 GROUP BY w),
+idf AS (SELECT w, CASE WHEN length(w) >= 4 AND df < 10 THEN greatest(ln((SELECT count(*) FROM documents) / (df + 1.0)), ln((SELECT count(*) FROM documents) / 10.0)) ELSE ln((SELECT count(*) FROM documents) / (df + 1.0)) END AS idf FROM dfs)"""
+
+
+def _word_idf(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    n = float(docs.count())
+    words = docs.select(F.explode(F.array_distinct(tx.search_tokens(F.col("text")))).alias("w")).where(F.length("w") > 1)
+    idf = F.log(n / (F.col("df") + 1.0))
+    return words.groupBy("w").agg(F.count("*").alias("df")).withColumn("idf", F.when((F.length("w") >= 4) & (F.col("df") < 10), F.greatest(idf, F.log(F.lit(n / 10.0)))).otherwise(idf))
+
+
+@query(f"WITH {_IDF} SELECT w, round(idf, 6) AS idf FROM idf")
+def word_idf(spark, sf_dir):
+    return _word_idf(spark, sf_dir).select("w", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""
+WITH {_IDF}, q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark)
+SELECT item_id, round(avg(coalesce(idf, 5.0)), 6) AS mean_idf, count(*) AS n_words FROM q LEFT JOIN idf USING (w) GROUP BY item_id""")
+def query_idf(spark, sf_dir):
+    words = t(spark, sf_dir, "benchmark").select("item_id", F.explode(tx.search_tokens(F.col("text"))).alias("w"))
+    return words.join(_word_idf(spark, sf_dir), "w", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("idf", F.lit(5.0))), 6).alias("mean_idf"), F.count("*").alias("n_words"))
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------
+
+_TOKENS = """dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS dl FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), q AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean, sum(dl)::DOUBLE AS size FROM dl)"""
+_TOP = "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM {0})) WHERE rank <= {1}"
+_BM25 = f"""{_TOKENS}, bm AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / n.mean))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), n GROUP BY ALL)"""
+
+
+def _search(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs, t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {_BM25} {_TOP.format('bm', 10)}")
+def bm25_topk(spark, sf_dir):
+    return retrieval.bm25(*_search(spark, sf_dir), k=10)
+
+
+@query(f"""WITH {_TOKENS}, w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM w GROUP BY doc_id), qw AS (SELECT query_id, term, (1 + ln(qtf)) * (ln((1 + n.n) / (1 + df)) + 1) AS qw FROM q JOIN df USING (term), n),
+qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY query_id),
+s AS (SELECT query_id, doc_id, sum(w * qw) / (any_value(dn) * any_value(qn)) AS score FROM w JOIN qw USING (term) JOIN dn USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id) {_TOP.format('s', 10)}""")
+def tfidf_topk(spark, sf_dir):
+    return retrieval.tfidf(*_search(spark, sf_dir), k=10)
+
+
+@query(f"""WITH {_TOKENS}, cf AS (SELECT term, sum(tf) / any_value(n.size) AS p FROM tf, n GROUP BY term), qp AS (SELECT query_id, term, qtf, p FROM q JOIN cf USING (term)),
+ql AS (SELECT query_id, sum(qtf) AS ql, sum(qtf * ln(p)) AS floor FROM qp GROUP BY query_id),
+s AS (SELECT query_id, doc_id, sum(qtf * ln(1 + tf / (2000.0 * p))) + any_value(floor) + any_value(ql) * ln(2000.0 / (any_value(dl) + 2000.0)) AS score FROM tf JOIN qp USING (term) JOIN dl USING (doc_id) JOIN ql USING (query_id) GROUP BY query_id, doc_id) {_TOP.format('s', 10)}""")
+def dirichlet_topk(spark, sf_dir):
+    return retrieval.dirichlet(*_search(spark, sf_dir), k=10)
+
+
+@query(f"""WITH {_BM25}, a AS ({_TOP.format('bm', 50)}), tq AS (SELECT query_id, term, qtf::DOUBLE AS w FROM q), sp AS (SELECT query_id, doc_id, sum(tf * w) AS score FROM tf JOIN tq USING (term) GROUP BY ALL), b AS ({_TOP.format('sp', 50)}),
+na AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.5 END AS x FROM a WINDOW w AS (PARTITION BY query_id)),
+nb AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.5 END AS y FROM b WINDOW w AS (PARTITION BY query_id)),
+h AS (SELECT query_id, doc_id, 0.4 * coalesce(x, 0) + 0.6 * coalesce(y, 0) AS score FROM na FULL JOIN nb USING (query_id, doc_id)) {_TOP.format('h', 10)}""")
+def hybrid_topk(spark, sf_dir):
+    docs, questions = _search(spark, sf_dir)
+    return retrieval.fuse(retrieval.bm25(docs, questions, k=50), _sparse(docs, questions, 50), k=10)
+
+
+def _sparse(docs, questions, k):
+    weights = retrieval.matched_postings(docs, retrieval.query_terms(questions)).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
+    return retrieval.sparse_dot(weights, retrieval.query_terms(questions).select("query_id", "term", F.col("qtf").cast("double").alias("w")), k)
+
+
+@query(f"WITH {_TOKENS}, s AS (SELECT query_id, doc_id, sum(tf * qtf)::DOUBLE AS score FROM tf JOIN q USING (term) GROUP BY ALL) {_TOP.format('s', 10)}")
+def sparse_dot_topk(spark, sf_dir):
+    return _sparse(*_search(spark, sf_dir), 10)
+
+
+def _vectors(spark, sf_dir):
+    rows = t(spark, sf_dir, "embeddings")
+    docs = rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
+    return docs, rows.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), "label")
+
+
+_COSINE = "cs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, a.label AS ql, b.label AS dl FROM embeddings a, embeddings b WHERE a.vec_id < 50)"
+
+
+@query(f"WITH {_COSINE} {_TOP.format('cs', 10)}")
+def cosine_topk(spark, sf_dir):
+    docs, questions = _vectors(spark, sf_dir)
+    return retrieval.dense(docs, questions, k=10)
+
+
+def _token_matrix(column):
+    """Four tokens of 16 dimensions from a vector of 64."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(column, i * 16 + 1, F.lit(16)))
+
+
+@query(f"""WITH tk AS (SELECT vec_id, i, list_slice(embedding::DOUBLE[], i * 16 + 1, i * 16 + 16) AS v FROM embeddings, range(4) r(i)),
+m AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, a.i, max(list_inner_product(a.v, b.v)) AS m FROM tk a, tk b WHERE a.vec_id < 20 GROUP BY ALL), s AS (SELECT query_id, doc_id, sum(m) AS score FROM m GROUP BY ALL) {_TOP.format('s', 10)}""")
+def maxsim_topk(spark, sf_dir):
+    docs, questions = _vectors(spark, sf_dir)
+    asked = questions.where("query_id < 20").select("query_id", _token_matrix(F.col("vec")).alias("toks"))
+    return retrieval.max_sim(docs.select("doc_id", _token_matrix(F.col("vec")).alias("toks")), asked, k=10)
+
+
+@query("""WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x, max(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL)
+SELECT label, i::INT - 1 AS i, round(x, 6) AS mean, round(m, 6) AS max FROM c""")
+def window_pool(spark, sf_dir):
+    windows = t(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("window"), F.col("embedding").alias("vec"))
+    mean, top = retrieval.pooled(windows, "mean"), retrieval.pooled(windows, "max").withColumnRenamed("vec", "top")
+    each = mean.join(top, "doc_id").select(F.col("doc_id").alias("label"), F.posexplode(F.arrays_zip("vec", "top")).alias("i", "z"))
+    return each.select("label", "i", F.round("z.vec", 6).alias("mean"), F.round("z.top", 6).alias("max"))
+
+
+@query(None)
+def ann_topk(spark, sf_dir):
+    docs, questions = _vectors(spark, sf_dir)
+    return retrieval.ivf(docs, questions, k=10)
+
+
+@query("""WITH c AS (SELECT o_custkey AS user_id, l_partkey AS doc_id, count(*)::DOUBLE AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <= 200 GROUP BY ALL),
+b AS (SELECT user_id AS query_id, doc_id, score + 0.15 * greatest(0, least(1, CASE WHEN contains(lower(p_name || ' ' || p_brand), 'a') THEN 0.4 ELSE 0 END + CASE WHEN contains(lower(p_name || ' ' || p_brand), 'e') THEN 0.2 ELSE 0 END
+  - CASE WHEN contains(lower(p_name || ' ' || p_brand), 'z') THEN 0.3 ELSE 0 END + CASE WHEN doc_id % 10 = user_id % 10 THEN 0.3 ELSE 0 END)) AS score FROM c JOIN part ON doc_id = p_partkey) """ + _TOP.format("b", 5))
+def personal_boost(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders").where("o_custkey <= 200").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    bought = t(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("user_id", F.col("l_partkey").alias("doc_id")).agg(F.count("*").cast("double").alias("score"))
+    texts = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    users = orders.select("user_id").distinct()
+    wishes = users.select("user_id", F.inline(F.array(*(F.struct(F.lit(v).alias("value"), F.lit(r).alias("relevance")) for v, r in (("a", "REQUIRED"), ("e", "RELEVANT"), ("z", "CONFLICTING"))))))
+    related = bought.where("doc_id % 10 = user_id % 10").select("user_id", "doc_id")
+    return retrieval.personal_boost(bought.withColumn("query_id", F.col("user_id")), wishes, related, texts, k=5)
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+
+_RANKED = f"{_COSINE}, rk AS (SELECT query_id, doc_id, score, rank, (SELECT label FROM embeddings WHERE vec_id = query_id) AS ql, (SELECT label FROM embeddings WHERE vec_id = doc_id) AS dl FROM ({_TOP.format('cs', 10)}))"
+
+
+@query(f"""WITH {_RANKED}, m AS (SELECT *, (ql = dl)::INT AS rel FROM rk), s AS (SELECT label, count(*) AS r FROM embeddings GROUP BY label),
+x AS (SELECT *, coalesce(sum(rel) OVER w, 0) AS hb, coalesce(sum(1 - rel) OVER w, 0) AS mb FROM m JOIN s ON ql = label WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT query_id, round(sum(rel) / 10.0, 6) AS precision, round(sum(rel)::DOUBLE / any_value(r), 6) AS recall, round(sum(rel * (hb + 1)::DOUBLE / rank) / least(any_value(r), 10), 6) AS ap,
+  round(sum(rel / log2(rank + 1)) / list_sum(list_transform(range(1, least(any_value(r), 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
+  round(coalesce(1.0 / min(CASE WHEN rel = 1 THEN rank END), 0), 6) AS mrr, round(sum(0.5 * pow(0.5, rank - 1) * rel), 6) AS rbp, round(sum(rel * (1 - mb::DOUBLE / r)) / any_value(r), 6) AS bpref
+FROM x GROUP BY query_id""")
+def metrics_set(spark, sf_dir):
+    docs, questions = _vectors(spark, sf_dir)
+    relevant = questions.select("query_id", "label").join(docs.select("doc_id", "label"), "label").select("query_id", "doc_id")
+    found = evaluation.relevant_sets(retrieval.dense(docs, questions, k=10), relevant, k=10)
+    return found.select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ap", "ndcg", "mrr", "rbp", "bpref")))
+
+
+_TARGETS = "tg AS (SELECT item_id AS query_id, min(doc_id) AS doc_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text) GROUP BY item_id)"
+
+
+def _targets(spark, sf_dir):
+    """(query_id, doc_id): the first document that holds each benchmark text.  Benchmark is small and checked to be so."""
+    questions = retrieval.small(t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")))
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(questions, F.contains("text", "q")).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(f"""WITH {_BM25}, r AS ({_TOP.format('bm', 10)}), {_TARGETS}
+SELECT query_id, doc_id, rank, coalesce(rank <= 1, false)::INT::DOUBLE AS h_at1, coalesce(rank <= 10, false)::INT::DOUBLE AS h_at10, round(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END, 6) AS n_at10, round(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END, 6) AS mrr_at10
+FROM tg LEFT JOIN r USING (query_id, doc_id)""")
+def metrics_single(spark, sf_dir):
+    found = evaluation.single_target(bm25_topk(spark, sf_dir), _targets(spark, sf_dir))
+    return found.select("query_id", "doc_id", "rank", "h_at1", "h_at10", F.round("n_at10", 6).alias("n_at10"), F.round("mrr_at10", 6).alias("mrr_at10"))
+
+
+@query(f"""WITH {_RANKED}, p AS (SELECT query_id, any_value(ql) AS label, sum((ql = dl)::INT) / 10.0 AS p10, avg(score) AS s FROM rk GROUP BY query_id),
+b AS (SELECT *, CASE WHEN s >= 0 AND s < 0.3 THEN 'low' WHEN s >= 0.3 AND s < 0.6 THEN 'mid' WHEN s >= 0.6 AND s < 2 THEN 'high' END AS bin FROM p)
+SELECT bin, label % 3 AS grp, count(*) AS n, round(avg(p10), 6) AS p10 FROM b WHERE bin IS NOT NULL GROUP BY CUBE (bin, label % 3)""")
+def binned_metrics(spark, sf_dir):
+    docs, questions = _vectors(spark, sf_dir)
+    ranked = retrieval.dense(docs, questions, k=10).join(questions.select("query_id", "label"), "query_id").join(docs.select("doc_id", F.col("label").alias("dl")), "doc_id")
+    each = ranked.groupBy("query_id", "label").agg((F.sum((F.col("label") == F.col("dl")).cast("int")) / 10.0).alias("p10"), F.avg("score").alias("s"))
+    binned = each.withColumn("bin", evaluation.bin_of(F.col("s"), [(0, 0.3), (0.3, 0.6), (0.6, 2)], ["low", "mid", "high"])).where("bin is not null")
+    return binned.withColumn("grp", F.col("label") % 3).cube("bin", "grp").agg(F.count("*").alias("n"), F.round(F.avg("p10"), 6).alias("p10"))
+
+
+@query("""SELECT l_returnflag, round(avg(CASE WHEN l_linestatus = 'O' THEN l_discount END), 6) AS "O", round(avg(CASE WHEN l_linestatus = 'F' THEN l_discount END), 6) AS "F" FROM lineitem GROUP BY l_returnflag""")
+def cross_domain_pivot(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.round(F.avg("l_discount"), 6))
+
+
+@query("""WITH m AS (SELECT avg(CASE WHEN l_linenumber <= 2 THEN l_quantity END) AS low, avg(CASE WHEN l_linenumber BETWEEN 3 AND 4 THEN l_quantity END) AS mid, avg(CASE WHEN l_linenumber >= 5 THEN l_quantity END) AS high FROM lineitem)
+SELECT round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high, round((abs(mid - low) + abs(high - mid)) / 2, 6) AS score FROM m""")
+def three_level(spark, sf_dir):
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    row = t(spark, sf_dir, "lineitem").agg(F.avg(F.when(n <= 2, q)).alias("low"), F.avg(F.when(n.between(3, 4), q)).alias("mid"), F.avg(F.when(n >= 5, q)).alias("high"))
+    score = (F.abs(F.col("mid") - F.col("low")) + F.abs(F.col("high") - F.col("mid"))) / 2
+    return row.select(*(F.round(c, 6).alias(c) for c in ("low", "mid", "high")), F.round(score, 6).alias("score"))
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT user_id, ch, count(*) AS n FROM (SELECT user_id, unnest(string_split(lower(original), '')) AS ch FROM pairs) GROUP BY ALL)
+SELECT user_id, ch, n FROM c""")
+def error_profile(spark, sf_dir):
+    found = profiles.error_profile(_pairs(spark, sf_dir))
+    return found.select("user_id", F.explode("char_freq").alias("ch", "n"))
+
+
+@query(f"""WITH {_PAIRS}, u AS (SELECT user_id, list(DISTINCT lower(original)) AS ws FROM pairs GROUP BY user_id), tk AS (SELECT item_id, item_id % 7 AS user_id, place, w AS token FROM toks)
+SELECT item_id AS query_id, place::INT AS place, token, round(least(length(token) * 0.05::DOUBLE, 0.3) + CASE WHEN regexp_matches(token, '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(token, '[A-Z]') THEN 0.1 ELSE 0 END
+  + CASE WHEN len(list_filter(range(1, length(token)), lambda i: token[i] = token[i + 1])) > 0 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(token, '(?i)[wxqz]') THEN 0.1 ELSE 0 END
+  + CASE WHEN length(token) > 3 AND NOT regexp_matches(token, '(?i)[aeiou][^aeiou]|[^aeiou][aeiou]') THEN 0.1 ELSE 0 END, 6) AS difficulty FROM tk""")
+def surface_scores(spark, sf_dir):
+    tokens = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(tx.query_tokens(F.col("text"))).alias("place", "token"))
+    return tokens.select("query_id", "place", "token", F.round(er.surface_difficulty(F.col("token")), 6).alias("difficulty"))
+
+
+def _queries_of_users(spark, sf_dir):
+    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("user_id"), "text", F.array(F.lit("the table")).alias("values"))
+
+
+@query(None)
+def token_scores(spark, sf_dir):
+    return profiles.scored_tokens(_queries_of_users(spark, sf_dir), profiles.error_profile(_pairs(spark, sf_dir)))
+
+
+def _noisy(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).where("item_id >= 7 and original != corrected")
+    listed = pairs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "place", "original", "corrected"))).alias("e"))
+    history = listed.select("user_id", F.transform(F.slice("e", 1, 5), lambda e: F.struct(e["original"].alias("original"), e["corrected"].alias("corrected"))).alias("errors"))
+    return profiles.inject(_queries_of_users(spark, sf_dir), history)
+
+
+@query(None)
+def inject_rules(spark, sf_dir):
+    return _noisy(spark, sf_dir)
+
+
+@query("""WITH a AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS c, regexp_split_to_array(trim(replace(text, 'th', 'ht')), '\\s+') AS n FROM benchmark),
+p AS (SELECT item_id, c, n, list_filter(range(1, len(c) + 1), lambda i: c[i] <> n[i] AND regexp_matches(c[i], '[A-Za-z0-9]') AND regexp_matches(n[i], '[A-Za-z0-9]'))[1] AS i FROM a)
+SELECT item_id, c[i] AS correct_word, n[i] AS error_word FROM p WHERE i IS NOT NULL""")
+def error_pattern(spark, sf_dir):
+    found = tx.first_difference(F.col("text"), F.replace("text", F.lit("th"), F.lit("ht")))
+    return t(spark, sf_dir, "benchmark").select("item_id", found.alias("p")).where("p is not null").select("item_id", "p.*")
+
+
+@query(f"""WITH {_BM25}, r AS ({_TOP.format('bm', 10)}), {_TARGETS}, c AS (SELECT query_id, coalesce(rank <= 10, false)::INT::DOUBLE AS clean FROM tg LEFT JOIN r USING (query_id, doc_id)),
+pn AS (SELECT query_id, clean, CASE WHEN query_id % 3 = 0 THEN 0.0 ELSE clean END AS noisy FROM c)
+SELECT round(avg(clean), 6) AS clean, round(avg(noisy), 6) AS noisy, round(avg(noisy) - avg(clean), 6) AS delta, round(CASE WHEN avg(clean) = 0 THEN CASE WHEN avg(noisy) = 0 THEN 1 ELSE 0 END ELSE greatest(0, 1 - abs(avg(noisy) - avg(clean)) / avg(clean)) END, 6) AS robustness, count(*) FILTER (noisy < clean) AS dropped FROM pn""")
+def robustness(spark, sf_dir):
+    clean = evaluation.single_target(bm25_topk(spark, sf_dir), _targets(spark, sf_dir)).select("query_id", F.col("h_at10").alias("clean"))
+    pairs = clean.withColumn("noisy", F.when(F.col("query_id") % 3 == 0, 0.0).otherwise(F.col("clean")))
+    row = pairs.agg(F.avg("clean").alias("clean"), F.avg("noisy").alias("noisy"), F.count_if(F.col("noisy") < F.col("clean")).alias("dropped"))
+    delta = F.col("noisy") - F.col("clean")
+    return row.select(F.round("clean", 6).alias("clean"), F.round("noisy", 6).alias("noisy"), F.round(delta, 6).alias("delta"), F.round(evaluation.noise_robustness(F.col("clean"), F.col("noisy")), 6).alias("robustness"), "dropped")
+
+
+@query("""WITH m AS (SELECT l_linenumber AS cluster, avg(l_tax - l_discount) AS d FROM lineitem GROUP BY 1)
+SELECT arg_min(cluster, d) AS worst, arg_max(cluster, d) AS lightest, round(max(d) - min(d), 6) AS gap FROM m WHERE d < 0 OR NOT EXISTS (SELECT 1 FROM m WHERE d < 0)""")
+def cluster_gap(spark, sf_dir):
+    means = t(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("cluster")).agg(F.avg(F.col("l_tax") - F.col("l_discount")).alias("d"))
+    told = means.withColumn("lowest", F.min("d").over(Window.partitionBy())).where("d < 0 or lowest >= 0")
+    return told.agg(F.min_by("cluster", "d").alias("worst"), F.max_by("cluster", "d").alias("lightest"), F.round(F.max("d") - F.min("d"), 6).alias("gap"))
+
+
+@query(None)
+def bootstrap_ci(spark, sf_dir):
+    return evaluation.bootstrap(t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal", rounds=200)
+
+
+@query("""WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem) SELECT count(d) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 4) AS t FROM d""")
+def paired_t(spark, sf_dir):
+    return evaluation.paired_t(t(spark, sf_dir, "lineitem"), "l_discount", "l_tax").select("n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"))
+
+
+@query("""WITH r AS (SELECT l_returnflag AS g, l_quantity AS v, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem), n AS (SELECT count(*)::DOUBLE AS n FROM r),
+q AS (SELECT sum(s * s / c) AS q, count(*) - 1 AS df FROM (SELECT sum(r) AS s, count(*) AS c FROM r GROUP BY g)), ti AS (SELECT sum(pow(t, 3) - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM r GROUP BY v))
+SELECT round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 3) AS h, df FROM n, q, ti""")
+def kruskal(spark, sf_dir):
+    return evaluation.kruskal_wallis(t(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), "l_returnflag", "l_quantity").select(F.round("h", 3).alias("h"), "df")
+
+
+@query("""WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rx, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS ry FROM lineitem)
+SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 3) AS intercept FROM r""")
+def correlation(spark, sf_dir):
+    found = evaluation.correlation(t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
+    return found.select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"), F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+# --- style, syntax, matching, datasets -----------------------------------------------------------------------------
+
+
+@query(None)
+def pca_gmm_clusters(spark, sf_dir):
+    rows = t(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(20)))
+    placed = clusters.mixture(clusters.reduced(clusters.scaled(rows, [f"x{i}" for i in range(20)])), range(2, 4))
+    return placed.select("vec_id", "cluster", "embedding")
+
+
+@query("""WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS mu, greatest(var_pop(embedding[i]::DOUBLE), 1e-6) AS v FROM embeddings, range(1, 9) r(i) GROUP BY ALL)
+SELECT a.label AS q, b.label AS p, round(0.5 * sum(ln(b.v) - ln(a.v) + (a.v + pow(a.mu - b.mu, 2)) / b.v - 1), 6) AS kl FROM p a JOIN p b ON a.i = b.i GROUP BY ALL""")
+def gaussian_kl(spark, sf_dir):
+    rows = t(spark, sf_dir, "embeddings").select("label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
+    users = clusters.gaussian_profiles(rows, "label", [f"x{i}" for i in range(8)])
+    other = users.select(F.col("label").alias("p"), F.col("mu").alias("pm"), F.col("var").alias("pv"))
+    joined = users.join(retrieval.small(other))
+    return joined.select(F.col("label").alias("q"), "p", F.round(vx.gaussian_kl(F.col("mu"), F.col("var"), F.col("pm"), F.col("pv")), 6).alias("kl"))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS user_id, l_orderkey * 10 + l_linenumber AS candidate, l_discount + l_quantity / 100 AS kl FROM lineitem), th AS (SELECT user_id, quantile_cont(kl, 0.95) AS threshold FROM c GROUP BY user_id),
+j AS (SELECT *, kl <= threshold AS ok, row_number() OVER (PARTITION BY user_id ORDER BY kl > threshold, kl, candidate) AS r FROM c JOIN th USING (user_id))
+SELECT user_id, candidate, round(kl, 6) AS kl, ok AS accepted FROM j WHERE r = 1""")
+def kl_threshold_select(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate"), (F.col("l_discount") + F.col("l_quantity") / 100).alias("kl"))
+    limits = rows.groupBy("user_id").agg(F.percentile("kl", F.lit(0.95)).alias("threshold"))
+    return clusters.select_by_threshold(rows, limits).withColumn("kl", F.round("kl", 6))
+
+
+def _trees(spark, sf_dir):
+    """Benchmark words as synthetic parses: word i hangs on word (i - 1) // 2."""
+    labels = F.array(*map(F.lit, ("acl", "relcl", "amod", "advmod", "conj", "nmod", "ccomp")))
+    token = lambda w, i: F.struct(i.alias("i"), F.floor((i - 1) / 2).cast("int").alias("head"), F.get(labels, F.pmod(F.length(w), F.lit(7))).alias("dep"), F.when(F.length(w) > 4, "NOUN").otherwise("DET").alias("pos"), F.lit(False).alias("is_punct"), F.lit(False).alias("is_space"))
+    fixed = lambda s: s.withField("head", F.greatest(s["head"], F.lit(0)))
+    words = t(spark, sf_dir, "benchmark").select("item_id", tx.words(F.col("text")).alias("w"))
+    return words.select("item_id", F.transform(F.transform("w", token), fixed).alias("tokens"))
+
+
+@query(None)
+def clause_features(spark, sf_dir):
+    found = syntax.with_clause_features(_trees(spark, sf_dir))
+    return found.select("item_id", *syntax.FEATURES, syntax.syntax_depth(F.col("tokens")).alias("depth"), syntax.attribute_words(F.col("tokens")).alias("n_attributes"))
+
+
+@query(None)
+def user_product_matching(spark, sf_dir):
+    return matching.match(_edges(spark, sf_dir), capacity=3)
+
+
+_DATASET = """b AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, (item_id % 7)::VARCHAR AS uuid, item_id::VARCHAR AS asin, (item_id % 3)::INT AS cluster, text AS correct_query, CASE WHEN item_id % 4 = 0 THEN text ELSE replace(text, 'th', 'ht') END AS noisy_query FROM benchmark)"""
+
+
+def _dataset(spark, sf_dir):
+    rows = t(spark, sf_dir, "benchmark").select(
+        F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), (F.col("item_id") % 7).cast("string").alias("uuid"), F.col("item_id").cast("string").alias("asin"),
+        (F.col("item_id") % 3).cast("int").alias("cluster"), F.col("text").alias("correct_query"), F.when(F.col("item_id") % 4 != 0, F.replace("text", F.lit("th"), F.lit("ht"))).alias("noisy_query"),
+    )
+    return tables.assemble(rows.select("category", "uuid", "asin", "correct_query"), rows.where("noisy_query is not null").select("uuid", "asin", "noisy_query"), rows.select("uuid", "asin", "cluster"))
+
+
+@query(f"WITH {_DATASET} SELECT category, uuid, asin, cluster, correct_query, noisy_query FROM b")
+def dataset_assembly(spark, sf_dir):
+    return _dataset(spark, sf_dir).drop("error_pattern")
+
+
+@query(f"WITH {_DATASET} SELECT category, cluster, count(*) AS n, count(DISTINCT uuid) AS n_users, count(*) FILTER (correct_query <> noisy_query) AS n_noisy FROM b GROUP BY ROLLUP (category, cluster)")
+def dataset_statistics(spark, sf_dir):
+    return _dataset(spark, sf_dir).rollup("category", "cluster").agg(F.count("*").alias("n"), F.countDistinct("uuid").alias("n_users"), F.count_if(F.col("correct_query") != F.col("noisy_query")).alias("n_noisy"))
+
+
+@query(f"WITH {_DATASET} SELECT category, uuid, asin, count(*) AS n_queries, min(cluster) AS first_cluster FROM b GROUP BY ALL")
+def grouped_export(spark, sf_dir):
+    return tables.grouped_export(_dataset(spark, sf_dir)).select("category", "uuid", "asin", F.size("queries").cast("long").alias("n_queries"), F.col("queries")[0]["cluster"].alias("first_cluster"))
+
+
+@query("""WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels)
+SELECT (SELECT count(*) FROM a JOIN b USING (doc_id)) AS both, (SELECT count(*) FROM a ANTI JOIN b USING (doc_id)) AS left_only, (SELECT count(*) FROM b ANTI JOIN a USING (doc_id)) AS right_only""")
+def key_reconciliation(spark, sf_dir):
+    return tables.reconcile(t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def hourly_events(spark, sf_dir):
+    return appends.windowed_counts(t(spark, sf_dir, "events"), "ts", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
