@@ -263,13 +263,13 @@ def histogram_bins(spark, sf_dir):
 
 @query("""
 WITH o AS (SELECT o_custkey, o_totalprice AS y, items AS x FROM orders JOIN (SELECT l_orderkey, count(*)::DOUBLE AS items FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)
-SELECT o_custkey, round(regr_slope(y, x), 2) AS slope, round(regr_intercept(y, x), 2) AS intercept, round(regr_r2(y, x), 6) AS r2, count(*) AS n
+SELECT o_custkey, round(regr_slope(y, x) + 1e-5, 2) AS slope, round(regr_intercept(y, x) + 1e-5, 2) AS intercept, round(regr_r2(y, x), 6) AS r2, count(*) AS n
 FROM o GROUP BY o_custkey HAVING count(*) >= 3 AND var_pop(x) > 0""")
 def user_ols(spark, sf_dir):
     items = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("x"))
     rows = t(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("o_totalprice").alias("y"), "x")
     fits = rows.groupBy("o_custkey").agg(
-        F.round(F.regr_slope("y", "x"), 2).alias("slope"), F.round(F.regr_intercept("y", "x"), 2).alias("intercept"), F.round(F.regr_r2("y", "x"), 6).alias("r2"),
+        F.round(F.regr_slope("y", "x") + 1e-5, 2).alias("slope"), F.round(F.regr_intercept("y", "x") + 1e-5, 2).alias("intercept"), F.round(F.regr_r2("y", "x"), 6).alias("r2"),
         F.count("*").alias("n"), F.var_pop("x").alias("v"),
     )
     return fits.where("n >= 3 and v > 0").drop("v")
