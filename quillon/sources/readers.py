@@ -107,4 +107,6 @@ def model_response(text: Column, schema: str) -> Column:
     """The outer JSON object of a model's reply under a schema: fences dropped, braces balanced; null if it can't be parsed."""
     body = F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), "(?s)(\\{.*)", 1)
     lack = F.greatest(F.regexp_count(body, F.lit("\\{")) - F.regexp_count(body, F.lit("\\}")), F.lit(0))
-    return F.coalesce(F.from_json(F.regexp_extract(body, "(?s)(\\{.*\\})", 1), schema), F.from_json(F.concat(body, F.repeat(F.lit("}"), lack)), schema))
+    whole, mended = F.regexp_extract(body, "(?s)(\\{.*\\})", 1), F.concat(body, F.repeat(F.lit("}"), lack))
+    sound = lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, schema))
+    return F.coalesce(sound(whole), sound(mended))

@@ -37,11 +37,11 @@ def upsert_last(source: DataFrame, keys: Sequence[str], ordinal: str, folder: st
 def windowed_counts(source: DataFrame, time: str, key: str, size: str = "1 hour", slide: str | None = None, delay: str = "30 minutes") -> DataFrame:
     """(start, key, n): tumbling or sliding counts with a watermark; works on batch tables as well."""
     window = F.window(time, size, slide) if slide else F.window(time, size)
-    grouped = source.withWatermark(time, delay).groupBy(window, key).agg(F.count("*").alias("n"))
+    grouped = source.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(window, key).agg(F.count("*").alias("n"))
     return grouped.select(F.col("window.start").alias("start"), key, "n")
 
 
 def sessions(source: DataFrame, time: str, key: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """(start, until, key, n): sessions that end after a gap."""
-    grouped = source.withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
+    grouped = source.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
     return grouped.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("until"), key, "n")
