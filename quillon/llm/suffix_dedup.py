@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, delete, table, written
 
 LENGTH = 50
 GRAM = 10
@@ -199,9 +199,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     if not 0 < gram < length:
         raise ValueError("gram must be under length")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    every = cut(suffixes(docs, length, gram))
+    every, path = written(suffixes(docs, length, gram))
     again = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    kept = cut(every.join(again, "h", "left_semi"))
+    kept, _ = written(every.join(again, "h", "left_semi"))
+    delete(docs.sparkSession, path)
     classes = cut(kept.groupBy("h", "ha").agg(F.min(F.struct("doc_id", "first", "last")).alias("c")))
     own = classes.select("h", "ha", F.col("c.doc_id").alias("first_doc"), F.col("c.first").alias("first_at"))
     whole = kept.join(own, ["h", "ha"]).where("doc_id != first_doc or first != first_at")
@@ -209,7 +210,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     several = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     runs = classes.join(several, "h", "left_semi").select("c.doc_id", F.struct("c.first", "c.last").alias("run"))
     runs = runs.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
-    windows = cut(window_hashes(docs.join(runs, "doc_id"), length).distinct())
+    windows, _ = written(window_hashes(docs.join(runs, "doc_id"), length))
     lowest = windows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("m"), F.count("*").alias("n")).where("n > 1")
     lowest = lowest.select("w", F.col("m.doc_id").alias("first_doc"), F.col("m.at").alias("first_at"))
     part = windows.join(lowest, "w").where("doc_id != first_doc or at != first_at")
