@@ -12,7 +12,8 @@ switching penalty on it) needs no dynamic programme, and the others share one
 that steps over all of them together.
 
 Training reads at most ``max_docs`` whole texts of each language, those with
-the smallest hash of doc_id: a documented bound on the fit alone.
+the smallest hash of doc_id: a documented bound on the fit alone.  Languages are
+labels, so there are few of them, and their counts are broadcast.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; a
 table without labelled rows labels every text ``und``; a text whose letters
@@ -107,8 +108,12 @@ def _slots(data: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, smoothing: float = 0.5) -> Model:
     """A model from columns doc_id, text and lang (rows where lang or text is null are left out)."""
     known = labelled.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs).select("doc_id", "lang")
+    # A hash threshold that lets about twice max_docs rows of each language pass bounds what the ranking has to gather.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(2.0 * max_docs * (1 << 30)) / F.col("n")
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    few = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(near)
+    chosen = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs).select("doc_id", "lang")
     sample = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
