@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table
+from quillon.llm.common import table, text_batches
 
 CACHE = 250_000
 #: Longer pretokens are encoded each time, so that the cache's bytes are bounded.
@@ -173,7 +173,7 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                         found["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
             yield pd.DataFrame({"doc_id": frame["doc_id"], **found})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
 
 
 def public_vocabulary() -> str:

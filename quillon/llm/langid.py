@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import table, text_batches
 
 UNKNOWN = "und"
 MAX_DOCS = 1500
@@ -40,7 +40,7 @@ SWITCH = 12.0
 #: Trigrams are hashed to so many slots.
 SLOTS = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
-_CHARS = 4_000_000
+_CHARS = 2_000_000
 #: Score of a word for a language that doesn't write its script.
 _NO_SCRIPT = -30.0
 
@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, smoothing: float = 0.5) -
             on = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "slot": on, "n": total[on]})
 
-    counts = sample.mapInPandas(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = text_batches(sample).mapInPandas(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(counts["lang"].unique()))
     sums = np.zeros((SLOTS + len(NAMES), len(langs)))
     sums[counts["slot"].to_numpy(), [langs.index(x) for x in counts["lang"]]] = counts["n"].to_numpy()
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "spans": [x[2] for x in found]})
 
     schema = "doc_id long, lang_pred string, score double, spans array<struct<first:int,until:int,lang:string>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
 
 
 def held_out() -> Column:
@@ -274,4 +274,4 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             langs = [x[0] for part in _in_parts(list(frame["text"])) for x in label_batch(model, part)]
             yield frame[[x != UNKNOWN for x in langs]]
 
-    return docs.mapInPandas(batches, schema).select(columns)
+    return text_batches(docs).mapInPandas(batches, schema).select(columns)

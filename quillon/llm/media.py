@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint_dir, cut, delete, table
+from quillon.llm.common import checkpoint_dir, cut, delete, table, text_batches
 
 COLUMNS = 576
 SCHEME = "sha256:"
@@ -121,7 +121,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         for frame in frames:
             yield pd.DataFrame({id_col: frame["id"], "elements": [parse_sequence(p) for p in frame["html"]]})
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInPandas(batches, f"`{id_col}` long, elements {ELEMENTS}")
+    return text_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInPandas(batches, f"`{id_col}` long, elements {ELEMENTS}")
 
 
 def payload_of(text: str | None) -> bytes:
@@ -196,7 +196,7 @@ def store_payloads(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     rows.append((digest.hexdigest(), len((text or "").encode("utf-8", "surrogatepass")), to_png(payload)))
             yield pd.DataFrame(rows, columns=["digest", "n_bytes", "media"])
 
-    stored = docs.select(F.col(text_col).alias("text")).mapInPandas(batches, "digest string, n_bytes long, media binary")
+    stored = text_batches(docs).select(F.col(text_col).alias("text")).mapInPandas(batches, "digest string, n_bytes long, media binary")
     stored.write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
@@ -212,7 +212,7 @@ def describe_store(store: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    rows = store.select("digest", "n_bytes", "media").mapInPandas(batches, schema)
+    rows = text_batches(store).select("digest", "n_bytes", "media").mapInPandas(batches, schema)
     return rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in rows.columns if c != "digest"))
 
 
@@ -235,7 +235,7 @@ def pages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 pages.append(f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{title}</figcaption></figure>{body}</article>')
             yield pd.DataFrame({"doc_id": frame["doc_id"], "html": pages})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, "doc_id long, html string")
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, "doc_id long, html string")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

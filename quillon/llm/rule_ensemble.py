@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, table, text_batches
 
 MAX_LABELS = 20_000
 TREES = 12
@@ -97,7 +97,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield out
 
     schema = "doc_id long, " + ", ".join(f"{x} double" for x in STATISTICS)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, table, text_batches
 from quillon.llm.xxh import xxh64_spans
 
 SEED = 42
@@ -47,7 +47,7 @@ BUCKET_ROWS = 4096
 MAX_ROUNDS = 60
 #: Buckets up to this size share bit planes; larger ones get their own.
 SMALL = 48
-_CHARS = 4_000_000
+_CHARS = 1_000_000
 _PIVOTS = 32
 _LANES = 1 << 18
 
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = fingerprint_batch(frame["text"], shingle)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": found.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, "doc_id long, fp long")
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, "doc_id long, fp long")
 
 
 class BitPlanes:

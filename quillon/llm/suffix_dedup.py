@@ -40,11 +40,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, delete, table, written
+from quillon.llm.common import cut, delete, table, text_batches, written
 
 LENGTH = 50
 GRAM = 10
-_CHARS = 2_000_000
+_CHARS = 1_000_000
 #: Bits of a position in a window's minimum; the rest hold the hash.
 _AT = 30
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,7 +154,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 ids = part["doc_id"].to_numpy()[found.pop("text")]
                 yield pd.DataFrame({"doc_id": ids, **found})
 
-    return docs.mapInPandas(batches, "doc_id long, h long, ha long, first int, last int")
+    return text_batches(docs).mapInPandas(batches, "doc_id long, h long, ha long, first int, last int")
 
 
 def window_hashes(places: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -171,7 +171,7 @@ def window_hashes(places: DataFrame, length: int = LENGTH) -> DataFrame:
                         rows.append((doc, run["first"], roll.spans(base + at, base + at + length).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["doc_id", "first", "hashes"])
 
-    runs = places.mapInPandas(batches, "doc_id long, first int, hashes array<long>")
+    runs = text_batches(places).mapInPandas(batches, "doc_id long, first int, hashes array<long>")
     each = runs.select("doc_id", "first", F.posexplode("hashes").alias("step", "w"))
     return each.select("doc_id", (F.col("first") + F.col("step")).alias("at"), "w")
 
@@ -254,4 +254,4 @@ def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 frame["n_chars"] = [n if s is None else len(t) for n, t, s in zip(frame["n_chars"], texts, frame["cut_spans"], strict=True)]
             yield frame.loc[~np.array(gone, bool), columns]
 
-    return joined.mapInPandas(batches, schema)
+    return text_batches(joined).mapInPandas(batches, schema)
