@@ -23,12 +23,12 @@ first in alphabetical order; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ MAX_DOCS = 1500
 SWITCH = 12.0
 #: Trigrams are hashed to so many slots.
 SLOTS = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CHARS = 2_000_000
 #: Score of a word for a language that doesn't write its script.
 _NO_SCRIPT = -30.0

@@ -21,7 +21,8 @@ differ in at most ``radius`` bits.  The plan:
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other; texts with fewer words than a shingle hash their whole word sequence;
-repeated rows share a component; an empty table gives an empty result; other
+repeated rows share a component; a row with a null doc_id never names a component,
+which is null if it has no other rows, and always stays; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -338,5 +339,5 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near-duplicates, the document with the smallest id stays."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

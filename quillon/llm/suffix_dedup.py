@@ -27,7 +27,7 @@ Texts are read narrowly, and once more joined with the representatives' places.
 Defined cases: null and empty texts and texts of under ``length`` words have no
 windows and are kept whole; a passage repeated inside a document stays once;
 rows with a null doc_id are kept whole; rows that share a doc_id count as one
-document; an empty table gives an empty result; other columns are ignored.
+document, of which each row loses the spans that lie inside it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,9 +165,10 @@ def window_hashes(places: DataFrame, length: int = LENGTH) -> DataFrame:
             for part in _in_parts(frame):
                 roll, bounds = word_roller(part["text"])
                 rows = []
-                for doc, base, runs in zip(part["doc_id"], bounds, part["runs"], strict=False):
+                for doc, base, end, runs in zip(part["doc_id"], bounds, bounds[1:], part["runs"], strict=False):
                     for run in runs:
-                        at = np.arange(run["first"], run["last"] + 1)
+                        # A row that shares its doc_id may be shorter than the run.
+                        at = np.arange(run["first"], min(run["last"], end - base - length) + 1)
                         rows.append((doc, run["first"], roll.spans(base + at, base + at + length).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["doc_id", "first", "hashes"])
 
@@ -223,6 +224,8 @@ def without_spans(text: str, spans: list) -> str:
     words = [m.span() for m in _WORD.finditer(text)]
     out, at = [], 0
     for span in spans:
+        if span["first"] >= len(words):
+            break
         out.append(text[at : words[span["first"]][0]])
         at = words[span["until"]][0] if span["until"] < len(words) else len(text)
     return "".join([*out, text[at:]])

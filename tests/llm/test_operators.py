@@ -406,3 +406,24 @@ def test_shorter_rules_prune_longer_ones():
     assert [r.tokens for r in kept] == [("a", "c"), ("a",)]
     index = url_rules.RuleIndex(kept)
     assert index.match(["a", "c"]) == 0 and index.match(["a", "b"]) == 1 and index.match(["c"]) == -1
+
+
+def test_rows_without_ids_stay(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "quite another text of words"), (3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], COLUMNS)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_first(spark, docs, "").collect()), key=str)
+    assert kept == sorted((rows[k] for k in (0, 2, 3, 4, 5)), key=str)
+    found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert found == {(1, 1), (2, 1), (None, 1), (None, None), (3, 3)}
+
+
+def test_rows_of_one_id_lose_only_what_they_hold(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in ((1, passage), (2, passage + " more"), (2, "short"))], COLUMNS)
+    kept = sorted((r.doc_id, r.text) for r in suffix_dedup.cut_stage(spark, docs, "").collect())
+    assert kept[0] == (1, passage) and kept[-1][1] in ("more", "short")
+
+
+def test_numerals_are_no_letters():
+    model = langid.Model(("en",), np.zeros((langid.SLOTS, 1), np.float32), np.array([1], np.uint32))
+    assert [x[0] for x in langid.label_batch(model, ["½ ² ① 12", "ªx", "_"])] == ["und", "en", "und"]
