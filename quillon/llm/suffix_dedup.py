@@ -201,10 +201,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         raise ValueError("gram must be under length")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     every, path = written(suffixes(docs, length, gram))
-    again = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Counts and minima are written before rows are joined with them: only a join whose sides were both shuffled for it
+    # lets Spark split the task of a passage that very many documents share.
+    again, _ = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     kept, _ = written(every.join(again, "h", "left_semi"))
     delete(docs.sparkSession, path)
-    classes = cut(kept.groupBy("h", "ha").agg(F.min(F.struct("doc_id", "first", "last")).alias("c")))
+    classes, _ = written(kept.groupBy("h", "ha").agg(F.min(F.struct("doc_id", "first", "last")).alias("c")))
     own = classes.select("h", "ha", F.col("c.doc_id").alias("first_doc"), F.col("c.first").alias("first_at"))
     whole = kept.join(own, ["h", "ha"]).where("doc_id != first_doc or first != first_at")
     whole = whole.select("doc_id", "first", (F.col("last") + length).alias("until"), "first_doc")
@@ -213,7 +215,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     runs = runs.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
     windows, _ = written(window_hashes(docs.join(runs, "doc_id"), length))
     lowest = windows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    lowest = lowest.select("w", F.col("m.doc_id").alias("first_doc"), F.col("m.at").alias("first_at"))
+    lowest, _ = written(lowest.select("w", F.col("m.doc_id").alias("first_doc"), F.col("m.at").alias("first_at")))
     part = windows.join(lowest, "w").where("doc_id != first_doc or at != first_at")
     part = part.select("doc_id", F.col("at").alias("first"), (F.col("at") + length).alias("until"), "first_doc")
     return merged_spans(whole.unionByName(part))
