@@ -210,7 +210,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     own = classes.select("h", "ha", F.col("c.doc_id").alias("first_doc"), F.col("c.first").alias("first_at"))
     whole = kept.join(own, ["h", "ha"]).where("doc_id != first_doc or first != first_at")
     whole = whole.select("doc_id", "first", (F.col("last") + length).alias("until"), "first_doc")
-    several = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    several, _ = written(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     runs = classes.join(several, "h", "left_semi").select("c.doc_id", F.struct("c.first", "c.last").alias("run"))
     runs = runs.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
     windows, _ = written(window_hashes(docs.join(runs, "doc_id"), length))
