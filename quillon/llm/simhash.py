@@ -13,8 +13,8 @@ differ in at most ``radius`` bits.  The plan:
 4. a bucket stores its members as 64 vertical bit planes.  A pivot's distance
    to 64 members per machine word is summed by carry-save counters, and a word
    block is abandoned once all its members exceed the radius.  Members found
-   leave the pool and become pivots, so a dense group costs about one sweep
-   and emits a spanning forest instead of its pairs;
+   become pivots that sweep what isn't in their component, so a dense group
+   costs about one sweep and emits a spanning forest instead of its pairs;
 5. buckets over ``bucket_rows`` members are split into tiles of member ranges,
    each pair of ranges a task of its own;
 6. components follow from alternating hub contraction on the links alone.
@@ -207,38 +207,47 @@ def small_links(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radiu
 
 
 def large_links(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Spanning links of one bucket: batches of pivots sweep the members that no link has reached yet."""
-    n = len(values)
-    planes, live = BitPlanes(values, radius), bit_set(n)
-    found: list[np.ndarray] = []
-    queue: list[int] = []
-    first = 0
-    while first < n or queue:
-        if queue:
-            pivots = np.array(queue[-_PIVOTS:])
-            del queue[-_PIVOTS:]
+    """Spanning links of one bucket: batches of pivots sweep the members that neither were pivots nor belong to the batch's component."""
+    planes = BitPlanes(values, radius)
+    #: waiting: members that were no pivots yet; owner: the component of members reached, else -1.
+    waiting, owner = np.ones(len(values), bool), np.full(len(values), -1)
+    found = [np.empty((0, 2), np.uint64)]
+    while waiting.any():
+        queued = np.flatnonzero(waiting & (owner >= 0))
+        seen, alone = waiting, False
+        if len(queued):
+            counts = np.bincount(owner[queued])
+            top = int(counts.argmax())
+            # A large component's members needn't see each other; small ones share a batch and see everyone who waits.
+            if alone := bool(counts[top] > _PIVOTS):
+                queued = queued[owner[queued] == top]
+                seen = waiting & (owner != top)
+                if not seen.any():
+                    break
+            pivots = queued[:_PIVOTS]
         else:
-            batch = np.arange(first, min(first + _PIVOTS, n))
-            first = int(batch[-1]) + 1
-            pivots = batch[(live[batch >> 6] >> (batch & 63).astype(np.uint64)) & np.uint64(1) == 1]
-            if not len(pivots):
-                continue
-            found.append(small_links(values[pivots], np.array([0]), np.array([len(pivots)]), radius))
-            _clear(live, pivots)
-        row, near = planes.within(values[pivots], live)
-        if len(near):
-            pairs = np.stack([values[pivots[row]], values[near]], axis=1)
-            reached, index = np.unique(near, return_inverse=True)
-            found.append(pairs[forest(len(pivots) + len(reached), np.stack([row, len(pivots) + index], axis=1))])
-            _clear(live, reached)
-            queue.extend(reached.tolist())
+            pivots = np.flatnonzero(waiting)[:_PIVOTS]
+            owner[pivots] = pivots
+        waiting[pivots] = False
+        row, right = planes.within(values[pivots], np.packbits(np.pad(seen & waiting, (0, -len(values) % 64)), bitorder="little").view("<u8"))
+        left = pivots[row]
+        if not alone:
+            i, j = np.triu_indices(len(pivots), 1)
+            near = near_lanes(values[pivots[i]] ^ values[pivots[j]], radius) if len(i) else np.empty(0, bool)
+            left, right = np.append(left, pivots[i[near]]), np.append(right, pivots[j[near]])
+        fresh = np.flatnonzero(owner[right] < 0)
+        reached, at = np.unique(right[fresh], return_index=True)
+        owner[reached] = owner[left[fresh[at]]]
+        found.append(np.stack([values[left[fresh[at]]], values[reached]], axis=1))
+        apart = np.flatnonzero(owner[left] != owner[right])
+        for k in apart.tolist():
+            a, b = owner[left[k]], owner[right[k]]
+            if a != b:
+                owner[owner == b] = a
+                found.append(values[[[left[k], right[k]]]])
     return np.concatenate(found)
 
 
-def _clear(live: np.ndarray, members: np.ndarray) -> None:
-    np.bitwise_and.at(live, members >> 6, ~(np.uint64(1) << (members & 63).astype(np.uint64)))
-
-
 def spanning_links(values: np.ndarray, cuts: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Spanning links of the buckets values[cuts[i]:cuts[i + 1]], as an n by 2 array of values."""
     sizes = np.diff(cuts)

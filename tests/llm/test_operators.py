@@ -140,6 +140,30 @@ def test_large_links_sweep_one_bucket():
     assert classes(plain, [(int(a), int(b)) for a, b in links]) == classes(plain, near)
 
 
+def test_large_links_follow_chains_between_components():
+    bits = lambda *at: sum(1 << b for b in at)
+    chain = [0, bits(28, 37, 46, 55)]
+    chain += [chain[-1] ^ bits(29, 38, 47, 56)]
+    chain += [chain[-1] ^ bits(30, 39, 48, 57)]
+    rng = random.Random(3)
+    far = [rng.getrandbits(37) << 27 for _ in range(60)]
+    values = [chain[0], chain[3], *far, chain[1], chain[2]]
+    links = [(int(a), int(b)) for a, b in simhash.large_links(np.array(values, dtype=np.uint64))]
+    near = [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4]
+    assert len(near) >= 3 and classes(values, links) == classes(values, near)
+    # Many chains of random steps, their members in any order.
+    values = set()
+    for _ in range(40):
+        v = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 60)):
+            values.add(v)
+            v ^= bits(*rng.sample(range(64), 4))
+    values = rng.sample(sorted(values), len(values))
+    links = [(int(a), int(b)) for a, b in simhash.large_links(np.array(values, dtype=np.uint64))]
+    assert all((a ^ b).bit_count() <= 4 for a, b in links) and len(links) < len(values)
+    assert classes(values, links) == classes(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(links).collect()}
