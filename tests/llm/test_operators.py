@@ -441,6 +441,33 @@ def test_rows_without_ids_stay(spark):
     assert found == {(1, 1), (2, 1), (None, 1), (None, None), (3, 3)}
 
 
+@pytest.mark.parametrize("tile_rows", [8, 256])
+def test_near_copies_against_brute_force(spark, tile_rows):
+    rng = random.Random(11)
+    rows = corpus()
+    vocabulary = [f"w{k}" for k in range(3000)]
+    for group in range(12):
+        base = rng.choices(vocabulary, k=rng.choice([8, 60, 300, 900]))
+        for _ in range(8):
+            text = list(base)
+            for _ in range(rng.randrange(0, max(2, len(base) // 40))):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append((1000 + len(rows), " ".join(text), "en", "s", 0))
+    texts = {r[0]: r[1] for r in rows}
+    sets = {}
+    for d, text in texts.items():
+        w = words(ascii_lower(text))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    fps = {d: plain_fingerprint(t) for d, t in texts.items()}
+    assert sum((fps[a] ^ fps[b]).bit_count() > 4 for a, b in near) > 20
+    docs = spark.createDataFrame(rows, COLUMNS)
+    got = {r.doc_id: r.component_id for r in simhash.jaccard_duplicates(docs, tile_rows).collect()}
+    assert got == classes(sorted(sets), near)
+    kept = {r.doc_id for r in simhash.keep_first(spark, docs, "").collect()}
+    assert kept == set(got.values())
+
+
 def test_rows_of_one_id_lose_only_what_they_hold(spark):
     passage = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in ((1, passage), (2, passage + " more"), (2, "short"))], COLUMNS)
