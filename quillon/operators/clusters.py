@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -37,13 +38,14 @@ def reduced(df: DataFrame, low: int = 5, high: int = 10, share: float = 0.9) ->
     return out.withColumn("pca", array_to_vector("embedding"))
 
 
-def mixture(df: DataFrame, ks: range = range(2, 6), seed: int = 42) -> DataFrame:
-    """df with cluster (0 for the largest) by the full-covariance mixture with the smallest BIC."""
+def mixture(df: DataFrame, ks: range = range(2, 6), seed: int = 42, starts: int = 1) -> DataFrame:
+    """df with cluster (0 for the largest) by the full-covariance mixture with the smallest BIC, of starts seeds for each k."""
+    df = df.cache()
     n = df.count()
     width = len(df.select("embedding").first()[0])
     best = None
-    for k in ks:
-        model = GaussianMixture(k=k, featuresCol="pca", seed=seed, maxIter=50).fit(df)
+    for k, start in product(ks, range(starts)):
+        model = GaussianMixture(k=k, featuresCol="pca", seed=seed + start, maxIter=50).fit(df)
         free = k - 1 + k * width + k * width * (width + 1) / 2
         bic = free * math.log(n) - 2 * model.summary.logLikelihood
         if best is None or bic < best[0]:

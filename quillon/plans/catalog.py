@@ -583,8 +583,8 @@ def correlation(spark, sf_dir):
 
 @query(None)
 def pca_gmm_clusters(spark, sf_dir):
-    rows = t(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(20)))
-    placed = clusters.mixture(clusters.reduced(clusters.scaled(rows, [f"x{i}" for i in range(20)])), range(2, 4))
+    rows = t(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    placed = clusters.mixture(clusters.reduced(clusters.scaled(rows, [f"x{i}" for i in range(64)])), range(2, 9), starts=10)
     return placed.select("vec_id", "cluster", "embedding")
 
 
