@@ -556,7 +556,7 @@ def cluster_gap(spark, sf_dir):
 
 @query(None)
 def bootstrap_ci(spark, sf_dir):
-    return evaluation.bootstrap(t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal", rounds=200)
+    return evaluation.bootstrap(t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal")
 
 
 @query("""WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem) SELECT count(d) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 4) AS t FROM d""")
