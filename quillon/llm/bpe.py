@@ -11,8 +11,10 @@ the ids of at most twice ``CACHE`` pretokens; that changes speed, never results.
 
 Defined cases: null is encoded like the empty text, which has no tokens; the
 vocabulary's special strings become their own ids, as in the file's library;
-repeated rows give equal results; an empty table gives an empty result; other
-columns are ignored.
+of equal ranks the leftmost pair merges first; ids, null or repeated, pass
+through untouched; repeated rows give equal results; a very long text is a batch
+of its own, split into pretokens at once, and one pretoken of n bytes costs about
+n log n; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,15 +151,16 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     """doc_id and the named outputs for each row: ids (array), decoded (text), n_tokens, ids_sha256, decoded_sha256."""
     shared = docs.sparkSession.sparkContext.broadcast(Bpe(vocabulary))
     kinds = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    arrow = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(x, kinds[x]) for x in outputs)])
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(found_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         encode = model.encoder()
         digits = [str(k) for k in range(len(model.strings))]
-        for frame in frames:
+        for batch in found_batches:
             found: dict[str, list] = {x: [] for x in outputs}
-            for text in frame["text"]:
+            for text in batch.column("text").to_pylist():
                 ids = encode(text or "")
                 if "ids" in found:
                     found["ids"].append(ids)
@@ -171,9 +174,10 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                         found["decoded"].append(back)
                     if "decoded_sha256" in found:
                         found["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], **found})
+            columns = [pa.array(found[x], arrow[x]) for x in outputs]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *outputs])
 
-    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, schema)
 
 
 def public_vocabulary() -> str:

@@ -12,13 +12,17 @@ switching penalty on it) needs no dynamic programme, and the others share one
 that steps over all of them together.
 
 Training reads at most ``max_docs`` whole texts of each language, those with
-the smallest hash of doc_id: a documented bound on the fit alone.  Languages are
-labels, so there are few of them, and their counts are broadcast.
+the smallest hash of doc_id and text (equal rows count once): a documented bound
+on the fit alone.  More than MAX_LANGS
+languages raise, so what is broadcast and fetched is bounded.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; a
-table without labelled rows labels every text ``und``; a text whose letters
-match no learned script is scored on all languages; ties go to the language
-first in alphabetical order; other columns are ignored.
+table without labelled rows labels every text ``und``, and an empty table gives
+an empty result; a text whose letters match no learned script is scored on all
+languages; ties go to the language first in alphabetical order; repeated rows
+and rows of one id are labelled each by its own text; a null id is never held
+out; a very long text is a batch of its own, scored whole (8 bytes a word and
+language); other columns are ignored by identify() and kept by keep_identified().
 """
 
 from __future__ import annotations
@@ -27,15 +31,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import table, text_batches
+from quillon.llm.common import arrow_map, cut, rows_of, table, text_batches, text_parts, whole
 
 UNKNOWN = "und"
 MAX_DOCS = 1500
+#: Distinct values of lang that a model may have; more raise, since the model (256 KB a language) goes to every task.
+MAX_LANGS = 400
 SWITCH = 12.0
 #: Trigrams are hashed to so many slots.
 SLOTS = 1 << 16
@@ -107,20 +114,28 @@ def _slots(data: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, smoothing: float = 0.5) -> Model:
     """A model from columns doc_id, text and lang (rows where lang or text is null are left out)."""
-    known = labelled.where("lang is not null and text is not null")
-    # A hash threshold that lets about twice max_docs rows of each language pass bounds what the ranking has to gather.
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(2.0 * max_docs * (1 << 30)) / F.col("n")
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
-    few = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(near)
-    chosen = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs).select("doc_id", "lang")
-    sample = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # A row's key says which rows are read, whether or not its id is null or occurs again.
+    known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    sizes = cut(known.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")))
+    if sizes.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang")
+    # A threshold that lets about twice max_docs rows of each language pass bounds what the ranking has to gather.
+    place = F.pmod("key", F.lit(1 << 30))
+    near = place < F.lit(2.0 * max_docs * (1 << 30)) / F.col("n")
+    # Broadcast: at most MAX_LANGS rows, then at most max_docs rows for each of them.
+    few = known.select("lang", "key").join(F.broadcast(sizes), "lang").where(near).select("lang", "key").distinct()
+    own = Window.partitionBy("lang").orderBy(place, "key")
+    chosen = cut(few.withColumn("at", F.row_number().over(own)).where(F.col("at") <= max_docs).select("lang", "key"))
+    sample = known.join(F.broadcast(chosen), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"]).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for frame in frames:
-            for lang, group in frame.groupby("lang"):
-                data, starts, _ = _words(list(group["text"]))
+        for batch in batches:
+            groups: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                groups.setdefault(lang, []).append(text)
+            for lang, texts in groups.items():
+                data, starts, _ = _words(texts)
                 if lang not in sums:
                     sums[lang] = np.zeros(SLOTS + len(NAMES), np.int64)
                 if len(starts):
@@ -129,10 +144,10 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, smoothing: float = 0.5) -
                     sums[lang][SLOTS:] += [int(((bits >> k) & 1).sum()) for k in range(len(NAMES))]
         for lang, total in sums.items():
             on = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "slot": on, "n": total[on]})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(on), pa.string()), pa.array(on), pa.array(total[on])], names=["lang", "slot", "n"])
 
-    counts = text_batches(sample).mapInPandas(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    langs = tuple(sorted(counts["lang"].unique()))
+    counts = text_batches(sample).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    langs = tuple(sorted(counts["lang"].unique()))  # at most MAX_LANGS times SLOTS rows were fetched
     sums = np.zeros((SLOTS + len(NAMES), len(langs)))
     sums[counts["slot"].to_numpy(), [langs.index(x) for x in counts["lang"]]] = counts["n"].to_numpy()
     grams = sums[:SLOTS] + smoothing
@@ -162,23 +177,24 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     """The best path of each text (scores: words by languages), all texts stepped together."""
     order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
     sizes = np.array([len(scores[k]) for k in order])
-    back = [np.zeros((n, scores[0].shape[1]), np.int8) for n in sizes]
+    kind = np.min_scalar_type(scores[0].shape[1])
+    back = [np.zeros((n, scores[0].shape[1]), kind) for n in sizes]
     best = np.stack([scores[k][0] for k in order])
     offsets = np.append(0, np.cumsum(sizes))[:-1]
     flat = np.concatenate([scores[k] for k in order])
     trace = np.concatenate(back)
-    own = np.arange(best.shape[1], dtype=np.int8)
+    own = np.arange(best.shape[1], dtype=kind)
     for step in range(1, int(sizes[0])):
         on = int(np.searchsorted(-sizes, -step, side="left"))
         top = best[:on].argmax(axis=1)
         jump = best[np.arange(on), top] - switch
         stay = best[:on] >= jump[:, None]
-        trace[offsets[:on] + step] = np.where(stay, own, top[:, None].astype(np.int8))
+        trace[offsets[:on] + step] = np.where(stay, own, top[:, None].astype(kind))
         best[:on] = np.where(stay, best[:on], jump[:, None]) + flat[offsets[:on] + step]
     state = best.argmax(axis=1)
-    paths: list[np.ndarray] = [np.empty(0, np.int8)] * len(scores)
+    paths: list[np.ndarray] = [np.empty(0, kind)] * len(scores)
     for row, k in enumerate(order):
-        path, now = np.empty(sizes[row], np.int8), int(state[row])
+        path, now = np.empty(sizes[row], kind), int(state[row])
         own_trace = trace[offsets[row] : offsets[row] + sizes[row]]
         for step in range(int(sizes[row]) - 1, -1, -1):
             path[step] = now
@@ -217,7 +233,7 @@ def label_batch(model: Model, texts: list[str | None], switch: float = SWITCH) -
             path = paths[row]
             share = np.bincount(path, weights=sizes[a:b], minlength=len(model.langs))
             lang = int(share.argmax())
-            turns = np.append(0, np.flatnonzero(np.diff(path)) + 1)
+            turns = np.append(0, np.flatnonzero(path[1:] != path[:-1]) + 1)
             spans = [(int(s), int(e), model.langs[path[s]]) for s, e in zip(turns, [*turns[1:], b - a], strict=True)]
             part = float(share[lang] / max(share.sum(), 1))
         else:
@@ -228,33 +244,27 @@ def label_batch(model: Model, texts: list[str | None], switch: float = SWITCH) -
     return out
 
 
-def _in_parts(texts: list[str | None]) -> Iterator[list[str | None]]:
-    part: list[str | None] = []
-    chars = 0
-    for text in texts:
-        part.append(text)
-        chars += len(text or "")
-        if chars >= _CHARS:
-            yield part
-            part, chars = [], 0
-    if part:
-        yield part
+def label_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """label_batch for any number of texts, some _CHARS characters at a time."""
+    return [x for low, high in text_parts(texts, _CHARS) for x in label_batch(model, texts[low:high], switch)]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """(doc_id, lang_pred, score, spans) for each row of docs."""
+    span = pa.struct([("first", pa.int32()), ("until", pa.int32()), ("lang", pa.string())])
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [x for part in _in_parts(list(frame["text"])) for x in label_batch(model, part, switch)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "spans": [x[2] for x in found]})
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = label_texts(model, batch.column("text").to_pylist(), switch)
+        spans = pa.array([[dict(zip(("first", "until", "lang"), y, strict=True)) for y in x[2]] for x in found], pa.list_(span))
+        columns = [batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "spans"])
 
     schema = "doc_id long, lang_pred string, score double, spans array<struct<first:int,until:int,lang:string>>"
-    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), of, schema)
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,12 +276,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without an identifiable language go; all others pass whole and unchanged."""
     model = fit(docs)
-    columns = docs.columns
-    schema = docs.schema
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            langs = [x[0] for part in _in_parts(list(frame["text"])) for x in label_batch(model, part)]
-            yield frame[[x != UNKNOWN for x in langs]]
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        langs = label_texts(model, batch.column("d").field("text").to_pylist())
+        yield batch.filter(pa.array([x[0] != UNKNOWN for x in langs], pa.bool_()))
 
-    return text_batches(docs).mapInPandas(batches, schema).select(columns)
+    schema = T.StructType([T.StructField("d", docs.schema)])
+    return whole(arrow_map(rows_of(docs).select("d"), of, schema), docs)

@@ -11,15 +11,17 @@ The query over documents renders each text as such a page, with the UTF-8 text
 itself, padded with bytes 255 to a multiple of 576, as an 8-bit greyscale image
 of 576 columns in a PNG file.
 
-Memory is bounded by one Arrow batch of whole texts and one payload.  A task
-stores a payload that it has already stored only once.  References to a hot
-digest meet one description; the join may split them.
+Memory is bounded by one Arrow batch of whole texts and one payload; a very long
+text is a batch of its own.  A batch stores a payload only once, and digests that
+several batches store are described alike.  References to a hot digest meet one
+description, written first, so the join may split them.
 
 Defined cases: null is the empty text; the empty text has one row of padding;
 repeated rows and equal texts share payloads and values; pages without media
-have text elements alone; references whose digest the store lacks stay with
-null descriptions; an empty table gives an empty result; other columns are
-ignored.
+have text elements alone, pages with several have a reference for each, in
+order; references whose digest the store lacks stay with null descriptions; rows
+with no or one id are described each by its own text; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +36,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint_dir, cut, delete, table, text_batches
+from quillon.llm.common import arrow_map, checkpoint_dir, cut, delete, table, text_batches
 
 COLUMNS = 576
 SCHEME = "sha256:"
@@ -117,11 +120,13 @@ def parse_sequence(page: str | None) -> list[dict]:
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id_col, elements) for each row of pages."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({id_col: frame["id"], "elements": [parse_sequence(p) for p in frame["html"]]})
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        elements = pa.array([parse_sequence(p) for p in batch.column("html").to_pylist()], kind)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), elements], names=[id_col, "elements"])
 
-    return text_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInPandas(batches, f"`{id_col}` long, elements {ELEMENTS}")
+    return arrow_map(pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")), of, f"`{id_col}` long, elements {ELEMENTS}")
 
 
 def payload_of(text: str | None) -> bytes:
@@ -181,22 +186,21 @@ def feature(payload: bytes) -> str:
 
 
 def store_payloads(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the store (digest, n_bytes, media) of the texts' payloads to path."""
+    """Writes the store (digest, n_bytes, media) of the texts' payloads to path, each digest once a batch."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         stored: set[bytes] = set()
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                payload = payload_of(text)
-                digest = hashlib.sha256(payload)
-                if digest.digest() not in stored:
-                    if len(stored) < 100_000:
-                        stored.add(digest.digest())
-                    rows.append((digest.hexdigest(), len((text or "").encode("utf-8", "surrogatepass")), to_png(payload)))
-            yield pd.DataFrame(rows, columns=["digest", "n_bytes", "media"])
-
-    stored = text_batches(docs).select(F.col(text_col).alias("text")).mapInPandas(batches, "digest string, n_bytes long, media binary")
+        rows = []
+        for text in batch.column("text").to_pylist():
+            payload = payload_of(text)
+            digest = hashlib.sha256(payload)
+            if digest.digest() not in stored:
+                stored.add(digest.digest())
+                rows.append((digest.hexdigest(), len((text or "").encode("utf-8", "surrogatepass")), to_png(payload)))
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["digest", "n_bytes", "media"])
+
+    stored = arrow_map(docs.select(F.col(text_col).alias("text")), of, "digest string, n_bytes long, media binary")
     stored.write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
@@ -222,28 +226,36 @@ def resolve(elements: DataFrame, described: DataFrame, id_col: str = "page_id")
     return refs.join(described, "digest", "left")
 
 
+def outline(elements: Column) -> Column:
+    """A sequence as an array of (pos, kind, digest, caption) in order: media by their digest, text by the SHA-256 of its UTF-8."""
+    own = lambda e: F.struct(e["pos"].alias("pos"), e["kind"].alias("kind"), F.coalesce(e["digest"], F.sha2(e["text"].cast("binary"), 256)).alias("digest"), e["caption"].alias("caption"))
+    return F.transform(elements, own)
+
+
 def pages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, html): each text as a page with a figure whose address is the digest of the text's payload."""
+    """(doc_id, html): each text as a page: its first line, a figure whose address is the digest of the text's payload, its other lines."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            pages = []
-            for text in frame["text"]:
-                digest = hashlib.sha256(payload_of(text)).hexdigest()
-                title = html.escape(" ".join((text or "").split(None, 8)[:8])[:80])
-                body = "".join(f"<p>{html.escape(x, quote=False)}</p>" for x in (text or "").split("\n"))
-                pages.append(f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{title}</figcaption></figure>{body}</article>')
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "html": pages})
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        pages = []
+        for text in batch.column("text").to_pylist():
+            digest = hashlib.sha256(payload_of(text)).hexdigest()
+            title = html.escape(" ".join((text or "").split(None, 8)[:8])[:80])
+            first, *rest = (f"<p>{html.escape(x, quote=False)}</p>" for x in (text or "").split("\n"))
+            pages.append(f'<article>{first}<figure><img src="{SCHEME}{digest}"><figcaption>{title}</figcaption></figure>{"".join(rest)}</article>')
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pages, pa.string())], names=["doc_id", "html"])
 
-    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, "doc_id long, html string")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), of, "doc_id long, html string")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: what its media reference resolves to, where it stands, and the outline of the whole sequence."""
     docs = table(spark, sf_dir, "documents")
     path = f"{checkpoint_dir(spark)}/media-{uuid.uuid4().hex}"
     store_payloads(docs, path)
     described = cut(describe_store(spark.read.parquet(path)))
     delete(spark, path)  # the query returns descriptions only
-    elements = sequences(pages_of(docs), "doc_id")
-    refs = resolve(elements, described, "doc_id")
-    return refs.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", F.col("pos").alias("media_pos"))
+    elements = sequences(pages_of(docs), "doc_id").select("doc_id", outline(F.col("elements")).alias("sequence"))
+    media = F.get(F.filter("sequence", lambda e: e["kind"] == "media"), F.lit(0))
+    refs = elements.select("doc_id", "sequence", media["digest"].alias("digest"), media["caption"].alias("caption"), media["pos"].alias("media_pos"))
+    joined = refs.join(described, "digest", "left")
+    return joined.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "media_pos", "sequence")

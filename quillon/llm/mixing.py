@@ -8,74 +8,106 @@ probability proportional to its cell's factor, cut at 1, whose scale is solved
 so that the expected words meet a budget.  Sampling compares a hash of doc_id
 with the probability: it is repeatable and independent of partitions.
 
-DataFrame functions alone run here.  The corpus is read twice, narrowly: words
-are combined into cells before the shuffle (a hot source costs one row a task),
-and cells are joined back to documents, by broadcast only after their count is
-checked, so texts are never shuffled.
+Topics are learned from the corpus: of the words of five letters or more that
+stand in at most a tenth of the documents, the ``TERMS`` most widespread are
+anchors, and a document's topic is the anchor with the largest count times
+inverse document frequency (in the text with A-Z lower-cased, inflected forms
+included), or ``other``.
+
+DataFrame functions alone run here.  Words are combined into cells before the
+shuffle (a hot source costs one row a task).  Each raking step sums the cells by
+one dimension and joins the sums back; no window or task spans all cells.  Cells
+join documents by their keys; texts are shuffled for that only if there are more
+cells than BROADCAST_CELLS, which bounds what is broadcast and changes the plan,
+never the result.
 
 Defined cases: null source or language is the value ``unknown``; null and empty
-texts have no words and are sampled like their cell; a cell without words keeps
-factor 1; repeated rows share their fate; an empty table gives an empty result;
-other columns pass through or are ignored.
+texts have no words, the topic ``other``, and are sampled like their cell; a
+value without a target keeps its words, a target without words is left out; a
+cell without words keeps factor 1; of anchors that tie, in frequency or in a
+text, the one first in order of frequency and alphabet counts; rows of one id
+share their draw, rows without an id draw by their text; a very long text counts
+by its words like any other; an empty table gives an empty result; other columns,
+whatever their names, pass through the stage and are ignored by the query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import ASCII_LOWER, ASCII_UPPER, cut, rows_of, table, whole
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Powers of the default targets, by dimension.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-ROUNDS = 10
+ROUNDS = 6
 #: Share of the corpus' words that the sample is expected to hold.
 BUDGET = 0.8
-#: Up to so many cells are raked in one task and broadcast; more are raked by distributed windows and joined by shuffle.
-SMALL_CELLS = 50_000
+#: Anchor terms, the least letters of one, and the largest share of documents that it may stand in.
+TERMS = 16
+LETTERS = 5
+COMMON = 0.1
+#: Up to so many cells are broadcast; and so many, at most, are handled by a task.
+BROADCAST_CELLS = 50_000
+TASK_CELLS = 200_000
 
 
-def topic(text: Column, n_words: Column) -> Column:
-    """A coarse topic from the form of a text: legal, markup, short, long or prose."""
-    text = F.coalesce(text, F.lit(""))
-    marks = F.regexp_count(text, F.lit("[#*$%&|<>]"))
-    legal = text.contains("License") | text.contains("license") | text.contains("rights reserved")
-    return F.when(legal, "legal").when(marks * 5 > n_words, "markup").when(n_words < 50, "short").when(n_words >= 1000, "long").otherwise("prose")
+def lowered(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """docs with mix_words, mix_source, mix_lang and mix_topic added."""
+def topic_terms(docs: DataFrame, terms: int = TERMS, letters: int = LETTERS, common: float = COMMON) -> list[tuple[str, float]]:
+    """The anchors, at most terms of them, with their inverse document frequencies, most widespread first."""
+    words = F.array_distinct(F.regexp_extract_all(lowered(F.col("text")), F.lit(f"\\p{{L}}{{{letters},}}"), F.lit(0)))
+    n = docs.count()
+    dfs = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= common * n)
+    return [(r["term"], math.log(n / r["df"])) for r in dfs.orderBy(F.col("df").desc(), "term").limit(terms).collect()]
+
+
+def topic(low: Column, terms: Sequence[tuple[str, float]]) -> Column:
+    """The topic of a text with A-Z lower-cased."""
+    best, name = F.lit(0.0), F.lit("other")
+    scores = [(F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / F.lit(len(term)) * F.lit(idf) for term, idf in terms]
+    if scores:
+        best = F.greatest(F.lit(0.0), *scores)
+    for (term, _), score in reversed(list(zip(terms, scores, strict=True))):
+        name = F.when((best > 0) & (score == best), F.lit(term)).otherwise(name)
+    return name
+
+
+def described(docs: DataFrame, terms: Sequence[tuple[str, float]]) -> DataFrame:
+    """(d, row, doc_id, draw, words, source, lang, topic): each row of docs whole, its draw in [0, 1) and what places it in a cell."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    docs = docs.withColumn("mix_words", words)
-    return docs.select(
-        "*",
-        F.coalesce(F.col("source"), F.lit("unknown")).alias("mix_source"),
-        F.coalesce(F.col("lang"), F.lit("unknown")).alias("mix_lang"),
-        topic(F.col("text"), F.col("mix_words")).alias("mix_topic"),
-    )
+    own = [F.col("doc_id"), uniform().alias("draw"), words.alias("words"), *(F.coalesce(F.col(x), F.lit("unknown")).alias(x) for x in ("source", "lang"))]
+    told = rows_of(docs, *own, lowered(F.col("text")).alias("low"))
+    return told.withColumn("topic", topic(F.col("low"), terms)).drop("low")
+
+
+def uniform(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A number in [0, 1) that depends on the id alone, or on the text where there is none."""
+    told = F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))
+    return F.conv(F.substring(F.md5(told), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """cells (dimensions, words) with fitted added: cell values whose marginals approach the targets.
 
-    targets: for each dimension a DataFrame (value, target).
+    targets: for each dimension a DataFrame (value, target).  A value without a target keeps its sum.
     """
-    small = cells.count() <= SMALL_CELLS
-    for name, target in targets.items():
-        cells = cells.join(target.select(F.col("value").alias(name), F.col("target").alias(f"to_{name}")), name)
-    cells = cut(cells.withColumn("fitted", F.col("words").cast("double")))
-    if small:
-        cells = cells.coalesce(1)
+    parts = 1 + cells.count() // TASK_CELLS
+    fitted = cells.withColumn("fitted", F.col("words").cast("double"))
     for _ in range(rounds):
-        for name in targets:
-            total = F.sum("fitted").over(Window.partitionBy(name))
-            cells = cells.withColumn("fitted", F.when(total > 0, F.col("fitted") * F.col(f"to_{name}") / total).otherwise(F.col("fitted")))
-        if not small:
-            cells = cut(cells)
-    return cut(cells.drop(*(f"to_{x}" for x in targets)))
+        for name, target in targets.items():
+            sums = fitted.groupBy(name).agg(F.sum("fitted").alias("sum"))
+            goals = target.select(F.col("value").alias(name), F.col("target").alias("goal"))
+            factor = F.when((F.col("sum") > 0) & F.col("goal").isNotNull(), F.col("goal") / F.col("sum")).otherwise(1.0)
+            factors = sums.join(goals, name, "left").select(name, factor.alias("factor"))
+            fitted = cut(fitted.join(factors, name).withColumn("fitted", F.col("fitted") * F.col("factor")).drop("factor").coalesce(parts))
+    return fitted
 
 
 def power_targets(cells: DataFrame, powers: Mapping[str, float]) -> dict[str, DataFrame]:
@@ -89,59 +121,62 @@ def power_targets(cells: DataFrame, powers: Mapping[str, float]) -> dict[str, Da
     return out
 
 
+def marginal_error(fitted: DataFrame, targets: Mapping[str, DataFrame]) -> float:
+    """The largest relative distance of a fitted marginal from its target."""
+    worst = 0.0
+    for name, target in targets.items():
+        sums = fitted.groupBy(F.col(name).alias("value")).agg(F.sum("fitted").alias("sum")).join(target.where("target > 0"), "value")
+        worst = max(worst, sums.agg(F.max(F.abs(F.col("sum") / F.col("target") - 1))).first()[0] or 0.0)
+    return worst
+
+
 def probabilities(fitted: DataFrame, budget: float = BUDGET) -> DataFrame:
     """fitted with weight (fitted over words) and probability added: min(1, s * weight), s such that expected words are budget * words.
 
-    The cells with the largest weights are cut at 1.  If the first k are, s is
-    (budget * all words - words of the first k) / (fitted of the others), and the
-    right k is the smallest for which no other cell exceeds 1.
+    s is (budget * all words - words of the cells cut at 1) / (fitted of the others).  Starting without cut cells, it grows until
+    no further cell exceeds 1; each step is one sum over the cells.
     """
-    weighed = fitted.withColumn("weight", F.when(F.col("words") > 0, F.col("fitted") / F.col("words")).otherwise(F.lit(1.0)))
-    full = weighed.agg(F.sum("words").cast("double").alias("w"), F.sum("fitted").alias("f")).first()
-    words, fit = full["w"] or 0.0, full["f"] or 0.0
-    upto = Window.orderBy(F.col("weight").desc(), *DIMENSIONS).rowsBetween(Window.unboundedPreceding, -1)
-    # Cells only (sources x languages x topics), not documents, meet in this window.
-    scale = (F.lit(budget * words) - F.coalesce(F.sum("words").over(upto), F.lit(0))) / (F.lit(fit) - F.coalesce(F.sum("fitted").over(upto), F.lit(0.0)))
-    scaled = weighed.withColumn("scale", F.when(F.col("words") > 0, scale))
-    chosen = scaled.where((F.col("scale") * F.col("weight") <= 1) & (F.col("scale") >= 0)).agg(F.max("scale")).first()[0]
-    return weighed.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(chosen if chosen is not None else 1.0)))
-
-
-def uniform(id_col: str = "doc_id") -> Column:
-    """A number in [0, 1) that depends on the id alone."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-
-
-def mix(docs: DataFrame, powers: Mapping[str, float] = POWERS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """docs with mix_words, mix_source, mix_lang, mix_topic, mix_weight, mix_probability and mix_sampled added."""
-    told = described(docs)
-    cells = told.groupBy(*(F.col(f"mix_{x}").alias(x) for x in DIMENSIONS)).agg(F.sum("mix_words").alias("words"))
-    cells = cut(cells)
-    fitted = probabilities(rake(cells, power_targets(cells, powers), rounds), budget)
-    keys = [F.col(x).alias(f"mix_{x}") for x in DIMENSIONS]
-    factors = cut(fitted.select(*keys, F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability")))
-    if factors.count() <= SMALL_CELLS:
+    weighed = cut(fitted.withColumn("weight", F.when(F.col("words") > 0, F.col("fitted") / F.col("words")).otherwise(F.lit(1.0))))
+    scale, known = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(scale) > 1
+        sums = [F.sum("words"), F.sum(F.when(full, F.col("words")).otherwise(0)), F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("fitted"))), F.count_if(full)]
+        words, cut_words, rest, n = weighed.agg(*sums).first()
+        if n == known or not words:
+            break
+        if not rest > 0:
+            scale = math.inf
+            break
+        known, scale = n, (budget * words - cut_words) / rest
+    chosen = F.lit(1.0) if math.isinf(scale) or scale == 0 else F.least(F.lit(1.0), F.col("weight") * F.lit(scale))
+    return weighed.withColumn("probability", chosen)
+
+
+def mix(told: DataFrame, powers: Mapping[str, float] = POWERS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """told, rows of described(), with weight, probability and sampled added."""
+    cells = cut(told.groupBy(*DIMENSIONS).agg(F.sum("words").alias("words")))
+    factors = cut(probabilities(rake(cells, power_targets(cells, powers), rounds), budget).select(*DIMENSIONS, "weight", "probability"))
+    if factors.count() <= BROADCAST_CELLS:
         factors = F.broadcast(factors)
-    joined = told.join(factors, [f"mix_{x}" for x in DIMENSIONS])
-    return joined.withColumn("mix_sampled", uniform() < F.col("mix_probability"))
+    return told.join(factors, list(DIMENSIONS)).withColumn("sampled", F.col("draw") < F.col("probability"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents")
+    told = cut(described(docs, topic_terms(docs)).select("doc_id", "draw", "words", *DIMENSIONS))
+    return mix(told).select(
         "doc_id",
-        F.col("mix_source").alias("source"),
-        F.col("mix_lang").alias("lang"),
-        F.col("mix_topic").alias("topic"),
-        F.col("mix_words").alias("n_words"),
-        F.round("mix_weight", 6).alias("weight"),
-        F.round("mix_probability", 6).alias("probability"),
-        F.col("mix_sampled").alias("sampled"),
+        *DIMENSIONS,
+        F.col("words").alias("n_words"),
+        F.round("weight", 6).alias("weight"),
+        F.round("probability", 6).alias("probability"),
+        "sampled",
     )
 
 
 def sample_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the sampled documents, unchanged."""
-    return mix(docs).where("mix_sampled").select(docs.columns)
+    return whole(mix(described(docs, topic_terms(docs))).where("sampled"), docs)
 
 
 def oracle() -> str:
@@ -157,15 +192,15 @@ def oracle() -> str:
     joins = " ".join(f"JOIN t_{x} USING ({x})" for x in DIMENSIONS)
     return f"""
 WITH counted AS (
-  SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}') AS low,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_words
   FROM documents),
-told AS (
-  SELECT doc_id, source, lang, n_words,
-    CASE WHEN contains(text, 'License') OR contains(text, 'license') OR contains(text, 'rights reserved') THEN 'legal'
-      WHEN len(regexp_extract_all(text, '[#*$%&|<>]')) * 5 > n_words THEN 'markup'
-      WHEN n_words < 50 THEN 'short' WHEN n_words >= 1000 THEN 'long' ELSE 'prose' END AS topic
-  FROM counted),
+held AS (SELECT unnest(list_distinct(regexp_extract_all(low, '\\p{{L}}{{{LETTERS},}}'))) AS term FROM counted),
+dfs AS (SELECT term, count(*) AS df FROM held GROUP BY term HAVING count(*) <= {COMMON} * (SELECT count(*) FROM counted)),
+terms AS (SELECT term, ln((SELECT count(*) FROM counted) / df::DOUBLE) AS idf, row_number() OVER (ORDER BY df DESC, term) AS place FROM dfs QUALIFY place <= {TERMS}),
+scores AS (SELECT r, term, place, (length(low) - length(replace(low, term, '')))::DOUBLE / length(term) * idf AS score FROM counted, terms),
+topics AS (SELECT r, arg_max(term, (score, -place)) AS topic FROM scores WHERE score > 0 GROUP BY r),
+told AS (SELECT doc_id, text, source, lang, n_words, coalesce(topic, 'other') AS topic FROM counted LEFT JOIN topics USING (r)),
 cells AS (SELECT source, lang, topic, sum(n_words) AS words FROM told GROUP BY ALL),
 {target},
 start AS (SELECT cells.source, cells.lang, cells.topic, words, words::DOUBLE AS fitted, {lifted} FROM cells {joins}),
@@ -178,5 +213,5 @@ scaled AS (
 chosen AS (SELECT coalesce(max(scale), 1.0) AS s FROM scaled WHERE scale * weight <= 1 AND scale >= 0),
 factors AS (SELECT source, lang, topic, weight, least(1.0, weight * s) AS probability FROM weighed, chosen)
 SELECT doc_id, source, lang, topic, n_words, round(weight, 6) AS weight, round(probability, 6) AS probability,
-  ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE / {1 << 48} < probability AS sampled
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 12))::BIGINT::DOUBLE / {1 << 48} < probability AS sampled
 FROM told JOIN factors USING (source, lang, topic)"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.oracle()}
+    return {"op6_mixing": mixing.oracle(), "op10_license_scan": license.oracle()}

@@ -9,9 +9,12 @@ Fitting reads at most ``max_labels`` labelled rows, those with the smallest
 hash of doc_id: a documented bound on the fit alone.  Scoring shuffles nothing.
 
 Defined cases: null and empty texts have all statistics zero and are scored;
-with labels of one kind only (or none) the score is their smoothed share of 1;
-repeated rows score alike; rows with null label or doc_id don't train; an empty
-table gives an empty result; other columns are ignored.
+a very long text is read whole, its counts of words held at once; with labels of
+one kind only (or none) the score is their smoothed share of 1; a score that
+equals the threshold predicts 1; repeated rows score alike and train each; a
+doc_id with unlike labels counts as 0; rows with null label or doc_id don't
+train, and a null doc_id is scored and never held out; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table, text_batches
+from quillon.llm.common import arrow_map, cut, table
 
 MAX_LABELS = 20_000
 TREES = 12
@@ -89,15 +92,12 @@ def text_statistics(text: str | None) -> list[float]:
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, each of STATISTICS) for each row of docs."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = np.array([text_statistics(t) for t in frame["text"]], dtype=np.float64).reshape(-1, len(STATISTICS))
-            out = pd.DataFrame(rows, columns=list(STATISTICS))
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = np.array([text_statistics(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in rows.T)], names=["doc_id", *STATISTICS])
 
     schema = "doc_id long, " + ", ".join(f"{x} double" for x in STATISTICS)
-    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), of, schema)
 
 
 @dataclass(frozen=True)
@@ -141,12 +141,16 @@ def tree_rules(description: str, names: tuple[str, ...] = STATISTICS) -> set[Rul
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labels: int = MAX_LABELS, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
     """A model from docs (doc_id, text) and labels (doc_id, label_col of 0 or 1)."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("double").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.min(label_col).cast("double").alias("label"))
+    known = cut(known)
+    # About twice max_labels ids pass a threshold on their hash, which bounds what the last step of the ranking reads.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = known.where(place < F.lit(2.0 * max_labels / max(known.count(), 1) * (1 << 30)))
     # Broadcast: at most max_labels rows, a parameter.
-    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels))
+    chosen = F.broadcast(cut(near.orderBy(place, "doc_id").limit(max_labels)))
     rows = with_statistics(docs.join(chosen, "doc_id", "left_semi")).join(chosen, "doc_id")
-    # One partition in a fixed order, of max_labels rows at most: equal data give an equal model.
-    rows = cut(rows.coalesce(1).sortWithinPartitions("doc_id", *STATISTICS))
+    # The statistics of all chosen rows, numbers alone, are dealt to one partition in a fixed order: equal data give an equal model.
+    rows = cut(rows.repartition(1).sortWithinPartitions("doc_id", *STATISTICS))
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     prior = math.log((ones + 1) / (n - ones + 1))
     if ones in (0, n):
@@ -163,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

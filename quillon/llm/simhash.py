@@ -22,11 +22,17 @@ differ in at most ``radius`` bits.  The plan:
 The pipeline's stage links by the exact Jaccard similarity of five-word shingles
 instead (jaccard_duplicates); the fingerprint's contract is op2's alone.
 
+Every fingerprint is dealt under one key for each choice of blocks - radius
+blocks: 35 at 7 blocks, 16 bytes each, twice (to count buckets and to compare).
+At very many documents, more blocks give wider keys and smaller buckets: 8 blocks
+and radius 4 are 70 keys of 32 bits.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any
-other; texts with fewer words than a shingle hash their whole word sequence;
-repeated rows share a component; a row with a null doc_id never names a component,
-which is null if it has no other rows, and always stays; an empty table gives an empty result; other
-columns are ignored.
+other; texts with fewer words than a shingle hash their whole word sequence; a
+bit set in exactly half of the hashes is 0; a text's shingles are counted in
+parts of 65,535, however long it is; repeated rows share a component; a row with
+a null doc_id never names a component, which is null if it has no other rows;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +42,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import cut, delete, table, text_batches, written
+from quillon.llm.common import arrow_map, cut, rows_of, scratch, table, text_batches, whole, written
 from quillon.llm.xxh import xxh64_spans
 
 SEED = 42
@@ -117,12 +125,11 @@ def _shingle_hashes(lines: list[bytes], shingle: int) -> tuple[np.ndarray, np.nd
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the signed 64-bit form of each text's fingerprint."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = fingerprint_batch(frame["text"], shingle)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": found.view(np.int64)})
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = fingerprint_batch(batch.column("text").to_pylist(), shingle)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), of, "doc_id long, fp long")
 
 
 class BitPlanes:
@@ -283,7 +290,8 @@ def bucket_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, buc
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(number).alias("way"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
     members = fps.select("fp", F.inline(F.array(*keys)).alias("way", "key"))
-    sizes = members.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # Written before members are joined with them: only a join whose sides are both dealt for it lets Spark split a hot bucket's task.
+    sizes = cut(members.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1"))
     members = members.join(sizes, ["way", "key"])
     #: A member of a bucket of t tiles goes to the t pairs of tiles that its own tile is part of.
     tiles = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
@@ -321,18 +329,20 @@ def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, root): the smallest node reachable over the undirected links (a, b), for each node that has a link.
 
     Alternates large-star and small-star contraction.  Each round replaces a
-    node's neighbours by an aggregated minimum and never gathers them, so hubs
-    stay spread over tasks.  Raises if max_rounds do not suffice.
+    node's neighbours by an aggregated minimum and never gathers them.  Minima
+    are combined before they are dealt, and written before edges are joined with
+    them, so that Spark can split the join of a hub with very many edges.  Raises
+    if max_rounds do not suffice.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        lows = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")))
         large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = large.where("u != v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("low"))
-        joined = large.join(lows, "u")
+        large = cut(large)
+        joined = large.join(cut(large.groupBy("u").agg(F.min("v").alias("low"))), "u")
         small = joined.select("u", F.col("low").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("low").alias("v")))
         edges = cut(small.where("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -345,14 +355,17 @@ def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable over links."""
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = bucket_links(classes.select("fp"), radius, blocks)
-    roots = components(links).withColumnRenamed("node", "fp")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    with scratch(docs.sparkSession) as outlive:
+        fps = cut(fingerprints(docs, id_col, text_col, shingle))
+        classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        roots = components(bucket_links(classes.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
+        return outlive(fps.join(named_classes(classes, roots), "fp").select("doc_id", "fp", F.col("first").alias("component_id")))
+
+
+def named_classes(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, first): the smallest first of all classes (fp, first) that share a root (fp, root); classes without a root stand alone."""
+    rooted = cut(classes.select("fp", "first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    return rooted.select("fp", "root").join(cut(rooted.groupBy("root").agg(F.min("first").alias("first"))), "root").select("fp", "first")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,24 +461,33 @@ def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def jaccard_duplicates(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(doc_id, component_id) for each row: component_id is the smallest doc_id reachable over pairs of Jaccard similarity SIMILAR or more.
+def shingled(docs: DataFrame) -> DataFrame:
+    """(d, fp, bands, row) for each row of docs: the row whole, its set's digest and band keys, and a number that is stable once this is written."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = shingle_sets(batch.column("d").field("text").to_pylist())
+        full = [k for k, x in enumerate(sets) if len(x)]
+        bands: list = [[]] * len(sets)
+        for k, own in zip(full, band_keys([sets[k] for k in full]), strict=True):
+            bands[k] = own
+        digests = pa.array([set_digest(x) for x in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("d"), digests, pa.array(bands, pa.list_(pa.int64()))], names=["d", "fp", "bands"])
+
+    schema = T.StructType([T.StructField("d", docs.schema, False), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return arrow_map(rows_of(docs).select("d"), of, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def similar_rows(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(row, doc_id, component_id, keeper) for written rows of shingled(): component_id is the smallest doc_id reachable over pairs of
+    Jaccard similarity SIMILAR or more, keeper the number of its first row; rows without an id come last.
 
     MinHash bands only say who is compared: components of documents that share a
     band are compared pair by pair, in tiles of member ranges, by the exact sets.
     A pair at 0.8 shares no band with a chance of 1 in 20,000, at 0.85 of 1 in 2,000,000,
     and may still be compared through others.  Equal sets are one row, empty ones equal.
+    Texts are read once more, joined by row with the classes that have a partner.
     """
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = shingle_sets(frame["text"])
-            full = [k for k, x in enumerate(sets) if len(x)]
-            bands: list = [np.empty(0, np.int64)] * len(sets)
-            for k, row in zip(full, band_keys([sets[k] for k in full]), strict=True):
-                bands[k] = row
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": frame["text"], "fp": np.array([set_digest(x) for x in sets], np.int64), "bands": bands})
-
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["root", "lo", "hi"]
         held: pd.DataFrame | None = None
@@ -483,34 +505,41 @@ def jaccard_duplicates(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame
         links = [(fps[a + i], fps[a + j]) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for i, j in similar_links(sets[a:b])]
         return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    source = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    read = source.mapInPandas(batches, "doc_id long, text string, fp long, bands array<long>")
-    rows, path = written(read.withColumn("row", F.monotonically_increasing_id()))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("bands").alias("bands")))
-    members = classes.select("fp", F.posexplode("bands").alias("way", "key"))
-    lows = members.groupBy("way", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = members.join(lows, ["way", "key"]).where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    groups = components(shared)
-    groups = cut(groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root").join(classes.select(F.col("fp").alias("node"), "row"), "node"))
-    tiles = F.ceil(F.col("n") / F.lit(tile_rows)).cast("int")
-    spread = (
-        groups.withColumn("tiles", tiles)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .join(rows.select("row", "text"), "row")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("node").alias("fp"), "text")
-    )
-    dealt = spread.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-    roots = components(dealt.mapInPandas(compare, "a long, b long")).withColumnRenamed("node", "fp")
-    named = classes.select("fp", "first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    found = cut(rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id"))
-    delete(docs.sparkSession, path)
-    return found
+    with scratch(rows.sparkSession) as outlive:
+        doc_id = F.col("d.doc_id").cast("long")
+        first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "row"))
+        classes = cut(rows.groupBy("fp").agg(first.alias("first"), F.min("bands").alias("bands")))
+        members = classes.select("fp", F.posexplode("bands").alias("way", "key"))
+        # As everywhere here, what rows are joined with is written first, so that Spark can split a hot key's join.
+        lows = cut(members.groupBy("way", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"))
+        shared = members.join(lows, ["way", "key"]).where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+        groups = cut(components(shared))
+        groups = groups.join(cut(groups.groupBy("root").agg(F.count("*").alias("n"))), "root").withColumnRenamed("node", "fp")
+        groups = cut(groups.join(classes.select("fp", F.col("first.row").alias("row")), "fp"))
+        tiles = F.ceil(F.col("n") / F.lit(tile_rows)).cast("int")
+        spread = (
+            groups.withColumn("tiles", tiles)
+            .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+            .join(rows.select("row", F.col("d.text").alias("text")), "row")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "text")
+        )
+        dealt = text_batches(spread.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi"))
+        roots = components(dealt.mapInPandas(compare, "a long, b long")).withColumnRenamed("node", "fp")
+        found = rows.select("row", doc_id.alias("doc_id"), "fp").join(named_classes(classes, roots), "fp")
+        return outlive(found.select("row", "doc_id", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keeper")))
+
+
+def jaccard_duplicates(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(doc_id, component_id) for each row of docs."""
+    with scratch(docs.sparkSession) as outlive:
+        return outlive(similar_rows(cut(shingled(docs)), tile_rows).select("doc_id", "component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of documents with five-word Jaccard similarity 0.8 or more, the one with the smallest id stays."""
-    gone = jaccard_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each component of rows with five-word Jaccard similarity 0.8 or more one row stays, that with the smallest id
+    (of rows with one id, or none, any single one).  Rows of one id and unlike texts both stay.  The rows, written once, are read again
+    by the result, so their table lasts until the caller's scratch() ends."""
+    rows, _ = written(shingled(docs))
+    gone = similar_rows(rows).where("row != keeper").select("row")
+    return whole(rows.join(gone, "row", "left_anti"), docs)

@@ -5,29 +5,37 @@ every window of ``length`` words, the suffix whose first ``gram`` words have the
 smallest hash, leftmost on ties.  The choice depends on the window's words
 alone, so equal windows retain the same suffix, and about two suffixes in
 ``length - gram`` words stand for all.  A retained suffix stands for a run of
-windows; digests of its first words and of all words its windows cover, left
-and right, order the suffixes so that equal ones are neighbours:
-
-1. suffixes whose first words occur once are dropped (most are);
-2. neighbours with equal digests of the whole covered stretch are equal in all
-   their windows; all but the first occurrence are repeats;
-3. where the same first words have different surroundings, one representative
-   of each stretch is compared window by window, which extends its match left
-   and right exactly as far as the words agree.
-
-A window of ``length`` words is a repeat if an equal one starts at a smaller
-(doc_id, position); words that repeats cover are removed, so the first
-occurrence of each passage stays.  This is exact up to collisions of 64-bit
-hashes.  Neighbours are compared by combining aggregates (counts and minima),
-not by one task walking a run, so a passage in a third of all documents is
-combined before it is shuffled.
-
-Texts are read narrowly, and once more joined with the representatives' places.
+windows and carries the words that these cover, left and right of it.
+
+1. Suffixes whose first words occur once are dropped (most are).  Those that
+   agree in all the words their windows cover are one class; all members but
+   the first repeat it.
+2. One suffix of each class is put in order: dealt by the hash of the first
+   words, then sorted by the words themselves.  Neighbours are compared word by
+   word; so are neighbours in the order of the words before them.
+3. Matches are extended both ways: the windows that start ``a`` words before two
+   suffixes are equal if all neighbours between the two in the suffix order
+   share ``length - a`` words, and all between them in the other order ``a``
+   words.  So each suffix finds the first occurrence of each of its windows,
+   however many others lie between.
+4. A run of over ``run_rows`` classes with the same first words is too long for
+   one task.  Its windows are dealt one by one, by a digest of their words, and
+   combined as counts and minima before rows are joined with them.
+
+A window of ``length`` words is a repeat if an equal one stands in a row of
+smaller (doc_id, row number) or before it in its own; words that repeats cover
+are removed, so the first occurrence of each passage stays.  The result is that
+of comparing all windows, up to collisions of the 64-bit digests of steps 1 and 4.
+
+Texts are read narrowly and written once with a number for each row; those of
+rows that hold a class's first member are dealt once more, to give its words.
 
 Defined cases: null and empty texts and texts of under ``length`` words have no
-windows and are kept whole; a passage repeated inside a document stays once;
-rows with a null doc_id are kept whole; rows that share a doc_id count as one
-document, of which each row loses the spans that lie inside it; an empty table gives an empty result; other columns are ignored.
+windows and are kept whole; a passage repeated inside a row stays once; every row
+is a document of its own, also where ids repeat; rows with a null doc_id come
+last; of equal rows the first by number stays; a text of over 2**30 words would
+need wider positions than a batch has; an empty table gives an empty result;
+other columns are ignored by repeats() and kept by cut_stage(), whatever their names.
 """
 
 from __future__ import annotations
@@ -37,13 +45,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import cut, delete, table, text_batches, written
+from quillon.llm.common import arrow_map, cut, rows_of, scratch, table, text_parts, written
 
 LENGTH = 50
 GRAM = 10
+#: Classes of a run that one task puts in order; longer runs are dealt window by window.
+RUN_ROWS = 2000
 _CHARS = 1_000_000
 #: Bits of a position in a window's minimum; the rest hold the hash.
 _AT = 30
@@ -111,12 +123,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffixes_of(texts: list[str | None], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Retained suffixes: text (index), h (first words), ha (all words covered), first and last (window starts)."""
+    """Retained suffixes: text (index), h (first words), ha (all words covered), first and last (window starts), lead (words from first to the suffix)."""
     roll, bounds = word_roller(texts)
     total = int(bounds[-1])
     none = np.empty(0, np.int64)
     if total < length:
-        return {"text": none, "h": none, "ha": none, "first": none, "last": none}
+        return dict.fromkeys(("text", "h", "ha", "first", "last", "lead"), none)
     at = np.arange(total - gram + 1)
     grams = roll.spans(at, at + gram)
     low = np.uint64((1 << _AT) - 1)
@@ -127,59 +139,162 @@ def suffixes_of(texts: list[str | None], length: int = LENGTH, gram: int = GRAM)
     real = start + length <= bounds[owner + 1]
     start, anchor, owner = start[real], anchor[real], owner[real]
     if not len(start):
-        return {"text": none, "h": none, "ha": none, "first": none, "last": none}
+        return dict.fromkeys(("text", "h", "ha", "first", "last", "lead"), none)
     turn = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(owner) != 0))
     first, last = start[np.append(0, turn + 1)], start[np.append(turn, len(start) - 1)]
     anchor, owner = anchor[np.append(0, turn + 1)], owner[np.append(0, turn + 1)]
     shape = ((anchor - first) << 32 | (last - anchor + length)).astype(np.uint64)
     ha = mixed(roll.spans(first, last + length) ^ mixed(shape))
-    return {"text": owner, "h": grams[anchor].view(np.int64), "ha": ha.view(np.int64), "first": first - bounds[owner], "last": last - bounds[owner]}
-
-
-def _in_parts(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """frame in parts of about _CHARS characters of text."""
-    sizes = frame["text"].map(lambda t: len(t or "")).to_numpy()
-    part = np.cumsum(sizes) // _CHARS
-    for k in np.unique(part):
-        yield frame[part == k]
-
-
-def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, h, ha, first, last): the retained suffixes of docs (doc_id, text)."""
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return {"text": owner, "h": grams[anchor].view(np.int64), "ha": ha.view(np.int64), "first": first - bounds[owner], "last": last - bounds[owner], "lead": anchor - first}
+
+
+def suffixes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(row, doc_id, h, ha, first, last, lead): the retained suffixes of rows (row, doc_id, text)."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column("text").to_pylist()
+        for low, high in text_parts(texts, _CHARS):
+            found = suffixes_of(texts[low:high], length, gram)
+            at = pa.array(low + found["text"])
+            columns = [batch.column("row").take(at), batch.column("doc_id").take(at), pa.array(found["h"]), pa.array(found["ha"])]
+            columns += [pa.array(found[x].astype(np.int32)) for x in ("first", "last", "lead")]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "h", "ha", "first", "last", "lead"])
+
+    return arrow_map(rows.select("row", "doc_id", "text"), of, "row long, doc_id long, h long, ha long, first int, last int, lead int")
+
+
+def occurrence(*places: str) -> Column:
+    """What orders occurrences: rows with an id first, then the id, the row and the places in it."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", *places)
+
+
+def contexts(places: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(h, row, doc_id, at, lo, hi, right, left) for rows (row, doc_id, text, runs): the words from each suffix on, and those before it from
+    the nearest to the farthest, each with a space behind it, as far as its windows reach; they start lo to hi words before its place at."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        where, found = [], []
+        for k, (text, runs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
+            words = [w + b" " for w in text.encode("utf-8", "surrogatepass").split()]
+            for run in runs:
+                at = run["first"] + run["lead"]
+                where.append(k)
+                found.append((run["h"], at, at - run["last"], run["lead"], b"".join(words[at : run["last"] + length]), b"".join(words[run["first"] : at][::-1])))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        h, at, lo, hi, right, left = (pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds))
+        take = pa.array(where, pa.int32())
+        yield pa.RecordBatch.from_arrays([h, batch.column("row").take(take), batch.column("doc_id").take(take), at, lo, hi, right, left], names=["h", "row", "doc_id", "at", "lo", "hi", "right", "left"])
+
+    return arrow_map(places.select("row", "doc_id", "text", "runs"), of, "h long, row long, doc_id long, at int, lo int, hi int, right binary, left binary")
+
+
+def _shared(texts: list[bytes], runs: np.ndarray) -> np.ndarray:
+    """How many words each text shares with the one before it; -1 at the start of a run."""
+    out = np.full(len(texts), -1, np.int64)
+    before: list[bytes] = []
+    for k, text in enumerate(texts):
+        words = text.split(b" ")[:-1]
+        if k and runs[k] == runs[k - 1]:
+            n = 0
+            for x, y in zip(before, words, strict=False):
+                if x != y:
+                    break
+                n += 1
+            out[k] = n
+        before = words
+    return out
+
+
+def extended(runs: np.ndarray, right: list[bytes], left: list[bytes], lo: np.ndarray, hi: np.ndarray, rank: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, a, j): the window that starts a words before suffix i first occurs at suffix j.
+
+    Suffixes are in order by runs (one value for each) and right; rank orders their occurrences.
+    """
+    n = len(runs)
+    back = np.array(sorted(range(n), key=lambda k: (runs[k], left[k])), np.int64)
+    ahead, behind = _shared(right, runs), _shared([left[k] for k in back], runs[back])
+    first_come = np.argsort(rank, kind="stable")
+    out = [np.empty((3, 0), np.int64)]
+    for a in range(int(lo.min()), int(hi.max()) + 1):
+        here = first_come[((lo <= a) & (a <= hi))[first_come]]
+        if len(here) < 2:
+            continue
+        # Suffixes without a boundary between them share enough words on that side.
+        after = np.cumsum(ahead < length - a)
+        before = np.empty(n, np.int64)
+        before[back] = np.cumsum(behind < a)
+        _, at, group = np.unique((after * (n + 1) + before)[here], return_index=True, return_inverse=True)
+        first = here[at][group]
+        again = first != here
+        out.append(np.stack([here[again], np.full(int(again.sum()), a), first[again]]))
+    found = np.concatenate(out, axis=1)
+    return found[0], found[1], found[2]
+
+
+def extended_spans(suffixes: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(row, first, until, first_doc): the words that repeats cover, from contexts()."""
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for frame in frames:
-            for part in _in_parts(frame):
-                found = suffixes_of(list(part["text"]), length, gram)
-                ids = part["doc_id"].to_numpy()[found.pop("text")]
-                yield pd.DataFrame({"doc_id": ids, **found})
-
-    return text_batches(docs).mapInPandas(batches, "doc_id long, h long, ha long, first int, last int")
+            own = pa.Table.from_batches([frame])
+            own = own if held is None else pa.concat_tables([held, own])
+            h = own.column("h").to_numpy()
+            turns = np.flatnonzero(h[1:] != h[:-1])
+            until = int(turns[-1]) + 1 if len(turns) else 0
+            held = own.slice(until)
+            if until:
+                yield from spans_of(own.slice(0, until))
+        if held is not None and len(held):
+            yield from spans_of(held)
+
+    def spans_of(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = part.combine_chunks()
+        at, lo, hi, none, row = (part.column(x).to_numpy() for x in ("at", "lo", "hi", "none", "row"))
+        rank = np.empty(len(at), np.int64)
+        rank[np.lexsort((at, row, part.column("order").to_numpy(), none))] = np.arange(len(at))
+        i, a, j = extended(part.column("h").to_numpy(), part.column("right").to_pylist(), part.column("left").to_pylist(), lo, hi, rank, length)
+        if not len(i):
+            return
+        # Windows that follow each other and have first occurrences in the same suffix are one span.
+        order = np.lexsort((a, j, i))
+        i, a, j = i[order], a[order], j[order]
+        new = np.append(0, np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(a) != 1)) + 1)
+        end = np.append(new[1:] - 1, len(i) - 1)
+        first, until = at[i[end]] - a[end], at[i[new]] - a[new] + length
+        columns = [part.column("row").take(pa.array(i[new])), pa.array(first.astype(np.int32)), pa.array(until.astype(np.int32)), part.column("doc_id").take(pa.array(j[new]))]
+        yield from pa.table(columns, names=["row", "first", "until", "first_doc"]).to_batches()
+
+    # A missing id sorts by none; order stands for it among numbers.
+    told = suffixes.withColumn("none", F.col("doc_id").isNull().cast("int")).withColumn("order", F.coalesce("doc_id", F.lit(0)))
+    return told.repartition("h").sortWithinPartitions("h", "right").mapInArrow(batches, "row long, first int, until int, first_doc long")
 
 
 def window_hashes(places: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, at, w): hashes of the windows that start at first to last, for rows (doc_id, text, runs)."""
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in _in_parts(frame):
-                roll, bounds = word_roller(part["text"])
-                rows = []
-                for doc, base, end, runs in zip(part["doc_id"], bounds, bounds[1:], part["runs"], strict=False):
-                    for run in runs:
-                        # A row that shares its doc_id may be shorter than the run.
-                        at = np.arange(run["first"], min(run["last"], end - base - length) + 1)
-                        rows.append((doc, run["first"], roll.spans(base + at, base + at + length).view(np.int64)))
-                yield pd.DataFrame(rows, columns=["doc_id", "first", "hashes"])
-
-    runs = text_batches(places).mapInPandas(batches, "doc_id long, first int, hashes array<long>")
-    each = runs.select("doc_id", "first", F.posexplode("hashes").alias("step", "w"))
-    return each.select("doc_id", (F.col("first") + F.col("step")).alias("at"), "w")
+    """(row, doc_id, at, w): digests of the windows that start at first to last, for rows (row, doc_id, text, runs)."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, runs = batch.column("text").to_pylist(), batch.column("runs").to_pylist()
+        for low, high in text_parts(texts, _CHARS):
+            roll, bounds = word_roller(texts[low:high])
+            where, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k in range(low, high):
+                for run in runs[k]:
+                    starts.append(np.arange(run["first"], run["last"] + 1))
+                    where.append(np.full(len(starts[-1]), k))
+            at, own = np.concatenate(starts), np.concatenate(where)
+            from_word = bounds[own - low] + at
+            digests = roll.spans(from_word, from_word + length).view(np.int64)
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(take), batch.column("doc_id").take(take), pa.array(at.astype(np.int32)), pa.array(digests)], names=["row", "doc_id", "at", "w"])
+
+    return arrow_map(places.select("row", "doc_id", "text", "runs"), of, "row long, doc_id long, at int, w long")
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, spans, n_removed, first_docs) from (doc_id, first, until, first_doc): overlapping spans united, in order."""
-    held = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "until")).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
+    """(row, spans, n_removed, first_docs) from (row, first, until, first_doc): overlapping spans united, in order.  A row's spans are
+    bounded by its own text."""
+    held = spans.groupBy("row").agg(F.collect_list(F.struct("first", "until")).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -190,35 +305,54 @@ def merged_spans(spans: DataFrame) -> DataFrame:
                 new = np.append(0, np.flatnonzero(pairs[1:, 0] > reach[:-1]) + 1)
                 ends = reach[np.append(new[1:] - 1, len(reach) - 1)]
                 united.append([{"first": int(a), "until": int(b)} for a, b in zip(pairs[new, 0], ends, strict=True)])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": united, "n_removed": [sum(x["until"] - x["first"] for x in u) for u in united], "first_docs": frame["first_docs"]})
+            yield pd.DataFrame({"row": frame["row"], "spans": united, "n_removed": [sum(x["until"] - x["first"] for x in u) for u in united], "first_docs": frame["first_docs"]})
 
-    return held.mapInPandas(batches, f"doc_id long, spans {SPANS}, n_removed long, first_docs array<long>")
+    return held.mapInPandas(batches, f"row long, spans {SPANS}, n_removed long, first_docs array<long>")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans, n_removed, first_docs) for each document with repeated words; spans count words from 0."""
+def repeated_words(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(row, spans, n_removed, first_docs) for each written row (row, doc_id, text) with repeated words; spans count words from 0."""
     if not 0 < gram < length:
         raise ValueError("gram must be under length")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    every, path = written(suffixes(docs, length, gram))
-    # Counts and minima are written before rows are joined with them: only a join whose sides were both shuffled for it
-    # lets Spark split the task of a passage that very many documents share.
-    again, _ = written(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    kept, _ = written(every.join(again, "h", "left_semi"))
-    delete(docs.sparkSession, path)
-    classes, _ = written(kept.groupBy("h", "ha").agg(F.min(F.struct("doc_id", "first", "last")).alias("c")))
-    own = classes.select("h", "ha", F.col("c.doc_id").alias("first_doc"), F.col("c.first").alias("first_at"))
-    whole = kept.join(own, ["h", "ha"]).where("doc_id != first_doc or first != first_at")
-    whole = whole.select("doc_id", "first", (F.col("last") + length).alias("until"), "first_doc")
-    several, _ = written(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    runs = classes.join(several, "h", "left_semi").select("c.doc_id", F.struct("c.first", "c.last").alias("run"))
-    runs = runs.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
-    windows, _ = written(window_hashes(docs.join(runs, "doc_id"), length))
-    lowest = windows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    lowest, _ = written(lowest.select("w", F.col("m.doc_id").alias("first_doc"), F.col("m.at").alias("first_at")))
-    part = windows.join(lowest, "w").where("doc_id != first_doc or at != first_at")
-    part = part.select("doc_id", F.col("at").alias("first"), (F.col("at") + length).alias("until"), "first_doc")
-    return merged_spans(whole.unionByName(part))
+    with scratch(rows.sparkSession) as outlive:
+        every = cut(suffixes(rows, length, gram))
+        # Counts and minima are written before rows are joined with them: only a join whose sides were both shuffled for it
+        # lets Spark split the task of a passage that very many documents share.
+        again = cut(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+        kept = cut(every.join(again, "h", "left_semi"))
+        classes = cut(kept.groupBy("h", "ha").agg(F.min(occurrence("first", "last", "lead")).alias("c")))
+        own = classes.select("h", "ha", F.col("c.doc_id").alias("first_doc"), F.col("c.row").alias("first_row"), F.col("c.first").alias("first_at"))
+        equal = kept.join(own, ["h", "ha"]).where("row != first_row or first != first_at")
+        equal = equal.select("row", "first", (F.col("last") + length).alias("until"), "first_doc")
+        several = cut(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+        runs = cut(classes.join(several, "h").select("c.row", "n", F.struct("h", "c.first", "c.last", "c.lead").alias("run")))
+
+        def places(chosen: DataFrame) -> DataFrame:
+            return rows.join(chosen.groupBy("row").agg(F.collect_list("run").alias("runs")), "row")
+
+        sorted_part = extended_spans(contexts(places(runs.where(F.col("n") <= run_rows)), length), length)
+        windows = cut(window_hashes(places(runs.where(F.col("n") > run_rows)), length))
+        lowest = windows.groupBy("w").agg(F.min(occurrence("at")).alias("m"), F.count("*").alias("n")).where("n > 1")
+        lowest = cut(lowest.select("w", F.col("m.doc_id").alias("first_doc"), F.col("m.row").alias("first_row"), F.col("m.at").alias("first_at")))
+        dealt_part = windows.join(lowest, "w").where("row != first_row or at != first_at")
+        dealt_part = dealt_part.select("row", F.col("at").alias("first"), (F.col("at") + length).alias("until"), "first_doc")
+        return outlive(merged_spans(equal.unionByName(sorted_part).unionByName(dealt_part)))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(doc_id, spans, n_removed, first_docs) for each row of docs; spans and first_docs are empty and n_removed 0 where nothing repeats."""
+    with scratch(docs.sparkSession) as outlive:
+        numbered = rows_of(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        rows = cut(numbered.select("row", "doc_id", "text"))
+        found = rows.select("row", "doc_id").join(repeated_words(rows, length, gram, run_rows), "row", "left")
+        return outlive(
+            found.select(
+                "doc_id",
+                F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
+                F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+                F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs"),
+            )
+        )
 
 
 def without_spans(text: str, spans: list) -> str:
@@ -234,29 +368,26 @@ def without_spans(text: str, spans: list) -> str:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = repeats(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
-        F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs"),
-    )
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "spans", "first_docs")
 
 
 def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated passages leave the texts; documents of which nothing is left go, all others stay."""
-    columns, schema = docs.columns, docs.schema
-    found = cut(repeats(docs).select(F.col("doc_id").alias("cut_doc"), F.col("spans").alias("cut_spans")))
-    joined = docs.join(found, docs["doc_id"] == found["cut_doc"], "left").drop("cut_doc")
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t if s is None else without_spans(t, s) for t, s in zip(frame["text"], frame["cut_spans"], strict=True)]
-            gone = [s is not None and not t.strip() for t, s in zip(texts, frame["cut_spans"], strict=True)]
-            frame["text"] = texts
-            if "n_chars" in columns:
-                frame["n_chars"] = [n if s is None else len(t) for n, t, s in zip(frame["n_chars"], texts, frame["cut_spans"], strict=True)]
-            yield frame.loc[~np.array(gone, bool), columns]
-
-    return text_batches(joined).mapInPandas(batches, schema)
+    """Pipeline stage: repeated passages leave the texts; documents of which nothing is left go, all others stay.  The rows, written once,
+    are read again by the result, so their table lasts until the caller's scratch() ends."""
+    rows, _ = written(rows_of(docs))
+    found = repeated_words(rows.select("row", F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text")))
+    joined = rows.join(found.select("row", "spans"), "row", "left").select("d", "spans")
+    names = docs.columns
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        whole, spans = batch.column("d"), batch.column("spans").to_pylist()
+        texts = [t if s is None else without_spans(t, s) for t, s in zip(whole.field("text").to_pylist(), spans, strict=True)]
+        columns = {name: whole.field(k) for k, name in enumerate(names)}
+        columns["text"] = pa.array(texts, whole.field("text").type)
+        if "n_chars" in columns:
+            told = [n if s is None else len(t) for n, t, s in zip(columns["n_chars"].to_pylist(), texts, spans, strict=True)]
+            columns["n_chars"] = pa.array(told, columns["n_chars"].type)
+        stay = pa.array([s is None or bool(t.strip()) for t, s in zip(texts, spans, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(stay)
+
+    return arrow_map(joined, of, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))

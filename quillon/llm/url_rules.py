@@ -2,37 +2,46 @@
 
 A url becomes a set of tokens (host labels by depth, registered part, path
 words, file kind, query keys).  Spark's FP-growth mines the token combinations
-that go with a bad label; rules are kept by support, confidence, lift and a
-significance bound, and a rule that a shorter one implies at no less confidence
-is dropped.  Matching uses an inverted index: a url's tokens meet the rules'
-tokens, and a rule fires when all its tokens have been counted.
-
-The number of rules is bounded by the support threshold and the rule length
-(at most (tokens of a url)^length / support), not by the number of urls, so the
-index is small and is shipped to the tasks; scoring shuffles nothing.  Labels
-join urls on an integer key.  Fitting reads all labelled urls; FP-growth
-combines equal branches before it shuffles, so a hot host costs few rows.
+that go with a bad label, and those that go with a good one; rules are kept by
+support, confidence and significance, corrected for the number of combinations
+that were tried, and a rule that a shorter one of its kind implies at no less
+confidence is dropped.  Matching uses an inverted index: a url's tokens meet the
+rules' tokens, and a rule fires when all its tokens have been counted.
+
+Before mining, tokens that stand in exactly the same labelled urls are merged
+into one (scheme, top level and site of a single-site corpus, say), and tokens of
+all urls or of too few are left out: such tokens tell nothing apart, and all
+subsets of them would be itemsets.  What is mined is bounded by the different
+frequent tokens of a url: at most the mean over urls of the number of their
+combinations of up to max_tokens tokens, divided by the support, can be rules,
+whatever the number of urls; so the index is small and is shipped to the tasks,
+and scoring shuffles nothing.  Pruning by shorter rules is a join of the rules.
+Fitting reads all labelled urls; FP-growth combines equal branches before it
+shuffles, so a hot host costs few rows.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path,
-no tokens and the default verdict allow; urls that no rule fits are allowed;
-ties between rules go to the higher confidence, then support, then name;
-without labels there are no rules; repeated rows are judged alike; other
+no tokens and the default verdict allow; urls that no rule fits are allowed; of
+several rules the most significant decides, ties go to the higher confidence,
+then support, then name; without labels, or with an empty table of pages, there
+are no rules; repeated rows and rows of one or no id are judged alike, each by
+its own url; a very long url has as many tokens as it has different parts; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
+from statistics import NormalDist
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ASCII_LOWER, ASCII_UPPER, cut, table
+from quillon.llm.common import ASCII_LOWER, ASCII_UPPER, arrow_map, cut, table
 
 # Verdict, host suffix, path prefix.
 FIXED_RULES = (
@@ -42,14 +51,13 @@ FIXED_RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-BAD = "label=bad"
+BAD, GOOD = "label=bad", "label=good"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.3
-MIN_LIFT = 1.3
-#: Standard errors by which a rule's confidence must exceed the overall share of bad urls.
-MIN_SIGMAS = 3.0
+#: Chance that any rule at all is kept where labels don't depend on urls (Bonferroni over the combinations tried).
+ALPHA = 0.05
 MAX_TOKENS = 3
-#: A rule rests on so many bad urls at least, however few are labelled.
+#: A rule rests on so many urls of its label at least, however few are labelled.
 MIN_HITS = 20
 
 
@@ -91,11 +99,11 @@ def url_tokens(url: str | None) -> list[str]:
 def tokens_of(urls: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """(key, tokens) for each row."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"key": frame["key"], "tokens": [url_tokens(u) for u in frame["url"]]})
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tokens = pa.array([url_tokens(u) for u in batch.column("url").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), tokens], names=["key", "tokens"])
 
-    return urls.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url")).mapInPandas(batches, "key long, tokens array<string>")
+    return arrow_map(urls.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url")), of, "key long, tokens array<string>")
 
 
 @dataclass(frozen=True)
@@ -103,43 +111,65 @@ class UrlRule:
     tokens: tuple[str, ...]
     support: float
     confidence: float
+    verdict: str = "block"
+    #: Standard errors by which the confidence exceeds the label's overall share.
+    sigmas: float = 0.0
 
     @property
     def name(self) -> str:
         return "&".join(self.tokens)
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS, min_sigmas: float = MIN_SIGMAS, min_hits: int = MIN_HITS) -> list[UrlRule]:
-    """Rules for bad urls from columns tokens (array) and bad (boolean; null rows are left out)."""
-    rows = labelled.where("bad is not null and size(tokens) > 0")
-    items = cut(rows.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")))
-    n = items.count()
-    if n < min_hits:
+def telling_tokens(rows: DataFrame, n: int, least: int) -> DataFrame:
+    """(token) of rows (tokens): one for each set of urls that a token of at least least of the n urls, but not of all, stands in."""
+    each = rows.select(F.xxhash64(F.monotonically_increasing_id()).alias("url"), F.explode("tokens").alias("token"))
+    told = each.groupBy("token").agg(F.count("*").alias("freq"), F.sum(F.col("url").cast("decimal(38,0)")).alias("urls")).where((F.col("freq") >= least) & (F.col("freq") < n))
+    return told.groupBy("freq", "urls").agg(F.min("token").alias("token")).select("token")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, alpha: float = ALPHA, min_hits: int = MIN_HITS) -> list[UrlRule]:
+    """Rules for bad and for good urls from columns tokens (array) and bad (boolean; null rows are left out), the most significant first."""
+    rows = cut(labelled.where("bad is not null and size(tokens) > 0").select("tokens", "bad"))
+    n, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if n < min_hits or n_bad in (0, n):
         return []
-    frequent = FPGrowth(itemsCol="items", minSupport=max(min_support, min_hits / n), minConfidence=1.0).fit(items).freqItemsets
-    frequent = frequent.where(F.size("items") <= max_tokens + 1)
-    own = cut(frequent.select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq"))
-    bad = own.where("bad and size(tokens) > 0").select("tokens", F.col("freq").alias("hits"))
-    both = bad.join(own.where("not bad").select("tokens", "freq"), "tokens")
-    base = (own.where("bad and size(tokens) = 0").agg(F.max("freq")).first()[0] or 0) / n
-    if not 0 < base < 1:
+    least = max(min_hits, math.ceil(min_support * n))
+    told = telling_tokens(rows, n, least)
+    # At most (tokens of a url) / min_support tokens are frequent; one row, shipped as such.
+    held = told.agg(F.collect_list("token")).first()[0]
+    label = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
+    items = cut(rows.select(F.array_append(F.array_intersect("tokens", F.array(*map(F.lit, held)).cast("array<string>")), label).alias("items")))
+    frequent = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=1.0).fit(items).freqItemsets
+    labels = F.array(F.lit(BAD), F.lit(GOOD))
+    own = frequent.select(F.array_sort(F.array_except("items", labels)).alias("tokens"), F.get(F.array_intersect("items", labels), F.lit(0)).alias("label"), "freq")
+    own = cut(own.where(F.size("tokens").between(1, max_tokens)))
+    tried = own.where("label is not null").count()
+    if not tried:
         return []
-    strong = both.withColumn("confidence", F.col("hits") / F.col("freq")).where(
-        (F.col("confidence") >= max(min_confidence, min_lift * base)) & (F.col("confidence") - base >= min_sigmas * F.sqrt(F.lit(base * (1 - base)) / F.col("freq")))
-    )
-    found = [UrlRule(tuple(r["tokens"]), r["hits"] / n, r["confidence"]) for r in strong.select("tokens", "hits", "confidence").collect()]
-    return pruned(found)
+    hits = own.where("label is not null").withColumnRenamed("freq", "hits")
+    both = hits.join(own.where("label is null").select("tokens", "freq"), "tokens")
+    base = F.when(F.col("label") == BAD, n_bad / n).otherwise(1 - n_bad / n)
+    scored = both.withColumn("confidence", F.col("hits") / F.col("freq")).withColumn("sigmas", (F.col("confidence") - base) / F.sqrt(base * (1 - base) / F.col("freq")))
+    needed = NormalDist().inv_cdf(1 - alpha / tried)
+    strong = cut(scored.where((F.col("confidence") >= min_confidence) & (F.col("sigmas") >= needed)))
+    found = pruned(strong, max_tokens).select("tokens", "label", (F.col("hits") / n).alias("support"), "confidence", "sigmas").collect()
+    rules = [UrlRule(tuple(r["tokens"]), r["support"], r["confidence"], "block" if r["label"] == BAD else "allow", r["sigmas"]) for r in found]
+    return sorted(rules, key=lambda r: (-r.sigmas, -r.confidence, -r.support, r.name))
+
+
+def _chosen(tokens: Column, mask: int) -> Column:
+    """The tokens at the places of mask's bits."""
+    places = [k for k in range(mask.bit_length()) if mask >> k & 1]
+    return F.filter(tokens, lambda _, i: i.isin(*places))
 
 
-def pruned(rules: Sequence[UrlRule]) -> list[UrlRule]:
-    """rules without those that hold a shorter rule of at least their confidence, best first."""
-    known = {r.tokens: r.confidence for r in rules}
-    kept = [
-        r
-        for r in rules
-        if not any(known.get(part, -1.0) >= r.confidence for size in range(1, len(r.tokens)) for part in combinations(r.tokens, size))
-    ]
-    return sorted(kept, key=lambda r: (-r.confidence, -r.support, r.name))
+def pruned(rules: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """rules (tokens, label, confidence, ...) without those that hold a shorter rule of their label of at least their confidence."""
+    parts = [_chosen(F.col("tokens"), mask) for mask in range(1, (1 << max_tokens) - 1)]
+    each = rules.select("label", F.col("tokens").alias("whole"), F.col("confidence").alias("own"), F.explode(F.array_distinct(F.array(*parts))).alias("tokens"))
+    each = each.where((F.size("tokens") > 0) & (F.size("tokens") < F.size("whole")))
+    implied = each.join(rules.select("label", "tokens", "confidence"), ["label", "tokens"]).where("confidence >= own").select("label", F.col("whole").alias("tokens")).distinct()
+    return rules.join(implied, ["label", "tokens"], "left_anti")
 
 
 class RuleIndex:
@@ -154,7 +184,7 @@ class RuleIndex:
                 self.postings.setdefault(token, []).append(number)
 
     def match(self, tokens: Sequence[str]) -> int:
-        """The first rule whose tokens are all among the given distinct ones; -1 if none."""
+        """The first rule (the most significant) whose tokens are all among the given distinct ones; -1 if none."""
         seen: dict[int, int] = {}
         best = -1
         for token in tokens:
@@ -173,18 +203,17 @@ def judge(urls: DataFrame, rules: Sequence[UrlRule], fixed: Sequence[tuple[str,
     told = told.withColumn("fixed", fixed_verdict(F.col("host"), F.col("path"), fixed))
     told = told.select("page_id", "url", "host", "path", "fixed.rule", "fixed.verdict")
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            best = [index.match(url_tokens(u)) for u in frame["url"]]
-            frame["mined_rule"] = [index.rules[k].name if k >= 0 else None for k in best]
-            frame["confidence"] = [index.rules[k].confidence if k >= 0 else None for k in best]
-            frame["confidence"] = frame["confidence"].astype("float64")
-            yield frame.drop(columns=["url"])
-
-    schema = "page_id long, host string, path string, rule string, verdict string, mined_rule string, confidence double"
-    judged = told.mapInPandas(batches, schema)
-    own = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("verdict", own)).withColumnRenamed("page_id", id_col)
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        best = [index.match(url_tokens(u)) for u in batch.column("url").to_pylist()]
+        fired = [index.rules[k] if k >= 0 else None for k in best]
+        columns = [batch.column(x) for x in ("page_id", "host", "path", "rule", "verdict")]
+        columns += [pa.array([r and r.name for r in fired], pa.string()), pa.array([r and r.confidence for r in fired], pa.float64()), pa.array([r and r.verdict for r in fired], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence", "own"])
+
+    schema = "page_id long, host string, path string, rule string, verdict string, mined_rule string, confidence double, own string"
+    judged = arrow_map(told, of, schema)
+    verdict = F.coalesce("verdict", "own", F.lit("allow"))
+    return judged.withColumn("verdict", verdict).drop("own").withColumnRenamed("page_id", id_col)
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
