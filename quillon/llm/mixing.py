@@ -39,7 +39,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ASCII_LOWER, ASCII_UPPER, cut, rows_of, table, whole
+from quillon.llm.common import ASCII_LOWER, ASCII_UPPER, cut, rows_of, scratch, table, whole
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Powers of the default targets, by dimension.
@@ -99,15 +99,18 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     targets: for each dimension a DataFrame (value, target).  A value without a target keeps its sum.
     """
     parts = 1 + cells.count() // TASK_CELLS
-    fitted = cells.withColumn("fitted", F.col("words").cast("double"))
-    for _ in range(rounds):
-        for name, target in targets.items():
-            sums = fitted.groupBy(name).agg(F.sum("fitted").alias("sum"))
-            goals = target.select(F.col("value").alias(name), F.col("target").alias("goal"))
-            factor = F.when((F.col("sum") > 0) & F.col("goal").isNotNull(), F.col("goal") / F.col("sum")).otherwise(1.0)
-            factors = sums.join(goals, name, "left").select(name, factor.alias("factor"))
-            fitted = cut(fitted.join(factors, name).withColumn("fitted", F.col("fitted") * F.col("factor")).drop("factor").coalesce(parts))
-    return fitted
+    # Tables, not checkpoints: those would hand on Spark's estimates of size, which every join squares.
+    with scratch(cells.sparkSession) as outlive:
+        fitted = cut(cells.withColumn("fitted", F.col("words").cast("double")).coalesce(parts))
+        for _ in range(rounds):
+            for name, target in targets.items():
+                sums = fitted.groupBy(name).agg(F.sum("fitted").alias("sum"))
+                goals = target.select(F.col("value").alias(name), F.col("target").alias("goal"))
+                factor = F.when((F.col("sum") > 0) & F.col("goal").isNotNull(), F.col("goal") / F.col("sum")).otherwise(1.0)
+                factors = sums.join(goals, name, "left").select(name, factor.alias("factor"))
+                fitted = fitted.join(factors, name).withColumn("fitted", F.col("fitted") * F.col("factor")).drop("factor")
+            fitted = cut(fitted.coalesce(parts))
+        return outlive(fitted)
 
 
 def power_targets(cells: DataFrame, powers: Mapping[str, float]) -> dict[str, DataFrame]:

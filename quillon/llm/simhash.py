@@ -334,22 +334,23 @@ def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     them, so that Spark can split the join of a hub with very many edges.  Raises
     if max_rounds do not suffice.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")))
-        large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.where("u != v").distinct()
-        large = cut(large)
-        joined = large.join(cut(large.groupBy("u").agg(F.min("v").alias("low"))), "u")
-        small = joined.select("u", F.col("low").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("low").alias("v")))
-        edges = cut(small.where("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-            return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = now
+    # Tables, not checkpoints: those would hand on Spark's estimates of size, which every join squares.
+    with scratch(links.sparkSession) as outlive:
+        edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+        seen = None
+        for _ in range(max_rounds):
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            lows = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")))
+            large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+            large = cut(large.where("u != v").distinct())
+            joined = large.join(cut(large.groupBy("u").agg(F.min("v").alias("low"))), "u")
+            small = joined.select("u", F.col("low").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("low").alias("v")))
+            edges = cut(small.where("u != v").distinct())
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == seen:
+                roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+                return outlive(roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+            seen = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
