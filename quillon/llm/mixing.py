@@ -9,14 +9,15 @@ so that the expected words meet a budget.  Sampling compares a hash of doc_id
 with the probability: it is repeatable and independent of partitions.
 
 Topics are learned from the corpus: of the words of five letters or more that
-stand in at most a tenth of the documents, the ``TERMS`` most widespread are
+stand between spaces in at most a tenth of the documents, the ``TERMS`` most widespread are
 anchors, and a document's topic is the anchor with the largest count times
 inverse document frequency (in the text with A-Z lower-cased, inflected forms
 included), or ``other``.
 
 DataFrame functions alone run here.  Words are combined into cells before the
 shuffle (a hot source costs one row a task).  Each raking step sums the cells by
-one dimension and joins the sums back; no window or task spans all cells.  Cells
+one dimension and joins the sums back, by broadcast where the dimension has no
+more values than BROADCAST_CELLS; no window or task spans all cells.  Cells
 join documents by their keys; texts are shuffled for that only if there are more
 cells than BROADCAST_CELLS, which bounds what is broadcast and changes the plan,
 never the result.
@@ -62,21 +63,23 @@ def lowered(text: Column) -> Column:
 
 def topic_terms(docs: DataFrame, terms: int = TERMS, letters: int = LETTERS, common: float = COMMON) -> list[tuple[str, float]]:
     """The anchors, at most terms of them, with their inverse document frequencies, most widespread first."""
-    words = F.array_distinct(F.regexp_extract_all(lowered(F.col("text")), F.lit(f"\\p{{L}}{{{letters},}}"), F.lit(0)))
+    words = F.array_distinct(F.split(lowered(F.col("text")), " "))
     n = docs.count()
-    dfs = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= common * n)
+    dfs = docs.select(F.explode(words).alias("term")).where(F.length("term") >= letters).groupBy("term").agg(F.count("*").alias("df"))
+    dfs = dfs.where((F.col("df") <= common * n) & F.col("term").rlike("^\\p{L}+$"))
     return [(r["term"], math.log(n / r["df"])) for r in dfs.orderBy(F.col("df").desc(), "term").limit(terms).collect()]
 
 
-def topic(low: Column, terms: Sequence[tuple[str, float]]) -> Column:
-    """The topic of a text with A-Z lower-cased."""
-    best, name = F.lit(0.0), F.lit("other")
+def with_topic(told: DataFrame, terms: Sequence[tuple[str, float]]) -> DataFrame:
+    """told with topic in place of low, a text with A-Z lower-cased."""
+    if not terms:
+        return told.withColumn("topic", F.lit("other")).drop("low")
+    low = F.col("low")
+    # Columns of their own, so that each text is searched once for each term.
     scores = [(F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / F.lit(len(term)) * F.lit(idf) for term, idf in terms]
-    if scores:
-        best = F.greatest(F.lit(0.0), *scores)
-    for (term, _), score in reversed(list(zip(terms, scores, strict=True))):
-        name = F.when((best > 0) & (score == best), F.lit(term)).otherwise(name)
-    return name
+    scored = told.withColumn("scores", F.array(*scores)).withColumn("best", F.array_max("scores"))
+    name = F.get(F.array(*(F.lit(term) for term, _ in terms)), (F.array_position("scores", F.col("best")) - 1).cast("int"))
+    return scored.withColumn("topic", F.when(F.col("best") > 0, name).otherwise("other")).drop("low", "scores", "best")
 
 
 def described(docs: DataFrame, terms: Sequence[tuple[str, float]]) -> DataFrame:
@@ -84,7 +87,7 @@ def described(docs: DataFrame, terms: Sequence[tuple[str, float]]) -> DataFrame:
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     own = [F.col("doc_id"), uniform().alias("draw"), words.alias("words"), *(F.coalesce(F.col(x), F.lit("unknown")).alias(x) for x in ("source", "lang"))]
     told = rows_of(docs, *own, lowered(F.col("text")).alias("low"))
-    return told.withColumn("topic", topic(F.col("low"), terms)).drop("low")
+    return with_topic(told, terms)
 
 
 def uniform(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -102,13 +105,15 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     # Tables, not checkpoints: those would hand on Spark's estimates of size, which every join squares.
     with scratch(cells.sparkSession) as outlive:
         fitted = cut(cells.withColumn("fitted", F.col("words").cast("double")).coalesce(parts))
+        sizes = cells.agg(*(F.countDistinct(name) for name in targets)).first()
+        hints = {name: F.broadcast if size <= BROADCAST_CELLS else lambda df: df for name, size in zip(targets, sizes, strict=True)}
         for _ in range(rounds):
             for name, target in targets.items():
                 sums = fitted.groupBy(name).agg(F.sum("fitted").alias("sum"))
                 goals = target.select(F.col("value").alias(name), F.col("target").alias("goal"))
                 factor = F.when((F.col("sum") > 0) & F.col("goal").isNotNull(), F.col("goal") / F.col("sum")).otherwise(1.0)
                 factors = sums.join(goals, name, "left").select(name, factor.alias("factor"))
-                fitted = fitted.join(factors, name).withColumn("fitted", F.col("fitted") * F.col("factor")).drop("factor")
+                fitted = fitted.join(hints[name](factors), name).withColumn("fitted", F.col("fitted") * F.col("factor")).drop("factor")
             fitted = cut(fitted.coalesce(parts))
         return outlive(fitted)
 
@@ -198,8 +203,8 @@ WITH counted AS (
   SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}') AS low,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_words
   FROM documents),
-held AS (SELECT unnest(list_distinct(regexp_extract_all(low, '\\p{{L}}{{{LETTERS},}}'))) AS term FROM counted),
-dfs AS (SELECT term, count(*) AS df FROM held GROUP BY term HAVING count(*) <= {COMMON} * (SELECT count(*) FROM counted)),
+held AS (SELECT unnest(list_distinct(string_split(low, ' '))) AS term FROM counted),
+dfs AS (SELECT term, count(*) AS df FROM held WHERE regexp_full_match(term, '\\p{{L}}{{{LETTERS},}}') GROUP BY term HAVING count(*) <= {COMMON} * (SELECT count(*) FROM counted)),
 terms AS (SELECT term, ln((SELECT count(*) FROM counted) / df::DOUBLE) AS idf, row_number() OVER (ORDER BY df DESC, term) AS place FROM dfs QUALIFY place <= {TERMS}),
 scores AS (SELECT r, term, place, (length(low) - length(replace(low, term, '')))::DOUBLE / length(term) * idf AS score FROM counted, terms),
 topics AS (SELECT r, arg_max(term, (score, -place)) AS topic FROM scores WHERE score > 0 GROUP BY r),

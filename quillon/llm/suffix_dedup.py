@@ -55,7 +55,7 @@ from quillon.llm.common import arrow_map, cut, rows_of, scratch, table, text_par
 LENGTH = 50
 GRAM = 10
 #: Classes of a run that one task puts in order; longer runs are dealt window by window.
-RUN_ROWS = 2000
+RUN_ROWS = 256
 _CHARS = 1_000_000
 #: Bits of a position in a window's minimum; the rest hold the hash.
 _AT = 30
