@@ -11,8 +11,8 @@ with the probability: it is repeatable and independent of partitions.
 Topics are learned from the corpus: of the words of five letters or more that
 stand between spaces in at most a tenth of the documents, the ``TERMS`` most widespread are
 anchors, and a document's topic is the anchor with the largest count times
-inverse document frequency (in the text with A-Z lower-cased, inflected forms
-included), or ``other``.
+inverse document frequency (wherever it stands, inflected forms included), or
+``other``.
 
 DataFrame functions alone run here.  Words are combined into cells before the
 shuffle (a hot source costs one row a task).  Each raking step sums the cells by
@@ -40,7 +40,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ASCII_LOWER, ASCII_UPPER, cut, rows_of, scratch, table, whole
+from quillon.llm.common import cut, rows_of, scratch, table, whole
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Powers of the default targets, by dimension.
@@ -57,13 +57,9 @@ BROADCAST_CELLS = 50_000
 TASK_CELLS = 200_000
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)
-
-
 def topic_terms(docs: DataFrame, terms: int = TERMS, letters: int = LETTERS, common: float = COMMON) -> list[tuple[str, float]]:
     """The anchors, at most terms of them, with their inverse document frequencies, most widespread first."""
-    words = F.array_distinct(F.split(lowered(F.col("text")), " "))
+    words = F.array_distinct(F.split(F.coalesce(F.col("text"), F.lit("")), " "))
     n = docs.count()
     dfs = docs.select(F.explode(words).alias("term")).where(F.length("term") >= letters).groupBy("term").agg(F.count("*").alias("df"))
     dfs = dfs.where((F.col("df") <= common * n) & F.col("term").rlike("^\\p{L}+$"))
@@ -71,22 +67,22 @@ def topic_terms(docs: DataFrame, terms: int = TERMS, letters: int = LETTERS, com
 
 
 def with_topic(told: DataFrame, terms: Sequence[tuple[str, float]]) -> DataFrame:
-    """told with topic in place of low, a text with A-Z lower-cased."""
+    """told with topic in place of known, a text."""
     if not terms:
-        return told.withColumn("topic", F.lit("other")).drop("low")
-    low = F.col("low")
+        return told.withColumn("topic", F.lit("other")).drop("known")
+    known = F.col("known")
     # Columns of their own, so that each text is searched once for each term.
-    scores = [(F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / F.lit(len(term)) * F.lit(idf) for term, idf in terms]
+    scores = [(F.length(known) - F.length(F.replace(known, F.lit(term), F.lit("")))) / F.lit(len(term)) * F.lit(idf) for term, idf in terms]
     scored = told.withColumn("scores", F.array(*scores)).withColumn("best", F.array_max("scores"))
     name = F.get(F.array(*(F.lit(term) for term, _ in terms)), (F.array_position("scores", F.col("best")) - 1).cast("int"))
-    return scored.withColumn("topic", F.when(F.col("best") > 0, name).otherwise("other")).drop("low", "scores", "best")
+    return scored.withColumn("topic", F.when(F.col("best") > 0, name).otherwise("other")).drop("known", "scores", "best")
 
 
 def described(docs: DataFrame, terms: Sequence[tuple[str, float]]) -> DataFrame:
     """(d, row, doc_id, draw, words, source, lang, topic): each row of docs whole, its draw in [0, 1) and what places it in a cell."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     own = [F.col("doc_id"), uniform().alias("draw"), words.alias("words"), *(F.coalesce(F.col(x), F.lit("unknown")).alias(x) for x in ("source", "lang"))]
-    told = rows_of(docs, *own, lowered(F.col("text")).alias("low"))
+    told = rows_of(docs, *own, F.coalesce(F.col("text"), F.lit("")).alias("known"))
     return with_topic(told, terms)
 
 
@@ -200,13 +196,13 @@ def oracle() -> str:
     joins = " ".join(f"JOIN t_{x} USING ({x})" for x in DIMENSIONS)
     return f"""
 WITH counted AS (
-  SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}') AS low,
+  SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(text, '') AS known,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_words
   FROM documents),
-held AS (SELECT unnest(list_distinct(string_split(low, ' '))) AS term FROM counted),
+held AS (SELECT unnest(list_distinct(string_split(known, ' '))) AS term FROM counted),
 dfs AS (SELECT term, count(*) AS df FROM held WHERE regexp_full_match(term, '\\p{{L}}{{{LETTERS},}}') GROUP BY term HAVING count(*) <= {COMMON} * (SELECT count(*) FROM counted)),
 terms AS (SELECT term, ln((SELECT count(*) FROM counted) / df::DOUBLE) AS idf, row_number() OVER (ORDER BY df DESC, term) AS place FROM dfs QUALIFY place <= {TERMS}),
-scores AS (SELECT r, term, place, (length(low) - length(replace(low, term, '')))::DOUBLE / length(term) * idf AS score FROM counted, terms),
+scores AS (SELECT r, term, place, (length(known) - length(replace(known, term, '')))::DOUBLE / length(term) * idf AS score FROM counted, terms),
 topics AS (SELECT r, arg_max(term, (score, -place)) AS topic FROM scores WHERE score > 0 GROUP BY r),
 told AS (SELECT doc_id, text, source, lang, n_words, coalesce(topic, 'other') AS topic FROM counted LEFT JOIN topics USING (r)),
 cells AS (SELECT source, lang, topic, sum(n_words) AS words FROM told GROUP BY ALL),

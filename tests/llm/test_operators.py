@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -173,37 +175,93 @@ def test_components_of_a_long_chain(spark):
 # --- suffix arrays -------------------------------------------------------------------------------------------------
 
 
-def plain_repeats(texts, length):
-    seen, out = set(), {}
-    for d in sorted(texts):
-        w = words(texts[d])
+def plain_repeats(rows, length):
+    """(id, repeated word places) for each row (id, text), the first occurrence being that of the smallest id."""
+    seen, out = set(), []
+    for d, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        w, covered = words(text), set()
         for i in range(len(w) - length + 1):
             key = tuple(w[i : i + length])
             if key in seen:
-                out.setdefault(d, set()).update(range(i, i + length))
+                covered.update(range(i, i + length))
             seen.add(key)
+        out.append((d, covered))
     return out
 
 
-@pytest.mark.parametrize(("length", "gram"), [(50, 10), (8, 3)])
-def test_suffix_dedup_against_brute_force(spark, docs, texts, length, gram):
-    got = {r.doc_id: {i for s in r.spans for i in range(s.first, s.until)} for r in suffix_dedup.repeats(docs, length=length, gram=gram).collect()}
-    assert got == plain_repeats(texts, length)
+def listed(found):
+    return sorted(((str(d), sorted(covered)) for d, covered in found), key=repr)
+
+
+def spans_of(rows):
+    return [(r.doc_id, {i for s in r.spans for i in range(s.first, s.until)}) for r in rows]
+
+
+@pytest.mark.parametrize(("length", "gram", "run_rows"), [(50, 10, 2000), (8, 3, 2000), (8, 3, 1), (8, 3, 6)])
+def test_suffix_dedup_against_brute_force(spark, docs, length, gram, run_rows):
+    got = suffix_dedup.repeats(docs, length=length, gram=gram, run_rows=run_rows).collect()
+    assert listed(spans_of(got)) == listed(plain_repeats([r[:2] for r in corpus()], length))
+    assert all(r.n_removed == sum(s.until - s.first for s in r.spans) and bool(r.spans) == bool(r.first_docs) for r in got)
     assert suffix_dedup.repeats(empty(spark)).count() == 0
 
 
-def test_cut_stage_keeps_the_rest_as_it_was(spark, docs, texts):
+@pytest.mark.parametrize("run_rows", [2000, 3])
+def test_suffix_dedup_finds_windows_between_unlike_neighbours(spark, run_rows):
+    rng = random.Random(9)
+    middle = [f"m{k}" for k in range(14)]
+    rows = []
+    for k in range(120):
+        left, right = [f"l{rng.randrange(4)}-{i}" for i in range(9)], [f"r{rng.randrange(4)}-{i}" for i in range(9)]
+        fixed = [[f"l{rng.randrange(3)}x{i}" for i in range(9)], [f"r{rng.randrange(3)}x{i}" for i in range(9)]]
+        cut_left, cut_right = rng.randrange(10), rng.randrange(10)
+        left, right = left[:cut_left] + fixed[0][cut_left:], fixed[1][:cut_right] + right[cut_right:]
+        rows.append((k if k % 7 else (1 << 60) + k, " ".join([f"a{k}", *left, *middle, *right, f"z{k}"])))
+    rows += [(None, rows[0][1]), (None, rows[3][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for length, gram in ((20, 4), (16, 10), (24, 2)):
+        got = suffix_dedup.repeats(docs, length=length, gram=gram, run_rows=run_rows).collect()
+        assert listed(spans_of(got)) == listed(plain_repeats(rows, length))
+
+
+def test_extension_against_all_pairs():
+    rng = random.Random(8)
+    for _ in range(60):
+        n, length = rng.randrange(2, 12), 6
+        sides = [([rng.choice("ab") for _ in range(rng.randrange(7))], [rng.choice("ab") for _ in range(2, 8)]) for _ in range(n)]
+        rows = []
+        for k, (left, right) in enumerate(sides):
+            hi = len(left)
+            lo = max(length - len(right), 0)
+            if lo <= hi:
+                rows.append((k % 2, "".join(w + " " for w in right), "".join(w + " " for w in left), lo, hi))
+        rows.sort()
+        if not rows:
+            continue
+        runs, right, left, lo, hi = (list(x) for x in zip(*rows, strict=True))
+        rank = rng.sample(range(len(rows)), len(rows))
+        i, a, j = suffix_dedup.extended(np.array(runs), [x.encode() for x in right], [x.encode() for x in left], np.array(lo), np.array(hi), np.array(rank), length)
+        want = set()
+        for x in range(len(rows)):
+            for at in range(lo[x], hi[x] + 1):
+                window = (runs[x], left[x].split()[:at], right[x].split()[: length - at])
+                same = [y for y in range(len(rows)) if lo[y] <= at <= hi[y] and (runs[y], left[y].split()[:at], right[y].split()[: length - at]) == window]
+                first = min(same, key=rank.__getitem__)
+                if first != x:
+                    want.add((x, at, first))
+        assert set(zip(i.tolist(), a.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_cut_stage_keeps_the_rest_as_it_was(spark, docs):
     columns = [c.split()[0] for c in COLUMNS.split(", ")]
-    kept = {r.doc_id: r for r in suffix_dedup.cut_stage(spark, docs.select(columns), "").collect()}
-    repeated = plain_repeats(texts, 50)
-    for d, text in texts.items():
-        left = [w for i, w in enumerate(words(text)) if i not in repeated.get(d, ())]
-        if d not in repeated:
-            assert kept[d].text == text
-        elif not left:
-            assert d not in kept
-        else:
-            assert words(kept[d].text) == left and kept[d].n_chars == len(kept[d].text)
+    kept = sorted((r.doc_id, r.text, r.n_chars) for r in suffix_dedup.cut_stage(spark, docs.select(columns), "").collect())
+    texts, want = {r[0]: r for r in corpus()}, []
+    for d, gone in plain_repeats([r[:2] for r in corpus()], 50):
+        left = [w for i, w in enumerate(words(texts[d][1])) if i not in gone]
+        if left or not gone:
+            want.append((d, left, bool(gone)))
+    assert [(d, words(t)) for d, t, _ in kept] == [(d, left) for d, left, _ in sorted(want)]
+    changed = {d for d, _, cut in want if cut}
+    assert all((t, n) == (texts[d][1], texts[d][4]) if d not in changed else n == len(t) for d, t, n in kept)
 
 
 # --- rules, labels, scores -----------------------------------------------------------------------------------------
@@ -323,24 +381,51 @@ def test_script_narrows_candidates():
 
 
 def test_raking_meets_its_targets(spark, docs):
-    mixed = mixing.mix(docs, rounds=30)
-    assert mixed.count() == len(corpus())
-    cells = mixed.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_words").alias("w"), F.first("mix_weight").alias("f")).toPandas()
-    total = cells.w.sum()
+    told = mixing.described(docs, mixing.topic_terms(docs, common=0.5))
+    mixed = mixing.mix(told, rounds=8).select("doc_id", "words", *mixing.DIMENSIONS, "weight", "probability", "sampled", "draw").toPandas()
+    assert len(mixed) == len(corpus())
+    total = mixed.words.sum()
     for name, power in mixing.POWERS.items():
-        sums = cells.groupby(f"mix_{name}").w.sum() ** power
-        got = (cells.w * cells.f).groupby(cells[f"mix_{name}"]).sum()
+        sums = mixed.groupby(name).words.sum() ** power
+        got = (mixed.words * mixed.weight).groupby(mixed[name]).sum()
         assert np.allclose(got, sums / sums.sum() * total, rtol=0.05)
-    told = mixed.select("mix_words", "mix_probability").toPandas()
-    assert (told.mix_words * told.mix_probability).sum() == pytest.approx(mixing.BUDGET * told.mix_words.sum(), rel=1e-6)
-    assert mixing.mix(empty(spark)).count() == 0
+    assert (mixed.words * mixed.probability).sum() == pytest.approx(mixing.BUDGET * total, rel=1e-6)
+    assert (mixed.sampled == (mixed.draw < mixed.probability)).all() and mixed.probability.max() <= 1
+    assert mixing.mix(mixing.described(empty(spark), [])).count() == 0 and mixing.topic_terms(empty(spark)) == []
 
 
-def test_rare_cells_fit_without_the_small_path(spark, docs, monkeypatch):
-    near = {r.doc_id: r.mix_probability for r in mixing.mix(docs, rounds=2).collect()}
-    monkeypatch.setattr(mixing, "SMALL_CELLS", 0)
-    far = {r.doc_id: r.mix_probability for r in mixing.mix(docs, rounds=2).collect()}
-    assert all(far[k] == pytest.approx(p) for k, p in near.items())
+def test_topics_against_counting(docs):
+    rows = corpus()
+    terms = mixing.topic_terms(docs, terms=5, letters=6, common=0.4)
+    texts = [r[1] or "" for r in rows]
+    dfs = Counter(w for t in texts for w in set(t.split(" ")) if re.fullmatch(r"[^\W\d_]{6,}", w))
+    want = sorted(((w, n) for w, n in dfs.items() if n <= 0.4 * len(rows)), key=lambda x: (-x[1], x[0]))[:5]
+    assert terms == [(w, pytest.approx(np.log(len(rows) / n))) for w, n in want]
+    got = sorted((r.doc_id, r.topic) for r in mixing.described(docs, terms).collect())
+    plain = []
+    for r, low in zip(rows, texts, strict=True):
+        best = max(range(5), key=lambda k: (low.count(terms[k][0]) * terms[k][1], -k))
+        plain.append((r[0], terms[best][0] if low.count(terms[best][0]) else "other"))
+    assert got == sorted(plain)
+
+
+def test_raking_keeps_values_without_a_target(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("a", "y", "t", 30), ("b", "x", "t", 20), ("c", "y", "t", 0)], "source string, lang string, topic string, words long")
+    targets = {"source": spark.createDataFrame([("a", 80.0), ("none", 5.0)], "value string, target double"), "lang": spark.createDataFrame([("x", 50.0), ("y", 50.0)], "value string, target double")}
+    fitted = mixing.rake(cells, targets, rounds=1)
+    got = {(r.source, r.lang): r.fitted for r in fitted.collect()}
+    assert got[("a", "x")] == pytest.approx(25) and got[("b", "x")] == pytest.approx(25) and got[("a", "y")] == pytest.approx(50) and got[("c", "y")] == 0
+    assert mixing.marginal_error(fitted, {"lang": targets["lang"]}) == pytest.approx(0) and mixing.marginal_error(fitted, targets) == pytest.approx(5 / 80)
+
+
+def test_probabilities_meet_any_budget(spark):
+    rows = [(f"s{k}", "l", "t", w, float(f)) for k, (w, f) in enumerate([(10, 90), (40, 60), (100, 60), (50, 20), (0, 0), (7, 7)])]
+    fitted = spark.createDataFrame(rows, "source string, lang string, topic string, words long, fitted double")
+    for budget in (0.05, 0.3, 0.8, 0.97, 1.0):
+        got = mixing.probabilities(fitted, budget).collect()
+        assert sum(r.words * r.probability for r in got) == pytest.approx(budget * 207)
+        free = [r.probability / r.weight for r in got if r.words and r.probability < 1 - 1e-9]
+        assert all(x == pytest.approx(free[0]) for x in free)
 
 
 def test_bpe_equals_the_library(spark, docs, texts):
@@ -410,7 +495,8 @@ def test_url_rules(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("tokens", F.lit(1))
     labelled = url_rules.tokens_of(pages, "page_id", "url").withColumn("bad", F.array_contains("tokens", "host=spam") & F.array_contains("tokens", "path=es"))
     mined = url_rules.mine(labelled, min_hits=5)
-    assert mined and mined[0].tokens == ("host=spam", "path=es") and mined[0].confidence == 1.0
+    best = next(r for r in mined if r.verdict == "block")
+    assert any("es" in t for t in best.tokens) and best.confidence == 1.0 and len(best.tokens) == 2
     rules = [url_rules.UrlRule(("host=spam", "path=es"), 0.1, 1.0)]
     got = {r.page_id: r for r in url_rules.judge(pages, rules).collect()}
     for k, url in enumerate(urls):
@@ -424,20 +510,62 @@ def test_url_rules(spark):
     assert url_rules.mine(labelled.limit(0)) == []
 
 
-def test_shorter_rules_prune_longer_ones():
+def test_mining_against_counting(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(3000):
+        tokens = sorted({"always", "twin1" if k % 3 else "lone", "twin2" if k % 3 else "lone2", *(rng.choice(x) for x in (["a1", "a2"], ["b1", "b2", "b3"], ["c1", "c2", "c3", "c4"], [f"rare{k}", "d"]))})
+        bad = rng.random() < (0.9 if {"a1", "b2"} <= set(tokens) else 0.02 if "c4" in tokens else 0.15)
+        rows.append((tokens, bad))
+    data = spark.createDataFrame([*rows, ([], True), (["a1"], None)], "tokens array<string>, bad boolean")
+    got = url_rules.mine(data, min_support=0.01)
+    n, n_bad = len(rows), sum(bad for _, bad in rows)
+    kinds = {}
+    for token in {t for tokens, _ in rows for t in tokens}:
+        where = frozenset(k for k, (tokens, _) in enumerate(rows) if token in tokens)
+        if 30 <= len(where) < n:
+            kinds[where] = min(token, kinds.get(where, token))
+    held, counts = set(kinds.values()), Counter()
+    for tokens, bad in rows:
+        own = sorted(set(tokens) & held)
+        for size in (1, 2, 3):
+            for part in combinations(own, size):
+                counts[part, None] += 1
+                counts[part, "block" if bad else "allow"] += 1
+    tried = [(part, v) for (part, v), m in counts.items() if v and m >= 30]
+    z = NormalDist().inv_cdf(1 - 0.05 / len(tried))
+    strong = {}
+    for part, v in tried:
+        base, confidence = n_bad / n if v == "block" else 1 - n_bad / n, counts[part, v] / counts[part, None]
+        sigmas = (confidence - base) / (base * (1 - base) / counts[part, None]) ** 0.5
+        if confidence >= url_rules.MIN_CONFIDENCE and sigmas >= z:
+            strong[part, v] = (confidence, sigmas)
+    for part, v in list(strong):
+        if any(strong.get((p, v), (-1,))[0] >= strong[part, v][0] for size in range(1, len(part)) for p in combinations(part, size)):
+            strong[part, v] = (*strong[part, v], "implied")
+    want = {key: x for key, x in strong.items() if len(x) == 2}
+    assert {(r.tokens, r.verdict): (pytest.approx(r.confidence), pytest.approx(r.sigmas)) for r in got} == want
+    assert {v for _, v in want} == {"allow", "block"} and got == sorted(got, key=lambda r: -r.sigmas)
+
+
+def test_no_rule_where_labels_ignore_urls(spark):
+    rng = random.Random(3)
+    rows = [([f"{c}{rng.randrange(4)}" for c in "abcd"], rng.random() < 0.15) for _ in range(3000)]
+    assert url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")) == []
+
+
+def test_index_takes_the_first_rule():
     rule = url_rules.UrlRule
-    kept = url_rules.pruned([rule(("a",), 0.1, 0.8), rule(("a", "b"), 0.05, 0.8), rule(("a", "c"), 0.05, 0.9)])
-    assert [r.tokens for r in kept] == [("a", "c"), ("a",)]
-    index = url_rules.RuleIndex(kept)
+    index = url_rules.RuleIndex([rule(("a", "c"), 0.05, 0.9), rule(("a",), 0.1, 0.8)])
     assert index.match(["a", "c"]) == 0 and index.match(["a", "b"]) == 1 and index.match(["c"]) == -1
 
 
-def test_rows_without_ids_stay(spark):
-    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "quite another text of words"), (3, None), (3, None)]
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "quite another text of words"), (None, "quite another text of words"), (3, None), (3, None), (4, "one two three four five"), (4, "six seven eight nine ten")]
     docs = spark.createDataFrame([(*r, None, None, None) for r in rows], COLUMNS)
     kept = sorted(((r.doc_id, r.text) for r in simhash.keep_first(spark, docs, "").collect()), key=str)
-    assert kept == sorted((rows[k] for k in (0, 2, 3, 4, 5)), key=str)
-    found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert kept == sorted((rows[k] for k in (0, 3, 5, 7, 8)), key=str)
+    found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs.where("doc_id != 4 or doc_id is null")).collect()}
     assert found == {(1, 1), (2, 1), (None, 1), (None, None), (3, 3)}
 
 
@@ -472,7 +600,7 @@ def test_rows_of_one_id_lose_only_what_they_hold(spark):
     passage = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in ((1, passage), (2, passage + " more"), (2, "short"))], COLUMNS)
     kept = sorted((r.doc_id, r.text) for r in suffix_dedup.cut_stage(spark, docs, "").collect())
-    assert kept[0] == (1, passage) and kept[-1][1] in ("more", "short")
+    assert kept == [(1, passage), (2, "more"), (2, "short")]
 
 
 def test_numerals_are_no_letters():
