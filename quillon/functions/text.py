@@ -17,6 +17,8 @@ PLACEHOLDERS = ("none", "n/a", "na", "null", "unknown", "see description")
 NO_BRANDS = ("unknown", "generic", "n/a", "na", "none", "null", "")
 # Characters that brands lose at both ends.
 BRAND_EDGES = " \" .*+,-_!@#$%^&*();\\/|<>'\t\n\r"
+# Fixed value: marks that product types lose at the end.
+TYPE_ENDS = ",，。.!?;："
 # Fixed value: what counts as a query token.
 QUERY_TOKEN = "[a-zA-Z0-9]+(?:'[a-zA-Z0-9]+)*"
 
@@ -57,18 +59,18 @@ def price(text: Column) -> Column:
 def price_in_text(text: Column) -> Column:
     """The first amount after a dollar sign, else before the word dollar(s) or usd."""
     signed = F.nullif(F.regexp_extract(text, "\\$([\\d,]+\\.?\\d*)", 1), F.lit(""))
-    named = F.nullif(F.regexp_extract(text, "(?i)([\\d,]+\\.?\\d*)\\s*(?:dollars?|usd)", 1), F.lit(""))
+    # Only digits and one dot before the word: of "1,299 usd" that is 299.
+    named = F.nullif(F.regexp_extract(text, "(?i)(\\d+\\.?\\d*)\\s*(?:dollars?|usd)", 1), F.lit(""))
     return price(F.coalesce(signed, named))
 
 
 def product_type(categories: Column) -> Column:
-    """The last category of 3 to 50 characters (else the one before); of two halves joined by & the longer."""
+    """The last category of 3 to 50 characters (else the one before); of parts joined by & the first of the longest; null if nothing is left."""
     last, second = F.try_element_at(categories, F.lit(-1)), F.try_element_at(categories, F.lit(-2))
     fits = lambda c: F.length(c).between(3, 50)
     chosen = F.when(fits(last), last).when(fits(second), second)
-    left, right = F.substring_index(chosen, " & ", 1), F.substring_index(chosen, " & ", -1)
-    half = F.when(chosen.contains(" & "), F.when(F.length(left) >= F.length(right), left).otherwise(right)).otherwise(chosen)
-    return F.trim(F.regexp_replace(half, "[\\s.,;:!?，。；：！？]+$", ""))
+    part = F.btrim(longest(F.split(chosen, " & ")))
+    return F.nullif(F.btrim(F.regexp_replace(part, f"[{TYPE_ENDS}]+$", "")), F.lit(""))
 
 
 def first_keyword(text: Column, keywords: list[str]) -> Column:

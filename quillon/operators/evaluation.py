@@ -80,11 +80,12 @@ def noise_robustness(clean: Column, noisy: Column) -> Column:
     return F.when(clean == 0, F.when(noisy == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(noisy - clean) / clean))
 
 
-def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """(key, n, mean, low, high): percentile intervals of the mean.
+def bootstrap(values: DataFrame, key: str, value: str, row: str, rounds: int = 1000, level: float = 0.95) -> DataFrame:
+    """(key, n, mean, low, high): percentile intervals of the mean; row names a column that tells rows apart.
 
-    Each round draws Poisson(1) weights for rows by a seeded hash, so rounds are
-    partial sums that combine before the shuffle and no group meets in a task.
+    Each round draws a Poisson(1) weight for each row by an MD5 of row and round, so that equal values are drawn
+    independently, results repeat, and rounds are partial sums that combine before the shuffle.  A round that draws no row
+    of a key is left out; rows without a value are not drawn.
     """
 
     def draw(u: Column) -> Column:
@@ -94,10 +95,11 @@ def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 1000, level
             out = F.when(u >= edge, F.lit(count)).otherwise(out)
         return out
 
-    rows = values.select(key, F.col(value).cast("double").alias("v"), F.xxhash64(*values.columns).alias("row"))
+    rows = values.select(key, F.col(value).cast("double").alias("v"), F.col(row).cast("string").alias("row")).where("v is not null")
     every = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.pmod(F.xxhash64("row", "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sums = every.withColumn("w", draw(u)).groupBy(key, "round").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "row", F.col("round").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    sums = every.withColumn("w", draw(u)).where("w > 0").groupBy(key, "round").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    # rounds numbers for each key
     edges = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     ends = sums.groupBy(key).agg(edges.alias("e")).select(key, F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(ends, key)

@@ -79,8 +79,12 @@ def attribute_words(tokens: Column) -> Column:
 
 
 def gaps(positions: Column) -> Column:
-    """Tokens between neighbouring positions of an ordered array."""
-    return F.transform(F.slice(positions, F.lit(2), F.greatest(F.size(positions) - 1, F.lit(0))), lambda p, i: p - F.get(positions, i) - 1)
+    """Tokens between neighbouring positions of an ordered array, which is bound to a variable so that it is built once."""
+
+    def between(held: Column) -> Column:
+        return F.transform(F.slice(held, F.lit(2), F.greatest(F.size(held) - 1, F.lit(0))), lambda p, i: p - F.get(held, i) - 1)
+
+    return F.flatten(F.transform(F.array(positions), between))
 
 
 def frequency_label(ratio: Column, low: float, high: float) -> Column:

@@ -8,6 +8,7 @@ events.props is JSON detail text, pages are HTML, conversations are ordered text
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -200,12 +201,11 @@ def stemmed_tokens(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, json_extract_string(props, '$.' || k) AS v, k FROM events, (SELECT unnest(json_keys(props)) AS k FROM (SELECT props FROM events ORDER BY event_id LIMIT 1)) AS keys""")
+SELECT event_id, json_extract_string(props, '$.' || k) AS v, k FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props))""")
 def json_details_extract(spark, sf_dir):
-    events = t(spark, sf_dir, "events")
-    first = events.orderBy("event_id").select(F.json_object_keys("props").alias("k")).first()
-    pairs = F.array(*(F.struct(F.try_variant_get(F.try_parse_json("props"), f'$["{k}"]', "string").alias("v"), F.lit(k).alias("k")) for k in (first["k"] if first else [])))
-    return events.select("event_id", F.inline(pairs))
+    """Each row's own keys and values; rows whose text is no JSON object have none."""
+    events = t(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return events.select("event_id", F.explode("m").alias("k", "v"))
 
 
 @query(None)
@@ -554,9 +554,18 @@ def cluster_gap(spark, sf_dir):
     return told.agg(F.min_by("cluster", "d").alias("worst"), F.max_by("cluster", "d").alias("lightest"), F.round(F.max("d") - F.min("d"), 6).alias("gap"))
 
 
-@query(None)
+# The distribution of a Poisson(1) draw.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(count)) for count in range(1, 9)]
+_DRAW = "CASE " + " ".join(f"WHEN u >= {edge!r} THEN {count}" for count, edge in reversed(list(enumerate(_POISSON, 1)))) + " ELSE 0 END"
+
+
+@query(f"""WITH e AS (SELECT c_mktsegment, c_acctbal AS v, ('0x' || substr(md5(c_custkey || ':' || round), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u, round FROM customer, range(1, 1001) r(round)),
+m AS (SELECT c_mktsegment, round, sum({_DRAW} * v) / sum({_DRAW}) AS m FROM e GROUP BY ALL HAVING sum({_DRAW}) > 0),
+i AS (SELECT c_mktsegment, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL)
+SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(any_value(low), 4) AS low, round(any_value(high), 4) AS high FROM customer JOIN i USING (c_mktsegment) GROUP BY c_mktsegment""")
 def bootstrap_ci(spark, sf_dir):
-    return evaluation.bootstrap(t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal")
+    found = evaluation.bootstrap(t(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "c_custkey")
+    return found.select("c_mktsegment", "n", *(F.round(x, 4).alias(x) for x in ("mean", "low", "high")))
 
 
 @query("""WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem) SELECT count(d) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 4) AS t FROM d""")
@@ -588,11 +597,11 @@ def pca_gmm_clusters(spark, sf_dir):
     return placed.select("vec_id", "cluster", "embedding")
 
 
-@query("""WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS mu, greatest(var_pop(embedding[i]::DOUBLE), 1e-6) AS v FROM embeddings, range(1, 9) r(i) GROUP BY ALL)
+@query("""WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS mu, greatest(var_pop(embedding[i]::DOUBLE), 1e-6) AS v FROM embeddings, range(1, 65) r(i) GROUP BY ALL)
 SELECT a.label AS q, b.label AS p, round(0.5 * sum(ln(b.v) - ln(a.v) + (a.v + pow(a.mu - b.mu, 2)) / b.v - 1), 6) AS kl FROM p a JOIN p b ON a.i = b.i GROUP BY ALL""")
 def gaussian_kl(spark, sf_dir):
-    rows = t(spark, sf_dir, "embeddings").select("label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
-    users = clusters.gaussian_profiles(rows, "label", [f"x{i}" for i in range(8)])
+    rows = t(spark, sf_dir, "embeddings").select("label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    users = clusters.gaussian_profiles(rows, "label", [f"x{i}" for i in range(64)])
     other = users.select(F.col("label").alias("p"), F.col("mu").alias("pm"), F.col("var").alias("pv"))
     joined = users.join(retrieval.small(other))
     return joined.select(F.col("label").alias("q"), "p", F.round(vx.gaussian_kl(F.col("mu"), F.col("var"), F.col("pm"), F.col("pv")), 6).alias("kl"))
