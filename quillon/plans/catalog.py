@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import errors as er
 from quillon.functions import text as tx
 from quillon.functions import vectors as vx
-from quillon.operators import clusters, evaluation, matching, profiles, retrieval, syntax, tables
+from quillon.operators import attributes, clusters, evaluation, matching, profiles, retrieval, syntax, tables
 from quillon.streaming import appends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,38 @@ def reject_reasons(spark, sf_dir):
     )
 
 
+def _products(spark, sf_dir):
+    """Parts as products: the type's words as categories, odd ones with brand and price in details and title only."""
+    odd = F.col("p_partkey") % 2 == 1
+    text = F.concat(F.lit("A durable, easy to use "), F.lower("p_name"), F.when(F.col("p_size") % 3 == 0, " non-toxic part").otherwise(" part"), F.when(F.col("p_size") % 4 == 0, " used for cake tins.").otherwise("."))
+    details = F.to_json(F.struct(F.col("p_brand").alias("Brand"), F.col("p_size").cast("string").alias("Size"), F.when(F.col("p_size") > 25, F.lit(" steel ")).alias("Material")))
+    return t(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("asin"), F.lit(None).cast("string").alias("parent_asin"),
+        F.concat(F.col("p_name"), F.when(odd & (F.col("p_size") != 7), F.concat(F.lit(" $"), F.floor("p_retailprice").cast("string"))).otherwise("")).alias("title"),
+        F.when(~odd, F.col("p_brand")).alias("brand"), F.when(~odd, F.concat(F.lit("$"), F.floor("p_retailprice").cast("string"))).alias("price"),
+        F.when(~odd, F.split("p_type", " ")).alias("category"), F.split("p_type", " ").alias("categories"),
+        F.array(F.lit("<b>ok</b>"), F.lit("no"), F.concat(F.lit("<i>"), F.col("p_type"), F.lit("</i>"))).alias("features"), text.alias("description"),
+        F.when(F.col("p_size") != 9, details).otherwise(F.lit("{bad")).alias("details"),
+    )
+
+
+@query("""
+WITH p AS (SELECT *, p_partkey % 2 = 1 AS odd, p_size <> 9 AS told, floor(p_retailprice)::BIGINT::VARCHAR AS amount, string_split(p_type, ' ') AS cats FROM part),
+q AS (SELECT p_partkey::VARCHAR AS asin, CASE WHEN odd AND NOT told THEN NULL ELSE p_brand END AS brand, CASE WHEN NOT odd OR p_size <> 7 THEN amount END AS price,
+  CASE WHEN length(cats[-1]) BETWEEN 3 AND 50 THEN cats[-1] WHEN NOT odd AND length(cats[-2]) BETWEEN 3 AND 50 THEN cats[-2] END AS a1,
+  CASE WHEN p_size % 4 = 0 THEN 'Cake Decorating' END AS a5, told, p_size, p_type, CASE WHEN p_size % 3 = 0 THEN 'Non Toxic' END AS a8 FROM p),
+n AS (SELECT *, (a1 IS NOT NULL)::INT + (brand IS NOT NULL)::INT + (price IS NOT NULL)::INT + (a5 IS NOT NULL)::INT + told::INT + (told AND p_size > 25)::INT + told::INT + (a8 IS NOT NULL)::INT + 2 AS n_slots FROM q)
+SELECT asin, a1 AS product_type, brand, price, a5 AS use_case, CASE WHEN told AND p_size > 25 THEN 'steel' END AS material, CASE WHEN told THEN p_size::VARCHAR END AS size, a8 AS safety, 'Durable' AS durability,
+  'Easy|Easy To Use' AS ease, p_type AS last_feature, n_slots, CASE WHEN brand IS NULL THEN 'no_brand' WHEN price IS NULL THEN 'no_price' WHEN n_slots < 5 THEN 'few_slots' END AS reason FROM n""")
+def product_attributes(spark, sf_dir):
+    found = attributes.product_attributes(_products(spark, sf_dir), attributes.Category(uses=(("cake_stands", ""),)))
+    return found.select(
+        "asin", F.col("A1_product_type").alias("product_type"), F.col("A2_brand").alias("brand"), F.col("A3_price").alias("price"), F.col("A5_use_case").alias("use_case"),
+        F.try_element_at("A6_detailed", F.lit("material")).alias("material"), F.get("A14_size", F.lit(0)).alias("size"), F.get("A8_safety", F.lit(0)).alias("safety"),
+        F.array_join("A9_durability", "|").alias("durability"), F.array_join("A10_ease_of_use", "|").alias("ease"), F.try_element_at("features", F.lit(-1)).alias("last_feature"), "n_slots", "reason",
+    )
+
+
 @query("""
 WITH p AS (SELECT p_partkey AS asin, (p_partkey // 10) * 10 AS parent_asin FROM part), r AS (SELECT DISTINCT l_partkey AS asin, o_custkey AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 u AS (SELECT asin, user_id FROM r UNION SELECT parent_asin, user_id FROM p JOIN r USING (asin) WHERE asin <> parent_asin)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from quillon.functions import errors as er
 from quillon.functions import text as tx
-from quillon.operators import evaluation, matching, profiles, syntax, tables
+from quillon.operators import attributes, evaluation, matching, profiles, syntax, tables
 from quillon.sources import readers, writers
 from quillon.streaming import appends
 
 
-def one(spark, column, **values):
+def one(spark, column, schema=None, **values):
+    if schema is not None:
+        return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).first()["x"]
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column.alias("x")).first()["x"]
 
 
@@ -22,7 +24,7 @@ def test_duration(spark, seconds, told):
     assert one(spark, tx.duration(F.col("s")), s=seconds) == told
 
 
-@pytest.mark.parametrize(("text", "price"), [("$1,299.00", "1299.00"), ("19.99 dollars", "19.99"), ("none", None)])
+@pytest.mark.parametrize(("text", "price"), [("$1,299.00", "1299.00"), ("19.99 dollars", "19.99"), ("none", None), ("1,299 usd", "299")])
 def test_price_in_text(spark, text, price):
     assert one(spark, tx.price_in_text(F.col("t")), t=text) == price
 
@@ -141,3 +143,37 @@ def test_streams(spark, tmp_path):
     assert spark.sql("select sum(n) from counted").first()[0] == events.count()
     for q in spark.streams.active:
         q.stop()
+
+
+def test_product_type_takes_the_longest_part(spark):
+    for categories, want in ((["a", "Pots & Frying Pans & Lids."], "Frying Pans"), (["Cups", "x"], "Cups"), (["Toys!："], "Toys"), (["ok", "...."], None), ([], None)):
+        assert one(spark, tx.product_type(F.col("t")), "t array<string>", t=categories) == want
+
+
+@pytest.mark.parametrize(
+    ("title", "description", "features", "want"),
+    [
+        ("Mug for kids and painting", "", None, "Kids"),  # eight letters each, the one that the list has first
+        ("A <b>wedding</b> gift", None, [], "Wedding"),
+        ("Tray", "be used  for soap, and more", None, "Soap Making"),
+        ("Tray", "used for various things", None, None),
+        ("Tray", "used for grinding", ["for diaper changing"], "Diaper changing"),
+        ("Tray", "used for grinding", None, "Grinding"),
+        (None, None, None, None),
+    ],
+)
+def test_use_case(spark, title, description, features, want):
+    column = attributes.use_case(F.col("title"), F.col("description"), F.col("features"), attributes.Category())
+    assert one(spark, column, "title string, description string, features array<string>", title=title, description=description, features=features) == want
+
+
+def test_product_attributes_say_why_they_reject(spark):
+    ddl = "asin string, parent_asin string, title string, brand string, price string, category array<string>, categories array<string>, features array<string>, description string, details string"
+    full = dict(asin="a", parent_asin=None, title="Cup", brand="Acme", price="$1,299.", category=["Cups"], categories=None, features=None, description="Sturdy; BPA-free, safe cup for baby", details='{"Size": " L ", "Age Range Description": "2+"}')
+    rows = [full, full | {"asin": "", "parent_asin": None}, full | {"brand": None}, full | {"brand": " Generic "}, full | {"category": []}, full | {"price": ""}, full | {"description": None, "details": "bad"}, full | {"asin": None, "parent_asin": "p", "brand": "", "details": '{"Brand": "B"}', "category": None, "categories": ["x", "Bibs"], "price": None, "title": "Bib 5 dollars"}]
+    got = attributes.product_attributes(spark.createDataFrame(rows, ddl)).collect()
+    assert [r.reason for r in got] == [None, "no_asin", "no_brand", "invalid_brand", "no_category", "no_price", "few_slots", None]
+    first, last = got[0], got[-1]
+    assert (first.A1_product_type, first.A3_price, first.A5_use_case, first.A6_detailed) == ("Cups", "1299", "Baby", {"age_range": "2+", "size": "L"})
+    assert (first.A8_safety, first.A9_durability, first.A14_size, first.A16_compatibility) == (["Safe", "Bpa Free"], ["Sturdy"], ["L"], ["2+"]) and first.n_slots == 9
+    assert (last.asin, last.A1_product_type, last.A2_brand, last.A3_price) == ("p", "Bibs", "B", "5")
