@@ -122,7 +122,8 @@ class UrlRule:
 
 def telling_tokens(rows: DataFrame, n: int, least: int) -> DataFrame:
     """(token) of rows (tokens): one for each set of urls that a token of at least least of the n urls, but not of all, stands in."""
-    each = rows.select(F.xxhash64(F.monotonically_increasing_id()).alias("url"), F.explode("tokens").alias("token"))
+    # Numbered before tokens become rows: beside an explode the number would be that of a token.
+    each = rows.select(F.xxhash64(F.monotonically_increasing_id()).alias("url"), "tokens").select("url", F.explode("tokens").alias("token"))
     told = each.groupBy("token").agg(F.count("*").alias("freq"), F.sum(F.col("url").cast("decimal(38,0)")).alias("urls")).where((F.col("freq") >= least) & (F.col("freq") < n))
     return told.groupBy("freq", "urls").agg(F.min("token").alias("token")).select("token")
 
