@@ -139,7 +139,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, smoothing: float = 0.5) -
                 if lang not in sums:
                     sums[lang] = np.zeros(SLOTS + len(NAMES), np.int64)
                 if len(starts):
-                    sums[lang][:SLOTS] += np.bincount(_slots(data)[: starts[-1]], minlength=SLOTS)
+                    sums[lang][:SLOTS] += np.bincount(_slots(data)[: len(data) - 3], minlength=SLOTS)
                     bits = LEADS[(data[:-1].astype(np.uint32) << 8) | data[1:]]
                     sums[lang][SLOTS:] += [int(((bits >> k) & 1).sum()) for k in range(len(NAMES))]
         for lang, total in sums.items():
