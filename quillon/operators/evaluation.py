@@ -67,6 +67,39 @@ def relevant_sets(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFr
     )
 
 
+def novelty(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, novelty): over the first k places, each relevant document counts 1 / (1 + times it stood before), divided by k.
+    ranked (query_id, doc_id, rank) may repeat documents; a query without a relevant one has 0."""
+    again = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))
+    marked = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", "doc_id").distinct().withColumn("rel", F.lit(1.0)), ["query_id", "doc_id"], "left")
+    return marked.withColumn("again", again).groupBy("query_id").agg((F.coalesce(F.sum(F.col("rel") / F.col("again")), F.lit(0.0)) / k).alias("novelty"))
+
+
+def random_window(targets: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, p, n): expected hit and NDCG of k documents in doc_id order from a uniformly drawn start.
+
+    This is the value that repeated draws tend to.  Only a target among the first k - 1 documents has fewer than k starts
+    that reach it, so k - 1 ids are all that is looked up; targets that docs lacks have 0.  doc_id is unique in docs.
+    """
+    total = float(docs.count()) or 1.0
+    first = docs.select("doc_id").orderBy("doc_id").limit(k - 1).withColumn("starts", F.row_number().over(Window.orderBy("doc_id")))
+    held = targets.join(docs.select("doc_id", F.lit(True).alias("held")), "doc_id", "left").join(F.broadcast(first), "doc_id", "left")
+    starts = F.when(F.col("held"), F.coalesce("starts", F.lit(k))).otherwise(0)
+    gains = F.element_at(F.array(*(F.lit(sum(1 / math.log2(r + 1) for r in range(1, n + 1))) for n in range(k + 1))), starts + 1)
+    return held.select("query_id", "doc_id", (starts / total).alias("p"), (gains / total).alias("n"))
+
+
+def domain_levels(records: DataFrame, domain: str, depth: str, hit: str) -> DataFrame:
+    """(domain, low, mid, high, score): mean hit at depths up to 2, 3 to 4 and from 5, the mean size of the two steps between
+    them, and a row all domains (domain null) of plain means over the domains that have a value."""
+    d = F.col(depth)
+    levels = {"low": d <= 2, "mid": d.between(3, 4), "high": d >= 5}
+    each = records.groupBy(F.col(domain).alias("domain")).agg(*(F.avg(F.when(holds, F.col(hit))).alias(c) for c, holds in levels.items()))
+    each = each.withColumn("score", (F.abs(F.col("mid") - F.col("low")) + F.abs(F.col("high") - F.col("mid"))) / 2)
+    # One row a domain is left, so the grouping sets read few rows.
+    return each.rollup("domain").agg(*(F.avg(c).alias(c) for c in ("low", "mid", "high", "score")))
+
+
 def bin_of(value: Column, bounds: Sequence[tuple[float, float]], labels: Sequence[str]) -> Column:
     """The label of the left-closed bin that holds value; null outside all of them."""
     out = F.lit(None).cast("string")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import errors as er
 from quillon.functions import text as tx
 from quillon.functions import vectors as vx
-from quillon.operators import attributes, clusters, evaluation, matching, profiles, retrieval, syntax, tables
+from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, retrieval, syntax, tables
 from quillon.streaming import appends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +281,82 @@ def corpus_hash(spark, sf_dir):
     return t(spark, sf_dir, "documents").agg(F.count_if(F.length("text") > 0).alias("n"), F.countDistinct(F.md5("text")).alias("n_texts"), F.md5(ids).alias("corpus_hash"))
 
 
+def _catalogue(spark, sf_dir):
+    """Parts as products with sizes and weights in their texts, reviews, questions and neighbouring parts as related ones."""
+    key = F.col("p_partkey")
+    text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts))
+    reviews = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.struct(text("s", i).alias("summary"), text("very &amp; good ", i).alias("text"), F.when(i % 3 == 0, text("1,00", i % 7)).when(i % 3 == 1, text(i % 5)).alias("vote")))
+    return t(spark, sf_dir, "part").select(
+        key.cast("string").alias("asin"), F.when(key % 11 != 0, F.col("p_name")).alias("title"), F.when(key % 5 != 0, F.col("p_brand")).alias("brand"),
+        F.when(key % 3 == 0, text("Product Dimensions: ", F.col("p_size"), " x 2 x 3 inches ; 2 pounds")).alias("rank"),
+        text("Made of ", F.col("p_type"), F.when(key % 2 == 0, text(" 4 x 5 x ", F.col("p_size"), " cm, 1.5 lbs")).otherwise("")).alias("description"),
+        F.array(text("<b>", F.col("p_name"), "</b>  x"), F.lit("ASIN B00"), F.lit(None).cast("string"), F.col("p_type")).alias("feature"), reviews.alias("reviews"),
+        F.array(F.struct(F.lit("fits?").alias("question"), text("size ", F.col("p_size")).alias("answer"))).alias("qa"),
+        F.array(text(key + 1), F.lit("none"), text(key + 2), text(key + 3)).alias("also_buy"), F.when(key % 4 == 0, F.array(text(key - 1))).alias("also_view"),
+    )
+
+
+@query(r"""
+WITH p AS (SELECT *, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS brand FROM part),
+r AS (SELECT p_partkey, i, CASE WHEN i % 3 = 0 THEN 1000 + i % 7 WHEN i % 3 = 1 THEN i % 5 ELSE 0 END AS v FROM part, range(1, 51) x(i) WHERE i <= p_size),
+o AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY v DESC, i) AS place FROM r),
+rt AS (SELECT p_partkey, string_agg('The review "s' || i || '" states that "very & good ' || i || '". ', '' ORDER BY place) AS rt FROM o WHERE place <= 26 GROUP BY p_partkey),
+j AS (SELECT p.*, rt, '#1: ' || coalesce(a.title, 'Unknown') || chr(10) AS b1, '#3: ' || coalesce(b.title, 'Unknown') || chr(10) AS b2, CASE WHEN p.p_partkey % 4 = 0 THEN '#1: ' || coalesce(c.title, 'Unknown') || chr(10) END AS v1,
+  a.p_partkey AS ka, b.p_partkey AS kb, c.p_partkey AS kc FROM p LEFT JOIN rt USING (p_partkey) LEFT JOIN p a ON a.p_partkey = p.p_partkey + 1 LEFT JOIN p b ON b.p_partkey = p.p_partkey + 2 LEFT JOIN p c ON c.p_partkey = p.p_partkey - 1),
+l AS (SELECT *, coalesce(CASE WHEN ka IS NOT NULL THEN '  products also purchased: ' || chr(10) || b1 || CASE WHEN kb IS NOT NULL THEN b2 ELSE '' END END, '')
+  || coalesce(CASE WHEN kc IS NOT NULL THEN '  products also viewed: ' || chr(10) || v1 END, '') || coalesce('  brand: ' || brand || chr(10), '') AS rel FROM j)
+SELECT p_partkey::VARCHAR AS asin, '- product: ' || coalesce(title, 'Unnamed Product') || chr(10) || coalesce('- brand: ' || brand || chr(10), '')
+  || CASE WHEN p_partkey % 3 = 0 THEN '- dimensions: ' || p_size || ' x 2 x 3 inches' || chr(10) WHEN p_partkey % 2 = 0 THEN '- dimensions: 4 x 5 x ' || p_size || ' cm' || chr(10) ELSE '' END
+  || CASE WHEN p_partkey % 2 = 0 THEN '- weight: 1.5 lbs' || chr(10) ELSE '' END
+  || '- description: Made of ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN ' 4 x 5 x ' || p_size || ' cm, 1.5 lbs' ELSE '' END || chr(10)
+  || '- features: ' || chr(10) || '#1: ' || p_name || ' x' || chr(10) || '#2: ' || p_type || chr(10) || coalesce('- reviews: ' || rt || chr(10), '')
+  || '- Q&A: The question is "fits?", and the answer is "size ' || p_size || '". ' || chr(10) || CASE WHEN rel <> '' THEN '- relations:' || chr(10) || rel ELSE '' END AS document FROM l""")
+def product_documents(spark, sf_dir):
+    return documents.product_documents(_catalogue(spark, sf_dir))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 2 = 0 THEN '20.50' ELSE 'N/A' END AS price, p_size::VARCHAR AS size, CASE WHEN p_size = 20 THEN '20.0 (about)' ELSE p_type END AS kind FROM part)
+SELECT p_partkey, 'A2=' || p_brand || CASE WHEN price <> 'N/A' THEN '|A3=20.50' ELSE '' END || '|A6=' || size || CASE WHEN size = '20' THEN '' ELSE '|A7=' || kind END || '|A9=oak' AS picked FROM p""")
+def picked_attributes(spark, sf_dir):
+    one = F.array
+    slots = [
+        ("A2", one("p_brand", F.lit("x"))), ("A3", one(F.when(F.col("p_size") % 2 == 0, "20.50").otherwise("N/A"))), ("A5", F.lit(None).cast("array<string>")),
+        ("A6", one(F.lit(""), F.col("p_size").cast("string"))), ("A7", one(F.when(F.col("p_size") == 20, "20.0 (about)").otherwise(F.col("p_type")))), ("A8", one(F.upper("p_brand"))), ("A9", one(F.lit("oak; elm"))),
+    ]
+    found = documents.picked_attributes(slots)
+    return t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda a: F.concat_ws("=", a["key"], a["value"])), "|").alias("picked"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, avg(l_linenumber) / 1.0 AS mean FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN round_even(mean, 0) >= 1 THEN round_even(mean, 0)::INT END AS depth FROM m""")
+def target_depths(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(documents.target_depth(F.avg("l_linenumber")).alias("depth"))
+
+
+@query("""WITH r AS (SELECT conv_id AS query_id, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rank FROM conversations), k AS (SELECT * FROM r WHERE rank <= 10),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, role ORDER BY rank) AS again FROM k) SELECT query_id, round(sum(CASE WHEN role = 'user' THEN 1.0::DOUBLE / again ELSE 0 END) / 10, 6) AS novelty FROM a GROUP BY query_id""")
+def novelty(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    ranked = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("role").alias("doc_id"), place.alias("rank"))
+    found = evaluation.novelty(ranked, ranked.where("doc_id = 'user'"), k=10)
+    return found.select("query_id", F.round("novelty", 6).alias("novelty"))
+
+
+@query("""WITH d AS (SELECT vec_id, least(row_number() OVER (ORDER BY vec_id), 10) AS s, count(*) OVER () AS n FROM embeddings)
+SELECT vec_id AS query_id, vec_id AS doc_id, round(s / n::DOUBLE, 9) AS p, round(list_sum(list_transform(range(1, s + 1), lambda r: 1 / log2(r + 1))) / n, 9) AS n FROM d""")
+def random_window(spark, sf_dir):
+    docs = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    found = evaluation.random_window(docs.select(F.col("doc_id").alias("query_id"), "doc_id"), docs)
+    return found.select("query_id", "doc_id", F.round("p", 9).alias("p"), F.round("n", 9).alias("n"))
+
+
+@query("""WITH m AS (SELECT l_returnflag AS domain, avg(CASE WHEN l_linenumber <= 2 THEN l_discount END) AS low, avg(CASE WHEN l_linenumber BETWEEN 3 AND 4 THEN l_discount END) AS mid, avg(CASE WHEN l_linenumber >= 5 THEN l_discount END) AS high FROM lineitem GROUP BY 1),
+s AS (SELECT *, (abs(mid - low) + abs(high - mid)) / 2 AS score FROM m) SELECT domain, round(avg(low), 6) AS low, round(avg(mid), 6) AS mid, round(avg(high), 6) AS high, round(avg(score), 6) AS score FROM s GROUP BY ROLLUP (domain)""")
+def domain_levels(spark, sf_dir):
+    found = evaluation.domain_levels(t(spark, sf_dir, "lineitem"), "l_returnflag", "l_linenumber", "l_discount")
+    return found.select("domain", *(F.round(c, 6).alias(c) for c in ("low", "mid", "high", "score")))
+
+
 # --- aggregations --------------------------------------------------------------------------------------------------
 
 
