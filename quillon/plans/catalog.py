@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import errors as er
 from quillon.functions import text as tx
 from quillon.functions import vectors as vx
-from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, retrieval, syntax, tables
+from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, retrieval, selection, syntax, tables
 from quillon.streaming import appends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -779,3 +779,146 @@ def key_reconciliation(spark, sf_dir):
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def hourly_events(spark, sf_dir):
     return appends.windowed_counts(t(spark, sf_dir, "events"), "ts", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# --- selection between stages --------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT doc_id, n_chars % 97 AS user_id, n_chars AS asin, text FROM documents), bad AS (SELECT DISTINCT user_id FROM (SELECT user_id, asin FROM r GROUP BY ALL HAVING count(text) > 1 AND count(DISTINCT text) = 1))
+SELECT doc_id, user_id FROM r ANTI JOIN bad USING (user_id)""")
+def users_without_copied_reviews(spark, sf_dir):
+    reviews = t(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).alias("user_id"), F.col("n_chars").alias("asin"), "text")
+    return selection.without_copied_reviews(reviews).select("doc_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id ORDER BY min(event_id), user_id LIMIT 10)")
+def first_ten_users(spark, sf_dir):
+    return selection.first_users(t(spark, sf_dir, "events"), "user_id", "event_id", 10).select("event_id", "user_id")
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_texts(spark, sf_dir):
+    return selection.first_texts(t(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+_CACHES = """p AS (SELECT item_id, item_id % 7 AS user_id, text AS correct_query, replace(text, 'th', 'ht') AS noisy_query FROM benchmark),
+cc AS (SELECT user_id, correct_query AS query FROM p WHERE item_id % 3 <> 0 AND user_id <> 2), nc AS (SELECT user_id, noisy_query AS query FROM p WHERE item_id % 4 <> 0 AND user_id <> 3)"""
+
+
+@query(f"""WITH {_CACHES} SELECT item_id, CASE WHEN user_id NOT IN (SELECT user_id FROM cc) THEN 'missing_correct_user' WHEN user_id NOT IN (SELECT user_id FROM nc) THEN 'missing_noisy_user'
+  WHEN (user_id, correct_query) NOT IN (SELECT (user_id, query) FROM cc) THEN 'missing_correct_query' WHEN (user_id, noisy_query) NOT IN (SELECT (user_id, query) FROM nc) THEN 'missing_noisy_query' END AS miss FROM p""")
+def cached_pairs(spark, sf_dir):
+    pairs = t(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 7).alias("user_id"), F.col("text").alias("correct_query"), F.replace("text", F.lit("th"), F.lit("ht")).alias("noisy_query"))
+    clean = pairs.where("item_id % 3 <> 0 and user_id <> 2").select("user_id", F.col("correct_query").alias("query"))
+    noisy = pairs.where("item_id % 4 <> 0 and user_id <> 3").select("user_id", F.col("noisy_query").alias("query"))
+    return selection.cached_pairs(pairs, clean, noisy).select("item_id", "miss")
+
+
+@query("SELECT l_linenumber AS cluster, count(*) AS n, round(avg(l_discount - l_tax), 6) AS gap FROM lineitem WHERE l_discount <= l_tax GROUP BY 1")
+def gap_without_gains(spark, sf_dir):
+    kept = selection.not_improved(t(spark, sf_dir, "lineitem"), "l_tax", "l_discount")
+    return kept.groupBy(F.col("l_linenumber").alias("cluster")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("l_discount") - F.col("l_tax")), 6).alias("gap"))
+
+
+@query("""WITH a AS (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels UNION SELECT page_id FROM pages UNION SELECT item_id FROM benchmark)
+SELECT in_documents, in_labels, in_pages, in_benchmark, count(*) AS n FROM (SELECT doc_id IN (SELECT doc_id FROM documents) AS in_documents, doc_id IN (SELECT doc_id FROM labels) AS in_labels,
+  doc_id IN (SELECT page_id FROM pages) AS in_pages, doc_id IN (SELECT item_id FROM benchmark) AS in_benchmark FROM a WHERE doc_id IS NOT NULL) GROUP BY ALL""")
+def key_coverage(spark, sf_dir):
+    ids = {"documents": "doc_id", "labels": "doc_id", "pages": "page_id", "benchmark": "item_id"}
+    sides = {f"in_{name}": t(spark, sf_dir, name).select(F.col(c).alias("doc_id")) for name, c in ids.items()}
+    return selection.coverage(sides, "doc_id").groupBy(*sides).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT o_custkey FROM orders) AND user_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def valid_users(spark, sf_dir):
+    owners = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"))
+    good = t(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("user_id"))
+    paying = t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    return selection.in_all(t(spark, sf_dir, "events"), [owners, good, paying], "user_id")
+
+
+@query("""SELECT o_custkey AS user_id, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS asin FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+  AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) GROUP BY 1""")
+def user_tasks(spark, sf_dir):
+    customers = t(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "user_id")
+    owned = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("asin"), F.col("o_orderdate").alias("ordinal"))
+    return selection.user_tasks(owned, [customers.where("c_acctbal > 0")], customers.where("c_nationkey = 3"))
+
+
+@query("""WITH e AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1) SELECT item_id % 7 AS user_id, item_id AS asin,
+  CASE WHEN item_id % 2 = 0 THEN text ELSE upper(text) END AS query, errors FROM benchmark LEFT JOIN e ON item_id % 7 = user_id WHERE item_id % 5 <> 0""")
+def query_tasks(spark, sf_dir):
+    fields = [F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(" ").alias("first"), F.upper("text").alias("second")]
+    records = t(spark, sf_dir, "benchmark").select((F.col("item_id") % 7).alias("user_id"), F.col("item_id").alias("asin"), *fields)
+    errors = t(spark, sf_dir, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("errors"))
+    return selection.query_tasks(records, errors, records.where("asin % 5 = 0"), ["first", "second"])
+
+
+@query("""WITH m AS (SELECT l_suppkey, l_linenumber, l_linestatus, arg_max(l_quantity, l_orderkey) AS v FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, l_linenumber, a.v AS clean, b.v AS noisy, b.v - a.v AS diff FROM m a JOIN m b USING (l_suppkey, l_linenumber) WHERE a.l_linestatus = 'O' AND b.l_linestatus = 'F'""")
+def paired_results(spark, sf_dir):
+    lines = t(spark, sf_dir, "lineitem")
+    return selection.paired(lines.where("l_linestatus = 'O'"), lines.where("l_linestatus = 'F'"), ["l_suppkey", "l_linenumber"], "l_orderkey", "l_quantity")
+
+
+@query("""WITH p AS (SELECT l_suppkey AS user_id, count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem GROUP BY 1)
+SELECT p_partkey AS query_id, user_id, (user_id % 3)::INT AS cluster, n AS n_reviews, round(CASE WHEN hi = lo THEN 0.5 ELSE greatest(0, least(1, (p_size - lo) / (hi - lo))) END, 6) AS percentile, round(p_size - m, 6) AS shift,
+  round(CASE WHEN s = 0 THEN 0 ELSE (p_size - m) / s END, 6) AS zscore, p_size > m AS above_mean, p_size > q3 AS above_q75, p_size < q1 AS below_q25 FROM part JOIN p ON user_id = p_partkey % 5 + 1""")
+def placed_queries(spark, sf_dir):
+    reviews = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_quantity").alias("score"))
+    users = reviews.select("user_id").distinct().withColumn("cluster", (F.col("user_id") % 3).cast("int"))
+    asked = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 5 + 1).alias("user_id"), F.col("p_size").cast("double").alias("score"))
+    out = selection.placed_queries(asked, reviews, users).drop("score")
+    return out.select(*(F.round(c, 6).alias(c) if c in ("percentile", "shift", "zscore") else c for c in out.columns))
+
+
+@query("""SELECT DISTINCT o_custkey AS user_id, unnest([p_partkey + 1, p_partkey + 2, p_partkey * 2]) AS asin FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""")
+def related_products(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    history = t(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("user_id", F.col("l_partkey").alias("asin"))
+    key = F.col("p_partkey")
+    return selection.related_products(history, t(spark, sf_dir, "part").select(key.alias("asin"), F.array(key + 1, key + 2).alias("also_buy"), F.array(key + 2, key * 2).alias("also_view")))
+
+
+_DEPTHS = """d AS (SELECT l_suppkey AS user_id, l_linenumber AS depth, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS place FROM lineitem),
+u AS (SELECT user_id, count(*) AS n, round(avg(depth), 4) AS avg_depth, min(depth) AS min_depth, max(depth) AS max_depth, string_agg(depth, ',' ORDER BY place) AS depths FROM d WHERE place <= 10 GROUP BY 1)"""
+
+
+def _depths(spark, sf_dir):
+    reviews = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user_id"), "l_orderkey", "l_linenumber", F.col("l_linenumber").alias("depth"))
+    return selection.depth_profiles(reviews, ["l_orderkey", "l_linenumber"])
+
+
+@query(f"WITH {_DEPTHS} SELECT * FROM u")
+def depth_profiles(spark, sf_dir):
+    return _depths(spark, sf_dir).withColumn("depths", F.array_join(F.col("depths").cast("array<string>"), ","))
+
+
+@query(f"WITH {_DEPTHS} SELECT count(*) AS users, CAST(sum(n) AS BIGINT) AS reviews, round(sum(avg_depth * n) / sum(n), 4) AS avg_depth, min(min_depth) AS min_depth, max(max_depth) AS max_depth FROM u")
+def depth_overall(spark, sf_dir):
+    return selection.depth_overall(_depths(spark, sf_dir))
+
+
+@query("""WITH m AS (SELECT l_linenumber, l_returnflag, avg(l_discount) AS m FROM lineitem GROUP BY ALL) SELECT l_linenumber, CASE WHEN count(m) = 3 THEN round(avg(m), 6) END AS mean, count(m) AS n_domains FROM m GROUP BY 1""")
+def macro_means(spark, sf_dir):
+    return selection.macro_mean(t(spark, sf_dir, "lineitem"), ["l_linenumber"], "l_returnflag", "l_discount", domains=3).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH {_PAIRS}, u AS (SELECT user_id, list(DISTINCT lower(original)) AS ws FROM pairs GROUP BY user_id), x AS (SELECT item_id, place, w AS token, unnest(ws) AS word FROM toks JOIN u ON item_id % 7 = user_id),
+c AS (SELECT *, list_distinct(string_split(lower(token), '')) AS a, list_distinct(string_split(lower(word), '')) AS b FROM x), s AS (SELECT item_id, place, word, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS sim FROM c)
+SELECT item_id, place::INT AS place, round(max(sim), 6) AS best, string_agg(word, ',' ORDER BY sim DESC, word) AS words FROM (SELECT *, row_number() OVER (PARTITION BY item_id, place ORDER BY sim DESC, word) AS r FROM s) WHERE r <= 5 GROUP BY ALL""")
+def similar_words(spark, sf_dir):
+    known = _pairs(spark, sf_dir).groupBy("user_id").agg(F.collect_set(F.lower("original")).alias("words"))
+    tokens = t(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 7).alias("user_id"), F.posexplode(tx.query_tokens(F.col("text"))).alias("place", "token"))
+    near = tokens.join(F.broadcast(known), "user_id").select("item_id", "place", selection.similar_words(F.col("token"), F.col("words")).alias("near"))
+    return near.select("item_id", "place", F.round(F.col("near")[0]["similarity"], 6).alias("best"), F.array_join("near.word", ",").alias("words"))
+
+
+@query(None)
+def attribute_uses(spark, sf_dir):
+    """The first five words of each benchmark text as attributes A1 to A5 of the whole text."""
+    words = F.slice(F.array_distinct(tx.query_tokens(F.col("text"))), 1, 5)
+    values = F.map_from_entries(F.transform(words, lambda w, i: F.struct(F.concat(F.lit("A"), (i + 1).cast("string")), w)))
+    used = t(spark, sf_dir, "benchmark").select("item_id", values.alias("values"), selection.attribute_uses(F.col("text"), values).alias("uses"))
+    faults = selection.attribute_faults(F.col("values"), F.col("uses"))
+    return used.select("item_id", F.size(faults).alias("n_faults"), F.array_join(faults, "; ").alias("faults"))
