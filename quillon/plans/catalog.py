@@ -447,7 +447,13 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(*_search(spark, sf_dir), k=10)
 
 
-@query(f"""WITH {_TOKENS}, w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
+_GRAMS = """list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"""
+
+
+@query(f"""WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), qs AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_GRAMS.format('ws')}) AS term FROM dw) GROUP BY ALL), q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_GRAMS.format('ws')}) AS term FROM qs) GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) <= 0.95 * (SELECT n FROM n) ORDER BY sum(tf) DESC, term LIMIT 20000),
+w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
 dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM w GROUP BY doc_id), qw AS (SELECT query_id, term, (1 + ln(qtf)) * (ln((1 + n.n) / (1 + df)) + 1) AS qw FROM q JOIN df USING (term), n),
 qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY query_id),
 s AS (SELECT query_id, doc_id, sum(w * qw) / (any_value(dn) * any_value(qn)) AS score FROM w JOIN qw USING (term) JOIN dn USING (doc_id) JOIN qn USING (query_id) GROUP BY query_id, doc_id) {_TOP.format('s', 10)}""")
