@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,12 +78,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-_scopes: list[list[str]] = []
+#: Open scopes of written tables, innermost last; queries built in other threads have their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the shared folder, so a lost executor costs no recomputation from the source: a checkpoint, inside scratch() a table."""
-    if _scopes:
+    if _scopes.get():
         return written(df)[0]
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -91,28 +93,51 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, which is smaller than a checkpoint of many narrow rows; and the table's path."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def numbered(df: DataFrame, order: list[Column | str]) -> tuple[DataFrame, int]:
+    """df as a written table with ``at``, each row's place from 0 in the given order, and the number of rows; equal rows are in any order.
+
+    Ranges of rows are sorted apart and numbered by the rows of the ranges before them: one count a range passes through the driver.
+    Rows equal in the order are dealt by a number of their own, so that no range need hold them all.  df itself is written first, as
+    Spark reads it twice, to find ranges and to deal.
+    """
+    own = written(df.withColumn("own_number", F.monotonically_increasing_id()))[0]
+    keys = [*order, "own_number"]
+    dealt = own.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("own_number").withColumn("at", F.monotonically_increasing_id())
+    # at is the range's number times 2**33 and the place in the range.
+    ranges, size = written(dealt)[0], 1 << 33
+    offsets, total = [], 0
+    for row in sorted(ranges.groupBy(F.shiftright("at", 33).cast("int").alias("part")).count().collect()):
+        offsets.append((row.part, total))
+        total += row["count"]
+    shift = df.sparkSession.createDataFrame(offsets, "part int, before long")
+    found = ranges.withColumn("part", F.shiftright("at", 33).cast("int")).join(F.broadcast(shift), "part")
+    return found.withColumn("at", F.col("before") + F.col("at") % size).select(*df.columns, "at"), total
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables written inside go when it ends.  What reads them and shall outlive it passes through the function that it gives, which cuts it loose."""
-    _scopes.append([])
+    outer, own = _scopes.get(), []
+    _scopes.set((*outer, own))
 
     def outlive(df: DataFrame) -> DataFrame:
-        own = _scopes.pop()
+        _scopes.set(outer)
         try:
             return cut(df)
         finally:
-            _scopes.append(own)
+            _scopes.set((*outer, own))
 
     try:
         yield outlive
     finally:
-        for path in _scopes.pop():
+        _scopes.set(outer)
+        for path in own:
             delete(spark, path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, langid, license, media, mixing, quality_rules, rule_ensemble, simhash, suffix_dedup, url_rules
+from quillon.llm import bpe, langid, license, media, mixing, ngram_join, quality_rules, resample, rule_ensemble, simhash, suffix_dedup, turn_repair, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.op8_bpe_round_trip,
         "op9_language_id": langid.op9_language_id,
         "op10_license_scan": license.op10_license_scan,
+        "op11_ngram_join": ngram_join.op11_ngram_join,
+        "op12_importance_resampling": resample.op12_importance_resampling,
+        "op13_conversation_repair": turn_repair.op13_conversation_repair,
     }
 
 
