@@ -17,7 +17,7 @@ from being computed where no pair can link:
    column.  Pairs below 80 per cent are dropped there.  A column links its rows with its
    most central one first (the one with fewest rarer shingles), so that a group of n
    near copies costs n comparisons, not n * n.  Columns that hold over 1 / HOT_SHARE of
-   all documents are dealt in SALTS parts whose central rows meet in a second round;
+   all documents are dealt in SALTS parts, whose central rows give the column's own;
 4. row blocks of candidates hold one row and up to BLOCK_ROWS partners.  Their overlaps
    are accumulated over blocks of columns of the whole sets; a pair is
    discarded once its overlap and what is left of the smaller set cannot reach the bound;
@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, scratch, table, text_batches, written
-from quillon.llm.simhash import components, named_classes, shingle_sets
+from quillon.llm.simhash import components, shingle_sets
 
 SHINGLE = 5
 #: The least similarity as a fraction.
@@ -178,15 +178,15 @@ def may_link(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray)
 
 
 _MEMBERS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("other", pa.int64())])
-#: Kinds of rows: a pair of candidates (c, other), a row of a column with several, and the central row of a column's part.
-PAIR, MEMBER, CENTRE = range(3)
+#: Kinds of rows: a pair of candidates (c, other), a row of a column with several, and of a column in parts a row and a part's central row.
+PAIR, MEMBER, PARTED, CENTRE = range(4)
 
 
-def central_pairs(dealt: DataFrame, always: bool = False) -> DataFrame:
-    """Rows of kinds PAIR, MEMBER and CENTRE from entries (key, salt, c, n, place): each column's rows meet its most central one.
+def central_pairs(dealt: DataFrame) -> DataFrame:
+    """Rows of all kinds from entries (key, salt, c, n, place): each column's rows meet its most central one.
 
     A column streams by; all that is held is its central row, so it may be of any length.  MEMBER rows are those of columns in which
-    pairs without the central row are possible: over two rows, or with always all.
+    pairs without the central row are possible, over two rows.
     """
     names = ("key", "salt", "c", "n", "place")
 
@@ -202,19 +202,17 @@ def central_pairs(dealt: DataFrame, always: bool = False) -> DataFrame:
                 continue
             new = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
             heads, run = np.flatnonzero(new), np.cumsum(new) - 1
-            hub, m, other = c[heads][run], n[heads][run], place[heads][run]
+            parted, hub, m, other = salt > 0, c[heads][run], n[heads][run], place[heads][run]
             follows = c != hub
-            near = follows & may_link(n, place, m, other)
+            near = follows & ~parted & may_link(n, place, m, other)
             pairs = np.unique(np.stack([hub[near], c[near]], axis=1), axis=0)
             yield rows_of(PAIR, pairs[:, 0] * 0, pairs[:, 0], pairs[:, 0] * 0, pairs[:, 0] * 0, pairs[:, 1])
             size = np.bincount(run, weights=follows)
-            wide = (size > 1) | ((size > 0) & (always | (salt[heads] > 0)))
+            wide = size > 1
+            # A column may go on in the next batch, or have begun in the last one.
             wide[[0, -1]] |= (size > 0)[[0, -1]]
-            on = wide[run] & (follows | new)
-            on[heads[salt[heads] > 0]] = True
-            yield rows_of(MEMBER, key[on], c[on], n[on], place[on], hub[on])
-            salted = heads[salt[heads] > 0]
-            yield rows_of(CENTRE, *(x[salted] for x in (key, c, n, place, c)))
+            for kind, on in ((MEMBER, wide[run] & ~parted), (PARTED, parted), (CENTRE, parted & new)):
+                yield rows_of(kind, key[on], c[on], n[on], place[on], hub[on])
             held = [x[heads[-1:]] for x in own]
 
     def rows_of(kind: int, *values: np.ndarray) -> pa.RecordBatch:
@@ -225,6 +223,17 @@ def central_pairs(dealt: DataFrame, always: bool = False) -> DataFrame:
     return ordered.mapInArrow(of, "kind byte, key long, c long, n int, place int, other long")
 
 
+def parted_pairs(found: DataFrame) -> DataFrame:
+    """(c, other): rows of the columns dealt in parts beside their column's central row, within the bounds."""
+    top, bottom = SIMILAR
+    best = F.min(F.struct("place", "n", "c"))
+    # Few rows, written before columns are joined with them, so that Spark can split a hot column's join.
+    centres = cut(found.where(F.col("kind") == CENTRE).groupBy("key").agg(best.alias("best")).select("key", F.col("best.c").alias("hub"), F.col("best.n").alias("m"), F.col("best.place").alias("at")))
+    rows = found.where(F.col("kind") == PARTED).select("key", "c", "n", "place").join(centres, "key").where("c != hub")
+    bound = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (top + bottom) >= (F.col("n") + F.col("m")) * top
+    return rows.where(bound).select("c", F.col("hub").alias("other"))
+
+
 def open_pairs(members: DataFrame, placed: DataFrame) -> DataFrame:
     """(a, b): all pairs within the bounds of rows (key, c, n, place) whose components, in placed (c, root), differ."""
     rows = cut(members.join(placed, "c").select("key", "c", "n", "place", "root").distinct())
@@ -358,7 +367,7 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFr
 
     filled = np.zeros((CHUNKS, BLOOM_BITS // 8 // CHUNKS), np.uint8)
     width = BLOOM_BITS // CHUNKS
-    for row in marks.repartition(F.expr(f"bit div {width}")).mapInArrow(packed, "k int, bits binary").toLocalIterator():
+    for row in marks.repartition(F.expr(f"bit div {width}")).mapInArrow(packed, "k int, bits binary").collect():
         filled[row.k] |= np.frombuffer(row.bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(filled.ravel())
 
@@ -387,18 +396,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     classes = cut(rows.where("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), F.min("c").alias("c")))
     hot = counts > max(documents // HOT_SHARE, 1)
     found, _ = written(central_pairs(entries(docs, levels(counts), hot, text_col)))
-    centres = found.where(F.col("kind") == CENTRE).select("key", F.lit(0).cast("short").alias("salt"), "c", "n", "place")
-    if hot.any():
-        found = found.where(F.col("kind") != CENTRE).union(written(central_pairs(centres, always=True))[0])
-    pairs = found.where(F.col("kind") == PAIR).select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
+    pairs = found.where(F.col("kind") == PAIR).select("c", "other").union(parted_pairs(found))
+    pairs = pairs.select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
     candidates = cut(pairs)
     links = verified(docs, classes, candidates, text_col)
-    placed = cut(classes.join(components(links).withColumnRenamed("node", "name"), "name", "left").select("c", F.coalesce("root", "name").alias("root")))
-    others = cut(open_pairs(found.where(F.col("kind") == MEMBER), placed).join(candidates, ["a", "b"], "left_anti"))
-    if not others.isEmpty():
-        links = links.union(verified(docs, classes, others, text_col))
-    roots = components(links).withColumnRenamed("node", "fp")
-    return rows, cut(named_classes(classes.select(F.col("name").alias("fp"), "first"), roots).withColumnRenamed("fp", "name"))
+    roots = components(links)
+    placed = cut(classes.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", "c", F.coalesce("root", "name").alias("root")))
+    others = cut(open_pairs(found.where(F.col("kind").isin(MEMBER, PARTED)), placed).join(candidates, ["a", "b"], "left_anti"))
+    more = None if others.isEmpty() else verified(docs, classes, others, text_col)
+    if more is not None and not more.isEmpty():
+        # Links between components: few, so that only their roots are contracted once more.
+        left, right = placed.select(F.col("name").alias("a"), F.col("root").alias("ra")), placed.select(F.col("name").alias("b"), F.col("root").alias("rb"))
+        joined = components(more.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "joint")
+        placed = cut(placed.join(joined, "root", "left").select("name", F.coalesce("joint", "root").alias("root")))
+    ends = placed.join(classes.select("name", "first"), "name")
+    lows = cut(ends.groupBy("root").agg(F.min("first").alias("first")))
+    return rows, cut(placed.select("name", "root").join(lows, "root").select("name", "first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
