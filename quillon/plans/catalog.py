@@ -9,6 +9,7 @@ events.props is JSON detail text, pages are HTML, conversations are ordered text
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.functions import errors as er
 from quillon.functions import text as tx
 from quillon.functions import vectors as vx
-from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, retrieval, selection, syntax, tables
+from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, ranker, retrieval, selection, syntax, tables
 from quillon.streaming import appends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -750,6 +751,43 @@ def user_product_matching(spark, sf_dir):
     return matching.match(_edges(spark, sf_dir), capacity=3)
 
 
+def _written_errors(spark, sf_dir):
+    """Turns as spans of users (conv_id modulo 50): in each the longest word, the last in order of equals, was written with its second and third letters swapped."""
+    turns = t(spark, sf_dir, "conversations").select((F.col("conv_id") % 50).alias("user_id"), F.concat_ws(":", "conv_id", "turn").alias("group_id"), "text")
+    longest = F.array_max(F.transform(ranker.content_tokens(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    c = F.col("corrected")
+    wrong = F.concat(F.substring(c, 1, 1), F.substring(c, 3, 1), F.substring(c, 2, 1), F.expr("substring(corrected, 4)"))
+    named = turns.withColumn("corrected", longest).where(F.length("corrected") >= 4).withColumn("original", wrong)
+    return named.withColumn("span_text", er.replace_first(F.col("text"), F.col("corrected"), F.col("original")))
+
+
+@query(None)
+def token_ranker(spark, sf_dir):
+    """Boosted trees over turns; for unseen turns the word chosen and whether it was the one written wrongly.
+
+    By the CRC-32 of a turn's name modulo 5: profiles come from 3 and 4, trees from 1 and 2, the rows from 0.  A turn's own error is thus
+    never part of the profile that its features are drawn from, which would give it away.
+    """
+    errors = _written_errors(spark, sf_dir).withColumn("fold", F.crc32(F.col("group_id").cast("binary")) % 5)
+    profiled = ranker.user_profiles(errors.where("fold >= 3"))
+    folder = _shared(spark)
+    groups = ranker.training_groups(errors.where("fold < 3")).join(errors.select("group_id", "fold"), "group_id")
+    # Features are dear and read more than once.
+    ranker.featured(groups, profiled).write.parquet(f"{folder}/features")
+    groups = spark.read.parquet(f"{folder}/features")
+    model = ranker.train(groups.where("fold > 0"), folder, rounds=12, rate=0.2)
+    groups.where("fold = 0").select("group_id", "user_id", "tokens", "y", F.transform("x", model.score).alias("s")).write.parquet(f"{folder}/scores")
+    scored = spark.read.parquet(f"{folder}/scores")
+    best = F.array_max(F.transform("s", lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))
+    chosen = scored.withColumn("b", best).select("group_id", "user_id", F.get("tokens", -F.col("b.i")).alias("token"), F.round("b.s", 6).alias("score"), F.get("y", -F.col("b.i")).alias("hit"))
+    return chosen.join(ranker.ndcg(scored).select("group_id", F.round("ndcg", 6).alias("ndcg")), "group_id")
+
+
+def _shared(spark):
+    """A new folder beneath the shared one for the tables of a job."""
+    return f"{matching.shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+
+
 _DATASET = """b AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, (item_id % 7)::VARCHAR AS uuid, item_id::VARCHAR AS asin, (item_id % 3)::INT AS cluster, text AS correct_query, CASE WHEN item_id % 4 = 0 THEN text ELSE replace(text, 'th', 'ht') END AS noisy_query FROM benchmark)"""
 
 
