@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.functions import errors as er
 from quillon.functions import text as tx
 from quillon.functions import vectors as vx
-from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, ranker, retrieval, selection, syntax, tables
+from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, ranker, retrieval, selection, structures, syntax, tables
 from quillon.streaming import appends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -746,6 +746,74 @@ def clause_features(spark, sf_dir):
     return found.select("item_id", *syntax.FEATURES, syntax.syntax_depth(F.col("tokens")).alias("depth"), syntax.attribute_words(F.col("tokens")).alias("n_attributes"))
 
 
+_LABELS = ("acl", "relcl", "advcl", "conj", "parataxis", "ccomp", "xcomp", "csubj", "comp", "nsubj", "aux", "det")
+
+
+def _parses(spark, sf_dir):
+    """Turns as parsed texts of users (conv_id modulo 50): word i hangs on word (i - 1) // 2, labels go by length, clause words are marks."""
+    labels = F.array(*map(F.lit, _LABELS))
+    dep = lambda w: F.when(F.lower(w).isin(*structures.ADJECTIVAL_MARKERS), "mark").otherwise(F.get(labels, F.pmod(F.length(w), F.lit(len(_LABELS)))))
+    head = lambda i: F.greatest(F.floor((i - 1) / 2), F.lit(0)).cast("int")
+    token = lambda w, i: F.struct(i.alias("i"), head(i).alias("head"), dep(w).alias("dep"), w.alias("text"), F.lit(False).alias("is_punct"), F.lit(False).alias("is_space"))
+    turns = t(spark, sf_dir, "conversations").select((F.col("conv_id") % 50).alias("user_id"), F.concat_ws(":", "conv_id", "turn").alias("doc_id"), tx.search_tokens(F.col("text")).alias("w"))
+    return turns.select("user_id", "doc_id", F.transform("w", token).alias("tokens"))
+
+
+_PARSES = f"""tk AS (SELECT user_id, d, w, i, greatest((i - 1) // 2, 0) AS h, CASE WHEN w IN {structures.ADJECTIVAL_MARKERS} THEN 'mark' ELSE {list(_LABELS)}[length(w) % {len(_LABELS)} + 1] END AS dep
+  FROM (SELECT conv_id % 50 AS user_id, conv_id || ':' || turn AS d, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1)::INT - 1 AS i FROM conversations)),
+ch AS (SELECT d, h, arg_min(w, i) FILTER (dep = 'mark') AS mark, arg_min(w, i) FILTER (dep = 'comp') AS comp, arg_min(w, i) FILTER (dep IN ('nsubj', 'dobj', 'pobj', 'attr')) AS pron, bool_or(dep = 'aux' AND w = 'to') AS to_aux
+  FROM tk WHERE i <> h GROUP BY d, h),
+j AS (SELECT tk.*, hd.w AS head_word, hd.dep AS head_dep, ch.* EXCLUDE (d, h) FROM tk JOIN tk hd ON hd.d = tk.d AND hd.i = tk.h LEFT JOIN ch ON ch.d = tk.d AND ch.h = tk.i),
+st AS (SELECT user_id, d, i AS position, 'adjectival' AS family, CASE dep WHEN 'relcl' THEN 'relcl_reference' WHEN 'mark' THEN CASE WHEN head_dep = 'relcl' THEN 'relcl_reference' WHEN head_dep IN ('advcl', 'csubj', 'csubjpass') THEN head_dep ELSE 'acl' END ELSE dep END AS kind,
+    CASE dep WHEN 'acl' THEN coalesce(mark, comp) WHEN 'relcl' THEN coalesce(pron, w) WHEN 'advcl' THEN mark WHEN 'mark' THEN w END AS marker, head_word, CASE WHEN dep = 'mark' THEN head_word ELSE w END AS verb_word
+  FROM j WHERE dep IN ('acl', 'relcl', 'advcl', 'conj', 'parataxis', 'mark')
+  UNION ALL SELECT user_id, d, i, 'complement', CASE WHEN dep = 'mark' THEN 'mark_' || head_dep ELSE dep END, CASE dep WHEN 'ccomp' THEN mark WHEN 'xcomp' THEN CASE WHEN to_aux THEN 'to' ELSE 'bare_infinitive' END WHEN 'mark' THEN w END, head_word, CASE WHEN dep = 'mark' THEN head_word ELSE w END
+  FROM j WHERE dep IN ('ccomp', 'xcomp', 'csubj', 'csubjpass') OR (dep = 'mark' AND w IN {structures.COMPLEMENT_MARKERS}))"""
+
+
+@query(f"WITH {_PARSES} SELECT d AS doc_id, family, position, kind, marker, head_word, verb_word FROM st")
+def clause_structures(spark, sf_dir):
+    rows = _parses(spark, sf_dir)
+    each = [rows.select("doc_id", F.lit(name).alias("family"), F.inline(find(F.col("tokens")))) for name, find in (("adjectival", structures.adjectival), ("complement", structures.complement))]
+    return each[0].union(each[1]).select("doc_id", "family", "position", "kind", "marker", "head_word", "verb_word")
+
+
+@query(f"""WITH {_PARSES}, sn AS (SELECT d, (i // 12)::INT AS sentence_index, min(i) AS a, max(i) AS b FROM tk GROUP BY d, i // 12)
+SELECT st.d AS doc_id, position, kind, sentence_index, a AS start, b AS "end" FROM st JOIN sn ON sn.d = st.d AND position BETWEEN a AND b WHERE family = 'adjectival'""")
+def structure_sentences(spark, sf_dir):
+    """Sentences are runs of twelve words."""
+    rows = _parses(spark, sf_dir)
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(12)), lambda a: F.struct(F.floor(a / 12).cast("int").alias("sentence_index"), a.alias("start"), F.least(a + 11, F.size("tokens") - 1).alias("end")))
+    found = rows.select("doc_id", F.inline(structures.adjectival(F.col("tokens")))).select("doc_id", "position", "kind")
+    return structures.in_sentences(found, rows.select("doc_id", F.inline(runs)))
+
+
+_PROFILES = f"""{_PARSES}, n AS (SELECT user_id, d, count(*) AS words FROM tk GROUP BY ALL), f AS (SELECT n.user_id, n.d, n.words, st.position, st.kind, st.marker FROM n LEFT JOIN st ON st.d = n.d AND st.family = 'adjectival'),
+per AS (SELECT user_id, d, any_value(words) AS words, count(position) AS k FROM f GROUP BY ALL), g AS (SELECT user_id, position - lag(position) OVER (PARTITION BY d ORDER BY position) - 1 AS gap FROM f WHERE position IS NOT NULL),
+gg AS (SELECT user_id, avg(gap) AS mean_gap, median(gap) AS median_gap FROM g GROUP BY ALL),
+pr AS (SELECT user_id, count(*) AS texts, sum(words)::BIGINT AS words, sum(k)::BIGINT AS structures, count(*) FILTER (k > 0) / count(*)::DOUBLE AS ratio, sum(k) / count(*)::DOUBLE AS per_text, sum(words) / count(*)::DOUBLE AS mean_words,
+  CASE WHEN sum(k) > 0 THEN sum(words) / sum(k)::DOUBLE END AS words_per_structure, any_value(mean_gap) AS mean_gap, any_value(median_gap) AS median_gap FROM per LEFT JOIN gg USING (user_id) GROUP BY user_id)"""
+
+
+@query(f"""WITH {_PROFILES}, ks AS (SELECT user_id, string_agg(kind || '=' || n, '|' ORDER BY kind) AS kinds FROM (SELECT user_id, kind, count(*) AS n FROM f WHERE kind IS NOT NULL GROUP BY ALL) GROUP BY user_id),
+ms AS (SELECT user_id, sum(n)::BIGINT AS marked FROM (SELECT user_id, marker, count(*) AS n FROM f WHERE marker IS NOT NULL GROUP BY ALL) GROUP BY user_id)
+SELECT user_id, texts, words, structures, round(ratio, 6) AS ratio, round(per_text, 6) AS per_text, round(mean_words, 6) AS mean_words, round(words_per_structure, 6) AS words_per_structure, round(mean_gap, 6) AS mean_gap, round(median_gap, 6) AS median_gap,
+  coalesce(kinds, '') AS kinds, coalesce(marked, 0) AS marked FROM pr LEFT JOIN ks USING (user_id) LEFT JOIN ms USING (user_id)""")
+def user_structures(spark, sf_dir):
+    found = structures.user_structures(_parses(spark, sf_dir))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("kinds")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|")
+    marked = F.aggregate(F.map_values("markers"), F.lit(0).cast("long"), lambda a, n: a + n)
+    return found.select("user_id", "texts", "words", "structures", *(F.round(c, 6).alias(c) for c in ("ratio", "per_text", "mean_words", "words_per_structure", "mean_gap", "median_gap")), shown.alias("kinds"), marked.alias("marked"))
+
+
+@query(f"""WITH {_PROFILES}, u AS (UNPIVOT (SELECT ratio, per_text, mean_words, words_per_structure, mean_gap, median_gap FROM pr) ON ratio, per_text, mean_words, words_per_structure, mean_gap, median_gap INTO NAME name VALUE x)
+SELECT name, count(*) AS n, round(min(x), 6) AS low, round(max(x), 6) AS high, round(avg(x), 6) AS mean, round(median(x), 6) AS median FROM u GROUP BY name
+UNION ALL SELECT 'kind:' || kind, count(*), NULL, NULL, NULL, NULL FROM f WHERE kind IS NOT NULL GROUP BY kind""")
+def structure_summary(spark, sf_dir):
+    found = structures.structure_summary(structures.user_structures(_parses(spark, sf_dir)))
+    return found.select("name", "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "mean", "median")))
+
+
 @query(None)
 def user_product_matching(spark, sf_dir):
     return matching.match(_edges(spark, sf_dir), capacity=3)
