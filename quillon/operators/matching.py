@@ -19,40 +19,19 @@ Which of several maximum matchings results is set by ids alone, not by partition
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a new local folder in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="quillon-tables-")
-    return folder
-
-
-def _written(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    folder = shared_folder(spark)
-
-    def write(df: DataFrame) -> DataFrame:
-        path = f"{folder}/matching-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return write
+from quillon.operators.storage import writer
 
 
 def match(edges: DataFrame, capacity: int = 3, max_phases: int = 1000) -> DataFrame:
     """(user_id, asin): a matching of the greatest size over edges (user_id, asin)."""
     if capacity < 1:
         raise ValueError("capacity must be 1 or more")
-    write = _written(edges.sparkSession)
+    write = writer(edges.sparkSession, "matching")
     edges = write(edges.select("user_id", "asin").where("user_id IS NOT NULL AND asin IS NOT NULL").distinct())
     matched = greedy(edges, capacity, write)
     for _ in range(max_phases):

@@ -20,7 +20,6 @@ a resembling past error keeps its text.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import errors as er
 from quillon.functions import text as tx
+from quillon.operators.storage import writer
 
 FEATURES = (
     "topk_sim", "char_score", "bigram_score", "surface_difficulty", "attr_risk", "phonetic_ratio", "visual_ratio", "spelling_ratio",
@@ -251,15 +251,9 @@ def bin_edges(rows: DataFrame, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def train(groups: DataFrame, folder: str, rounds: int = 24, depth: int = 3, rate: float = 0.1, smooth: float = 1.0, least: int = 5, bins: int = BINS) -> Ranker:
-    """Boosted trees over groups (group_id, x array<array<double>>, y array<int>); scores so far are written under folder, which all executors share."""
-    spark = groups.sparkSession
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder}/ranker-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
+def train(groups: DataFrame, rounds: int = 24, depth: int = 3, rate: float = 0.1, smooth: float = 1.0, least: int = 5, bins: int = BINS) -> Ranker:
+    """Boosted trees over groups (group_id, x array<array<double>>, y array<int>); scores so far are written to the shared folder."""
+    keep = writer(groups.sparkSession, "ranker")
     rows = keep(groups.where(F.size("y") > 0).select("x", "y", F.transform("y", lambda _: F.lit(0.0)).alias("s")))
     if rows.isEmpty():
         raise ValueError("no groups to learn from")

@@ -9,7 +9,6 @@ events.props is JSON detail text, pages are HTML, conversations are ordered text
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import errors as er
 from quillon.functions import text as tx
 from quillon.functions import vectors as vx
-from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, ranker, retrieval, selection, structures, syntax, tables
+from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, ranker, retrieval, selection, storage, structures, syntax, tables
 from quillon.streaming import appends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -838,24 +837,17 @@ def token_ranker(spark, sf_dir):
     """
     errors = _written_errors(spark, sf_dir).withColumn("fold", F.crc32(F.col("group_id").cast("binary")) % 5)
     profiled = ranker.user_profiles(errors.where("fold >= 3"))
-    folder = _shared(spark)
+    write = storage.writer(spark, "token-ranker")
     groups = ranker.training_groups(errors.where("fold < 3")).join(errors.select("group_id", "fold"), "group_id")
     # Features are dear and read more than once.
-    ranker.featured(groups, profiled).write.parquet(f"{folder}/features")
-    groups = spark.read.parquet(f"{folder}/features")
-    model = ranker.train(groups.where("fold > 0"), folder, rounds=12, rate=0.2)
-    groups.where("fold = 0").select("group_id", "user_id", "tokens", "y", F.transform("x", model.score).alias("s")).write.parquet(f"{folder}/scores")
-    scored = spark.read.parquet(f"{folder}/scores")
+    groups = write(ranker.featured(groups, profiled))
+    model = ranker.train(groups.where("fold > 0"), rounds=12, rate=0.2)
+    scored = write(groups.where("fold = 0").select("group_id", "user_id", "tokens", "y", F.transform("x", model.score).alias("s")))
     best = F.array_max(F.transform("s", lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))
     chosen = scored.withColumn("b", best).select("group_id", "user_id", F.get("tokens", -F.col("b.i")).alias("token"), F.round("b.s", 6).alias("score"), F.get("y", -F.col("b.i")).alias("hit"))
     return chosen.join(ranker.ndcg(scored).select("group_id", F.round("ndcg", 6).alias("ndcg")), "group_id")
 
 
-def _shared(spark):
-    """A new folder beneath the shared one for the tables of a job."""
-    return f"{matching.shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
-
-
 _DATASET = """b AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, (item_id % 7)::VARCHAR AS uuid, item_id::VARCHAR AS asin, (item_id % 3)::INT AS cluster, text AS correct_query, CASE WHEN item_id % 4 = 0 THEN text ELSE replace(text, 'th', 'ht') END AS noisy_query FROM benchmark)"""
 
 

@@ -68,8 +68,8 @@ def test_histogram_equals_brute_force_however_rows_are_dealt(spark):
     assert np.array_equal(found[0], found[1]) and np.allclose(found[0], want, atol=1e-5)
 
 
-def test_trees_rank_unseen_groups_better_than_one_feature(spark, tmp_path):
-    model = ranker.train(groups_of(spark, 400, 1), str(tmp_path), rounds=10, depth=3, rate=0.3)
+def test_trees_rank_unseen_groups_better_than_one_feature(spark):
+    model = ranker.train(groups_of(spark, 400, 1), rounds=10, depth=3, rate=0.3)
     unseen = groups_of(spark, 200, 2)
     mean = lambda s: ranker.ndcg(unseen.withColumn("s", s)).agg(F.avg("ndcg")).first()[0]
     learned = mean(F.transform("x", model.score))
@@ -78,9 +78,9 @@ def test_trees_rank_unseen_groups_better_than_one_feature(spark, tmp_path):
     assert np.allclose(row.s, model.predict(np.array(row.x)))
 
 
-def test_training_without_rows_raises(spark, tmp_path):
+def test_training_without_rows_raises(spark):
     with pytest.raises(ValueError):
-        ranker.train(groups_of(spark, 1, 1).where("false"), str(tmp_path))
+        ranker.train(groups_of(spark, 1, 1).where("false"))
 
 
 def test_training_groups_and_features(spark):
