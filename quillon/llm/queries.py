@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, langid, license, media, mixing, ngram_join, quality_rules, resample, rule_ensemble, simhash, suffix_dedup, turn_repair, url_rules
+from quillon.llm import bpe, langid, license, media, mixing, ngram_join, oracles, quality_rules, resample, rule_ensemble, simhash, suffix_dedup, turn_repair, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.oracle(), "op10_license_scan": license.oracle()}
+    return {"op6_mixing": mixing.oracle(), "op10_license_scan": license.oracle(), "op11_ngram_join": oracles.op11(), "op12_importance_resampling": oracles.op12(), "op13_conversation_repair": oracles.op13()}
