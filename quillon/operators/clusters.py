@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import product
 
 import numpy as np
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as vx
 from quillon.operators.storage import writer
+from quillon.operators.sums import matrix, vector_sum
 
-#: Added to variances; rows that a pass takes at once; parts in which a task's sums travel.
-FLOOR, ROWS, CHUNKS = 1e-6, 1024, 16
-START_STEPS = 10
+#: Added to variances; rows that a pass takes at once; steps of k-means before the first pass.
+FLOOR, ROWS, START_STEPS = 1e-6, 1024, 10
 
 
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,35 +77,20 @@ class Mixtures:
 
 
 def _moments(rows: DataFrame, models: Mixtures) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over rows (x): by component the sums of shares, of shares * x and of shares * x x', and by model the log likelihood.
-
-    Each task adds up its own rows; its sums travel in CHUNKS parts, which are added up by part.
-    """
-    width, n = models.width, len(models.model)
+    """One pass over rows (x): by component the sums of shares, of shares * x and of shares * x x', and by model the log likelihood."""
+    n, width = len(models.model), models.width
     size = n * (1 + width + width**2) + len(models.ks)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            for low in range(0, len(x), ROWS):
-                part = x[low : low + ROWS]
-                share, log = models.responsibilities(part)
-                outer = (part[:, :, None] * part[:, None, :]).reshape(len(part), -1)
-                total += np.concatenate([share.sum(axis=0), (share.T @ part).ravel(), (share.T @ outer).ravel(), log.sum(axis=0)])
-        parts = np.array_split(total, CHUNKS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tolist() for p in parts], pa.list_(pa.float64()))], names=["part", "sums"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, own in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                held[k] = held.get(k, 0.0) + np.array(own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["part", "sums"])
-
-    schema = "part int, sums array<double>"
-    found = rows.mapInArrow(local, schema).repartition("part").mapInArrow(added, schema).collect()
-    flat = np.concatenate([np.array(r.sums) for r in sorted(found)])
+    def local(batch: pa.RecordBatch) -> np.ndarray:
+        x, total = matrix(batch.column(0)), np.zeros(size)
+        for low in range(0, len(x), ROWS):
+            part = x[low : low + ROWS]
+            share, log = models.responsibilities(part)
+            outer = (part[:, :, None] * part[:, None, :]).reshape(len(part), -1)
+            total += np.concatenate([share.sum(axis=0), (share.T @ part).ravel(), (share.T @ outer).ravel(), log.sum(axis=0)])
+        return total
+
+    flat = vector_sum(rows, local, size)
     return flat[: size - len(models.ks)], flat[size - len(models.ks) :]
 
 

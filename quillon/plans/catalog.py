@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import errors as er
 from quillon.functions import text as tx
 from quillon.functions import vectors as vx
-from quillon.operators import attributes, clusters, documents, evaluation, matching, profiles, ranker, retrieval, selection, storage, structures, syntax, tables
+from quillon.operators import attributes, clusters, documents, evaluation, late_index, matching, profiles, ranker, retrieval, selection, storage, structures, style, syntax, tables
 from quillon.streaming import appends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -515,6 +515,14 @@ def maxsim_topk(spark, sf_dir):
     return retrieval.max_sim(docs.select("doc_id", _token_matrix(F.col("vec")).alias("toks")), asked, k=10)
 
 
+@query(None)
+def compressed_maxsim_topk(spark, sf_dir):
+    """maxsim_topk through the compressed index; its recall is tested against the exact search."""
+    docs, questions = _vectors(spark, sf_dir)
+    held = docs.select("doc_id", _token_matrix(F.col("vec")).alias("toks"))
+    return late_index.search(late_index.build(held), held, questions.select("query_id", _token_matrix(F.col("vec")).alias("toks")), k=10, probes=32, candidates=1000, rescored=256)
+
+
 @query("""WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x, max(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL)
 SELECT label, i::INT - 1 AS i, round(x, 6) AS mean, round(m, 6) AS max FROM c""")
 def window_pool(spark, sf_dir):
@@ -711,6 +719,26 @@ def pca_gmm_clusters(spark, sf_dir):
     return placed.select("vec_id", "cluster", "embedding")
 
 
+def _styles(spark, sf_dir):
+    """Embeddings as style vectors of 60 places, the last four as the features that a probe predicts."""
+    return t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 60).alias("x"), F.slice("embedding", 61, 4).alias("y"))
+
+
+@query(None)
+def style_probe(spark, sf_dir):
+    found = style.probe(_styles(spark, sf_dir))
+    return found.select("feature", "n", F.round("mse", 6).alias("mse"), F.round("variance", 6).alias("variance"))
+
+
+@query(None)
+def style_axis(spark, sf_dir):
+    """Fitted on the vectors of even ids, along their first place, and applied to those of odd ids."""
+    rows = t(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
+    columns = [f"x{i}" for i in range(8)]
+    axis = style.fit_axis(rows.where("vec_id % 2 = 0"), columns, "x0")
+    return rows.where("vec_id % 2 = 1").select("vec_id", F.round(axis.score(columns), 6).alias("score"))
+
+
 @query("""WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS mu, greatest(var_pop(embedding[i]::DOUBLE), 1e-6) AS v FROM embeddings, range(1, 65) r(i) GROUP BY ALL)
 SELECT a.label AS q, b.label AS p, round(0.5 * sum(ln(b.v) - ln(a.v) + (a.v + pow(a.mu - b.mu, 2)) / b.v - 1), 6) AS kl FROM p a JOIN p b ON a.i = b.i GROUP BY ALL""")
 def gaussian_kl(spark, sf_dir):
