@@ -9,8 +9,8 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +31,31 @@ def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def reduced(df: DataFrame, low: int = 5, high: int = 10, share: float = 0.9) -> DataFrame:
-    """df with vector column pca: the fewest components from low to high that explain share of the variance."""
-    width = len(df.select("features").first()[0])
-    model = PCA(k=min(high, width), inputCol="features", outputCol="_pca").fit(df)
-    held, total = 0, 0.0
-    for part in model.explainedVariance:
-        held, total = held + 1, total + part
-        if held >= low and total >= share:
-            break
-    cut = F.slice(vector_to_array("_pca"), 1, held)
-    out = model.transform(df).withColumn("embedding", cut).drop("_pca")
-    from pyspark.ml.functions import array_to_vector
+    """df with array column embedding and vector column pca: the fewest components from low to high that explain share of the variance.
 
+    Moments are summed by task, and only their matrix, as wide as the features, is decomposed on the driver.  The greatest part of each
+    component is positive.
+    """
+    rows = df.select(vector_to_array("features").alias("x"))
+    width = len(rows.first().x)
+
+    def moments(batch: pa.RecordBatch) -> np.ndarray:
+        x = matrix(batch.column("x"))
+        return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+
+    sums = vector_sum(rows, moments, 1 + width + width**2)
+    mean = sums[1 : 1 + width] / sums[0]
+    values, axes = np.linalg.eigh(sums[1 + width :].reshape(width, width) / sums[0] - np.outer(mean, mean))
+    values, axes = values[::-1].clip(min=0), axes[:, ::-1]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(width)])
+    explained = np.cumsum(values) / max(values.sum(), 1e-300)
+    held = min(max(low, int((explained < share).sum()) + 1), high, width)
+    turn = axes[:, :held].copy()
+
+    def project(xs: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(xs) @ turn) if len(xs) else [])
+
+    out = df.withColumn("embedding", F.pandas_udf(project, "array<double>")(vector_to_array("features")))
     return out.withColumn("pca", array_to_vector("embedding"))
 
 
@@ -94,6 +107,12 @@ def _moments(rows: DataFrame, models: Mixtures) -> tuple[np.ndarray, np.ndarray]
     return flat[: size - len(models.ks)], flat[size - len(models.ks) :]
 
 
+def _definite(cov: np.ndarray) -> np.ndarray:
+    """Covariances with no variance in any direction below FLOOR, which rounding or a component of few rows may leave."""
+    values, axes = np.linalg.eigh((cov + cov.swapaxes(-1, -2)) / 2)
+    return (axes * np.maximum(values + FLOOR, FLOOR)[..., None, :]) @ axes.swapaxes(-1, -2)
+
+
 def fit_mixtures(rows: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 50, tolerance: float = 1e-3, max_start: int = 5000) -> tuple[Mixtures, np.ndarray]:
     """One mixture for each of ks and seeds, by EM over rows (x array<double>), and their log likelihoods.
 
@@ -132,7 +151,7 @@ def fit_mixtures(rows: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_i
         at = np.flatnonzero(np.isin(models.model, moving))
         models.weight[at] = share / n
         models.mean[at] = mean
-        models.cov[at] = second - mean[:, :, None] * mean[:, None, :] + FLOOR * np.eye(width)
+        models.cov[at] = _definite(second - mean[:, :, None] * mean[:, None, :])
         still = log / n - likelihood[moving] / n >= tolerance
         likelihood[moving] = log
         moving = moving[still]

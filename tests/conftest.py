@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
+# One BLAS thread a Python worker: Spark runs eight of them beside each other.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
