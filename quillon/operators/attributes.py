@@ -16,24 +16,34 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 
-# Words that tell a use, by kind, in the order that settles ties: looked for after "for ", and alone.
-PEOPLE = "kids children beginners professionals men women teens adults seniors students teachers artists"
-PLACES = "home office school classroom studio workshop outdoor indoor garden bedroom kitchen bathroom"
+# Words that tell a use, by kind, in the order that settles ties.
+PEOPLE = (
+    "kids", "children", "beginners", "professionals", "men", "women", "teens", "adults", "seniors", "students", "teachers", "artists",
+)
+PLACES = (
+    "home", "office", "school", "classroom", "studio", "workshop", "outdoor", "indoor", "garden", "bedroom", "kitchen", "bathroom",
+)
 ACTIVITIES = (
-    "travel camping hiking commuting exercise fitness sport sports running cycling swimming yoga meditation painting drawing sewing crafting "
-    "scrapbooking jewelry knitting crocheting embroidery quilting woodworking gardening cooking baking photography writing journaling"
-)
-EVENTS = "gift party wedding birthday christmas holiday seasonal easter halloween thanksgiving valentine anniversary"
-# Fixed values: (words after "for", words alone) of each kind; several words of one entry are joined by _.
+    "travel", "camping", "hiking", "commuting", "exercise", "fitness", "sport", "sports", "running", "cycling", "swimming", "yoga", "meditation",
+    "painting", "drawing", "sewing", "crafting", "scrapbooking", "jewelry", "knitting", "crocheting", "embroidery", "quilting", "woodworking",
+    "gardening", "cooking", "baking", "photography", "writing", "journaling",
+)
+EVENTS = (
+    "gift", "party", "wedding", "birthday", "christmas", "holiday", "seasonal", "easter", "halloween", "thanksgiving", "valentine",
+)
+INFANTS = ("baby", "infant", "newborn", "toddler")
+KEEPING = ("organizing", "storage", "display", "presentation")
+LEARNING = ("playing", "learning", "development", "entertainment")
+# Of each kind the words looked for after "for ", and those looked for alone.
 USES = (
-    (PEOPLE + " babies toddlers", PEOPLE),
-    ("baby infant newborn toddler", "baby infant newborn toddler"),
-    (PLACES + " garage playroom", PLACES),
+    ((*PEOPLE, "babies", "toddlers"), PEOPLE),
+    (INFANTS, INFANTS),
+    ((*PLACES, "garage", "playroom"), PLACES),
     (ACTIVITIES, ACTIVITIES),
-    (EVENTS, EVENTS),
-    ("organizing storage display presentation", "organizing storage display presentation"),
-    ("feeding nursing bathing sleeping diaper_changing potty_training teething", "feeding nursing bathing sleeping diaper potty teething"),
-    ("playing learning development entertainment", "playing learning development entertainment"),
+    ((*EVENTS, "anniversary"), EVENTS),
+    (KEEPING, KEEPING),
+    (("feeding", "nursing", "bathing", "sleeping", "diaper changing", "potty training", "teething"), ("feeding", "nursing", "bathing", "sleeping", "diaper", "potty", "teething")),
+    (LEARNING, LEARNING),
 )
 # Names of activities that stand after "used for"; none for those that say nothing.
 ACTIVITY_NAMES = {
@@ -80,7 +90,7 @@ MIN_SLOTS = 5
 class Category:
     """What a category looks for; the defaults are those of baby products."""
 
-    uses: Sequence[tuple[str, str]] = USES
+    uses: Sequence[tuple[Sequence[str], Sequence[str]]] = USES
     details: Mapping[str, Sequence[str]] = field(default_factory=lambda: DETAILS)
     word_slots: Mapping[str, Sequence[str]] = field(default_factory=lambda: WORD_SLOTS)
     key_slots: Mapping[str, tuple[Sequence[str], int]] = field(default_factory=lambda: KEY_SLOTS)
@@ -88,8 +98,8 @@ class Category:
 
     def use_keywords(self) -> list[str]:
         """The words for uses, longest first."""
-        found = [f"for {w}" if after else w for kind in self.uses for after, words in zip((True, False), kind, strict=True) for w in words.replace("_", "\0").split()]
-        return sorted((w.replace("\0", " ") for w in found), key=len, reverse=True)
+        found = [word for after, alone in self.uses for word in (*(f"for {w}" for w in after), *alone)]
+        return sorted(found, key=len, reverse=True)
 
 
 def detail_map(details: Column) -> Column:
@@ -129,6 +139,7 @@ def use_case(title: Column, description: Column, features: Column, category: Cat
     """A5: the longest word for a use that the text holds, else what stands after "used for"."""
     low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
     text = F.regexp_replace(F.concat_ws(" ", low, F.array_join(F.coalesce(features, F.array().cast("array<string>")), " ")), "<[^>]+>", " ")
+    # Fixed value: the pattern of an activity.
     activity = F.regexp_replace(F.regexp_extract(text, r"(?:be\s+)?used\s+for\s+([a-zA-Z][a-zA-Z\s]+?)(?:\s|,|\.|$)", 1), r"\s+", " ")
     named = tx.capitalized(activity)
     for word, name in ACTIVITY_NAMES.items():

@@ -156,7 +156,7 @@ n AS (SELECT *, (a1 IS NOT NULL)::INT + (brand IS NOT NULL)::INT + (price IS NOT
 SELECT asin, a1 AS product_type, brand, price, a5 AS use_case, CASE WHEN told AND p_size > 25 THEN 'steel' END AS material, CASE WHEN told THEN p_size::VARCHAR END AS size, a8 AS safety, 'Durable' AS durability,
   'Easy|Easy To Use' AS ease, p_type AS last_feature, n_slots, CASE WHEN brand IS NULL THEN 'no_brand' WHEN price IS NULL THEN 'no_price' WHEN n_slots < 5 THEN 'few_slots' END AS reason FROM n""")
 def product_attributes(spark, sf_dir):
-    found = attributes.product_attributes(_products(spark, sf_dir), attributes.Category(uses=(("cake_stands", ""),)))
+    found = attributes.product_attributes(_products(spark, sf_dir), attributes.Category(uses=((("cake stands",), ()),)))
     return found.select(
         "asin", F.col("A1_product_type").alias("product_type"), F.col("A2_brand").alias("brand"), F.col("A3_price").alias("price"), F.col("A5_use_case").alias("use_case"),
         F.try_element_at("A6_detailed", F.lit("material")).alias("material"), F.get("A14_size", F.lit(0)).alias("size"), F.get("A8_safety", F.lit(0)).alias("safety"),
@@ -1042,7 +1042,7 @@ SELECT item_id, place::INT AS place, round(max(sim), 6) AS best, string_agg(word
 def similar_words(spark, sf_dir):
     known = _pairs(spark, sf_dir).groupBy("user_id").agg(F.collect_set(F.lower("original")).alias("words"))
     tokens = t(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 7).alias("user_id"), F.posexplode(tx.query_tokens(F.col("text"))).alias("place", "token"))
-    near = tokens.join(F.broadcast(known), "user_id").select("item_id", "place", selection.similar_words(F.col("token"), F.col("words")).alias("near"))
+    near = tokens.join(retrieval.small(known, 100_000), "user_id").select("item_id", "place", selection.similar_words(F.col("token"), F.col("words")).alias("near"))
     return near.select("item_id", "place", F.round(F.col("near")[0]["similarity"], 6).alias("best"), F.array_join("near.word", ",").alias("words"))
 
 
