@@ -11,11 +11,13 @@ rules' tokens, and a rule fires when all its tokens have been counted.
 Before mining, tokens that stand in exactly the same labelled urls are merged
 into one (scheme, top level and site of a single-site corpus, say), and tokens of
 all urls or of too few are left out: such tokens tell nothing apart, and all
-subsets of them would be itemsets.  What is mined is bounded by the different
-frequent tokens of a url: at most the mean over urls of the number of their
-combinations of up to max_tokens tokens, divided by the support, can be rules,
-whatever the number of urls; so the index is small and is shipped to the tasks,
-and scoring shuffles nothing.  Pruning by shorter rules is a join of the rules.
+subsets of them would be itemsets.  Spark's FP-growth has no bound of length:
+itemsets of over max_tokens tokens are mined and then left out, so the time to
+mine doubles with each further token that frequent urls have in common.  The
+rules that stay are few whatever the number of urls: at most the mean over urls
+of the number of their combinations of up to max_tokens tokens, divided by the
+support; so the index is small and is shipped to the tasks, and scoring shuffles
+nothing.  Pruning by shorter rules is a join of the rules.
 Fitting reads all labelled urls; FP-growth combines equal branches before it
 shuffles, so a hot host costs few rows.
 
