@@ -15,10 +15,14 @@ inverse document frequency (wherever it stands, inflected forms included), or
 ``other``.
 
 DataFrame functions alone run here.  Words are combined into cells before the
-shuffle (a hot source costs one row a task).  Each raking step sums the cells by
-one dimension and joins the sums back, by broadcast where the dimension has no
-more values than BROADCAST_CELLS; no window or task spans all cells.  Cells
-join documents by their keys; texts are shuffled for that only if there are more
+shuffle (a hot source costs one row a task).  Up to TASK_CELLS cells are raked in
+one partition, several rounds a job, with windows that need no shuffle there;
+beyond, each step sums the cells by one dimension and joins the sums back, by
+broadcast where the dimension has no more values than BROADCAST_CELLS, and no
+window or task spans all cells.  Both forms give the same fit.  Raking ends once
+every marginal is within TOLERANCE of its target, or once BLOCK further rounds
+lower the worst distance by less than a tenth: then the targets contradict each
+other, and the last dimension's are met.  Cells join documents by their keys; texts are shuffled for that only if there are more
 cells than BROADCAST_CELLS, which bounds what is broadcast and changes the plan,
 never the result.
 
@@ -37,7 +41,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, rows_of, scratch, table, whole
@@ -45,7 +49,14 @@ from quillon.llm.common import cut, rows_of, scratch, table, whole
 DIMENSIONS = ("source", "lang", "topic")
 #: Powers of the default targets, by dimension.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-ROUNDS = 6
+#: The worst relative distance of a marginal from its target that ends the raking, which is looked at each BLOCK rounds.
+TOLERANCE = 0.01
+BLOCK = 10
+STALLED = 0.9
+#: Rounds in one job, where one partition holds all cells: plans get dear to optimise faster than they get long.
+CUT = 5
+#: Blocks that the SQL form writes out.
+SQL_BLOCKS = 6
 #: Share of the corpus' words that the sample is expected to hold.
 BUDGET = 0.8
 #: Anchor terms, the least letters of one, and the largest share of documents that it may stand in.
@@ -92,26 +103,50 @@ def uniform(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.conv(F.substring(F.md5(told), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (dimensions, words) with fitted added: cell values whose marginals approach the targets.
 
     targets: for each dimension a DataFrame (value, target).  A value without a target keeps its sum.
+    rounds: a fixed number of rounds; without one, blocks of BLOCK until marginals are within tolerance, or stop to come closer.
     """
     parts = 1 + cells.count() // TASK_CELLS
     # Tables, not checkpoints: those would hand on Spark's estimates of size, which every join squares.
     with scratch(cells.sparkSession) as outlive:
-        fitted = cut(cells.withColumn("fitted", F.col("words").cast("double")).coalesce(parts))
         sizes = cells.agg(*(F.countDistinct(name) for name in targets)).first()
         hints = {name: F.broadcast if size <= BROADCAST_CELLS else lambda df: df for name, size in zip(targets, sizes, strict=True)}
-        for _ in range(rounds):
-            for name, target in targets.items():
-                sums = fitted.groupBy(name).agg(F.sum("fitted").alias("sum"))
-                goals = target.select(F.col("value").alias(name), F.col("target").alias("goal"))
-                factor = F.when((F.col("sum") > 0) & F.col("goal").isNotNull(), F.col("goal") / F.col("sum")).otherwise(1.0)
-                factors = sums.join(goals, name, "left").select(name, factor.alias("factor"))
-                fitted = fitted.join(hints[name](factors), name).withColumn("fitted", F.col("fitted") * F.col("factor")).drop("factor")
-            fitted = cut(fitted.coalesce(parts))
-        return outlive(fitted)
+        start = cells.withColumn("fitted", F.col("words").cast("double"))
+        for name, target in targets.items():
+            start = start.join(hints[name](target.select(F.col("value").alias(name), F.col("target").alias(f"to_{name}"))), name, "left")
+        fitted = cut(start.coalesce(parts))
+
+        rest = [F.col(c) for c in fitted.columns if c != "fitted"]
+
+        def step(df: DataFrame, name: str) -> DataFrame:
+            total = F.sum("fitted")
+            if parts == 1:
+                total = total.over(Window.partitionBy(name))
+            else:
+                df, total = df.join(hints[name](df.groupBy(name).agg(total.alias("total"))), name), F.col("total")
+            moved = F.when((total > 0) & F.col(f"to_{name}").isNotNull(), F.col("fitted") * F.col(f"to_{name}") / total)
+            return df.select(*rest, F.coalesce(moved, F.col("fitted")).alias("fitted"))
+
+        def block(df: DataFrame, length: int) -> DataFrame:
+            for k in range(1, length + 1):
+                df = df.coalesce(parts) if parts == 1 else df
+                for name in targets:
+                    df = step(df, name)
+                if parts > 1 or k % CUT == 0 or k == length:
+                    df = cut(df.coalesce(parts))
+            return df
+
+        if rounds is not None:
+            fitted = block(fitted, rounds)
+        else:
+            worst, before = math.inf, math.inf
+            while worst > tolerance and (math.isinf(before) or worst <= STALLED * before):
+                fitted, before = block(fitted, BLOCK), worst
+                worst = marginal_error(fitted, targets)
+        return outlive(fitted.select(*cells.columns, "fitted"))
 
 
 def power_targets(cells: DataFrame, powers: Mapping[str, float]) -> dict[str, DataFrame]:
@@ -129,7 +164,7 @@ def marginal_error(fitted: DataFrame, targets: Mapping[str, DataFrame]) -> float
     """The largest relative distance of a fitted marginal from its target."""
     worst = 0.0
     for name, target in targets.items():
-        sums = fitted.groupBy(F.col(name).alias("value")).agg(F.sum("fitted").alias("sum")).join(target.where("target > 0"), "value")
+        sums = fitted.groupBy(F.col(name).alias("value")).agg(F.sum("fitted").alias("sum")).join(target.where("target > 0"), "value").where("sum > 0")
         worst = max(worst, sums.agg(F.max(F.abs(F.col("sum") / F.col("target") - 1))).first()[0] or 0.0)
     return worst
 
@@ -156,7 +191,7 @@ def probabilities(fitted: DataFrame, budget: float = BUDGET) -> DataFrame:
     return weighed.withColumn("probability", chosen)
 
 
-def mix(told: DataFrame, powers: Mapping[str, float] = POWERS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+def mix(told: DataFrame, powers: Mapping[str, float] = POWERS, budget: float = BUDGET, rounds: int | None = None) -> DataFrame:
     """told, rows of described(), with weight, probability and sampled added."""
     cells = cut(told.groupBy(*DIMENSIONS).agg(F.sum("words").alias("words")))
     factors = cut(probabilities(rake(cells, power_targets(cells, powers), rounds), budget).select(*DIMENSIONS, "weight", "probability"))
@@ -184,13 +219,20 @@ def sample_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def oracle() -> str:
-    """DuckDB SQL for op6_mixing: the raking rounds written out one by one."""
+    """DuckDB SQL for op6_mixing: SQL_BLOCKS blocks of raking rounds written out, which change nothing once a block ended the raking."""
     steps, last = [], "start"
-    for k in range(ROUNDS):
-        for name in DIMENSIONS:
-            step = f"r{k}_{name}"
-            steps.append(f"{step} AS (SELECT * REPLACE (CASE WHEN sum(fitted) OVER (PARTITION BY {name}) > 0 THEN fitted * to_{name} / sum(fitted) OVER (PARTITION BY {name}) ELSE fitted END AS fitted) FROM {last})")
-            last = step
+    total = "sum(fitted) OVER (PARTITION BY {0})"
+    far = ", ".join(f"CASE WHEN to_{x} > 0 AND {total.format(x)} > 0 THEN abs({total.format(x)} / to_{x} - 1) ELSE 0 END" for x in DIMENSIONS)
+    for k in range(SQL_BLOCKS):
+        for r in range(BLOCK):
+            for name in DIMENSIONS:
+                step = f"r{k}_{r}_{name}"
+                steps.append(f"{step} AS (SELECT * REPLACE (CASE WHEN NOT done AND {total.format(name)} > 0 THEN fitted * to_{name} / {total.format(name)} ELSE fitted END AS fitted) FROM {last})")
+                last = step
+        steps.append(f"far{k} AS (SELECT *, greatest({far}) AS away FROM {last})")
+        steps.append(f"worst{k} AS MATERIALIZED (SELECT * EXCLUDE (away), max(away) OVER () AS now FROM far{k})")
+        steps.append(f"b{k} AS (SELECT * EXCLUDE (now) REPLACE (now <= {TOLERANCE} OR (worst < 'inf'::DOUBLE AND now > {STALLED} * worst) AS done, now AS worst) FROM worst{k})")
+        last = f"b{k}"
     target = ", ".join(f"t_{x} AS (SELECT {x}, pow(sum(words)::DOUBLE, {POWERS[x]}) AS lifted FROM cells GROUP BY {x})" for x in DIMENSIONS)
     lifted = ", ".join(f"t_{x}.lifted * (SELECT sum(words)::DOUBLE FROM cells) / (SELECT sum(lifted) FROM t_{x}) AS to_{x}" for x in DIMENSIONS)
     joins = " ".join(f"JOIN t_{x} USING ({x})" for x in DIMENSIONS)
@@ -207,7 +249,7 @@ topics AS (SELECT r, arg_max(term, (score, -place)) AS topic FROM scores WHERE s
 told AS (SELECT doc_id, text, source, lang, n_words, coalesce(topic, 'other') AS topic FROM counted LEFT JOIN topics USING (r)),
 cells AS (SELECT source, lang, topic, sum(n_words) AS words FROM told GROUP BY ALL),
 {target},
-start AS (SELECT cells.source, cells.lang, cells.topic, words, words::DOUBLE AS fitted, {lifted} FROM cells {joins}),
+start AS (SELECT cells.source, cells.lang, cells.topic, words, words::DOUBLE AS fitted, false AS done, 'inf'::DOUBLE AS worst, {lifted} FROM cells {joins}),
 {", ".join(steps)},
 weighed AS (SELECT source, lang, topic, words, fitted, CASE WHEN words > 0 THEN fitted / words ELSE 1.0 END AS weight FROM {last}),
 scaled AS (

@@ -302,6 +302,34 @@ def test_junk_fails_and_clean_texts_pass(docs):
     assert {d for d in long if not got[d].kept} == {d for d in long if d % 10 == 6}
 
 
+def test_trusted_texts_are_scored_without_their_own_counts(spark, docs):
+    own = docs.where("doc_id % 10 != 6 and doc_id < 80").select("doc_id").distinct()
+    got = quality_rules.judge(docs, docs.join(own, "doc_id", "left_semi"), 64, 20.0, threshold=None, own=own).collect()
+    grams = [(d, [(a, None) for a in words(t)] + list(zip(words(t), words(t)[1:], strict=False))) for d, t, *_ in corpus()]
+    hashed = spark.createDataFrame(sorted({g for _, every in grams for g in every}, key=repr), "a string, b string")
+    u, v = quality_rules.bucket(F.col("a"), buckets=64), quality_rules.bucket(F.col("a"), F.col("b"), buckets=64)
+    bucket = {(r.a, r.b): r.x for r in hashed.select("a", "b", F.when(F.col("b").isNull(), u).otherwise(v).alias("x")).collect()}
+    counts = [(d, Counter(bucket[g] for g in every)) for d, every in grams]
+    trusted = {r.doc_id for r in own.collect()}
+    raw, good = sum((c for _, c in counts), Counter()), sum((c for d, c in counts if d in trusted), Counter())
+    want = []
+    for d, c in counts:
+        left = Counter({b: good[b] - (c[b] if d in trusted else 0) for b in c})
+        size, total = c.total(), good.total() - (c.total() if d in trusted else 0)
+        share = {b: raw[b] / raw.total() for b in c}
+        want.append((d, sum(n * np.log((left[b] + 20 * share[b]) / (total + 20) / share[b]) for b, n in c.items()) / size if size else 0.0))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    pairs = list(zip(sorted(((r.doc_id, r.llr) for r in got), key=key), sorted(want, key=key), strict=True))
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=2e-6) for a, b in pairs)
+    # The threshold is the low quantile of the trusted rows past the base rules.
+    past = [r for r in got if not r.base_failed]
+    limit = np.quantile([r.llr for r in past if r.doc_id in trusted], quality_rules.LOST)
+    assert all(r.kept == (r.llr >= limit - 1e-12) for r in past) and not any(r.kept for r in got if r.base_failed)
+    none = docs.limit(0).select("doc_id")
+    untold = quality_rules.judge(docs, docs.limit(0), 64, 20.0, threshold=None, own=none).collect()
+    assert all(r.llr == 0 and r.kept != r.base_failed for r in untold)
+
+
 def test_license_scan_against_brute_force(spark, docs, texts):
     got = license.scan(docs).collect()
     assert len(got) == len(corpus())
@@ -418,6 +446,26 @@ def test_raking_keeps_values_without_a_target(spark):
     assert mixing.marginal_error(fitted, {"lang": targets["lang"]}) == pytest.approx(0) and mixing.marginal_error(fitted, targets) == pytest.approx(5 / 80)
 
 
+@pytest.mark.parametrize("most", [mixing.TASK_CELLS, 2])
+def test_raking_ends_within_its_tolerance_or_where_targets_contradict(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "TASK_CELLS", most)
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 20), ("b", "y", 5)], "source string, lang string, words long")
+    goals = lambda rows: spark.createDataFrame(rows, "value string, target double")
+    targets = {"source": goals([("a", 20.0), ("b", 45.0)]), "lang": goals([("x", 40.0), ("y", 25.0)])}
+    fitted = mixing.rake(cells, targets, tolerance=1e-6)
+    assert mixing.marginal_error(fitted, targets) <= 1e-6
+    plain = np.array([[10.0, 30.0], [20.0, 5.0]])
+    for _ in range(100):
+        plain *= (np.array([20.0, 45.0]) / plain.sum(1))[:, None]
+        plain *= np.array([40.0, 25.0]) / plain.sum(0)
+    got = {(r.source, r.lang): r.fitted for r in fitted.collect()}
+    assert [got[k] for k in (("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"))] == pytest.approx(plain.ravel().tolist(), rel=1e-5)
+    apart = spark.createDataFrame([("a", "x", 10), ("b", "y", 30)], "source string, lang string, words long")
+    against = {"source": goals([("a", 30.0), ("b", 10.0)]), "lang": goals([("x", 10.0), ("y", 30.0)])}
+    assert sorted((r.source, r.fitted) for r in mixing.rake(apart, against).collect()) == [("a", pytest.approx(10)), ("b", pytest.approx(30))]
+
+
 def test_probabilities_meet_any_budget(spark):
     rows = [(f"s{k}", "l", "t", w, float(f)) for k, (w, f) in enumerate([(10, 90), (40, 60), (100, 60), (50, 20), (0, 0), (7, 7)])]
     fitted = spark.createDataFrame(rows, "source string, lang string, topic string, words long, fitted double")
