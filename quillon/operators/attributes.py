@@ -84,6 +84,18 @@ KEY_SLOTS = {
     "A17_flavor": (("Flavor",), 1),
 }
 MIN_SLOTS = 5
+# Words of a description that tell quality, and those that tell colour or style.
+QUALITY = (
+    "high quality", "premium", "professional", "durable", "sturdy", "excellent", "superior", "top quality", "best", "fine", "perfect", "reliable", "solid",
+    "heavy duty", "industrial",
+)
+APPEARANCE = (
+    "black", "white", "red", "blue", "green", "yellow", "orange", "purple", "pink", "brown", "gray", "grey", "silver", "gold", "clear", "transparent", "neon",
+    "pastel", "vibrant", "multicolor", "assorted", "beautiful", "elegant", "stylish", "modern", "classic", "vintage", "decorative", "ornamental", "cute", "pretty",
+    "lovely", "charming", "minimalist", "simple", "fancy", "delicate", "exquisite",
+)
+#: A shorter description tells nothing.
+MIN_DESCRIPTION = 20
 
 
 @dataclass(frozen=True)
@@ -128,6 +140,13 @@ def words_of(description: Column, keywords: Sequence[str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(word), F.lit(word.replace("-", " ").title())) for word in keywords))))
 
 
+def description_words(description: Column, keywords: Sequence[str], shortest: int = MIN_DESCRIPTION) -> Column:
+    """The keywords that a description holds anywhere, without tags and in any case, the first letter capitalized; none if it is short or null."""
+    text = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(description, F.lit("")), "<[^>]+>", " "), r"\s+", " "))
+    held = F.filter(F.array(*map(F.lit, keywords)), lambda word: F.contains(F.lower(text), word))
+    return F.when(F.length(text) >= shortest, F.transform(held, tx.capitalized)).otherwise(F.array().cast("array<string>"))
+
+
 def kept_features(features: Column) -> Column:
     """The first five features of 4 to 199 characters, without tags."""
     clean = F.transform(F.coalesce(features, F.array().cast("array<string>")), lambda f: F.btrim(f))
@@ -153,7 +172,8 @@ def use_case(title: Column, description: Column, features: Column, category: Cat
 def product_attributes(products: DataFrame, category: Category = Category(), appearance: Column | None = None, quality: Column | None = None) -> DataFrame:  # noqa: B008
     """One row a product: asin, A1 to A18, features, n_slots (filled slots) and reason (why it is rejected; null if it isn't).
 
-    appearance and quality (arrays) fill A4 and A18, which have rules of their own; empty by default.
+    quality fills A18, by default the QUALITY words of the description; appearance fills A4, which has rules of its own and is empty by
+    default (the APPEARANCE words of a description are no part of it).
     """
     none = F.array().cast("array<string>")
     blank = lambda c: F.coalesce(F.btrim(c), F.lit("")) == ""
@@ -165,7 +185,7 @@ def product_attributes(products: DataFrame, category: Category = Category(), app
         F.when(F.size(F.coalesce("category", none)) > 0, F.col("category")).when(last.isNotNull(), F.array(last)).alias("_c"),
         F.coalesce(F.nullif("price", F.lit("")), tx.price_in_text(F.concat_ws(" ", "title", "description", F.array_join("features", " ")))).alias("_p"),
         (none if appearance is None else appearance).alias("A4_appearance"),
-        (none if quality is None else quality).alias("A18_quality"),
+        (description_words(F.col("description"), QUALITY) if quality is None else quality).alias("A18_quality"),
     )
     slots = {
         "A1_product_type": tx.product_type(F.col("_c")),

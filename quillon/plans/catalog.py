@@ -151,16 +151,18 @@ def _products(spark, sf_dir):
 WITH p AS (SELECT *, p_partkey % 2 = 1 AS odd, p_size <> 9 AS told, floor(p_retailprice)::BIGINT::VARCHAR AS amount, string_split(p_type, ' ') AS cats FROM part),
 q AS (SELECT p_partkey::VARCHAR AS asin, CASE WHEN odd AND NOT told THEN NULL ELSE p_brand END AS brand, CASE WHEN NOT odd OR p_size <> 7 THEN amount END AS price,
   CASE WHEN length(cats[-1]) BETWEEN 3 AND 50 THEN cats[-1] WHEN NOT odd AND length(cats[-2]) BETWEEN 3 AND 50 THEN cats[-2] END AS a1,
-  CASE WHEN p_size % 4 = 0 THEN 'Cake Decorating' END AS a5, told, p_size, p_type, CASE WHEN p_size % 3 = 0 THEN 'Non Toxic' END AS a8 FROM p),
-n AS (SELECT *, (a1 IS NOT NULL)::INT + (brand IS NOT NULL)::INT + (price IS NOT NULL)::INT + (a5 IS NOT NULL)::INT + told::INT + (told AND p_size > 25)::INT + told::INT + (a8 IS NOT NULL)::INT + 2 AS n_slots FROM q)
+  CASE WHEN p_size % 4 = 0 THEN 'Cake Decorating' END AS a5, told, p_size, p_type, CASE WHEN p_size % 3 = 0 THEN 'Non Toxic' END AS a8,
+  list_filter(['high quality', 'premium', 'professional', 'durable', 'sturdy', 'excellent', 'superior', 'top quality', 'best', 'fine', 'perfect', 'reliable', 'solid', 'heavy duty', 'industrial'],
+    lambda w: contains('a durable, easy to use ' || lower(p_name), w)) AS a18 FROM p),
+n AS (SELECT *, (a1 IS NOT NULL)::INT + (brand IS NOT NULL)::INT + (price IS NOT NULL)::INT + (a5 IS NOT NULL)::INT + told::INT + (told AND p_size > 25)::INT + told::INT + (a8 IS NOT NULL)::INT + 3 AS n_slots FROM q)
 SELECT asin, a1 AS product_type, brand, price, a5 AS use_case, CASE WHEN told AND p_size > 25 THEN 'steel' END AS material, CASE WHEN told THEN p_size::VARCHAR END AS size, a8 AS safety, 'Durable' AS durability,
-  'Easy|Easy To Use' AS ease, p_type AS last_feature, n_slots, CASE WHEN brand IS NULL THEN 'no_brand' WHEN price IS NULL THEN 'no_price' WHEN n_slots < 5 THEN 'few_slots' END AS reason FROM n""")
+  'Easy|Easy To Use' AS ease, array_to_string(list_transform(a18, lambda w: upper(w[1]) || w[2:]), '|') AS quality, p_type AS last_feature, n_slots, CASE WHEN brand IS NULL THEN 'no_brand' WHEN price IS NULL THEN 'no_price' WHEN n_slots < 5 THEN 'few_slots' END AS reason FROM n""")
 def product_attributes(spark, sf_dir):
     found = attributes.product_attributes(_products(spark, sf_dir), attributes.Category(uses=((("cake stands",), ()),)))
     return found.select(
         "asin", F.col("A1_product_type").alias("product_type"), F.col("A2_brand").alias("brand"), F.col("A3_price").alias("price"), F.col("A5_use_case").alias("use_case"),
         F.try_element_at("A6_detailed", F.lit("material")).alias("material"), F.get("A14_size", F.lit(0)).alias("size"), F.get("A8_safety", F.lit(0)).alias("safety"),
-        F.array_join("A9_durability", "|").alias("durability"), F.array_join("A10_ease_of_use", "|").alias("ease"), F.try_element_at("features", F.lit(-1)).alias("last_feature"), "n_slots", "reason",
+        F.array_join("A9_durability", "|").alias("durability"), F.array_join("A10_ease_of_use", "|").alias("ease"), F.array_join("A18_quality", "|").alias("quality"), F.try_element_at("features", F.lit(-1)).alias("last_feature"), "n_slots", "reason",
     )
 
 

@@ -167,6 +167,22 @@ def test_use_case(spark, title, description, features, want):
     assert one(spark, column, "title string, description string, features array<string>", title=title, description=description, features=features) == want
 
 
+@pytest.mark.parametrize(
+    ("description", "quality", "appearance"),
+    [
+        ("A <b>Top  Quality</b> cup, finest GREEN glass", ["Top quality", "Fine"], ["Green"]),
+        ("heavy<br>duty, transparent steel", ["Heavy duty"], ["Transparent"]),
+        ("best of <i>all</i> cups", [], []),
+        ("best of all the cups", ["Best"], []),
+        ("", [], []),
+        (None, [], []),
+    ],
+)
+def test_description_words(spark, description, quality, appearance):
+    found = [one(spark, attributes.description_words(F.col("d"), words), "d string", d=description) for words in (attributes.QUALITY, attributes.APPEARANCE)]
+    assert found == [quality, appearance]
+
+
 def test_product_attributes_say_why_they_reject(spark):
     ddl = "asin string, parent_asin string, title string, brand string, price string, category array<string>, categories array<string>, features array<string>, description string, details string"
     full = dict(asin="a", parent_asin=None, title="Cup", brand="Acme", price="$1,299.", category=["Cups"], categories=None, features=None, description="Sturdy; BPA-free, safe cup for baby", details='{"Size": " L ", "Age Range Description": "2+"}')
@@ -175,5 +191,6 @@ def test_product_attributes_say_why_they_reject(spark):
     assert [r.reason for r in got] == [None, "no_asin", "no_brand", "invalid_brand", "no_category", "no_price", "few_slots", None]
     first, last = got[0], got[-1]
     assert (first.A1_product_type, first.A3_price, first.A5_use_case, first.A6_detailed) == ("Cups", "1299", "Baby", {"age_range": "2+", "size": "L"})
-    assert (first.A8_safety, first.A9_durability, first.A14_size, first.A16_compatibility) == (["Safe", "Bpa Free"], ["Sturdy"], ["L"], ["2+"]) and first.n_slots == 9
+    assert (first.A8_safety, first.A9_durability, first.A14_size, first.A16_compatibility) == (["Safe", "Bpa Free"], ["Sturdy"], ["L"], ["2+"]) and first.n_slots == 10
+    assert first.A18_quality == ["Sturdy"] and got[6].A18_quality == []
     assert (last.asin, last.A1_product_type, last.A2_brand, last.A3_price) == ("p", "Bibs", "B", "5")
