@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from quillon.functions.digests import md5_heads
 
 KS = (1, 3, 5, 10)
+#: Keys whose sums a task of the bootstrap holds at once.
+HELD_KEYS = 512
 
 
 def single_target(ranked: DataFrame, targets: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
@@ -117,27 +124,71 @@ def bootstrap(values: DataFrame, key: str, value: str, row: str, rounds: int = 1
     """(key, n, mean, low, high): percentile intervals of the mean; row names a column that tells rows apart.
 
     Each round draws a Poisson(1) weight for each row by an MD5 of row and round, so that equal values are drawn
-    independently, results repeat, and rounds are partial sums that combine before the shuffle.  A round that draws no row
-    of a key is left out; rows without a value are not drawn.
+    independently and results repeat.  Rows are dealt evenly, since each costs rounds digests however few bytes it has; a
+    task sums its rows' weights by key and round and passes on those sums alone.  A round that draws no row of a key is
+    left out; rows without a value are not drawn.
     """
-
-    def draw(u: Column) -> Column:
-        out, edge = F.lit(0), 0.0
-        for count in range(1, 9):
-            edge += math.exp(-1) / math.factorial(count - 1)
-            out = F.when(u >= edge, F.lit(count)).otherwise(out)
-        return out
-
+    spark = values.sparkSession
     rows = values.select(key, F.col(value).cast("double").alias("v"), F.col(row).cast("string").alias("row")).where("v is not null")
-    every = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", "row", F.col("round").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    sums = every.withColumn("w", draw(u)).where("w > 0").groupBy(key, "round").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    schema = StructType([rows.schema[key], *(StructField(name, DoubleType()) for name in ("w", "wv")), StructField("round", IntegerType())])
+    drawn = rows.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_drawn_sums(key, rounds, to_arrow_schema(schema)), schema)
+    sums = drawn.groupBy(key, "round").agg(F.sum("w").alias("w"), (F.sum("wv") / F.sum("w")).alias("m")).where("w > 0")
     # rounds numbers for each key
     edges = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     ends = sums.groupBy(key).agg(edges.alias("e")).select(key, F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(ends, key)
 
 
+def _drawn_sums(key: str, rounds: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from batches (key, v, row) to (key, w, wv, round): sums of the weights and of the weighted values of rows, by key and round."""
+    edges = np.cumsum([math.exp(-1) / math.factorial(count) for count in range(8)])
+    bounds = [np.uint32(math.ceil(edge * 2**32)) for edge in edges]
+    numbers = [str(k).encode() for k in range(1, rounds + 1)]
+    joined = [b":" + k for k in numbers]
+
+    def told(held: dict) -> pa.RecordBatch:
+        sums = np.stack(list(held.values()))
+        keys = pa.array(list(held), schema.field(key).type).take(pa.array(np.repeat(np.arange(len(held)), rounds)))
+        return pa.RecordBatch.from_arrays([keys, pa.array(sums[:, 0].ravel()), pa.array(sums[:, 1].ravel()), pa.array(np.tile(np.arange(1, rounds + 1, dtype=np.int32), len(held)))], schema=schema)
+
+    def add(held: dict, keys: list, v: np.ndarray, rows: list[bytes], suffixes: list[bytes]) -> None:
+        for at, ends, heads in md5_heads(rows, suffixes):
+            w = np.zeros(heads.shape, np.float64)
+            for bound in bounds:
+                w += heads >= bound
+            with np.errstate(invalid="ignore"):
+                wv = np.where(w > 0, w * v[at, None], 0.0)
+            own = [keys[i] for i in at.tolist()]
+            starts = [i for i in range(len(own)) if i == 0 or own[i] != own[i - 1]]
+            for i, a, b in zip(starts, np.add.reduceat(w, starts), np.add.reduceat(wv, starts), strict=True):
+                held[own[i]][0, ends] += a
+                held[own[i]][1, ends] += b
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            order, names = np.argsort(codes.indices.to_numpy(), kind="stable"), codes.dictionary.to_pylist()
+            for low in range(0, len(order), HELD_KEYS):
+                part = pa.array(order[low : low + HELD_KEYS])
+                keys = [names[i] for i in codes.indices.take(part).to_pylist()]
+                v, rows = batch.column(1).take(part).to_numpy(), batch.column(2).take(part).to_pylist()
+                if held and len(held.keys() | set(keys)) > HELD_KEYS:
+                    yield told(held)
+                    held = {}
+                for k in set(keys):
+                    held.setdefault(k, np.zeros((2, rounds)))
+                # A row without a name is told by its round alone.
+                for unnamed, suffixes in ((False, joined), (True, numbers)):
+                    at = [i for i, r in enumerate(rows) if (r is None) == unnamed]
+                    if at:
+                        add(held, [keys[i] for i in at], v[at], [(rows[i] or "").encode() for i in at], suffixes)
+        if held:
+            yield told(held)
+
+    return sums
+
+
 def paired_t(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, mean_diff, t, p) of the two-sided paired t test of b - a."""
     d = F.col(b) - F.col(a)
