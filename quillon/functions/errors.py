@@ -163,21 +163,35 @@ def attribute_risk(token: Column, values: Column) -> Column:
     return F.least(total, F.lit(1.0))
 
 
-def error_char_score(token: Column, freq: Column) -> Column:
-    """freq: map from character to how often the user's errors touch it."""
+def greatest_count(freq: Column) -> Column:
+    return F.array_max(F.map_values(freq)).cast("double")
+
+
+def error_char_score(token: Column, freq: Column, top: Column | None = None) -> Column:
+    """freq: map from character to how often the user's errors touch it; top: its greatest_count where that is known."""
+    top = greatest_count(freq) if top is None else top
+
+    def score(t: Column) -> Column:
+        cs, known, letters = t["cs"], t["known"], t["letters"]
+        boost = F.aggregate(known, F.lit(0.0), lambda total, c: total + (F.element_at(freq, c) / t["top"]) * (F.size(F.filter(cs, lambda x: x == c)) / letters))
+        return F.when((letters > 0) & (F.size(freq) > 0), F.least(F.size(known) / letters + boost * 0.5, F.lit(1.0))).otherwise(F.lit(0.0))
+
+    # Bound to a lambda variable, so that a token is taken apart once and not for each of its characters.
     cs = chars(token)
     letters = F.size(F.filter(cs, lambda c: c.rlike("\\p{L}"))).cast("double")
-    top = F.array_max(F.map_values(freq)).cast("double")
-    known = F.filter(cs, lambda c: F.map_contains_key(freq, c))
-    boost = F.aggregate(known, F.lit(0.0), lambda t, c: t + (F.element_at(freq, c) / top) * (F.size(F.filter(cs, lambda x: x == c)) / letters))
-    return F.when((letters > 0) & (F.size(freq) > 0), F.least(F.size(known) / letters + boost * 0.5, F.lit(1.0))).otherwise(F.lit(0.0))
+    parts = F.struct(cs.alias("cs"), F.filter(cs, lambda c: F.map_contains_key(freq, c)).alias("known"), letters.alias("letters"), top.alias("top"))
+    return F.get(F.transform(F.array(parts), score), F.lit(0))
+
+
+def error_bigram_score(token: Column, freq: Column, top: Column | None = None) -> Column:
+    top = greatest_count(freq) if top is None else top
 
+    def score(t: Column) -> Column:
+        bs = t["bs"]
+        total = F.aggregate(bs, F.lit(0.0), lambda total, b: total + F.coalesce(F.try_element_at(freq, b) / t["top"], F.lit(0.0)))
+        return F.when((F.size(bs) > 0) & (F.size(freq) > 0), F.least(total / F.size(bs), F.lit(1.0))).otherwise(F.lit(0.0))
 
-def error_bigram_score(token: Column, freq: Column) -> Column:
-    bs = bigrams(token)
-    top = F.array_max(F.map_values(freq)).cast("double")
-    total = F.aggregate(bs, F.lit(0.0), lambda t, b: t + F.coalesce(F.try_element_at(freq, b) / top, F.lit(0.0)))
-    return F.when((F.size(bs) > 0) & (F.size(freq) > 0), F.least(total / F.size(bs), F.lit(1.0))).otherwise(F.lit(0.0))
+    return F.get(F.transform(F.array(F.struct(bigrams(token).alias("bs"), top.alias("top"))), score), F.lit(0))
 
 
 def token_score(token: Column, error_words: Column, char_freq: Column, bigram_freq: Column, values: Column) -> Column:

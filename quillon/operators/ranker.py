@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quillon.functions import errors as er
 from quillon.functions import text as tx
@@ -59,15 +60,51 @@ def user_profiles(errors: DataFrame) -> DataFrame:
     return profiles.error_profile(errors).select("user_id", "error_words", "char_freq", "bigram_freq", "n_errors").join(ratios, "user_id")
 
 
-def token_features(token: Column, keywords: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """The FEATURES of a token as an array, beside columns of user_profiles().  keywords: word lists by colors, sizes, flavors, materials, species."""
+def similarities(user: pa.Array, tokens: pa.Array, words: pa.Array) -> pa.Array:
+    """For each lower-cased token the greatest Jaccard similarity of its set of characters to those of the user's lower-cased words; 0 without words.
+
+    A user's words are the same in all of their rows.  Distinct tokens and distinct sets alone are compared, as products of 0/1 matrices.
+    """
+    ends, flat = np.append(0, np.cumsum(np.array([len(t or ()) for t in tokens.to_pylist()], np.int64))), tokens.flatten().dictionary_encode()
+    codes, names = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+    users, out = user.dictionary_encode(null_encoding="encode").indices.to_numpy(), np.zeros(len(codes))
+    for one in np.unique(users).tolist():
+        rows = np.flatnonzero(users == one)
+        sets = list({frozenset(w) for w in words[int(rows[0])].as_py() or () if w is not None})
+        if not sets:
+            continue
+        at = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in rows])
+        wanted, back = np.unique(codes[at], return_inverse=True)
+        letters = {c: k for k, c in enumerate(sorted(frozenset().union(*sets)))}
+        held = np.zeros((len(sets), len(letters)), np.float32)
+        for k, chars in enumerate(sets):
+            held[k, [letters[c] for c in chars]] = 1
+        sizes, best = np.array([len(s) for s in sets], np.float64), np.zeros(len(wanted))
+        step = max(PAIRS // len(sets), 1)
+        for low in range(0, len(wanted), step):
+            asked = [frozenset(names[k]) for k in wanted[low : low + step].tolist()]
+            own = np.zeros((len(asked), len(letters)), np.float32)
+            for k, chars in enumerate(asked):
+                own[k, [letters[c] for c in chars if c in letters]] = 1
+            common = (own @ held.T).astype(np.float64)
+            union = np.array([len(s) for s in asked], np.float64)[:, None] + sizes - common
+            best[low : low + step] = np.divide(common, union, out=np.zeros_like(common), where=union > 0).max(axis=1)
+        out[at] = best[back]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+
+
+def token_features(token: Column, keywords: Mapping[str, Sequence[str]] | None = None, similarity: Column | None = None, char_top: Column | None = None, bigram_top: Column | None = None) -> Column:
+    """The FEATURES of a token as an array, beside columns of user_profiles().  keywords: word lists by colors, sizes, flavors, materials, species.
+
+    similarity (topk_sim) and the greatest counts of a profile's maps are computed here unless they are given.
+    """
     low, flag = F.lower(token), lambda c: F.when(c, 1.0).otherwise(0.0)
     words = lambda name: flag(low.isin(*keywords[name])) if keywords and keywords.get(name) else F.lit(0.0)
     vowels = F.length(F.regexp_replace(low, "[^aeiou]", "")).cast("double")
     values = {
-        "topk_sim": F.array_max(F.transform("error_words", lambda e: er.char_similarity(token, e))),
-        "char_score": er.error_char_score(token, F.col("char_freq")),
-        "bigram_score": er.error_bigram_score(token, F.col("bigram_freq")),
+        "topk_sim": F.array_max(F.transform("error_words", lambda e: er.char_similarity(token, e))) if similarity is None else similarity,
+        "char_score": er.error_char_score(token, F.col("char_freq"), char_top),
+        "bigram_score": er.error_bigram_score(token, F.col("bigram_freq"), bigram_top),
         "surface_difficulty": er.surface_difficulty(token),
         "attr_risk": er.attribute_risk(token, F.array().cast("array<string>")),
         **{f"{k}_ratio": F.col(f"{k}_ratio") for k in ("phonetic", "visual", "spelling")},
@@ -86,8 +123,12 @@ def token_features(token: Column, keywords: Mapping[str, Sequence[str]] | None =
 
 def featured(groups: DataFrame, profiles: DataFrame, keywords: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """groups (user_id, tokens, ...) of users with a profile, with x, the features of each token."""
-    joined = groups.join(profiles, "user_id")
-    return joined.select(*groups.columns, F.transform("tokens", lambda w: token_features(w, keywords)).alias("x"))
+    # Tokens are dear and their rows have few bytes, so rows are dealt evenly.
+    # What is a profile's alone is computed once for each user.
+    users = profiles.withColumn("char_top", er.greatest_count(F.col("char_freq"))).withColumn("bigram_top", er.greatest_count(F.col("bigram_freq")))
+    joined = groups.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism).join(users, "user_id")
+    known = joined.withColumn("similarity", F.arrow_udf(similarities, ArrayType(DoubleType()))("user_id", F.transform("tokens", F.lower), F.transform("error_words", F.lower)))
+    return known.select(*groups.columns, F.zip_with("tokens", "similarity", lambda w, s: token_features(w, keywords, s, F.col("char_top"), F.col("bigram_top"))).alias("x"))
 
 
 def training_groups(errors: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +143,10 @@ def training_groups(errors: DataFrame, stop_words: Sequence[str] = ()) -> DataFr
     filled = errors.where((o != "") & (c != "") & (span != ""))
     tokens = filled.select("group_id", "user_id", F.lower(c).alias("c"), content_tokens(clean, stop_words).alias("tokens"))
     place = F.array_position(F.transform("tokens", F.lower), F.col("c"))
-    return tokens.where(place > 0).select("group_id", "user_id", "tokens", F.transform("tokens", lambda w, i: F.when(i + 1 == place, 1).otherwise(0)).alias("y"))
+    # No lambda over tokens, in which the place would be looked for again for each of them.
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+    y = F.concat(zeros(place - 1), F.array(F.lit(1)), zeros(F.size("tokens") - place))
+    return tokens.where(place > 0).select("group_id", "user_id", "tokens", y.alias("y"))
 
 
 @dataclass(frozen=True)

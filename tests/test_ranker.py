@@ -111,3 +111,17 @@ def test_registered_ranker_beats_weighted_scores_on_unseen_turns(spark):
     scored = ranker.featured(ranker.training_groups(errors.where("fold = 0")), ranker.user_profiles(errors.where("fold >= 3")))
     weighted = scored.withColumn("s", F.transform("x", lambda x: 0.3 * x[0] + 0.2 * x[1] + 0.2 * x[2] + 0.15 * x[3] + 0.15 * x[4]))
     assert learned > ranker.ndcg(weighted).agg(F.avg("ndcg")).first()[0] + 0.3 and learned > 0.7
+
+
+def test_similarities_equal_the_column_expression_and_features_do_too(spark):
+    profiles = spark.createDataFrame(
+        [(1, ["hte", "ß-x", ""], {"h": 2, "t": 5}, {"ht": 3}, 4, 0.5, 0.25, 0.25), (2, [], {}, {}, 1, 0.0, 0.0, 1.0)],
+        "user_id int, error_words array<string>, char_freq map<string,bigint>, bigram_freq map<string,bigint>, n_errors bigint, phonetic_ratio double, visual_ratio double, spelling_ratio double",
+    )
+    groups = spark.createDataFrame([(k, 1 + k % 2, ["The", "hte", f"t{k}", "xX"] if k else []) for k in range(9)], "group_id int, user_id int, tokens array<string>").coalesce(1)
+    found = ranker.featured(groups, profiles)
+    plain = groups.join(profiles, "user_id").select("group_id", F.transform("tokens", lambda w: ranker.token_features(w)).alias("x"))
+    assert dict(found.select("group_id", "x").collect()) == dict(plain.collect())
+    # Turns are dealt over tasks, and words compared in blocks.
+    plan = found._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning" in plan and "ArrowEvalPython" in plan
