@@ -19,6 +19,11 @@ NO_BRANDS = ("unknown", "generic", "n/a", "na", "none", "null", "")
 BRAND_EDGES = " \" .*+,-_!@#$%^&*();\\/|<>'\t\n\r"
 # Fixed value: marks that product types lose at the end.
 TYPE_ENDS = ",，。.!?;："
+# Characters whose upper case in Java is several characters: those with a capital of one character, and that; those that stay.
+_MANY = [c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) <= 0xDFFF and len(c.upper()) > 1]
+_TITLED = {c: "\u1e9e" if c == "\u00df" else c.title() for c in _MANY if c == "\u00df" or (len(c.title()) == 1 and c.title() != c)}
+_EXPANDING = "".join(_TITLED), "".join(_TITLED.values())
+_KEPT = "".join(c for c in _MANY if c not in _TITLED)
 # Fixed value: what counts as a query token.
 QUERY_TOKEN = "[a-zA-Z0-9]+(?:'[a-zA-Z0-9]+)*"
 
@@ -50,6 +55,14 @@ def search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def upper(text: Column) -> Column:
+    """text in upper case, each character by one character, as DuckDB's upper() does: the sharp s gives its capital, not SS."""
+    one = F.translate(text, _EXPANDING[0], _EXPANDING[1])
+    parts = F.regexp_extract_all(one, F.lit(f"[{_KEPT}]+|[^{_KEPT}]+"), F.lit(0))
+    whole = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^[{_KEPT}]"), p).otherwise(F.upper(p))), "")
+    return F.when(one.rlike(f"[{_KEPT}]"), whole).otherwise(F.upper(one))
+
+
 def price(text: Column) -> Column:
     """The first number, commas and a trailing dot removed; null if there is none."""
     number = F.translate(F.regexp_extract(text, "\\$?([\\d,]+\\.?\\d*)", 1), ",", "")
