@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,6 +29,11 @@ _KEPT = "".join(c for c in _MANY if c not in _TITLED)
 QUERY_TOKEN = "[a-zA-Z0-9]+(?:'[a-zA-Z0-9]+)*"
 
 
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function of value, which is bound to a lambda variable, so that it is computed once a row however often function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words between white space; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda w: w != "")
@@ -119,16 +125,18 @@ def is_placeholder(text: Column) -> Column:
 
 def canonical_attribute(text: Column) -> Column:
     """Squeezed, and cut at the first ( if something stands before it."""
-    clean = squeezed(text)
-    head = F.trim(F.substring_index(clean, "(", 1))
-    return F.when(clean.contains("(") & (head != ""), head).otherwise(clean)
+
+    def cut(clean: Column) -> Column:
+        head = F.trim(F.substring_index(clean, "(", 1))
+        return F.when(clean.contains("(") & (head != ""), head).otherwise(clean)
+
+    return bound(squeezed(text), cut)
 
 
 def scalar_attribute(text: Column) -> Column:
     """The part before the first ; (else the first ,), canonical; null for placeholders and blanks."""
     part = F.when(text.contains(";"), F.substring_index(text, ";", 1)).otherwise(F.substring_index(text, ",", 1))
-    clean = canonical_attribute(part)
-    return F.when(~is_placeholder(clean) & (clean != ""), clean)
+    return bound(canonical_attribute(part), lambda clean: F.when(~is_placeholder(clean) & (clean != ""), clean))
 
 
 def attribute_identity(text: Column) -> Column:

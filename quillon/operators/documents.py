@@ -99,12 +99,19 @@ def picked_attributes(slots: list[tuple[str, Column]], most: int = 5) -> Column:
     listed = F.array(*(F.struct(F.lit(key).alias("key"), values.cast("array<string>").alias("values")) for key, values in slots))
     identity = lambda v: tx.attribute_identity(tx.canonical_attribute(v))
 
+    def told(value: Column) -> Column:
+        return tx.bound(tx.scalar_attribute(value), lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), identity(v).alias("identity"))))
+
     def add(so_far: Column, slot: Column) -> Column:
-        usable = F.filter(F.transform(slot["values"], tx.scalar_attribute), lambda v: v.isNotNull())
-        value = F.get(F.filter(usable, lambda v: ~F.array_contains(so_far["used"], identity(v))), F.lit(0))
-        taken = F.array(F.struct(slot["key"].alias("key"), value.alias("value")))
-        grown = F.struct(F.concat(so_far["used"], F.array(identity(value))).alias("used"), F.concat(so_far["picked"], taken).alias("picked"))
-        return F.when((F.size(so_far["picked"]) < most) & value.isNotNull(), grown.cast(held)).otherwise(so_far)
+        def grown(first: Column) -> Column:
+            taken = F.array(F.struct(slot["key"].alias("key"), first["value"].alias("value")))
+            more = F.struct(F.concat(so_far["used"], F.array(first["identity"])).alias("used"), F.concat(so_far["picked"], taken).alias("picked"))
+            return F.when(first.isNotNull(), more.cast(held)).otherwise(so_far)
+
+        # Values and identities are bound, so that each is worked out once; slots past the last that counts aren't looked at.
+        usable = F.array_compact(F.transform(slot["values"], told))
+        first = F.get(F.filter(usable, lambda v: ~F.array_contains(so_far["used"], v["identity"])), F.lit(0))
+        return F.when(F.size(so_far["picked"]) < most, tx.bound(first, grown)).otherwise(so_far)
 
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<key:string,value:string>>").alias("picked")).cast(held)
     return F.reduce(listed, start, add, lambda s: s["picked"])
