@@ -136,15 +136,16 @@ def values_of(details: Column, keys: Sequence[str], most: int) -> Column:
 
 def words_of(description: Column, keywords: Sequence[str]) -> Column:
     """The keywords that the lower-cased text holds, hyphens as spaces and words capitalized, each once."""
-    low = F.lower(F.coalesce(description, F.lit("")))
-    return F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(word), F.lit(word.replace("-", " ").title())) for word in keywords))))
+    held = lambda low: F.array(*(F.when(low.contains(word), F.lit(word.replace("-", " ").title())) for word in keywords))
+    return F.array_distinct(F.array_compact(tx.bound(F.lower(F.coalesce(description, F.lit(""))), held)))
 
 
 def description_words(description: Column, keywords: Sequence[str], shortest: int = MIN_DESCRIPTION) -> Column:
     """The keywords that a description holds anywhere, without tags and in any case, the first letter capitalized; none if it is short or null."""
     text = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(description, F.lit("")), "<[^>]+>", " "), r"\s+", " "))
-    held = F.filter(F.array(*map(F.lit, keywords)), lambda word: F.contains(F.lower(text), word))
-    return F.when(F.length(text) >= shortest, F.transform(held, tx.capitalized)).otherwise(F.array().cast("array<string>"))
+    words = F.array(*map(F.lit, keywords))
+    held = lambda text: tx.bound(F.lower(text), lambda low: F.transform(F.filter(words, lambda word: F.contains(low, word)), tx.capitalized))
+    return tx.bound(text, lambda text: F.when(F.length(text) >= shortest, held(text)).otherwise(F.array().cast("array<string>")))
 
 
 def kept_features(features: Column) -> Column:
@@ -158,15 +159,21 @@ def use_case(title: Column, description: Column, features: Column, category: Cat
     """A5: the longest word for a use that the text holds, else what stands after "used for"."""
     low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
     text = F.regexp_replace(F.concat_ws(" ", low, F.array_join(F.coalesce(features, F.array().cast("array<string>")), " ")), "<[^>]+>", " ")
-    # Fixed value: the pattern of an activity.
-    activity = F.regexp_replace(F.regexp_extract(text, r"(?:be\s+)?used\s+for\s+([a-zA-Z][a-zA-Z\s]+?)(?:\s|,|\.|$)", 1), r"\s+", " ")
-    named = tx.capitalized(activity)
-    for word, name in ACTIVITY_NAMES.items():
-        named = F.when(activity == word, F.lit(name)).otherwise(named)
-    out = F.when(F.length(activity).between(3, 30), named)
-    # A filter over the list instead of nested conditions: the first that the text holds is the longest.
-    held = F.get(F.filter(F.array(*map(F.lit, category.use_keywords())), lambda w: F.contains(text, w)), F.lit(0))
-    return F.coalesce(tx.capitalized(F.regexp_replace(held, "^for ", "")), out)
+
+    def named(activity: Column) -> Column:
+        out = tx.capitalized(activity)
+        for word, name in ACTIVITY_NAMES.items():
+            out = F.when(activity == word, F.lit(name)).otherwise(out)
+        return F.when(F.length(activity).between(3, 30), out)
+
+    def found(text: Column) -> Column:
+        # Fixed value: the pattern of an activity.
+        activity = F.regexp_replace(F.regexp_extract(text, r"(?:be\s+)?used\s+for\s+([a-zA-Z][a-zA-Z\s]+?)(?:\s|,|\.|$)", 1), r"\s+", " ")
+        # A filter over the list instead of nested conditions: the first that the text holds is the longest.
+        held = F.get(F.filter(F.array(*map(F.lit, category.use_keywords())), lambda w: F.contains(text, w)), F.lit(0))
+        return F.coalesce(tx.bound(F.regexp_replace(held, "^for ", ""), tx.capitalized), tx.bound(activity, named))
+
+    return tx.bound(text, found)
 
 
 def product_attributes(products: DataFrame, category: Category = Category(), appearance: Column | None = None, quality: Column | None = None) -> DataFrame:  # noqa: B008

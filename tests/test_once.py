@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import documents
+from quillon.operators import attributes, documents
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -14,3 +14,14 @@ def test_picked_attributes_squeeze_each_value_a_fixed_number_of_times(spark):
     slots = [(f"A{k}", F.array(F.col("v"))) for k in range(8)]
     plan = optimized(spark.createDataFrame([("x",)], "v string").select(documents.picked_attributes(slots).alias("p")))
     assert plan.count("regexp_replace") <= 10
+
+
+def test_uses_and_quality_words_are_sought_in_one_text(spark):
+    rows = spark.createDataFrame([("t", "a premium tool, used for camping", ["f"])], "title string, description string, features array<string>")
+    both = rows.select(
+        attributes.use_case(F.col("title"), F.col("description"), F.col("features"), attributes.Category()).alias("u"),
+        attributes.description_words(F.col("description"), attributes.QUALITY).alias("q"),
+    )
+    assert both.first()[:] == ("Camping", ["Premium"])
+    plan = optimized(both)
+    assert plan.count("regexp_extract") == 1 and plan.count("<[^>]+>") == 2
