@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as tx
+
 # Words that open an adjectival or a complement clause, in alphabetical order.
 ADJECTIVAL_MARKERS = (
     "after", "although", "because", "before", "how", "if", "since", "that", "though", "unless", "until", "what", "whatever", "when", "where",
@@ -26,46 +28,50 @@ PRONOUNS = ("nsubj", "dobj", "pobj", "attr")
 BIN = 64
 
 
-def _child(tokens: Column, t: Column, *deps: str) -> Column:
-    """The lower-cased text of the first child of t with one of the labels."""
-    found = F.filter(tokens, lambda u: (u["head"] == t["i"]) & (u["i"] != t["i"]) & u["dep"].isin(*deps))
+def _child(kids: Column, t: Column, *deps: str) -> Column:
+    """The lower-cased text of the first child of t with one of the labels, among kids."""
+    found = F.filter(kids, lambda u: (u["head"] == t["i"]) & (u["i"] != t["i"]) & u["dep"].isin(*deps))
     return F.lower(F.get(found, F.lit(0))["text"])
 
 
-def _found(tokens: Column, opens: Column, kind, marker, verb=None) -> Column:
-    """Structures of the tokens for which opens(token) holds."""
-    verb = verb or (lambda t: t["text"])
-    build = lambda t: F.struct(t["i"].alias("position"), kind(t).alias("kind"), marker(t).alias("marker"), F.get(tokens, t["head"])["text"].alias("head_word"), verb(t).alias("verb_word"))
-    return F.transform(F.filter(tokens, opens), build)
+def _found(tokens: Column, opens: Column, labels: tuple[str, ...], kind, marker, verb) -> Column:
+    """Structures of the tokens for which opens(token) holds, by position; kind, marker(kids, token) and verb tell them.  kids, the tokens
+    with one of the labels, are bound to a lambda variable, so that a structure looks for its children among these alone."""
+
+    def of(kids: Column) -> Column:
+        build = lambda t: F.struct(t["i"].alias("position"), kind(t).alias("kind"), marker(kids, t).alias("marker"), F.get(tokens, t["head"])["text"].alias("head_word"), verb(t).alias("verb_word"))
+        return F.array_sort(F.transform(F.filter(tokens, opens), build))
+
+    return tx.bound(F.filter(tokens, lambda u: u["dep"].isin(*labels)), of)
 
 
 def adjectival(tokens: Column) -> Column:
     """Clauses that widen a tree: acl, relcl, advcl, conj, parataxis and marked ones, by position."""
-    none = F.lit(None).cast("string")
     head = lambda t: F.get(tokens, t["head"])
+    low = lambda t: F.lower(t["text"])
     marked = lambda t: F.when(head(t)["dep"] == "relcl", "relcl_reference").when(head(t)["dep"].isin("advcl", "csubj", "csubjpass"), head(t)["dep"]).otherwise("acl")
-    parts = F.concat(
-        _found(tokens, lambda t: t["dep"] == "acl", lambda t: F.lit("acl"), lambda t: F.coalesce(_child(tokens, t, "mark"), _child(tokens, t, "comp"))),
-        _found(tokens, lambda t: t["dep"] == "relcl", lambda t: F.lit("relcl_reference"), lambda t: F.coalesce(_child(tokens, t, *PRONOUNS), F.lower(t["text"]))),
-        _found(tokens, lambda t: t["dep"] == "advcl", lambda t: F.lit("advcl"), lambda t: _child(tokens, t, "mark")),
-        _found(tokens, lambda t: t["dep"].isin("conj", "parataxis"), lambda t: t["dep"], lambda t: none),
-        _found(tokens, lambda t: (t["dep"] == "mark") & F.lower(t["text"]).isin(*ADJECTIVAL_MARKERS), marked, lambda t: F.lower(t["text"]), lambda t: head(t)["text"]),
+    opens = lambda t: t["dep"].isin("acl", "relcl", "advcl", "conj", "parataxis") | ((t["dep"] == "mark") & low(t).isin(*ADJECTIVAL_MARKERS))
+    kind = lambda t: F.when(t["dep"] == "mark", marked(t)).when(t["dep"] == "relcl", "relcl_reference").otherwise(t["dep"])
+    marker = lambda kids, t: (
+        F.when(t["dep"] == "acl", F.coalesce(_child(kids, t, "mark"), _child(kids, t, "comp")))
+        .when(t["dep"] == "relcl", F.coalesce(_child(kids, t, *PRONOUNS), low(t)))
+        .when(t["dep"] == "advcl", _child(kids, t, "mark"))
+        .when(t["dep"] == "mark", low(t))
     )
-    return F.array_sort(parts)
+    verb = lambda t: F.when(t["dep"] == "mark", head(t)["text"]).otherwise(t["text"])
+    return _found(tokens, opens, ("mark", "comp", *PRONOUNS), kind, marker, verb)
 
 
 def complement(tokens: Column) -> Column:
     """Clauses that deepen a tree: ccomp, xcomp, subject clauses and marked ones, by position."""
-    none = F.lit(None).cast("string")
-    to = lambda t: F.exists(tokens, lambda u: (u["head"] == t["i"]) & (u["i"] != t["i"]) & (u["dep"] == "aux") & (F.lower(u["text"]) == "to"))
     head = lambda t: F.get(tokens, t["head"])
-    parts = F.concat(
-        _found(tokens, lambda t: t["dep"] == "ccomp", lambda t: F.lit("ccomp"), lambda t: _child(tokens, t, "mark")),
-        _found(tokens, lambda t: t["dep"] == "xcomp", lambda t: F.lit("xcomp"), lambda t: F.when(to(t), "to").otherwise("bare_infinitive")),
-        _found(tokens, lambda t: t["dep"].isin("csubj", "csubjpass"), lambda t: t["dep"], lambda t: none),
-        _found(tokens, lambda t: (t["dep"] == "mark") & F.lower(t["text"]).isin(*COMPLEMENT_MARKERS), lambda t: F.concat(F.lit("mark_"), head(t)["dep"]), lambda t: F.lower(t["text"]), lambda t: head(t)["text"]),
-    )
-    return F.array_sort(parts)
+    low = lambda t: F.lower(t["text"])
+    to = lambda kids, t: F.exists(kids, lambda u: (u["head"] == t["i"]) & (u["i"] != t["i"]) & (u["dep"] == "aux") & (low(u) == "to"))
+    opens = lambda t: t["dep"].isin("ccomp", "xcomp", "csubj", "csubjpass") | ((t["dep"] == "mark") & low(t).isin(*COMPLEMENT_MARKERS))
+    kind = lambda t: F.when(t["dep"] == "mark", F.concat(F.lit("mark_"), head(t)["dep"])).otherwise(t["dep"])
+    marker = lambda kids, t: F.when(t["dep"] == "ccomp", _child(kids, t, "mark")).when(t["dep"] == "xcomp", F.when(to(kids, t), "to").otherwise("bare_infinitive")).when(t["dep"] == "mark", low(t))
+    verb = lambda t: F.when(t["dep"] == "mark", head(t)["text"]).otherwise(t["text"])
+    return _found(tokens, opens, ("mark", "aux"), kind, marker, verb)
 
 
 def in_sentences(positions: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -81,23 +87,36 @@ def in_sentences(positions: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def user_structures(texts: DataFrame, find=adjectival) -> DataFrame:
     """A user's profile from texts (user_id, tokens): texts, words, structures, their share and density, gaps between neighbours within
-    a text, and how often each kind and marker occurs."""
-    words = F.size(F.filter("tokens", lambda t: ~(t["is_punct"] | t["is_space"])))
-    rows = texts.select("user_id", words.alias("words"), find(F.col("tokens")).alias("found")).where("words > 0")
-    gaps = F.transform(F.slice("found", 2, F.greatest(F.size("found") - 1, F.lit(0))), lambda s, k: s["position"] - F.get("found", k)["position"] - 1)
-    total = rows.groupBy("user_id").agg(F.count("*").alias("texts"), F.sum("words").alias("words"), F.count_if(F.size("found") > 0).alias("texts_with"), F.sum(F.size("found")).alias("structures"))
-    between = rows.select("user_id", F.explode(gaps).alias("gap")).groupBy("user_id").agg(F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"))
+    a text, and how often each kind and marker occurs.
 
-    def counted(column: str) -> DataFrame:
-        each = rows.select("user_id", F.explode(F.transform("found", lambda s: s[column])).alias("x")).where("x IS NOT NULL").groupBy("user_id", "x").agg(F.count("*").alias("n"))
-        return each.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("x", "n")))).alias(f"{column}s"))
+    A text is parsed once: its numbers, gaps, kinds and markers are rows (part, x, v) that are counted by user inside the tasks, so a few
+    counts a user are shuffled; means and medians follow from counts.
+    """
+    words = F.size(F.filter("tokens", lambda t: ~(t["is_punct"] | t["is_space"])))
 
-    out = total.join(between, "user_id", "left").join(counted("kind"), "user_id", "left").join(counted("marker"), "user_id", "left")
-    none = F.create_map().cast("map<string,bigint>")
+    def row(part: str, x: Column, v: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), x.cast("string").alias("x"), v.cast("long").alias("v"))
+
+    def parts(found: Column) -> Column:
+        none = F.lit(None)
+        gaps = F.transform(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), lambda s, k: row("gap", none, s["position"] - F.get(found, k)["position"] - 1))
+        kinds, markers = (F.filter(F.transform(found, one), lambda r: r["x"].isNotNull()) for one in (lambda s: row("kind", s["kind"], none), lambda s: row("marker", s["marker"], none)))
+        return F.concat(F.array(row("words", none, F.col("words")), row("size", none, F.size(found))), gaps, kinds, markers)
+
+    rows = texts.select("user_id", "tokens", words.alias("words")).where("words > 0")
+    each = rows.select("user_id", F.inline(tx.bound(find(F.col("tokens")), parts)))
+    counts = each.groupBy("user_id", "part", "x", "v").agg(F.count("*").alias("n"))
+    of = lambda part, c: F.when(F.col("part") == part, c)
+    n, total = F.col("n"), F.col("n") * F.col("v")
+    listed = lambda part: F.map_from_entries(F.array_sort(F.collect_list(of(part, F.struct("x", "n")))))
+    out = counts.groupBy("user_id").agg(
+        F.sum(of("words", n)).alias("texts"), F.sum(of("words", total)).alias("words"), F.coalesce(F.sum(of("size", F.when(F.col("v") > 0, n))), F.lit(0)).alias("texts_with"),
+        F.sum(of("size", total)).alias("structures"), (F.sum(of("gap", total)) / F.sum(of("gap", n))).alias("mean_gap"),
+        F.percentile(of("gap", F.col("v")), 0.5, n).alias("median_gap"), listed("kind").alias("kinds"), listed("marker").alias("markers"),
+    )
     return out.select(
         "user_id", "texts", "words", "structures", (F.col("texts_with") / F.col("texts")).alias("ratio"), (F.col("structures") / F.col("texts")).alias("per_text"),
-        (F.col("words") / F.col("texts")).alias("mean_words"), F.try_divide("words", "structures").alias("words_per_structure"), "mean_gap", "median_gap",
-        F.coalesce("kinds", none).alias("kinds"), F.coalesce("markers", none).alias("markers"),
+        (F.col("words") / F.col("texts")).alias("mean_words"), F.try_divide("words", "structures").alias("words_per_structure"), "mean_gap", "median_gap", "kinds", "markers",
     )
 
 

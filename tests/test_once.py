@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import attributes, documents
+from quillon.operators import attributes, documents, structures
+
+TOKENS = "array<struct<i:int,head:int,dep:string,text:string,is_punct:boolean,is_space:boolean>>"
+
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -25,3 +28,14 @@ def test_uses_and_quality_words_are_sought_in_one_text(spark):
     assert both.first()[:] == ("Camping", ["Premium"])
     plan = optimized(both)
     assert plan.count("regexp_extract") == 1 and plan.count("<[^>]+>") == 2
+
+
+def test_user_structures_read_their_texts_once(spark):
+    rows = [(1, [(0, 0, "ROOT", "go", False, False), (1, 0, "acl", "seen", False, False), (2, 1, "mark", "that", False, False), (3, 1, "conj", "run", False, False)]), (2, [(0, 0, "ROOT", "x", False, False)])]
+    texts = spark.createDataFrame(rows, f"user_id int, tokens {TOKENS}")
+    found = structures.user_structures(texts)
+    got = {r.user_id: r for r in found.collect()}
+    assert (got[1].texts, got[1].words, got[1].structures, got[1].mean_gap, got[1].median_gap) == (1, 4, 3, 0.0, 0.0)
+    assert got[1].kinds == {"acl": 2, "conj": 1} and got[1].markers == {"that": 2}
+    assert (got[2].structures, got[2].ratio, got[2].mean_gap, got[2].words_per_structure, got[2].kinds, got[2].markers) == (0, 0.0, None, None, {}, {})
+    assert optimized(found).count("LogicalRDD") + optimized(found).count("LocalRelation") == 1
