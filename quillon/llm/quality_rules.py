@@ -7,15 +7,16 @@ corpus.  The trusted multinomial is smoothed towards the corpus, so n-grams that
 it hasn't seen lower a score by a bounded amount.  Weights are fixed-point
 integers, so sums don't depend on the order of rows.
 
-DataFrame functions alone run here.  Corpus counts cover all documents and are
-combined into at most 2 * buckets rows for each task before the shuffle; the
-weights (2 * buckets numbers, a parameter) reach the tasks as one array; a
-document's n-grams are summed inside its row, so nothing is joined by document.
-The trusted texts are those of at most ``max_trusted`` labelled documents, the
-ones with the smallest hash of doc_id: a documented bound on the fit alone.  A
-trusted document is scored without its own n-grams (its counts are taken out of
-the trusted ones inside the row), so it is judged like one that was not labelled;
-the threshold is a low quantile of these left-out ratios.
+DataFrame functions alone run here.  Counts cover all documents, in one pass for
+the corpus and the trusted texts, and are combined into at most 2 * buckets rows
+for each task before the shuffle; the weights (4 * 2 * buckets numbers, a
+parameter) reach the tasks as one array; a document's n-grams are summed inside
+its row.  The trusted texts are those of all documents labelled good.  A trusted
+document is scored without its own n-grams (its counts are taken out of the
+trusted ones inside the row), so it is judged like one that was not labelled; the
+threshold is a low quantile of these left-out ratios.  Texts are scored once: the
+narrow result is written before the quantile is taken from it.  Trusted ids are
+broadcast up to ``MAX_BROADCAST`` of them, beyond which rows are joined by shuffle.
 
 Words of repeated 3-word windows are found inside the row: each window's hash
 (high 34 bits) and position (low 30 bits, more than a text has words) share a
@@ -33,7 +34,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import cut, space_words, table
 
 BUCKETS = 1 << 16
-MAX_TRUSTED = 5000
+#: Trusted ids that are broadcast at most.
+MAX_BROADCAST = 2_000_000
 #: Pseudo-counts, with the corpus' proportions, added to the trusted counts.
 PRIOR = 50_000.0
 #: Documents whose mean log-ratio is under this fail, where no threshold is learned.
@@ -51,6 +53,8 @@ LOST = 0.01
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 _SCALE = 1e6
+#: Parts that a range of values is cut into for a quantile, a row each.
+BINS = 1000
 #: Bits of a window's position: a text of 2**31 bytes, the most a row can hold, has at most 2**30 words.
 _AT = 30
 
@@ -83,22 +87,31 @@ def covered(starts: Column) -> Column:
     return F.aggregate(ends, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row, and more columns, functions of its words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, **more: Callable[[Column, Column | None], Column]) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row, and more columns, functions of its
+    words and of held, a constant."""
     flags = [c for c in docs.columns if c == "own"]
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), *flags, space_words(F.col(text_col)).alias("w"), F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("l"))
-    own = own.select("*", repeat_positions(F.col("w")).alias("r"))
-    out = own.select(
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        covered(F.col("r")).alias("n_repeat_words"),
-        *(function(F.col("w")).alias(name) for name, function in more.items()),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *flags, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if held is not None:
+        rows = rows.withColumn("held", held)
+
+    def told(row: Column) -> Column:
+        w, text = row["w"], row["text"]
+        lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+        once = lambda array, function: F.get(F.transform(F.array(array), function), F.lit(0))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            once(lines, lambda own: F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"),
+            once(repeat_positions(w), covered).alias("n_repeat_words"),
+            *(function(w, row["held"] if held is not None else None).alias(name) for name, function in more.items()),
+        )
+
+    # A text's words and held are bound to one lambda variable, so that the words are built once.  A subquery may not be written into a
+    # lambda function; as a column that is used once the optimizer puts it there, and it is never copied into a row.
+    bound = F.struct(space_words(F.col("text")).alias("w"), "text", *(["held"] if held is not None else []))
+    out = rows.select("doc_id", F.get(F.transform(F.array(bound), told), F.lit(0)).alias("told")).select("doc_id", "told.*")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
@@ -108,122 +121,163 @@ def bucket(*words: Column, buckets: int = BUCKETS) -> Column:
     return (own if len(words) == 1 else F.lit(buckets) + own).cast("int")
 
 
-def grams(docs: DataFrame, buckets: int = BUCKETS, text_col: str = "text") -> DataFrame:
-    """(u, v): for each word the bucket of the word, and of the word with the next one (null for the last)."""
-    words = docs.select(space_words(F.col(text_col)).alias("w"))
-    each = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("g"))
-    v = F.when(F.col("g.b").isNotNull(), bucket(F.col("g.a"), F.col("g.b"), buckets=buckets))
-    return each.select(bucket(F.col("g.a"), buckets=buckets).alias("u"), v.alias("v"))
+def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
+    """The buckets of a text's words, then those of its pairs of neighbours."""
+    pairs = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.concat(F.transform(words, lambda w: bucket(w, buckets=buckets)), F.transform(pairs, lambda w, i: bucket(F.get(words, i), w, buckets=buckets)))
 
 
-def bucket_counts(rows: DataFrame) -> DataFrame:
-    both = rows.select(F.explode(F.array("u", "v")).alias("bucket")).where("bucket is not null")
-    return both.groupBy("bucket").agg(F.count("*").alias("n"))
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, text_col: str = "text") -> DataFrame:
+    """(bucket, n): how often each bucket occurs; with a flag own among the columns also m, how often in rows that have it set."""
+    flag = F.coalesce(F.col("own"), F.lit(False)) if "own" in docs.columns else F.lit(False)
+    words = docs.select(space_words(F.col(text_col)).alias("w"), flag.alias("own"))
+    # Words are exploded and then hashed: outside of lambda functions hashing is compiled.
+    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))
+    each = words.select("own", F.explode(zipped).alias("g"))
+    pair = F.when(F.col("g.b").isNotNull(), bucket(F.col("g.a"), F.col("g.b"), buckets=buckets))
+    found = each.select("own", F.explode(F.array(bucket(F.col("g.a"), buckets=buckets), pair)).alias("bucket")).where("bucket is not null")
+    return found.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("own").alias("m"))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, text_col: str = "text") -> DataFrame:
-    """(bucket, weight, n, m): log-ratio of the trusted to the corpus multinomial, in millionths, for buckets that occur; corpus and trusted counts."""
-    raw = cut(bucket_counts(grams(docs, buckets, text_col)))
-    good = cut(bucket_counts(grams(trusted, buckets, text_col)))
-    n_raw = raw.agg(F.sum("n")).first()[0] or 0
-    n_good = good.agg(F.sum("n")).first()[0] or 0
+def weights(docs: DataFrame, trusted: DataFrame | None = None, buckets: int = BUCKETS, prior: float = PRIOR, text_col: str = "text") -> DataFrame:
+    """(bucket, weight, left, n, m): log-ratio of the trusted to the corpus multinomial, in millionths, for buckets that occur; the same
+    without one trusted n-gram and without the logarithm of the trusted total; corpus and trusted counts.
+
+    The trusted rows are those of trusted, or without it those of docs whose flag own is set.
+    """
+    counts = cut(bucket_counts(docs, buckets, text_col))
+    if trusted is not None:
+        good = cut(bucket_counts(trusted, buckets, text_col)).select("bucket", F.col("n").alias("m"))
+        counts = cut(counts.drop("m").join(good, "bucket", "left").withColumn("m", F.coalesce("m", F.lit(0))))
+    n_raw, n_good = (x or 0 for x in counts.agg(F.sum("n"), F.sum("m")).first())
     share = F.col("n") / F.lit(float(max(n_raw, 1)))
     smoothed = (F.col("m") + F.lit(prior) * share) / F.lit(n_good + prior)
-    joined = raw.join(good.withColumnRenamed("n", "m"), "bucket", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    return joined.select("bucket", F.round(F.log(smoothed / share) * _SCALE).cast("long").alias("weight"), "n", "m")
+    others = F.greatest(F.col("m") - 1, F.lit(0)) + F.lit(prior) * share
+    millionths = lambda ratio: F.round(F.log(ratio) * _SCALE).cast("long")
+    return counts.select("bucket", millionths(smoothed / share).alias("weight"), millionths(others / share).alias("left"), "n", "m")
 
 
-def weight_array(bucket_weights: DataFrame, buckets: int = BUCKETS, name: str = "weight") -> Column:
-    """The weights (or the column of that name) as one constant array by bucket, 0 where a bucket doesn't occur: 2 * buckets numbers, a parameter, however large the corpus."""
+def weight_array(bucket_weights: DataFrame, buckets: int = BUCKETS, names: Sequence[str] = ("weight",)) -> Column:
+    """The named columns one behind the other as one array, each by bucket, 0 where a bucket doesn't occur: 2 * buckets numbers a column,
+    a parameter, however large the corpus.  It is a scalar subquery: a literal would stand in full in every description of a plan."""
     every = bucket_weights.sparkSession.range(2 * buckets).select(F.col("id").cast("int").alias("bucket")).join(bucket_weights, "bucket", "left")
-    pairs = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce(name, F.lit(0)).alias(name))))
-    listed = every.agg(F.array_join(F.transform(pairs, lambda p: p[name].cast("string")), ",")).first()[0]
-    return F.split(F.lit(listed), ",").cast("array<long>")
+    pairs = F.array_sort(F.collect_list(F.struct("bucket", *(F.coalesce(name, F.lit(0)).alias(name) for name in names))))
 
+    def one(name: str) -> Column:
+        return F.transform(pairs, lambda p: p[name].cast("long"))
 
-def likelihood_ratio(words: Column, held: Column, buckets: int = BUCKETS) -> Column:
-    """The mean of held (weights by bucket) over a text's n-grams; 0 without words."""
+    return every.agg(F.concat(*map(one, names)).alias("held")).scalar()
 
-    def step(total: Column, i: Column) -> Column:
-        word, following = F.get(words, i), F.get(words, i + 1)
-        pair = F.when(following.isNotNull(), F.get(held, bucket(word, following, buckets=buckets))).otherwise(F.lit(0))
-        return total + F.get(held, bucket(word, buckets=buckets)) + pair
 
-    n = F.size(words)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(n > 0, F.aggregate(places, F.lit(0).cast("long"), step) / (2 * n - 1) / _SCALE).otherwise(0.0)
+def likelihood_ratio(grams: Column, held: Column) -> Column:
+    """The mean of held (weights by bucket) over the buckets of a text's n-grams; 0 without any."""
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda total, gram: total + F.get(held, gram))
+    return F.when(F.size(grams) > 0, total / F.size(grams) / _SCALE).otherwise(0.0)
 
 
-def left_out_ratio(words: Column, raw: Column, good: Column, n_raw: int, n_good: int, buckets: int = BUCKETS, prior: float = PRIOR) -> Column:
-    """likelihood_ratio of a trusted text, its own n-grams taken out of the trusted counts good; raw holds the corpus counts, both by bucket."""
-    n = F.size(words)
-    size = 2 * n - 1
+def left_out_ratio(grams: Column, held: Column, n_raw: int, n_good: int, buckets: int = BUCKETS, prior: float = PRIOR) -> Column:
+    """likelihood_ratio of a trusted text, its own n-grams taken out of the trusted counts; held has weight, left, n and m by bucket.
 
-    def pair(i: Column) -> Column:
-        return F.when(i < n - 1, bucket(F.get(words, i), F.get(words, i + 1), buckets=buckets))
+    Most buckets occur once in a text, for which left is the weight; those that occur again are sorted out and mended.
+    """
+    size, width, zero = F.size(grams), 2 * buckets, F.lit(0).cast("long")
+    once = F.aggregate(grams, zero, lambda total, gram: total + F.get(held, gram + width))
 
-    def summed(own: Column) -> Column:
-        def add(total: Column, gram: Column, many: Column) -> Column:
-            share = F.get(raw, gram) / F.lit(float(max(n_raw, 1)))
-            others = F.greatest(F.get(good, gram) - many, F.lit(0))
-            weight = F.log((others + F.lit(prior) * share) / (F.lit(n_good) - size + F.lit(prior)) / share)
-            return total + many * F.round(weight * _SCALE).cast("long")
+    def mended(again: Column) -> Column:
+        def mend(total: Column, gram: Column, many: Column) -> Column:
+            least = F.lit(prior / max(n_raw, 1)) * F.get(held, gram + 2 * width)
+            good = F.get(held, gram + 3 * width)
+            more = F.log((F.greatest(good - many, F.lit(0)) + least) / (F.greatest(good - 1, F.lit(0)) + least))
+            return total + many * F.round(more * _SCALE).cast("long")
 
         def step(at: Column, i: Column) -> Column:
-            # Equal buckets are runs; the last of a run adds it.
-            gram, many = F.get(own, i), at["run"] + 1
-            last = ~gram.eqNullSafe(F.get(own, i + 1))
-            return F.struct(F.when(last, add(at["total"], gram, many)).otherwise(at["total"]).alias("total"), F.when(last, F.lit(0)).otherwise(many).cast("long").alias("run"))
+            # Equal buckets are runs, each short of its first; the last of a run mends it.
+            gram, many = F.get(again, i), at["run"] + 1
+            last = ~gram.eqNullSafe(F.get(again, i + 1))
+            return F.struct(F.when(last, mend(at["total"], gram, many)).otherwise(at["total"]).alias("total"), F.when(last, F.lit(1)).otherwise(many).cast("long").alias("run"))
 
-        start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("run"))
-        return F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda at: at["total"])
+        start = F.struct(zero.alias("total"), F.lit(1).cast("long").alias("run"))
+        places = F.when(F.size(again) > 0, F.sequence(F.lit(0), F.size(again) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step, lambda at: at["total"])
 
-    both = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(bucket(F.get(words, i), buckets=buckets), pair(i))))
-    # Bound to a lambda variable, so that the array is built once for each text.
-    total = F.get(F.transform(F.array(F.sort_array(F.array_compact(both))), summed), F.lit(0))
-    return F.when(n > 0, total / size / _SCALE).otherwise(0.0)
+    # Bound to lambda variables, so that the arrays are built once for each text.
+    twice = F.flatten(F.transform(F.array(F.sort_array(grams)), lambda own: F.filter(own, lambda gram, i: gram.eqNullSafe(F.get(own, i - 1)))))
+    more = F.get(F.transform(F.array(twice), mended), F.lit(0))
+    return F.when(size > 0, (once + more) / size / _SCALE - F.log(F.lit(n_good + prior) - size)).otherwise(0.0)
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """The doc_ids labelled quality 1, at most max_trusted of them."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    # About twice max_trusted ids pass a threshold on their hash, which bounds what the last step of the ranking reads.
-    share = 2.0 * max_trusted / max(good.count(), 1)
-    near = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    return near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(max_trusted)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The doc_ids labelled quality 1, all of them."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+
+
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The share's quantile of column x, between neighbours by their distance; None without values.
+
+    A place is found by counting values in BINS ranges, then in those of the range that holds it: BINS rows come back each time.
+    """
+    counts = values.where("x is not null")
+    n = counts.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    low = _nth(counts, int(at))
+    high = _nth(counts, min(int(at) + 1, n - 1)) if at > int(at) else low
+    return low + (high - low) * (at - int(at))
+
+
+def _nth(values: DataFrame, k: int) -> float:
+    """The value at place k (from 0) of column x in order: ranges that hold it are cut in BINS until it holds one value alone."""
+    low, high = values.agg(F.min("x"), F.max("x")).first()
+    while low < high:
+        width = (high - low) / BINS
+        part = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        found = sorted(values.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect())
+        for row in found:
+            if k < row["n"]:
+                break
+            k -= row["n"]
+        values = values.where((F.col("x") >= F.lit(row["low"])) & (F.col("x") <= F.lit(row["high"])))
+        if (row["low"], row["high"]) == (low, high):
+            break  # neighbouring numbers: none lies between
+        low, high = row["low"], row["high"]
+    return low if low == high or k < values.where(F.col("x") == F.lit(low)).count() else high
 
 
 def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float | None = THRESHOLD, own: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept) for each row of docs (columns doc_id, text).
 
-    own: the distinct doc_ids of the rows that trusted holds, a bounded number; these rows' own counts are left out of their ratios.
+    own: the distinct doc_ids of the rows that trusted holds, any number; these rows' own counts are left out of their ratios.
     With own, a threshold of None is learned: the quantile LOST of the ratios of the trusted rows past the base rules.
     """
-    found = cut(weights(docs, trusted, buckets, prior))
-    held = weight_array(found, buckets)
     if own is None:
-        judged = statistics(docs, llr=lambda words: likelihood_ratio(words, held, buckets))
+        held = weight_array(cut(weights(docs, trusted, buckets, prior)), buckets)
+        judged = statistics(docs, held=held, llr=lambda words, held: _of(words, held, buckets, likelihood_ratio))
         return judged.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    marked = own.select("doc_id", F.lit(True).alias("own"))
+    if marked.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        marked = F.broadcast(marked)
+    joined = docs.select("doc_id", "text").join(marked, "doc_id", "left")
+    found = cut(weights(joined, None, buckets, prior))
     n_raw, n_good = (x or 0 for x in found.agg(F.sum("n"), F.sum("m")).first())
-    raw, good = weight_array(found, buckets, "n"), weight_array(found, buckets, "m")
+    held = weight_array(found, buckets, ("weight", "left", "n", "m"))
 
-    def left_out(words: Column) -> Column:
-        return left_out_ratio(words, raw, good, n_raw, n_good, buckets, prior)
+    def ratio(words: Column, held: Column | None) -> Column:
+        return _of(words, held, buckets, lambda grams, held: F.when(F.col("own"), left_out_ratio(grams, held, n_raw, n_good, buckets, prior)).otherwise(likelihood_ratio(grams, held)))
 
-    marked = F.broadcast(own.select("doc_id", F.lit(True).alias("own")))
+    judged = cut(statistics(joined, held=held, llr=ratio, known=lambda words, held: F.coalesce(F.col("own"), F.lit(False))))
     if threshold is None:
-        # At most as many rows as the fit may read texts, so an exact quantile is cheap.
-        # Not a filter: that would be pushed below the words, which it would then split again for each of them.
-        known = statistics(trusted.select("doc_id", "text"), llr=left_out)
-        threshold = known.agg(F.percentile(F.when(~F.col("base_failed"), F.col("llr")), F.lit(LOST))).first()[0]
-    joined = docs.select("doc_id", "text").join(marked, "doc_id", "left")
-    judged = statistics(joined, llr=lambda words: F.when(F.col("own"), left_out(words)).otherwise(likelihood_ratio(words, held, buckets)))
+        threshold = quantile(judged.where("known and not base_failed").select(F.col("llr").alias("x")), LOST)
     passed = F.lit(True) if threshold is None else F.col("llr") >= threshold
-    return judged.withColumn("kept", ~F.col("base_failed") & passed)
+    return judged.drop("known").withColumn("kept", ~F.col("base_failed") & passed)
+
+
+def _of(words: Column, held: Column, buckets: int, function: Callable[[Column, Column], Column]) -> Column:
+    """function of a text's buckets and of held; the buckets are bound to a lambda variable, so that they are built once a text."""
+    return F.get(F.transform(F.array(gram_buckets(words, buckets)), lambda grams: function(grams, held)), F.lit(0))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # At most MAX_TRUSTED ids, a parameter.
     own = cut(trusted_ids(table(spark, sf_dir, "labels")))
-    return judge(docs, docs.join(F.broadcast(own), "doc_id", "left_semi"), threshold=None, own=own)
+    return judge(docs, docs, threshold=None, own=own)

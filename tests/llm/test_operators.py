@@ -330,6 +330,15 @@ def test_trusted_texts_are_scored_without_their_own_counts(spark, docs):
     assert all(r.llr == 0 and r.kept != r.base_failed for r in untold)
 
 
+def test_all_trusted_labels_are_learned_from(spark):
+    labels = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_rules.trusted_ids(labels.union(labels)).count() == 12_000
+    values = spark.createDataFrame([(x,) for x in [3.5, -1.0, 2.0, 2.0, 2.0, 1e-12, 7.25, None]], "x double")
+    for share in (0.0, 0.01, 0.3, 0.5, 0.77, 1.0):
+        assert quality_rules.quantile(values, share) == pytest.approx(np.quantile([3.5, -1.0, 2.0, 2.0, 2.0, 1e-12, 7.25], share))
+    assert quality_rules.quantile(values.limit(0), 0.5) is None
+
+
 def test_license_scan_against_brute_force(spark, docs, texts):
     got = license.scan(docs).collect()
     assert len(got) == len(corpus())
