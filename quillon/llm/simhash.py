@@ -19,8 +19,10 @@ differ in at most ``radius`` bits.  The plan:
    each pair of ranges a task of its own;
 6. components follow from alternating hub contraction on the links alone.
 
-The pipeline's stage links by the exact Jaccard similarity of five-word shingles
-instead (jaccard_duplicates); the fingerprint's contract is op2's alone.
+The pipeline's stage finds its pairs by the same fingerprints, of five-word
+shingles, and confirms them by exact Jaccard similarity.  Pairs at 0.8 differ in
+about ten bits, more than a radius can hold, so MinHash bands beside it give the
+candidates that fingerprints can't see; the fingerprint's contract is op2's alone.
 
 Every fingerprint is dealt under one key for each choice of blocks - radius
 blocks: 35 at 7 blocks, 16 bytes each, twice (to count buckets and to compare).
@@ -89,7 +91,12 @@ def _fingerprint_lines(lines: list[bytes], shingle: int) -> np.ndarray:
     full = np.flatnonzero([len(x) > 0 for x in lines])
     if not len(full):
         return out
-    windows, hashes = _shingle_hashes([lines[k] for k in full], shingle)
+    out[full] = _majority(*_shingle_hashes([lines[k] for k in full], shingle))
+    return out
+
+
+def _majority(windows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each text (windows: its number of hashes, one at least) the bits that are set in over half of its hashes."""
     # Counters of 16 bits, four to a word, summed over parts of at most 65,535 shingles of a line.
     cuts, owner = [], []
     at = 0
@@ -98,14 +105,13 @@ def _fingerprint_lines(lines: list[bytes], shingle: int) -> np.ndarray:
             cuts.append(at + part)
             owner.append(k)
         at += n
-    counts = np.zeros((len(full), 4, 16), np.int64)
+    counts = np.zeros((len(windows), 4, 16), np.int64)
     lanes = np.uint64(0x0001000100010001)
     for bit in range(16):
         sums = np.add.reduceat((hashes >> np.uint64(bit)) & lanes, cuts)
         np.add.at(counts[:, :, bit], owner, sums.view(np.uint16).reshape(-1, 4))
     bits = counts.reshape(-1, 64) * 2 > windows[:, None]
-    out[full] = np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u8").ravel()
-    return out
+    return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u8").ravel()
 
 
 def _shingle_hashes(lines: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -462,29 +468,51 @@ def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The signed SimHash of each set of shingles, none of them empty, in parts of about _CHARS shingles."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    part = np.cumsum(sizes) // _CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sets)]
+    found = [_majority(sizes[a:b], np.concatenate(sets[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    return np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """(d, fp, bands, row) for each row of docs: the row whole, its set's digest and band keys, and a number that is stable once this is written."""
+    """(d, fp, sim, bands, row) for each row of docs: the row whole, its set's digest, SimHash (null if empty) and band keys, and a number
+    that is stable once this is written."""
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(batch.column("d").field("text").to_pylist())
         full = [k for k, x in enumerate(sets) if len(x)]
         bands: list = [[]] * len(sets)
-        for k, own in zip(full, band_keys([sets[k] for k in full]), strict=True):
-            bands[k] = own
+        sims: list = [None] * len(sets)
+        chosen = [sets[k] for k in full]
+        for k, own, sim in zip(full, band_keys(chosen), set_fingerprints(chosen).tolist(), strict=True):
+            bands[k], sims[k] = own, sim
         digests = pa.array([set_digest(x) for x in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("d"), digests, pa.array(bands, pa.list_(pa.int64()))], names=["d", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("d"), digests, pa.array(sims, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["d", "fp", "sim", "bands"])
 
-    schema = T.StructType([T.StructField("d", docs.schema, False), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("d", docs.schema, False), T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return arrow_map(rows_of(docs).select("d"), of, schema).withColumn("row", F.monotonically_increasing_id())
 
 
+def fingerprint_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b): links between the classes (fp, sim) whose SimHashes sim lie within the radius: each class with the first of its SimHash, and the firsts of
+    linked SimHashes."""
+    firsts = cut(classes.where("sim is not null").groupBy("sim").agg(F.min("fp").alias("low")))
+    equal = classes.select("fp", "sim").join(firsts, "sim").where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    near = bucket_links(firsts.select(F.col("sim").alias("fp")), radius, blocks)
+    named = near.join(firsts.select(F.col("sim").alias("a"), F.col("low").alias("left")), "a").join(firsts.select(F.col("sim").alias("b"), F.col("low").alias("right")), "b")
+    return equal.union(named.select(F.col("left").alias("a"), F.col("right").alias("b")))
+
+
 def similar_rows(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(row, doc_id, component_id, keeper) for written rows of shingled(): component_id is the smallest doc_id reachable over pairs of
     Jaccard similarity SIMILAR or more, keeper the number of its first row; rows without an id come last.
 
-    MinHash bands only say who is compared: components of documents that share a
-    band are compared pair by pair, in tiles of member ranges, by the exact sets.
-    A pair at 0.8 shares no band with a chance of 1 in 20,000, at 0.85 of 1 in 2,000,000,
+    SimHash links (fingerprint_links) and MinHash bands only say who is compared: components
+    of documents that either connects are compared pair by pair, in tiles of member ranges, by the exact sets.
+    A pair at 0.8 that no fingerprints link shares no band with a chance of 1 in 20,000, at 0.85 of 1 in 2,000,000,
     and may still be compared through others.  Equal sets are one row, empty ones equal.
     Texts are read once more, joined by row with the classes that have a partner.
     """
@@ -509,12 +537,12 @@ def similar_rows(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     with scratch(rows.sparkSession) as outlive:
         doc_id = F.col("d.doc_id").cast("long")
         first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "row"))
-        classes = cut(rows.groupBy("fp").agg(first.alias("first"), F.min("bands").alias("bands")))
+        classes = cut(rows.groupBy("fp").agg(first.alias("first"), F.min("bands").alias("bands"), F.min("sim").alias("sim")))
         members = classes.select("fp", F.posexplode("bands").alias("way", "key"))
         # As everywhere here, what rows are joined with is written first, so that Spark can split a hot key's join.
         lows = cut(members.groupBy("way", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"))
         shared = members.join(lows, ["way", "key"]).where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-        groups = cut(components(shared))
+        groups = cut(components(shared.union(fingerprint_links(classes))))
         groups = groups.join(cut(groups.groupBy("root").agg(F.count("*").alias("n"))), "root").withColumnRenamed("node", "fp")
         groups = cut(groups.join(classes.select("fp", F.col("first.row").alias("row")), "fp"))
         tiles = F.ceil(F.col("n") / F.lit(tile_rows)).cast("int")

@@ -339,6 +339,24 @@ def test_all_trusted_labels_are_learned_from(spark):
     assert quality_rules.quantile(values.limit(0), 0.5) is None
 
 
+def test_pipeline_stage_finds_candidates_by_simhash(spark, monkeypatch):
+    base = [" ".join(f"w{k * j % 7919}" for j in range(1, 2001)) for k in (3, 5)]
+    texts = [*base, base[0] + " tail", base[0].upper(), "end " + base[1], "few words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash.shingled(docs).localCheckpoint()
+    full = [(r.fp, r.sim, s) for r, s in zip(rows.collect(), simhash.shingle_sets([r.d.text for r in rows.collect()]), strict=True) if len(s)]
+    for _, sim, own in full:
+        bits = ((own[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0) * 2 > len(own)
+        assert sim % (1 << 64) == sum(1 << k for k, bit in enumerate(bits.tolist()) if bit)
+    sims = dict((fp, sim) for fp, sim, _ in full)
+    near = [(a, b) for a in sims for b in sims if a < b and bin((sims[a] ^ sims[b]) % (1 << 64)).count("1") <= simhash.RADIUS]
+    got = [tuple(r) for r in simhash.fingerprint_links(rows.select("fp", "sim").distinct()).collect()]
+    assert near and classes(sims, got) == classes(sims, near)
+    # Without bands the fingerprints alone bring near copies together.
+    monkeypatch.setattr(simhash, "BANDS", 0)
+    assert {r.doc_id for r in simhash.similar_rows(simhash.shingled(docs).localCheckpoint()).where("row != keeper").collect()} == {2, 3, 4, 7}
+
+
 def test_license_scan_against_brute_force(spark, docs, texts):
     got = license.scan(docs).collect()
     assert len(got) == len(corpus())
