@@ -28,7 +28,8 @@ are removed, so the first occurrence of each passage stays.  The result is that
 of comparing all windows, up to collisions of the 64-bit digests of steps 1 and 4.
 
 Texts are read narrowly and written once with a number for each row; those of
-rows that hold a class's first member are dealt once more, to give its words.
+rows that hold a class's first member are dealt once more, to give its words,
+and those of rows with repeated words to be cut.  All others stay where they are.
 
 Defined cases: null and empty texts and texts of under ``length`` words have no
 windows and are kept whole; a passage repeated inside a row stays once; every row
@@ -163,6 +164,14 @@ def suffixes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     return arrow_map(rows.select("row", "doc_id", "text"), of, "row long, doc_id long, h long, ha long, first int, last int, lead int")
 
 
+def flagged(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """rows with ``hit``: whether chosen holds their row number.  Numbers are broadcast as bits, 64 to a long, so that rows not
+    chosen keep their texts out of the shuffle of a join."""
+    bits = chosen.groupBy(F.shiftright("row", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, CAST(row & 63 AS INT)))").alias("bits"))
+    held = rows.withColumn("block", F.shiftright("row", 6)).join(F.broadcast(bits), "block", "left")
+    return held.select(*rows.columns, F.coalesce(F.getbit("bits", F.expr("CAST(row & 63 AS INT)")) == 1, F.lit(False)).alias("hit"))
+
+
 def occurrence(*places: str) -> Column:
     """What orders occurrences: rows with an id first, then the id, the row and the places in it."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", *places)
@@ -328,7 +337,8 @@ def repeated_words(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, run_
         runs = cut(classes.join(several, "h").select("c.row", "n", F.struct("h", "c.first", "c.last", "c.lead").alias("run")))
 
         def places(chosen: DataFrame) -> DataFrame:
-            return rows.join(chosen.groupBy("row").agg(F.collect_list("run").alias("runs")), "row")
+            own = flagged(rows, chosen).where("hit").drop("hit")
+            return own.join(chosen.groupBy("row").agg(F.collect_list("run").alias("runs")), "row")
 
         sorted_part = extended_spans(contexts(places(runs.where(F.col("n") <= run_rows)), length), length)
         windows = cut(window_hashes(places(runs.where(F.col("n") > run_rows)), length))
@@ -376,7 +386,9 @@ def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are read again by the result, so their table lasts until the caller's scratch() ends."""
     rows, _ = written(rows_of(docs))
     found = repeated_words(rows.select("row", F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text")))
-    joined = rows.join(found.select("row", "spans"), "row", "left").select("d", "spans")
+    each = flagged(rows, found)
+    joined = each.where("hit").join(found.select("row", "spans"), "row").select("d", "spans")
+    joined = joined.unionByName(each.where("not hit").select("d", F.lit(None).cast(SPANS).alias("spans")))
     names = docs.columns
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
