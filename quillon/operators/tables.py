@@ -60,11 +60,17 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return require(df.groupBy(*keys).agg(F.count("*").alias("n")), f"{', '.join(keys)} unique", F.col("n") == 1)
 
 
-def reviewed_products(products: DataFrame, reviews: DataFrame) -> DataFrame:
-    """(asin, user_id): users that reviewed a product (asin, parent_asin) or one of its children."""
-    direct = reviews.select("asin", "user_id")
-    through = products.where("asin != parent_asin").join(reviews, "asin").select(F.col("parent_asin").alias("asin"), "user_id")
-    return direct.union(through).distinct().join(products.select("asin"), "asin", "left_semi")
+def reviewed_products(products: DataFrame, reviews: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(asin, user_id): users that reviewed a product (asin, parent_asin) or one of its children.
+
+    Reviews may repeat; they are read once and handed to their product and its parent, where products has that.  tasks is how
+    many tasks look for repeats: as nearly all rows differ, each holds its own in memory, so it should grow with reviews.
+    """
+    up = products.where("asin != parent_asin").select("asin", F.col("parent_asin").alias("to"))
+    up = up.join(products.select(F.col("asin").alias("to")), "to", "left_semi").select("asin", "to")
+    links = products.select("asin", F.col("asin").alias("to")).unionByName(up).distinct()
+    found = reviews.join(links, "asin").select(F.col("to").alias("asin"), "user_id")
+    return (found if tasks is None else found.repartition(tasks, "asin", "user_id")).distinct()
 
 
 def assemble(clean: DataFrame, noisy: DataFrame, clusters: DataFrame) -> DataFrame:
