@@ -30,6 +30,8 @@ from quillon.operators.storage import writer
 BITS = 2
 MAX_CELLS = 65_536
 MAX_FIT = 1 << 18
+#: Scores of tokens by centroids that a task holds at once.
+SCORES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,9 @@ def unpack(codes: bytes, n: int, bits: int = BITS) -> np.ndarray:
 
 
 def nearest(tokens: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return (tokens @ centroids.T - 0.5 * (centroids**2).sum(axis=1)).argmax(axis=1)
+    """The place of each token's nearest centroid, for blocks of tokens of at most SCORES scores."""
+    half, step = 0.5 * (centroids**2).sum(axis=1), max(1, SCORES // len(centroids))
+    return np.concatenate([np.empty(0, np.int64), *((tokens[at : at + step] @ centroids.T - half).argmax(axis=1) for at in range(0, len(tokens), step))])
 
 
 def matrix(rows) -> np.ndarray:
@@ -77,7 +81,8 @@ def build(docs: DataFrame, cells: int | None = None, bits: int = BITS, seed: int
     filled = docs.select("doc_id", "toks").where(F.size("toks") > 0)
     tokens = filled.select(F.explode("toks").alias("t")).select(F.transform("t", lambda x: x.cast("double")).alias("t"))
     cells = cells or cells_for(filled.agg(F.sum(F.size("toks"))).first()[0] or 1)
-    sample = write(tokens.orderBy(F.xxhash64("t"), "t").limit(max_fit))
+    # A limit leaves one part, in which one task would fit all centroids.
+    sample = write(tokens.orderBy(F.xxhash64("t"), "t").limit(max_fit).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism))
     model = KMeans(k=min(cells, MAX_CELLS), seed=seed, maxIter=steps, featuresCol="v").fit(sample.select(array_to_vector("t").alias("v")))
     centroids = np.array(model.clusterCenters())
 
@@ -94,12 +99,14 @@ def build(docs: DataFrame, cells: int | None = None, bits: int = BITS, seed: int
 
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for doc_id, toks in zip(frame["doc_id"], frame["toks"], strict=True):
-                own = matrix(toks)
-                at = nearest(own, centroids)
-                out.append((doc_id, at.tolist(), pack(np.searchsorted(bounds, own - centroids[at]), bits)))
-            yield pd.DataFrame(out, columns=["doc_id", "cells", "codes"])
+            held = [matrix(toks) for toks in frame["toks"]]
+            if not held:
+                continue
+            own = np.concatenate(held)
+            at = nearest(own, centroids)
+            buckets, ends = np.searchsorted(bounds, own - centroids[at]), np.cumsum([len(m) for m in held])
+            parts = [slice(end - len(m), end) for m, end in zip(held, ends, strict=True)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "cells": [at[x].tolist() for x in parts], "codes": [pack(buckets[x], bits) for x in parts]})
 
     codes = write(filled.mapInPandas(coded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, cells array<int>, codes binary"))
     lists = write(codes.select("doc_id", F.explode(F.array_distinct("cells")).alias("cell")))
