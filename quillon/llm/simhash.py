@@ -46,11 +46,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import arrow_map, cut, rows_of, scratch, table, text_batches, whole, written
+from quillon.llm.common import arrow_map, cut, flagged, rows_of, scratch, table, text_batches, whole, written
 from quillon.llm.xxh import xxh64_spans
 
 SEED = 42
@@ -66,6 +66,8 @@ SMALL = 48
 STAGE_SHINGLE = 5
 SIMILAR = (4, 5)
 BANDS, BAND_ROWS = 25, 5
+#: Bits of a band's key that are compared.
+KEY_BITS = 48
 TILE_ROWS = 256
 _CHARS = 1_000_000
 _PIVOTS = 32
@@ -506,6 +508,13 @@ def fingerprint_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BL
     return equal.union(named.select(F.col("left").alias("a"), F.col("right").alias("b")))
 
 
+def band_marks(bands: str) -> Column:
+    """The band keys as one array of longs: the band's number above KEY_BITS bits of its key, so that a shuffle carries one value and few random bytes.
+    Keys that agree in these bits alone add candidates, never links."""
+    low = F.lit((1 << KEY_BITS) - 1)
+    return F.transform(bands, lambda key, way: F.shiftleft(way.cast("long"), KEY_BITS).bitwiseOR(key.bitwiseAND(low)))
+
+
 def similar_rows(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(row, doc_id, component_id, keeper) for written rows of shingled(): component_id is the smallest doc_id reachable over pairs of
     Jaccard similarity SIMILAR or more, keeper the number of its first row; rows without an id come last.
@@ -514,7 +523,7 @@ def similar_rows(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     of documents that either connects are compared pair by pair, in tiles of member ranges, by the exact sets.
     A pair at 0.8 that no fingerprints link shares no band with a chance of 1 in 20,000, at 0.85 of 1 in 2,000,000,
     and may still be compared through others.  Equal sets are one row, empty ones equal.
-    Texts are read once more, joined by row with the classes that have a partner.
+    Texts are read once more; only those of classes that have a partner are dealt, all others stay where they are.
     """
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -537,19 +546,21 @@ def similar_rows(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     with scratch(rows.sparkSession) as outlive:
         doc_id = F.col("d.doc_id").cast("long")
         first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "row"))
-        classes = cut(rows.groupBy("fp").agg(first.alias("first"), F.min("bands").alias("bands"), F.min("sim").alias("sim")))
-        members = classes.select("fp", F.posexplode("bands").alias("way", "key"))
+        classes = cut(rows.groupBy("fp").agg(first.alias("first"), F.min("sim").alias("sim")))
+        # A class goes by the number of its first row: within a task's rows numbers differ in few bytes, so shuffles compress them well.
+        numbers = cut(classes.select(F.col("first.row").alias("row"), "fp", "sim"))
+        members = flagged(rows.select("row", "bands"), numbers).where("hit").select("row", F.explode(band_marks("bands")).alias("key"))
         # As everywhere here, what rows are joined with is written first, so that Spark can split a hot key's join.
-        lows = cut(members.groupBy("way", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"))
-        shared = members.join(lows, ["way", "key"]).where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-        groups = cut(components(shared.union(fingerprint_links(classes))))
-        groups = groups.join(cut(groups.groupBy("root").agg(F.count("*").alias("n"))), "root").withColumnRenamed("node", "fp")
-        groups = cut(groups.join(classes.select("fp", F.col("first.row").alias("row")), "fp"))
+        lows = cut(members.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key", "low"))
+        shared = members.join(lows, "key").where("row != low").select(F.col("row").alias("a"), F.col("low").alias("b"))
+        groups = cut(components(shared.union(fingerprint_links(numbers.select(F.col("row").alias("fp"), "sim")))).withColumnRenamed("node", "row"))
+        groups = cut(groups.join(cut(groups.groupBy("root").agg(F.count("*").alias("n"))), "root").join(numbers.select("row", "fp"), "row"))
         tiles = F.ceil(F.col("n") / F.lit(tile_rows)).cast("int")
+        texts = flagged(rows.select("row", F.col("d.text").alias("text")), groups.select("row")).where("hit").select("row", "text")
         spread = (
             groups.withColumn("tiles", tiles)
             .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-            .join(rows.select("row", F.col("d.text").alias("text")), "row")
+            .join(texts, "row")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
             .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "text")
         )
@@ -571,4 +582,4 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by the result, so their table lasts until the caller's scratch() ends."""
     rows, _ = written(shingled(docs))
     gone = similar_rows(rows).where("row != keeper").select("row")
-    return whole(rows.join(gone, "row", "left_anti"), docs)
+    return whole(flagged(rows.select("d", "row"), gone).where("not hit"), docs)

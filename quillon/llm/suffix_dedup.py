@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import arrow_map, cut, rows_of, scratch, table, text_parts, written
+from quillon.llm.common import arrow_map, cut, flagged, rows_of, scratch, table, text_parts, written
 
 LENGTH = 50
 GRAM = 10
@@ -164,14 +164,6 @@ def suffixes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     return arrow_map(rows.select("row", "doc_id", "text"), of, "row long, doc_id long, h long, ha long, first int, last int, lead int")
 
 
-def flagged(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """rows with ``hit``: whether chosen holds their row number.  Numbers are broadcast as bits, 64 to a long, so that rows not
-    chosen keep their texts out of the shuffle of a join."""
-    bits = chosen.groupBy(F.shiftright("row", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, CAST(row & 63 AS INT)))").alias("bits"))
-    held = rows.withColumn("block", F.shiftright("row", 6)).join(F.broadcast(bits), "block", "left")
-    return held.select(*rows.columns, F.coalesce(F.getbit("bits", F.expr("CAST(row & 63 AS INT)")) == 1, F.lit(False)).alias("hit"))
-
-
 def occurrence(*places: str) -> Column:
     """What orders occurrences: rows with an id first, then the id, the row and the places in it."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", *places)
