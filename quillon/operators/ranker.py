@@ -10,7 +10,8 @@ each token's gradient and second derivative from all pairs of unlike relevance,
 and adds them up by (node, feature, bin).  Only those histograms, whose size is
 nodes x features x bins whatever the number of rows, meet on the driver, which
 picks the splits.  Sums are of fixed-point numbers, so they don't depend on how
-rows are dealt.  Every FOLD trees the scores are written beside the rows.
+rows are dealt.  Features are read as bins, written once; a tree's last histogram
+gives its leaves too.  Every FOLD trees the scores are written beside the rows.
 
 Defined cases: groups without a pair of unlike relevance have no gradient; ties
 in score rank by position; null features count as 0; without any row training
@@ -25,13 +26,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quillon.functions import errors as er
 from quillon.functions import text as tx
-from quillon.operators.storage import writer
+from quillon.operators.storage import bounded_batches, writer
 
 FEATURES = (
     "topk_sim", "char_score", "bigram_score", "surface_difficulty", "attr_risk", "phonetic_ratio", "visual_ratio", "spelling_ratio",
@@ -43,6 +46,12 @@ BINS, UNIT = 32, float(1 << 24)
 FOLD = 8
 #: Pairs of tokens that a task holds at once.
 PAIRS = 1 << 20
+#: Groups of a block whose distinct tokens are judged once, and tasks over which a user's groups are dealt.
+GROUPS, SHARES = 4096, 4
+#: Groups that a task passes on at once with their features.
+PIECE = 256
+#: Values of a feature that a task's summary holds while it reads, and passes on.
+HELD, PASSED = 1 << 16, 1 << 12
 
 
 def content_tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -121,14 +130,44 @@ def token_features(token: Column, keywords: Mapping[str, Sequence[str]] | None =
     return F.array(*(F.coalesce(values[name], F.lit(0.0)).cast("double") for name in FEATURES))
 
 
+def _spread(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The groups of blocks (rows, words, x) with the features of each token, found by its place among the block's words."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            every, words = batch.column(0)[k].values, batch.column(1)[k].values
+            known = batch.column(2)[k].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            for at in range(0, len(every), PIECE):
+                rows = every.slice(at, PIECE)
+                tokens = pc.struct_field(rows, "tokens")
+                x = known[pc.index_in(tokens.flatten(), value_set=words).to_numpy(zero_copy_only=False)]
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)))
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, mask=pc.is_null(tokens))
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip([*rows.flatten(), held], schema, strict=True)], schema=schema)
+
+
 def featured(groups: DataFrame, profiles: DataFrame, keywords: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """groups (user_id, tokens, ...) of users with a profile, with x, the features of each token."""
-    # Tokens are dear and their rows have few bytes, so rows are dealt evenly.
+    """groups (user_id, tokens, ...) of users with a profile, with x, the features of each token.
+
+    Features are of a user and a token, so a user's groups are gathered in blocks of at most GROUPS and each distinct token of a block
+    is judged once.  A profile meets a block, not each of its groups: a user's words and groups both grow with the input.
+    """
+    bounded_batches(groups.sparkSession)
+    types = StructType([*groups.schema, StructField("x", ArrayType(ArrayType(DoubleType())))])
+    schema = to_arrow_schema(types)
     # What is a profile's alone is computed once for each user.
     users = profiles.withColumn("char_top", er.greatest_count(F.col("char_freq"))).withColumn("bigram_top", er.greatest_count(F.col("bigram_freq")))
-    joined = groups.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism).join(users, "user_id")
-    known = joined.withColumn("similarity", F.arrow_udf(similarities, ArrayType(DoubleType()))("user_id", F.transform("tokens", F.lower), F.transform("error_words", F.lower)))
-    return known.select(*groups.columns, F.zip_with("tokens", "similarity", lambda w, s: token_features(w, keywords, s, F.col("char_top"), F.col("bigram_top"))).alias("x"))
+    # A user's groups are dealt over SHARES tasks; numbers within a task cut them into blocks.
+    share = F.pmod(F.xxhash64("tokens"), F.lit(SHARES))
+    sorted_ = groups.select("user_id", share.alias("share"), F.struct(*groups.columns).alias("row")).repartition("user_id", "share").sortWithinPartitions("user_id", "share", F.xxhash64("row.tokens"))
+    numbered = sorted_.withColumn("block", F.floor(F.monotonically_increasing_id() / GROUPS))
+    blocks = numbered.groupBy("user_id", "share", "block").agg(F.collect_list("row").alias("rows"))
+    # Words are dear and their rows have few bytes, so blocks are dealt evenly.
+    words = F.array_distinct(F.flatten(F.filter("rows.tokens", lambda t: t.isNotNull()))).alias("words")
+    joined = blocks.select("user_id", "rows", words).repartition(4 * groups.sparkSession.sparkContext.defaultParallelism).join(users, "user_id")
+    known = joined.withColumn("similarity", F.arrow_udf(similarities, ArrayType(DoubleType()))("user_id", F.transform("words", F.lower), F.transform("error_words", F.lower)))
+    judged = known.select("rows", "words", F.zip_with("words", "similarity", lambda w, s: token_features(w, keywords, s, F.col("char_top"), F.col("bigram_top"))).alias("x"))
+    return judged.mapInArrow(lambda batches: _spread(batches, schema), types)
 
 
 def training_groups(errors: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -229,21 +268,66 @@ def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield low, len(sizes)
 
 
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The bytes of a batch's binary values, end to end, as numbers."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", kind, (ends[-1] - ends[0]) // np.dtype(kind).itemsize, int(ends[0]))
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray, width: int = 1) -> pa.Array:
+    """Binary values, one for each of the sizes, of width numbers a token."""
+    ends = np.append(0, np.cumsum(sizes)) * (width * values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _arrays(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, y, scores so far, sizes) of pieces of a batch of groups."""
-    y = batch.column("y")
-    sizes = np.diff(y.offsets.to_numpy())
-    flat_y = y.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    flat_x = np.nan_to_num(batch.column("x").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-    flat_s = batch.column("s").flatten().to_numpy(zero_copy_only=False)
+    """(x, y, scores so far, sizes) of pieces of a batch of groups, as arrays or as coded() gives them."""
+    if "n" in batch.schema.names:
+        sizes = batch.column("n").to_numpy()
+        flat_x, flat_y, flat_s = _flat(batch.column("x"), np.uint16).reshape(-1, width), _flat(batch.column("y"), np.float64), _flat(batch.column("s"), np.float64)
+    else:
+        y = batch.column("y")
+        sizes = np.diff(y.offsets.to_numpy())
+        flat_y = y.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat_x = np.nan_to_num(batch.column("x").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+        flat_s = batch.column("s").flatten().to_numpy(zero_copy_only=False)
     ends = np.append(0, np.cumsum(sizes))
     for low, high in _pieces(sizes):
         at = slice(ends[low], ends[high])
         yield flat_x[at], flat_y[at], flat_s[at], sizes[low:high]
 
 
+def coded(rows: DataFrame, edges: np.ndarray) -> DataFrame:
+    """Groups (x, y, s) as rows (n, x, y, s) of bytes: the bin of each token's features instead of their values."""
+    width = edges.shape[0]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, s, sizes in _arrays(batch, width):
+                bins = np.stack([np.searchsorted(edges[f], x[:, f], "left") for f in range(width)], axis=1).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), _packed(bins, sizes, width), _packed(y, sizes), _packed(s, sizes)], names=["n", "x", "y", "s"])
+
+    return rows.select("x", "y", "s").mapInArrow(code, "n long, x binary, y binary, s binary")
+
+
+def scored_so_far(rows: DataFrame, trees: Sequence[Tree], width: int) -> DataFrame:
+    """coded() rows whose scores have those of trees, with bounds by bin, added."""
+    model = Ranker(tuple(trees))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, s = _flat(batch.column("x"), np.uint16).reshape(-1, width), _flat(batch.column("s"), np.float64)
+            yield batch.set_column(3, "s", _packed(s + model.predict(x), batch.column("n").to_numpy()))
+
+    return rows.mapInArrow(add, rows.schema)
+
+
 def histogram(rows: DataFrame, trees: list[Tree], tree: Tree, edges: np.ndarray) -> np.ndarray:
-    """Sums of (gradient, second derivative, rows) by (leaf of the tree so far, feature, bin), over groups (x, y, s) with a token or more."""
+    """Sums of (gradient, second derivative, rows) by (leaf of the tree so far, feature, bin), over groups (x, y, s) with a token or more.
+
+    Of coded() rows the trees' bounds are bins; edges give no more than their number then.
+    """
     width, bins = edges.shape[0], edges.shape[1] + 1
     slots = len(tree.leaf) * width * bins
 
@@ -254,17 +338,21 @@ def histogram(rows: DataFrame, trees: list[Tree], tree: Tree, edges: np.ndarray)
             for x, y, s, sizes in _arrays(batch, width):
                 g, h = lambdas(s + model.predict(x), y, sizes)
                 node = leaves(tree, x) * bins
-                sums = (np.rint(g * UNIT), np.rint(h * UNIT), np.ones(len(y)))
+                sums = (np.rint(g * UNIT), np.rint(h * UNIT), None)
+                whole = [np.bincount(node, values, total.shape[1]) for values in sums]
                 for f in range(width):
-                    slot = node + np.searchsorted(edges[f], x[:, f], "left")
+                    at = x[:, f] if x.dtype == np.uint16 else np.searchsorted(edges[f], x[:, f], "left")
+                    # Features that are the same everywhere, as word lists that aren't given.
+                    same = not at.any()
+                    slot = node if same else node + at
                     for k, values in enumerate(sums):
-                        total[f, :, k] += np.bincount(slot, values, total.shape[1])
+                        total[f, :, k] += whole[k] if same else np.bincount(slot, values, total.shape[1])
         # Whole numbers below 2**53, which doubles add exactly; nodes come first.
         whole = np.rint(total).astype(np.int64).reshape(width, len(tree.leaf), bins, 3).swapaxes(0, 1).reshape(-1, 3)
         at = np.flatnonzero(whole.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(whole[at, k]) for k in range(3))], names=["slot", "g", "h", "n"])
 
-    found = rows.select("x", "y", "s").mapInArrow(add, "slot long, g long, h long, n long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    found = rows.select(*(c for c in ("n", "x", "y", "s") if c in rows.columns)).mapInArrow(add, "slot long, g long, h long, n long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
     out = np.zeros((slots, 3))
     for row in found.collect():
         out[row.slot] = row.g / UNIT, row.h / UNIT, row.n
@@ -282,54 +370,99 @@ def best_split(sums: np.ndarray, smooth: float, least: int) -> tuple[int, int] |
     return (int(at[0]), int(at[1])) if gain[at] > 1e-9 else None
 
 
+def _summary(values: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values with their counts, added up where equal; beyond most of them, runs of at most 1/most of all counts pass as their last value."""
+    values, back = np.unique(values, return_inverse=True)
+    counts = np.bincount(back, counts, len(values)).astype(np.int64)
+    if len(values) <= most:
+        return values, counts
+    total = np.cumsum(counts)
+    last = np.append(np.flatnonzero(np.diff((total - 1) * most // int(total[-1]))), len(values) - 1)
+    return values[last], np.diff(total[last], prepend=0)
+
+
 def bin_edges(rows: DataFrame, bins: int = BINS) -> np.ndarray:
-    """Upper bounds of the bins of each feature: quantiles of all tokens, padded with infinity where values repeat."""
-    flat = rows.select(F.explode("x").alias("x"))
-    width = len(FEATURES) if flat.isEmpty() else len(flat.first().x)
-    named = flat.select(*(F.col("x")[k].alias(f"f{k}") for k in range(width)))
-    found = named.approxQuantile(named.columns, [k / bins for k in range(1, bins)], 0.001)
-    out = np.full((width, bins - 1), np.inf)
-    for k, values in enumerate(found):
-        distinct = sorted(set(values))
-        out[k, : len(distinct)] = distinct
+    """Upper bounds of the bins of each feature: quantiles of all tokens, padded with infinity where values repeat.
+
+    A task passes on a summary of each feature: all distinct values with their counts, up to PASSED of them, else as many quantiles.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            each = batch.column(0).flatten()
+            if not len(each):
+                continue
+            x = np.nan_to_num(each.flatten().to_numpy(zero_copy_only=False).reshape(len(each), -1))
+            held = held or [(np.zeros(0), np.zeros(0, np.int64))] * x.shape[1]
+            for f, (values, counts) in enumerate(held):
+                new, many = np.unique(x[:, f], return_counts=True)
+                held[f] = _summary(np.append(values, new), np.append(counts, many), HELD)
+        for f, one in enumerate(held):
+            values, counts = _summary(*one, PASSED)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), f)), pa.array(values), pa.array(counts)], names=["f", "value", "n"])
+
+    def cut(key: tuple, table: pa.Table) -> pa.Table:
+        values, counts = _summary(table["value"].to_numpy(), table["n"].to_numpy(), len(table))
+        total = np.cumsum(counts)
+        found = values[np.searchsorted(total, np.ceil(np.arange(1, bins) * int(total[-1]) / bins))]
+        return pa.table({"f": [key[0].as_py()], "edges": [np.unique(found).tolist()]})
+
+    cuts = rows.select("x").mapInArrow(tell, "f long, value double, n long").groupBy("f").applyInArrow(cut, "f long, edges array<double>").collect()
+    out = np.full((max((r["f"] + 1 for r in cuts), default=len(FEATURES)), bins - 1), np.inf)
+    for r in cuts:
+        out[r["f"], : len(r["edges"])] = r["edges"]
     return out
 
 
 def train(groups: DataFrame, rounds: int = 24, depth: int = 3, rate: float = 0.1, smooth: float = 1.0, least: int = 5, bins: int = BINS) -> Ranker:
     """Boosted trees over groups (group_id, x array<array<double>>, y array<int>); scores so far are written to the shared folder."""
+    bounded_batches(groups.sparkSession)
     keep = writer(groups.sparkSession, "ranker")
-    rows = keep(groups.where(F.size("y") > 0).select("x", "y", F.transform("y", lambda _: F.lit(0.0)).alias("s")))
+    rows = groups.where(F.size("y") > 0).select("x", "y", F.transform("y", lambda _: F.lit(0.0)).alias("s"))
+    edges = bin_edges(rows, bins)
+    # Read once a level from here on, as bins; trees have bins for bounds until they are grown.
+    rows = keep(coded(rows, edges))
     if rows.isEmpty():
         raise ValueError("no groups to learn from")
-    edges = bin_edges(rows, bins)
     trees: list[Tree] = []
     folded = 0
     for _ in range(rounds):
         tree = Tree((), (), (0.0,))
-        for level in range(depth + 1):
+        for level in range(max(depth, 1)):
             sums = histogram(rows, trees[folded:], tree, edges)
-            if level == depth:
-                whole = sums[:, 0].sum(axis=1)
-                tree = Tree(tree.feature, tree.bound, tuple((rate * whole[:, 0] / (whole[:, 1] + smooth)).tolist()))
-                break
-            splits = [best_split(node, smooth, least) for node in sums]
-            feature = tuple(s[0] if s else 0 for s in splits)
-            bound = tuple(float(edges[s]) if s else float("inf") for s in splits)
-            tree = Tree(tree.feature + feature, tree.bound + bound, (0.0,) * (2 * len(tree.leaf)))
+            splits = [best_split(node, smooth, least) if level < depth else None for node in sums]
+            if level >= depth - 1:
+                # Both sides of a split are sums of the same histogram, so leaves need no pass of their own.
+                whole = np.array([node[0].sum(axis=0) for node in sums])
+                left = np.array([node[s[0], : s[1] + 1].sum(axis=0) if s else all_ for node, s, all_ in zip(sums, splits, whole, strict=True)])
+                ends = np.stack([left, whole - left], axis=1).reshape(-1, 3) if depth else whole
+                leaf = tuple((rate * ends[:, 0] / (ends[:, 1] + smooth)).tolist())
+            else:
+                leaf = (0.0,) * (2 * len(tree.leaf))
+            if depth:
+                feature = tuple(s[0] if s else 0 for s in splits)
+                tree = Tree(tree.feature + feature, tree.bound + tuple(float(s[1]) if s else float("inf") for s in splits), leaf)
+            else:
+                tree = Tree((), (), leaf)
         trees.append(tree)
-        if len(trees) - folded == FOLD:
-            part = Ranker(tuple(trees[folded:]))
-            rows = keep(rows.select("x", "y", F.zip_with("x", "s", lambda x, s: s + part.score(x)).alias("s")))
+        if len(trees) - folded == FOLD and len(trees) < rounds:
+            rows = keep(scored_so_far(rows, trees[folded:], edges.shape[0]))
             folded = len(trees)
-    return Ranker(tuple(trees))
+    return Ranker(tuple(Tree(t.feature, tuple(float(edges[f, int(b)]) if b != float("inf") else b for f, b in zip(t.feature, t.bound, strict=True)), t.leaf) for t in trees))
+
+
+def ndcg_of(y: str = "y", s: str = "s", k: int = 5) -> Column:
+    """NDCG of a group's columns of relevances and scores, by falling score, ties by position."""
+    ranked = F.array_sort(F.zip_with(s, F.transform(y, lambda y, i: F.struct(i.alias("i"), y.alias("y"))), lambda s, y: F.struct((-s).alias("s"), y["i"].alias("i"), y["y"].alias("y"))))
+    total = lambda ys: F.aggregate(F.transform(F.slice(ys, 1, k), lambda y, i: (F.pow(F.lit(2.0), y) - 1) / F.log2(i + 2.0)), F.lit(0.0), lambda t, v: t + v)
+    ideal = total(F.sort_array(y, asc=False))
+    return F.try_divide(total(F.transform(ranked, lambda r: r["y"])), ideal)
 
 
 def ndcg(scored: DataFrame, k: int = 5) -> DataFrame:
     """(group_id, ndcg) of groups (group_id, y, s) with array columns, by falling score, ties by position."""
-    ranked = F.array_sort(F.zip_with("s", F.transform("y", lambda y, i: F.struct(i.alias("i"), y.alias("y"))), lambda s, y: F.struct((-s).alias("s"), y["i"].alias("i"), y["y"].alias("y"))))
-    total = lambda ys: F.aggregate(F.transform(F.slice(ys, 1, k), lambda y, i: (F.pow(F.lit(2.0), y) - 1) / F.log2(i + 2.0)), F.lit(0.0), lambda t, v: t + v)
-    ideal = total(F.sort_array("y", asc=False))
-    return scored.select("group_id", F.try_divide(total(F.transform(ranked, lambda r: r["y"])), ideal).alias("ndcg"))
+    return scored.select("group_id", ndcg_of(k=k).alias("ndcg"))
 
 
 def similar_error(token: Column, errors: Column) -> Column:

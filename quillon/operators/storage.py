@@ -19,6 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of a batch of rows that goes to Python.
+BATCH = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of at most about BATCH bytes go to Python; without, one holds 10,000 rows of any length.  The setting stays, as queries run after they are built."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, None)
+    if given is None or not given.isdigit() or int(given) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def writer(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
     """A function that writes a DataFrame as a Parquet table of its own and gives it as read again: its lineage is cut, its size known."""
     folder = shared_folder(spark)
