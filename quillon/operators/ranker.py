@@ -79,7 +79,8 @@ def similarities(user: pa.Array, tokens: pa.Array, words: pa.Array) -> pa.Array:
     users, out = user.dictionary_encode(null_encoding="encode").indices.to_numpy(), np.zeros(len(codes))
     for one in np.unique(users).tolist():
         rows = np.flatnonzero(users == one)
-        sets = list({frozenset(w) for w in words[int(rows[0])].as_py() or () if w is not None})
+        # By size, so that of the sets of one size the greatest common part decides.
+        sets = sorted({frozenset(w) for w in words[int(rows[0])].as_py() or () if w is not None}, key=len)
         if not sets:
             continue
         at = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in rows])
@@ -88,32 +89,64 @@ def similarities(user: pa.Array, tokens: pa.Array, words: pa.Array) -> pa.Array:
         held = np.zeros((len(sets), len(letters)), np.float32)
         for k, chars in enumerate(sets):
             held[k, [letters[c] for c in chars]] = 1
-        sizes, best = np.array([len(s) for s in sets], np.float64), np.zeros(len(wanted))
+        sizes, firsts = np.unique([len(s) for s in sets], return_index=True)
+        # Words of the same characters are compared once.
+        asked = [frozenset(names[k]) for k in wanted.tolist()]
+        alike = {chars: k for k, chars in enumerate(dict.fromkeys(asked))}
+        distinct, best = list(alike), np.zeros(len(alike))
         step = max(PAIRS // len(sets), 1)
-        for low in range(0, len(wanted), step):
-            asked = [frozenset(names[k]) for k in wanted[low : low + step].tolist()]
-            own = np.zeros((len(asked), len(letters)), np.float32)
-            for k, chars in enumerate(asked):
+        for low in range(0, len(distinct), step):
+            part = distinct[low : low + step]
+            own = np.zeros((len(part), len(letters)), np.float32)
+            for k, chars in enumerate(part):
                 own[k, [letters[c] for c in chars if c in letters]] = 1
-            common = (own @ held.T).astype(np.float64)
-            union = np.array([len(s) for s in asked], np.float64)[:, None] + sizes - common
-            best[low : low + step] = np.divide(common, union, out=np.zeros_like(common), where=union > 0).max(axis=1)
+            common = np.maximum.reduceat(held @ own.T, firsts, axis=0).astype(np.float64)
+            union = np.array([len(s) for s in part], np.float64) + sizes[:, None] - common
+            best[low : low + step] = np.divide(common, union, out=np.zeros_like(common), where=union > 0).max(axis=0)
+        best = best[[alike[chars] for chars in asked]]
         out[at] = best[back]
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
 
 
-def token_features(token: Column, keywords: Mapping[str, Sequence[str]] | None = None, similarity: Column | None = None, char_top: Column | None = None, bigram_top: Column | None = None) -> Column:
+def profile_scores(tokens: pa.Array, letters: pa.Array, chars: pa.Array, bigrams: pa.Array) -> pa.Array:
+    """For each lower-cased token the error_char_score and error_bigram_score of errors.py; letters: of each token, how many of its characters are.
+
+    A profile's counts are looked up in a table of their own, not along a map.
+    """
+    out: list[tuple[float, float]] = []
+    for own, many, one, two in zip(tokens, letters, chars, bigrams, strict=True):
+        single, double = ({e["key"]: e["value"] for e in counts.as_py() or ()} for counts in (one, two))
+        most, top = float(max(single.values(), default=1)), float(max(double.values(), default=1))
+        for token, n in zip(own.as_py() or (), many.as_py() or (), strict=True):
+            if token is None:
+                out.append((0.0, 0.0))
+                continue
+            known = [c for c in token if c in single]
+            boost = 0.0
+            for c in known:
+                boost += (single[c] / most) * (token.count(c) / n if n else 0.0)
+            total = 0.0
+            for at in range(len(token) - 1):
+                total += double.get(token[at : at + 2], 0) / top
+            out.append((min(len(known) / n + boost * 0.5, 1.0) if n and single else 0.0, min(total / (len(token) - 1), 1.0) if len(token) > 1 and double else 0.0))
+    ends = np.append(0, np.cumsum([len(t) if t.is_valid else 0 for t in tokens]))
+    values = np.array(out, np.float64).reshape(-1, 2)
+    pair = pa.StructArray.from_arrays([pa.array(values[:, 0]), pa.array(values[:, 1])], names=["char_score", "bigram_score"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair)
+
+
+def token_features(token: Column, keywords: Mapping[str, Sequence[str]] | None = None, similarity: Column | None = None, scores: Column | None = None) -> Column:
     """The FEATURES of a token as an array, beside columns of user_profiles().  keywords: word lists by colors, sizes, flavors, materials, species.
 
-    similarity (topk_sim) and the greatest counts of a profile's maps are computed here unless they are given.
+    similarity (topk_sim) and profile_scores() are computed here unless they are given.
     """
     low, flag = F.lower(token), lambda c: F.when(c, 1.0).otherwise(0.0)
     words = lambda name: flag(low.isin(*keywords[name])) if keywords and keywords.get(name) else F.lit(0.0)
     vowels = F.length(F.regexp_replace(low, "[^aeiou]", "")).cast("double")
     values = {
         "topk_sim": F.array_max(F.transform("error_words", lambda e: er.char_similarity(token, e))) if similarity is None else similarity,
-        "char_score": er.error_char_score(token, F.col("char_freq"), char_top),
-        "bigram_score": er.error_bigram_score(token, F.col("bigram_freq"), bigram_top),
+        "char_score": er.error_char_score(token, F.col("char_freq")) if scores is None else scores["char_score"],
+        "bigram_score": er.error_bigram_score(token, F.col("bigram_freq")) if scores is None else scores["bigram_score"],
         "surface_difficulty": er.surface_difficulty(token),
         "attr_risk": er.attribute_risk(token, F.array().cast("array<string>")),
         **{f"{k}_ratio": F.col(f"{k}_ratio") for k in ("phonetic", "visual", "spelling")},
@@ -155,8 +188,6 @@ def featured(groups: DataFrame, profiles: DataFrame, keywords: Mapping[str, Sequ
     bounded_batches(groups.sparkSession)
     types = StructType([*groups.schema, StructField("x", ArrayType(ArrayType(DoubleType())))])
     schema = to_arrow_schema(types)
-    # What is a profile's alone is computed once for each user.
-    users = profiles.withColumn("char_top", er.greatest_count(F.col("char_freq"))).withColumn("bigram_top", er.greatest_count(F.col("bigram_freq")))
     # A user's groups are dealt over SHARES tasks; numbers within a task cut them into blocks.
     share = F.pmod(F.xxhash64("tokens"), F.lit(SHARES))
     sorted_ = groups.select("user_id", share.alias("share"), F.struct(*groups.columns).alias("row")).repartition("user_id", "share").sortWithinPartitions("user_id", "share", F.xxhash64("row.tokens"))
@@ -164,9 +195,13 @@ def featured(groups: DataFrame, profiles: DataFrame, keywords: Mapping[str, Sequ
     blocks = numbered.groupBy("user_id", "share", "block").agg(F.collect_list("row").alias("rows"))
     # Words are dear and their rows have few bytes, so blocks are dealt evenly.
     words = F.array_distinct(F.flatten(F.filter("rows.tokens", lambda t: t.isNotNull()))).alias("words")
-    joined = blocks.select("user_id", "rows", words).repartition(4 * groups.sparkSession.sparkContext.defaultParallelism).join(users, "user_id")
-    known = joined.withColumn("similarity", F.arrow_udf(similarities, ArrayType(DoubleType()))("user_id", F.transform("words", F.lower), F.transform("error_words", F.lower)))
-    judged = known.select("rows", "words", F.zip_with("words", "similarity", lambda w, s: token_features(w, keywords, s, F.col("char_top"), F.col("bigram_top"))).alias("x"))
+    joined = blocks.select("user_id", "rows", words).repartition(4 * groups.sparkSession.sparkContext.defaultParallelism).join(profiles, "user_id")
+    low = F.transform("words", F.lower)
+    letters = F.transform("words", lambda w: F.length(F.regexp_replace(F.lower(w), "\\P{L}", "")))
+    alike = F.arrow_udf(similarities, ArrayType(DoubleType()))("user_id", low, F.transform("error_words", F.lower))
+    scores = F.arrow_udf(profile_scores, "array<struct<char_score: double, bigram_score: double>>")(low, letters, F.map_entries("char_freq"), F.map_entries("bigram_freq"))
+    known = joined.withColumn("given", F.arrays_zip(alike.alias("similarity"), scores.alias("scores")))
+    judged = known.select("rows", "words", F.zip_with("words", "given", lambda w, g: token_features(w, keywords, g["similarity"], g["scores"])).alias("x"))
     return judged.mapInArrow(lambda batches: _spread(batches, schema), types)
 
 

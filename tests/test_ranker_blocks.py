@@ -9,7 +9,7 @@ from quillon.operators import ranker
 
 
 def test_a_distinct_token_of_a_block_is_judged_once(spark, monkeypatch):
-    errors = spark.createDataFrame([(1, "hte", "the"), (2, "ß-x", "x")], "user_id int, original string, corrected string")
+    errors = spark.createDataFrame([(1, "hte", "the"), (1, "TT2é", "t2t"), (2, "ß-x", "x")], "user_id int, original string, corrected string")
     profiles = ranker.user_profiles(errors)
     rows = [(k, 1 + k % 3, None if k == 7 else ["The", "hte", f"t{k % 2}", "xX"] if k else []) for k in range(30)]
     groups = spark.createDataFrame(rows, "group_id int, user_id int, tokens array<string>")
